@@ -7,11 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name`` with the SQL that gives the same rows."""
+    def put(function: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = function
+        if sql:
+            _SQL[name] = sql
+        return function
+
+    return put
+
+
+def _load() -> None:
+    from . import align_queries, decision_queries, entity_queries, graph_queries, metric_queries, pair_queries, resample_queries, source_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
