@@ -1 +1,81 @@
-"""Registered queries."""
+"""Queries on graphs, splits and registries of entities."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgewise.operators import splits as S
+from edgewise.operators.graph import connected_components
+
+from . import fixtures as X
+from .registry import query
+
+_NATIONS = """WITH RECURSIVE lines AS (SELECT l_suppkey AS s, l_partkey AS p, l_quantity AS w FROM lineitem WHERE l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 35),
+n AS (SELECT DISTINCT CAST(s AS BIGINT) AS u, CAST(100000000 + p AS BIGINT) AS v FROM lines), e AS (SELECT u, v FROM n UNION SELECT v, u FROM n),
+reach AS (SELECT u AS node, u AS seen FROM e UNION SELECT r.node, e.v FROM reach r JOIN e ON r.seen = e.u),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node) """
+
+
+def heavy_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Supplier and part of the order lines with the greatest discount, tax and quantity."""
+    line = X.table(spark, d, "lineitem").filter("l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 35")
+    return line.select(F.col("l_suppkey").alias("src"), (F.lit(100000000) + F.col("l_partkey")).alias("dst")).distinct()
+
+
+@query("c1_connected_components", _NATIONS + "SELECT node, component FROM comp")
+def c1(spark: SparkSession, d: str) -> DataFrame:
+    return connected_components(heavy_edges(spark, d))
+
+
+@query("c2_contracted_graph", _NATIONS + """, h AS (SELECT s AS q, 100000000 + p AS t, w FROM lines)
+SELECT least(x.component, z.component) AS lo, greatest(x.component, z.component) AS hi,
+  CAST(max(greatest(1, floor(100 * l_quantity / least(l_linenumber, 5) + 0.5))) AS BIGINT) AS weight
+FROM lineitem JOIN comp x ON x.node = l_suppkey JOIN comp z ON z.node = 100000000 + l_partkey WHERE x.component <> z.component GROUP BY 1, 2""")
+def c2(spark: SparkSession, d: str) -> DataFrame:
+    components = connected_components(heavy_edges(spark, d))
+    hits = X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("q"), (F.lit(100000000) + F.col("l_partkey")).alias("t"), F.col("l_quantity").alias("bits"), F.col("l_linenumber").alias("qlen"), F.lit(5).alias("tlen"))
+    return S.contracted_graph(hits, components)
+
+
+_FOLDS = _NATIONS + """, size AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
+k AS (SELECT component, row_number() OVER (ORDER BY size DESC, ('0x' || substr(sha256('fold:' || component), 1, 15))::BIGINT, component) - 1 AS k FROM size),
+f AS (SELECT component, CAST(CASE WHEN (k // 4) % 2 = 0 THEN k % 4 ELSE 3 - k % 4 END AS INTEGER) AS fold FROM k) """
+
+
+@query("c4_component_folds", _FOLDS + "SELECT node AS entity, component, fold FROM comp JOIN f USING (component)")
+def c4(spark: SparkSession, d: str) -> DataFrame:
+    members = connected_components(heavy_edges(spark, d)).withColumnRenamed("node", "entity")
+    return S.snake_folds(members, 4).select("entity", "component", "fold")
+
+
+@query("c3_pair_roles", _FOLDS.replace("// 4", "// 2").replace("% 4", "% 2").replace("3 - k", "1 - k") + """, m AS (SELECT node, fold FROM comp JOIN f USING (component))
+SELECT CASE WHEN x.fold = z.fold THEN CAST(x.fold AS VARCHAR) ELSE 'crossing' END AS role, count(*) AS rows FROM lineitem JOIN m x ON x.node = l_suppkey JOIN m z ON z.node = 100000000 + l_partkey GROUP BY 1""")
+def c3(spark: SparkSession, d: str) -> DataFrame:
+    members = S.snake_folds(connected_components(heavy_edges(spark, d)).withColumnRenamed("node", "entity"), 2)
+    pairs = X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.lit(100000000) + F.col("l_partkey")).alias("b"))
+    return S.pair_roles(pairs, members).groupBy("role").agg(F.count("*").alias("rows"))
+
+
+@query("c4_fold_membership", _FOLDS + """, m AS (SELECT node, fold FROM comp JOIN f USING (component)), r AS (SELECT x.fold AS fa, z.fold AS fb FROM lineitem JOIN m x ON x.node = l_suppkey JOIN m z ON z.node = 100000000 + l_partkey)
+SELECT CAST(g AS INTEGER) AS fold, CAST(fa = g AS INTEGER) + CAST(fb = g AS INTEGER) AS ends_inside, count(*) AS rows FROM r, (SELECT unnest(range(0, 4)) AS g) GROUP BY ALL""")
+def c4_members(spark: SparkSession, d: str) -> DataFrame:
+    members = S.snake_folds(connected_components(heavy_edges(spark, d)).withColumnRenamed("node", "entity"), 4)
+    pairs = X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), (F.lit(100000000) + F.col("l_partkey")).alias("b"))
+    return S.fold_membership(pairs, members, 4)
+
+
+@query("c5_group_stratified_folds", _FOLDS + """, y AS (SELECT f.fold, l_returnflag = 'R' AS y FROM lineitem JOIN comp ON node = l_suppkey JOIN f USING (component))
+SELECT fold, count(*) AS rows, count(*) FILTER (y) AS positives FROM y GROUP BY fold""")
+def c5(spark: SparkSession, d: str) -> DataFrame:
+    members = S.snake_folds(connected_components(heavy_edges(spark, d)).withColumnRenamed("node", "entity"), 4)
+    rows = X.table(spark, d, "lineitem").join(members, F.col("l_suppkey") == F.col("entity"))
+    return rows.groupBy("fold").agg(F.count("*").alias("rows"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("positives"))
+
+
+@query("c6_split_retention", """SELECT least(x.s_nationkey % 5, p_size % 5) AS lo, greatest(x.s_nationkey % 5, p_size % 5) AS hi, count(*) AS rows, least(x.s_nationkey % 5, p_size % 5) = greatest(x.s_nationkey % 5, p_size % 5) AS kept
+FROM lineitem JOIN supplier x ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
+def c6(spark: SparkSession, d: str) -> DataFrame:
+    line, supplier, part = (X.table(spark, d, n) for n in ("lineitem", "supplier", "part"))
+    rows = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(part, line["l_partkey"] == part["p_partkey"])
+    return S.retention(rows, F.col("s_nationkey") % 5, F.col("p_size") % 5)
