@@ -89,7 +89,7 @@ def joint_support(rows: DataFrame, least: int) -> DataFrame:
         full = (np.array(frame["tokens"].tolist()) < GAP).astype(np.float32)
         both = full.T @ full
         upper = both[np.triu_indices(len(both), 1)]
-        return pd.DataFrame({"uid": [frame["uid"].iloc[0]], "mean_support": [float(upper.mean())], "enough": [float((upper >= least).mean())], "half": [float((upper >= len(frame) / 2).mean())]})
+        return pd.DataFrame({"uid": [frame["uid"].iloc[0]], "mean_support": [float(upper.mean(dtype=np.float64))], "enough": [float((upper >= least).mean())], "half": [float((upper >= len(frame) / 2).mean())]})
 
     kind = rows.schema["uid"].dataType.simpleString()
     return rows.select("uid", "tokens").groupBy("uid").applyInPandas(measure, f"uid {kind}, mean_support double, enough double, half double")

@@ -70,9 +70,9 @@ def g23(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g24_joint_support", _CELLS + """, f AS (SELECT uid, row, col FROM cells WHERE token < 25), n AS (SELECT uid, count(DISTINCT row) AS n FROM cells GROUP BY uid),
 p AS (SELECT x.uid, x.col, z.col AS other, count(*) AS joint FROM f x JOIN f z ON x.uid = z.uid AND x.row = z.row AND x.col < z.col GROUP BY ALL)
-SELECT uid, round(sum(joint) / 2016.0, 6) AS mean_support, round(count(*) FILTER (joint >= 34) / 2016.0, 6) AS enough, round(count(*) FILTER (joint >= n / 2.0) / 2016.0, 6) AS half FROM p JOIN n USING (uid) GROUP BY uid""")
+SELECT uid, round(sum(joint) / 2016.0, 4) AS mean_support, round(count(*) FILTER (joint >= 34) / 2016.0, 6) AS enough, round(count(*) FILTER (joint >= n / 2.0) / 2016.0, 6) AS half FROM p JOIN n USING (uid) GROUP BY uid""")
 def g24(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(A.joint_support(rows(spark, d), 34), "enough", "half"), "mean_support", places=6)
+    return rounded(rounded(A.joint_support(rows(spark, d), 34), "enough", "half"), "mean_support", places=4)
 
 
 @query("g25_family_diversity", """WITH n AS (SELECT lang AS g, CASE WHEN source <> 'src0' THEN source END AS f, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT g, sum(n) FILTER (f IS NOT NULL) AS known, sum(n) AS every FROM n GROUP BY g),
@@ -180,11 +180,10 @@ def n10(spark: SparkSession, d: str) -> DataFrame:
     return A.scramble_positions(cells(spark, d), "scr")
 
 
-_SEEDS = _CELLS + """, t AS (SELECT row, list(token ORDER BY col) AS k FROM cells GROUP BY row), s AS (SELECT row, unnest(range(0, 59)) AS at, k FROM t),
-d AS (SELECT row, at, 0 AS pattern, concat_ws('.', k[at + 1], k[at + 2], k[at + 4], k[at + 5]) AS seed FROM s WHERE at <= 59 UNION ALL SELECT row, at, 1, concat_ws('.', k[at + 1], k[at + 3], k[at + 4], k[at + 6]) FROM s WHERE at <= 58),
+_SEEDS = _CELLS + """, t AS (SELECT row, list(token ORDER BY col) AS k FROM cells GROUP BY row), s AS (SELECT row, unnest(range(0, 60)) AS place, k FROM t),
+d AS (SELECT row, place, 0 AS pattern, concat_ws('.', k[place + 1], k[place + 2], k[place + 4], k[place + 5]) AS seed FROM s UNION ALL SELECT row, place, 1, concat_ws('.', k[place + 1], k[place + 3], k[place + 4], k[place + 6]) FROM s WHERE place <= 58),
 c AS (SELECT pattern, seed, count(DISTINCT row) AS n FROM d GROUP BY ALL), g AS (SELECT d.* FROM d JOIN c USING (pattern, seed) WHERE n > 1 AND n <= 50),
-m AS (SELECT DISTINCT x.row AS p, z.row AS q, x.at AS p_at, z.at AS q_at FROM g x JOIN g z USING (pattern, seed) WHERE x.row < z.row)"""
-_SEEDS = _SEEDS.replace("unnest(range(0, 59))", "unnest(range(0, 60))")
+m AS (SELECT DISTINCT x.row AS p, z.row AS q, x.place AS p_at, z.place AS q_at FROM g x JOIN g z USING (pattern, seed) WHERE x.row < z.row)"""
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
@@ -205,8 +204,8 @@ def w8(spark: SparkSession, d: str) -> DataFrame:
     return A.extend_diagonals(seeds(spark, d), 6).select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "p_start", "p_end", "seeds")])
 
 
-@query("g34_trimmed_segments", _SEGMENTS + """, c AS (SELECT p, q, diagonal, p_start, unnest(range(p_start, p_end)) AS pos FROM seg), f AS (SELECT p, pos FROM c GROUP BY ALL HAVING count(*) <= 3),
-k AS (SELECT c.*, pos - row_number() OVER (PARTITION BY p, q, diagonal, p_start ORDER BY pos) AS run FROM c JOIN f USING (p, pos)) SELECT DISTINCT p, q, diagonal, min(pos) AS "start", max(pos) + 1 AS "end" FROM k GROUP BY p, q, diagonal, p_start, run""")
+@query("g34_trimmed_segments", _SEGMENTS + """, cov AS (SELECT p, q, diagonal, p_start, unnest(range(p_start, p_end)) AS pos FROM seg), few AS (SELECT p, pos FROM cov GROUP BY ALL HAVING count(*) <= 3),
+runs AS (SELECT cov.*, pos - row_number() OVER (PARTITION BY p, q, diagonal, p_start ORDER BY pos) AS run FROM cov JOIN few USING (p, pos)) SELECT DISTINCT p, q, diagonal, min(pos) AS "start", max(pos) + 1 AS "end" FROM runs GROUP BY p, q, diagonal, p_start, run""")
 def g34(spark: SparkSession, d: str) -> DataFrame:
     trimmed = A.trim_positions(A.extend_diagonals(seeds(spark, d), 6), 3)
     return trimmed.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "start", "end")])

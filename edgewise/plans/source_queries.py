@@ -1 +1,134 @@
-"""Registered queries."""
+"""Queries through sources, sinks and the run-log monitor."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from edgewise.functions.shared import fresh_path
+from edgewise.operators import learn as L
+from edgewise.sources import files as S
+from edgewise.streaming import monitor
+
+from . import fixtures as X
+from .metric_queries import rounded
+from .registry import query
+
+_BARE = "regexp_replace(text, '\\s', '', 'g')"
+
+
+@query("s1_fasta_round_trip", f"SELECT CAST(doc_id AS VARCHAR) AS id, sha256({_BARE}) AS sha FROM documents")
+def s1(spark: SparkSession, d: str) -> DataFrame:
+    """Writes all documents as FASTA (S2) and reads them back."""
+    path = fresh_path(spark, "fasta")
+    S.write_fasta(X.table(spark, d, "documents"), path, "doc_id", "text")
+    return S.read_fasta(spark, path).select("id", F.sha2(F.col("seq").cast("binary"), 256).alias("sha"))
+
+
+@query("s3_delimited_round_trip", "SELECT l_partkey AS q, count(*) AS rows, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1")
+def s3(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "tsv")
+    X.table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_quantity").write.option("sep", "\t").option("compression", "gzip").csv(path)
+    return S.read_delimited(spark, path, "q long, t long, quantity double").groupBy("q").agg(F.count("*").alias("rows"), F.round(F.sum("quantity"), 2).alias("quantity"))
+
+
+@query("s6_archive_selection", "WITH f AS (SELECT 'm' || doc_id AS name, sha256(text) AS sha FROM documents) SELECT sha, min(name) AS name FROM f WHERE sha IN (SELECT sha256(text) FROM documents d JOIN labels l USING (doc_id) WHERE toxic = 0) GROUP BY sha")
+def s6(spark: SparkSession, d: str) -> DataFrame:
+    docs = X.table(spark, d, "documents")
+    files = docs.select(F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("query"))
+    wanted = docs.join(X.table(spark, d, "labels").filter("toxic = 0"), "doc_id").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return S.select_archive(files, wanted)
+
+
+@query("s7_event_log_scan", "SELECT event_type AS kind, count(*) AS rows, CAST(max(event_id) AS BIGINT) AS last_update FROM events GROUP BY 1")
+def s7(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "jsonl")
+    X.log(spark, d).select("run", "upd", "kind", "value").write.json(path)
+    return S.read_event_log(spark, path, "run long, upd long, kind string, value double").groupBy("kind").agg(F.count("*").alias("rows"), F.max("upd").alias("last_update"))
+
+
+@query("s9_wide_predictions", X.ctes("pairs", "scores") + "SELECT row_id, round(max(score) FILTER (model = 'm0'), 6) AS m0, round(max(score) FILTER (model = 'm1'), 6) AS m1, round(max(score) FILTER (model = 'm2'), 6) AS m2 FROM scores GROUP BY row_id")
+def s9(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(S.wide_predictions(X.scores(spark, d), ["m0", "m1", "m2"]), "m0", "m1", "m2")
+
+
+@query("s8_shard_merge", X.ctes("pairs") + "SELECT row_id % 4 AS part, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives FROM pairs GROUP BY 1")
+def s8(spark: SparkSession, d: str) -> DataFrame:
+    path = fresh_path(spark, "shards")
+    X.pairs(spark, d).select("row_id", "y", (F.col("row_id") % 4).alias("part")).write.partitionBy("part").parquet(path)
+    merged = S.read_shards(spark, [f"{path}/part={k}" for k in range(4)])
+    return merged.groupBy((F.col("row_id") % 4).alias("part")).agg(F.count("*").alias("rows"), F.sum("y").cast("long").alias("positives"))
+
+
+@query("s11_manifest", X.ctes("pairs") + "SELECT bit_xor(('0x' || substr(sha256(concat_ws('|', a, b, row_id)), 1, 15))::BIGINT) AS digest, count(*) AS rows FROM pairs")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    manifest = S.write_with_manifest(X.pairs(spark, d), fresh_path(spark, "published"), ["a", "b", "row_id"])
+    return manifest.agg(F.bit_xor("digest").alias("digest"), F.sum("rows").alias("rows"))
+
+
+@query("s12_tokenise", X.ctes("entity") + ", t AS (SELECT entity, unnest(string_split(lower(seq), '')) AS c FROM entity WHERE len > 0) SELECT entity, count(*) AS n, count(*) FILTER (NOT contains('abcdefghij', c)) AS n_unknown, CAST(sum(CASE WHEN contains('abcdefghij', c) THEN ascii(c) - 97 ELSE 10 END) AS BIGINT) AS total FROM t GROUP BY entity")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    rows = S.tokenise(X.entity(spark, d).withColumn("low", F.lower("seq")).filter("len > 0"), "abcdefghij", 10, "low")
+    return rows.select("entity", F.size("tokens").cast("long").alias("n"), F.col("n_unknown").cast("long").alias("n_unknown"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
+@query("s13_task_rows", "SELECT count(*) AS rows, CAST(sum(l_suppkey) AS BIGINT) AS left_sum FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size + l_quantity > 50")
+def s13(spark: SparkSession, d: str) -> DataFrame:
+    line, part = X.table(spark, d, "lineitem"), X.table(spark, d, "part")
+    pairs = line.join(part, line["l_partkey"] == part["p_partkey"]).select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_orderkey").alias("row_id"), F.col("p_size").alias("len_a"), F.col("l_quantity").alias("len_b"))
+    return S.task_rows(pairs, 1, True, 50).agg(F.count("*").alias("rows"), F.sum("a").alias("left_sum"))
+
+
+@query("s15_clean_interactions", X.ctes("pairs") + ", e AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_size > 10 UNION ALL SELECT 's' || s_suppkey FROM supplier) SELECT y, count(*) AS rows, count(*) FILTER (a NOT IN (SELECT id FROM e) OR b NOT IN (SELECT id FROM e)) AS missing FROM pairs GROUP BY y")
+def s15(spark: SparkSession, d: str) -> DataFrame:
+    part = X.table(spark, d, "part").filter("p_size > 10").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("seq"))
+    supplier = X.table(spark, d, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("seq"))
+    raw = X.pairs(spark, d).select("a", "b", F.col("y").cast("double").cast("string").alias("label"))
+    return S.clean_interactions(raw, part.union(supplier)).groupBy("y").agg(F.count("*").alias("rows"), F.sum(F.col("missing").cast("long")).alias("missing"))
+
+
+_MONITOR = "SELECT user_id % 4 AS run, date_trunc('hour', ts) AS window_start, count(*) AS rows, round(avg(value), 6) AS mean, max(value) AS most FROM events GROUP BY ALL"
+
+
+@query("st1_run_monitor_batch", _MONITOR)
+def st1_batch(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(monitor.windowed(monitor.as_log(X.table(spark, d, "events")), "1 hour"), "mean")
+
+
+@query("st1_run_monitor_stream", _MONITOR)
+def st1(spark: SparkSession, d: str) -> DataFrame:
+    """The same transform over a stream of the table's files, run to its end."""
+    return rounded(monitor.run_once(spark, f"{d}/events.parquet", "1 hour", "30 minutes"), "mean")
+
+
+def _learning_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = X.table(spark, d, "embeddings")
+    return rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 3).cast("int").alias("y"))
+
+
+@query("f5_boosted_trees")
+def f5(spark: SparkSession, d: str) -> DataFrame:
+    """Rows only: another implementation of trees than the one compared with."""
+    return L.boosted_values(_learning_rows(spark, d), _learning_rows(spark, d), trees=5, depth=3)
+
+
+@query("f6_scaled_pca_logistic")
+def f6(spark: SparkSession, d: str) -> DataFrame:
+    """Rows only: fitted numbers differ between libraries."""
+    model = L.fit_head(_learning_rows(spark, d), components=8)
+    return L.score_head(model, _learning_rows(spark, d))
+
+
+_W = ", ".join(f"{(i % 7 - 3) / 10.0}" for i in range(64))
+
+
+@query("f7_frozen_head", f"SELECT vec_id AS row_id, round(0.25 + list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ([{_W}])[i])), 6) AS logit FROM embeddings")
+def f7(spark: SparkSession, d: str) -> DataFrame:
+    weights = [(i % 7 - 3) / 10.0 for i in range(64)]
+    return _learning_rows(spark, d).select("row_id", F.round(L.frozen_logit(F.col("v"), weights, 0.25), 6).alias("logit"))
+
+
+@query("f9_cross_fitting")
+def f9(spark: SparkSession, d: str) -> DataFrame:
+    """Rows only: out-of-fold scores of fitted models."""
+    return L.cross_fit(_learning_rows(spark, d).withColumn("fold", F.col("row_id") % 3), 3, components=4)
