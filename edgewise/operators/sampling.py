@@ -78,7 +78,7 @@ def negative_candidates(positives: DataFrame, factor: float, blacklist: DataFram
     return drawn.join(bad.distinct(), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
 
-def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: str = "cap", max_rounds: int = 12) -> DataFrame:
+def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: str = "cap", max_rounds: int = 60) -> DataFrame:
     """Candidates in hash order while no entity has over ``cap`` times its positive degree.
 
     Rounds: a candidate whose rank within both ends is inside both remaining
@@ -88,9 +88,9 @@ def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: s
     left = materialise(candidates.withColumn("h", hash_draw(F.concat_ws(":", F.lit(salt), "a", "b"))), "candidates")
     taken = None
     for _ in range(max_rounds):
-        ranked = left.withColumns({"ra": F.row_number().over(Window.partitionBy("a").orderBy("h", "b")), "rb": F.row_number().over(Window.partitionBy("b").orderBy("h", "a"))})
-        rooms = ranked.join(room.select(F.col("entity").alias("a"), F.col("room").alias("room_a")), "a").join(room.select(F.col("entity").alias("b"), F.col("room").alias("room_b")), "b")
-        marked = materialise(rooms.withColumn("take", (F.col("ra") <= F.col("room_a")) & (F.col("rb") <= F.col("room_b"))).select("a", "b", "h", "take"), "round")
+        open_ = left.join(room.select(F.col("entity").alias("a"), F.col("room").alias("room_a")), "a").join(room.select(F.col("entity").alias("b"), F.col("room").alias("room_b")), "b")
+        ranked = open_.withColumns({"ra": F.row_number().over(Window.partitionBy("a").orderBy("h", "b")), "rb": F.row_number().over(Window.partitionBy("b").orderBy("h", "a"))})
+        marked = materialise(ranked.withColumn("take", (F.col("ra") <= F.col("room_a")) & (F.col("rb") <= F.col("room_b"))).select("a", "b", "h", "take"), "round")
         now = marked.filter("take").select("a", "b")
         if now.isEmpty():
             break
