@@ -149,6 +149,8 @@ def _until(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]
             return
         size, body = _vint_at(data, after, False)
         stop = body + size
+        if size < 0 or stop > end:
+            raise ValueError(f"element {ident:X} at byte {at} runs past its parent")
         yield ident, at, body, stop
         if ident in _PARENTS:
             yield from walk(data, body, stop)
