@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, held_out, materialise, sample_by_hash
 
 #: Labelled documents of each class that are learned from, and prior strengths of a level over the next.
-SAMPLE, STRENGTH = 20_000, 2.0
+SAMPLE, STRENGTH = 20_000, 20.0
 #: Words must be in so many documents to have a score of their own; the model keeps at most MODEL of each level.
 LEAST_DOCS, MODEL = 2, 100_000
-#: Cost of a word that tells nothing, so that segments end; the least significance of a reported passage.
-DRIFT, PASSAGE_P = 0.25, 1e-3
+#: Cost of each word: words that a chance passage of toxic documents shares stay below it and add up to nothing.
+#: The least significance of a reported passage.
+DRIFT, PASSAGE_P = 1.5, 1e-3
 _WORD = re.compile(r"\w+")
 
 
@@ -33,19 +35,21 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
-def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
+def maximal_segments(scores: np.ndarray | list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end, score), in linear time.
 
     A stack of candidates with their sums before and after; a new candidate
     swallows earlier ones as long as that raises the total (Ruzzo and Tompa).
+    Only words with a positive score open candidates; running sums cover the rest.
     """
+    scores = np.asarray(scores, dtype=np.float64)
+    positive = np.flatnonzero(scores > 0)
+    if not len(positive):
+        return []
+    sums = np.cumsum(scores)
     stack: list[tuple[int, int, float, float]] = []
-    total = 0.0
-    for at, score in enumerate(scores):
-        before, total = total, total + score
-        if score <= 0:
-            continue
-        start, left = at, before
+    for at, total, score in zip(positive.tolist(), sums[positive].tolist(), scores[positive].tolist(), strict=True):
+        start, left = at, total - score
         while True:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= left:
@@ -58,6 +62,10 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
     return [(s, e, right - left) for s, e, left, right in stack]
 
 
+#: Words whose scores a worker keeps; the table is emptied when full.
+CACHE = 200_000
+
+
 class Model:
     """Log-odds of words and starts, the extreme-value fit and the final logistic map."""
 
@@ -67,22 +75,32 @@ class Model:
         self.slope, self.offset = 1.0, 0.0
         self.cache: dict[str, float] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"cache": {}}
+
     def word(self, word: str) -> float:
-        found = self.cache.get(word)
-        if found is None:
-            five, four = word[:5], word[:4]
-            found = next((level[key] for level, key in zip(self.levels, (word, five, four), strict=True) if key in level), 0.0) - DRIFT
-            if len(self.cache) > 500_000:
-                self.cache.clear()
-            self.cache[word] = found
-        return found
+        found = next((level[key] for level, key in zip(self.levels, (word, word[:5], word[:4]), strict=True) if key in level), 0.0)
+        return found - DRIFT
+
+    def scores(self, text: str | None) -> np.ndarray:
+        """Score of each word of a text."""
+        words = words_of(text)
+        cache = self.cache
+        try:
+            return np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
+        except KeyError:
+            if len(cache) > CACHE:
+                cache.clear()
+            for w in set(words).difference(cache):
+                cache[w] = self.word(w)
+            return np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
 
     def raw(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
         """Calibrated evidence of the best segment, and the segments (in words)."""
-        scores = list(map(self.word, words_of(text)))
-        if not scores or max(scores) <= 0:
-            return -math.log1p(len(scores)) * self.scale - self.location, []
+        scores = self.scores(text)
         found = maximal_segments(scores)
+        if not found:
+            return -math.log1p(len(scores)) * self.scale - self.location, []
         # The greatest of n words' segments grows as the logarithm of n under the clean model.
         return max(s for _, _, s in found) - self.location - self.scale * math.log1p(len(scores)), found
 
@@ -91,7 +109,7 @@ class Model:
         return -math.expm1(-math.exp(min(-raw / self.scale, 700.0))) if self.scale > 0 else float(raw <= 0)
 
     def score(self, raw: float) -> float:
-        x = self.slope * raw + self.offset
+        x = self.slope * math.asinh(raw) + self.offset
         return 1 / (1 + math.exp(-x)) if x > -700 else 0.0
 
 
@@ -99,12 +117,14 @@ def _counts(labelled: DataFrame) -> DataFrame:
     """Of each word and start: in how many clean and toxic documents it is."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows: dict[tuple[int, str], list[int]] = {}
+            tables = [(Counter(), Counter()) for _ in range(3)]
             for text, label in zip(frame["text"], frame["label"], strict=True):
                 words = set(words_of(text))
-                for key in {(0, w) for w in words} | {(1, w[:5]) for w in words} | {(2, w[:4]) for w in words}:
-                    rows.setdefault(key, [0, 0])[int(label)] += 1
-            yield pd.DataFrame([(k[0], k[1], *n) for k, n in rows.items()], columns=["level", "token", "clean", "toxic"])
+                for level, keys in enumerate((words, {w[:5] for w in words}, {w[:4] for w in words})):
+                    tables[level][int(label)].update(keys)
+            for level, (clean, toxic) in enumerate(tables):
+                tokens = list(clean.keys() | toxic.keys())
+                yield pd.DataFrame({"level": level, "token": tokens, "clean": [clean[t] for t in tokens], "toxic": [toxic[t] for t in tokens]})
 
     sums = labelled.mapInPandas(count, "level int, token string, clean long, toxic long")
     return sums.groupBy("level", "token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -149,24 +169,29 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
     """Gumbel location and scale from clean documents; then a logistic map of the evidence."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL; loaded once a worker
+
     def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             best, length = [], []
             for text in frame["text"]:
-                scores = list(map(model.word, words_of(text)))
+                scores = shared.value.scores(text)
                 best.append(max((s for _, _, s in maximal_segments(scores)), default=0.0))
                 length.append(math.log1p(len(scores)))
             yield pd.DataFrame({"label": frame["label"], "best": best, "length": length})
 
     found = rows.mapInPandas(evidence, "label int, best double, length double").toPandas()  # bounded by the sample
     clean = found[found["label"] == 0]
-    # Moments of the Gumbel distribution; the location moves with the logarithm of the length.
-    spread = max(float(clean["best"].std(ddof=0)), 0.05)
-    model.scale = spread * math.sqrt(6) / math.pi
-    model.location = float((clean["best"] - model.scale * clean["length"]).mean()) - 0.5772156649 * model.scale
+    # Quantiles of the Gumbel distribution, which a few mislabelled documents don't move;
+    # the location moves with the logarithm of the length.
+    middle, high = -math.log(-math.log(0.5)), -math.log(-math.log(0.9))
+    spread = lambda x: max(float(np.quantile(x, 0.9) - np.quantile(x, 0.5)) / (high - middle), 0.05)
+    model.scale = spread(clean["best"] - spread(clean["best"]) * clean["length"])
+    model.location = float(np.quantile(clean["best"] - model.scale * clean["length"], 0.5)) - middle * model.scale
     x = (found["best"] - model.location - model.scale * found["length"]).to_numpy()
     none = (found["best"] <= 0).to_numpy()
     x[none] = -found["length"].to_numpy()[none] * model.scale - model.location
+    x = np.arcsinh(x)  # one sure word tells nearly as much as many
     y = found["label"].to_numpy(dtype=float)
     centre, width = x.mean(), max(x.std(), 1e-9)
     z, a, b = (x - centre) / width, 1.0, 0.0
@@ -188,10 +213,11 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
     ``passages`` holds every significant maximal segment. No shuffle.
     """
     bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            scores, passages = [], []
+            model, scores, passages = shared.value, [], []
             for text in frame["text"]:
                 raw, found = model.raw(text)
                 scores.append(model.score(raw))
@@ -215,9 +241,11 @@ def learn_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """Rows whose score is below ``threshold``, all columns. One narrow pass, no shuffle."""
     bounded_batches(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        model = shared.value
         return pd.Series([model.score(model.raw(t)[0]) for t in texts], dtype="float64")
 
     return df.filter(score(F.col(text_col)) < threshold)
