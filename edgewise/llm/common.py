@@ -31,14 +31,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+#: Groups up to which a table of group sizes is broadcast.
+GROUPS = 10_000
+
+
 def sample_by_hash(df: DataFrame, key: str, group: str, bound: int) -> DataFrame:
     """About ``bound`` rows of each group at most, chosen by a hash of ``key``.
 
-    The group sizes come from one grouped count, so no group meets in one task.
+    The group sizes come from one grouped count and go to the rows as a checked
+    small table, so no group meets in one task and no row is shuffled.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("__n"))
-    share = (F.xxhash64(F.lit("sample"), F.col(key)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32)))
-    return df.join(sizes, group).filter(share * F.col("__n") < bound).drop("__n")
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+    few = sizes.limit(GROUPS + 1).collect()
+    if len(few) <= GROUPS:
+        sizes = F.broadcast(df.sparkSession.createDataFrame(few, sizes.schema))
+    share = F.xxhash64(F.lit("sample"), F.col(key)).bitwiseAND(F.lit(0xFFFFFFFF)) / F.lit(float(1 << 32))
+    return df.join(sizes, F.col(group) == F.col("__group")).filter(share * F.col("__n") < bound).drop("__n", "__group")
 
 
 def groups_in_order(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:

@@ -80,8 +80,10 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> Classifier:
 
 def learn_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit on ``text`` and ``label`` of about ``sample`` documents of each class; null labels are left out."""
-    rows = sample_by_hash(labelled.filter(F.col("label").isin(0, 1)), "id", "label", sample).select("text", "label")
+    return _fit_rows(sample_by_hash(labelled.filter(F.col("label").isin(0, 1)), "id", "label", sample).select("text", "label"))
 
+
+def _fit_rows(rows: DataFrame) -> Classifier:
     def shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"x": [features(t) for t in frame["text"]], "y": frame["label"].astype(float)})
@@ -144,8 +146,9 @@ def classify_quality(df: DataFrame, labels: DataFrame, host_col: str = "source",
     """
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").cast("int").alias("__label"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path")).withColumn("held_out", held_out(F.col("id")))
-    labelled = rows.filter(~F.col("held_out")).join(known, F.col("id") == F.col("__id")).select("id", "text", F.col("__label").alias("label"))
-    model = learn_classifier(labelled, sample)
+    # The labels are sampled first: a table of about two times ``sample`` rows goes to the texts.
+    chosen = sample_by_hash(known.filter(~held_out(F.col("__id"))), "__id", "__label", sample)
+    model = _fit_rows(rows.join(F.broadcast(chosen), F.col("id") == F.col("__id")).select("text", F.col("__label").alias("label")))
     scored = document_chances(rows, model, ["id", "host", "path", "held_out"])
     with_label = scored.join(known, F.col("id") == F.col("__id"), "left")
     evidence = F.when(~F.col("held_out") & F.col("__label").isNotNull(), F.col("__label").cast("double")).otherwise(F.col("chance"))

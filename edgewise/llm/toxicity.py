@@ -137,8 +137,11 @@ def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     score is 0. The counts are summed by Spark; only tokens whose odds differ
     from the corpus's come to the driver, ``MODEL`` of a level at most.
     """
-    rows = labelled.filter(F.col("label").isin(0, 1))
-    rows = materialise(sample_by_hash(rows, "id", "label", sample).select("text", "label"), "labelled")
+    return _fit(sample_by_hash(labelled.filter(F.col("label").isin(0, 1)), "id", "label", sample))
+
+
+def _fit(sampled: DataFrame) -> Model:
+    rows = materialise(sampled.select("text", "label"), "labelled")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
@@ -233,9 +236,14 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
 
 
 def learn_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled rows of ``docs`` that are not held out."""
-    labelled = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"))).join(labels.select("doc_id", F.col("toxic").cast("int").alias("label")), "doc_id")
-    return learn(labelled.withColumnRenamed("doc_id", "id"), sample)
+    """Learn from labelled rows of ``docs`` that are not held out.
+
+    The labels are sampled before they meet the texts, so that the small sample
+    goes to the documents and no text is shuffled.
+    """
+    known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & ~held_out(F.col("id")))
+    chosen = sample_by_hash(known, "id", "label", sample)  # about two times ``sample`` rows at most
+    return _fit(docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")))
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
