@@ -120,16 +120,20 @@ def write_store(df: DataFrame, base: str | None = None, path: str | None = None,
     kind = df.schema[id_col].dataType.simpleString()
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, at = 0, 0
+        before, at, chain = 0, 0, b""
         for frame in frames:
             n = frame["n_tokens"].to_numpy(dtype=np.int64)
-            total = np.cumsum(n)
-            yield frame.assign(at=np.arange(at, at + len(n)), before=before + total - n)
+            total, chains = np.cumsum(n), []
+            for root in frame["root"]:
+                chain = digest(chain + root)
+                chains.append(chain)
+            yield frame.assign(at=np.arange(at, at + len(n)), before=before + total - n, chain=chains)
             before, at = before + int(total[-1]) if len(n) else before, at + len(n)
 
-    placed = ordered.mapInPandas(place, f"id {kind}, n_tokens long, digests array<binary>, root binary, at long, before long")
+    placed = ordered.mapInPandas(place, f"id {kind}, n_tokens long, digests array<binary>, root binary, at long, before long, chain binary")
     placed = materialise(placed.withColumn("part", F.spark_partition_id()), "", f"{base}/recipes")
-    totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("documents"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("at", "root"))), lambda x: F.hex(x["root"]))).cast("binary"), 256).alias("root"))
+    # A part's root is the running digest over its documents' roots, so no task gathers them.
+    totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("documents"), F.max_by("chain", "at").alias("root"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a recipe file
     materialise(totals.withColumn("start", F.coalesce(F.sum("ids").over(ahead), F.lit(0))), "", f"{base}/manifest")
     return base
