@@ -8,7 +8,6 @@ the shared folder and reads it back for the next.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from edgewise.llm import exact_dedup, mixing, near_dedup, packing, toxicity
 from edgewise.llm.common import materialise
