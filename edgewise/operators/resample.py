@@ -69,7 +69,7 @@ def qualified_interval(intervals: DataFrame, supported: Column, share: float = 0
 def component_weights(rows: DataFrame, draws: DataFrame, members: list[str]) -> DataFrame:
     """Weight of a row in a replicate: the product over the distinct components of its members.
 
-    ``members`` are component columns of ``rows`` (``row_id``); ``draws`` has rep, entity (component), mult.
+    ``members`` are component columns of ``rows`` (``row_id``, which must be unique); ``draws`` has rep, entity (component), mult.
     """
     size = F.size(F.array_distinct(F.array(*members)))
     each = rows.select("row_id", size.alias("k"), F.explode(F.array_distinct(F.array(*members))).alias("entity"))

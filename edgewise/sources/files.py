@@ -76,8 +76,8 @@ def read_shards(spark: SparkSession, paths: list[str], row: str = "row_id") -> D
 
 
 def wide_predictions(df: DataFrame, models: list[str], row: str = "row_id", score: str = "score") -> DataFrame:
-    """One row a pair with each model's score as a column."""
-    return df.groupBy(row).pivot("model", models).agg(F.first(score))
+    """One row a pair with each model's score as a column; of several scores of one row the greatest."""
+    return df.groupBy(row).pivot("model", models).agg(F.max(score))
 
 
 def write_with_manifest(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
