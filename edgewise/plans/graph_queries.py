@@ -9,7 +9,7 @@ from edgewise.operators import splits as S
 from edgewise.operators.graph import connected_components
 
 from . import fixtures as X
-from .registry import query
+from .registry import _SQL, query
 
 _NATIONS = """WITH RECURSIVE lines AS (SELECT l_suppkey AS s, l_partkey AS p, l_quantity AS w FROM lineitem WHERE l_discount >= 0.1 AND l_tax >= 0.08 AND l_quantity >= 35),
 n AS (SELECT DISTINCT CAST(s AS BIGINT) AS u, CAST(100000000 + p AS BIGINT) AS v FROM lines), e AS (SELECT u, v FROM n UNION SELECT v, u FROM n),
@@ -79,3 +79,73 @@ def c6(spark: SparkSession, d: str) -> DataFrame:
     line, supplier, part = (X.table(spark, d, n) for n in ("lineitem", "supplier", "part"))
     rows = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(part, line["l_partkey"] == part["p_partkey"])
     return S.retention(rows, F.col("s_nationkey") % 5, F.col("p_size") % 5)
+
+
+# The queries above take a few lines into their graph, so that recursive SQL can follow it. Those below take every
+# supplier, part and order line. An entity's family is its nation or brand.
+
+
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers and parts with their families."""
+    supplier, part = X.table(spark, d, "supplier"), X.table(spark, d, "part")
+    one = supplier.select(F.col("s_suppkey").cast("long").alias("entity"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("family"))
+    return one.union(part.select((F.lit(100000000) + F.col("p_partkey")).alias("entity"), F.col("p_brand").alias("family")))
+
+
+def line_hits(spark: SparkSession, d: str) -> DataFrame:
+    """All order lines as hits of supplier and part."""
+    return X.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("q"), (F.lit(100000000) + F.col("l_partkey")).alias("t"), F.col("l_quantity").alias("bits"), F.col("l_linenumber").alias("qlen"), F.lit(5).alias("tlen"))
+
+
+def family_members(spark: SparkSession, d: str) -> DataFrame:
+    """All entities with their components, linked by family; no order line is a must-link."""
+    every = entities(spark, d)
+    edges = S.must_link_edges(every, line_hits(spark, d).limit(0))
+    return S.with_components(every, connected_components(edges)).select("entity", "component")
+
+
+_FAMILIES = """WITH lines AS (SELECT l_suppkey AS s, l_partkey AS p, l_quantity AS w FROM lineitem),
+ent AS (SELECT CAST(s_suppkey AS BIGINT) AS node, 'n' || s_nationkey AS family FROM supplier UNION ALL SELECT CAST(100000000 + p_partkey AS BIGINT), p_brand FROM part),
+comp AS (SELECT node, min(node) OVER (PARTITION BY family) AS component FROM ent) """
+
+
+def _all(name: str) -> str:
+    """The query's SQL over the components of all families."""
+    return _SQL[name].replace(_NATIONS, _FAMILIES)
+
+
+@query("c1_all_components")
+def c1_all(spark: SparkSession, d: str) -> DataFrame:
+    """Families and all order lines as must-links; no SQL, as recursion over all lines is too slow. The tests hold it against union-find."""
+    every = entities(spark, d)
+    edges = S.must_link_edges(every, line_hits(spark, d))
+    return S.with_components(every, connected_components(edges)).select(F.col("entity").alias("node"), "component")
+
+
+@query("c2_all_contracted_graph", _all("c2_contracted_graph"))
+def c2_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.contracted_graph(line_hits(spark, d), family_members(spark, d).withColumnRenamed("entity", "node"))
+
+
+@query("c4_all_component_folds", _all("c4_component_folds"))
+def c4_all(spark: SparkSession, d: str) -> DataFrame:
+    return S.snake_folds(family_members(spark, d), 4).select("entity", "component", "fold")
+
+
+@query("c3_all_pair_roles", _all("c3_pair_roles"))
+def c3_all(spark: SparkSession, d: str) -> DataFrame:
+    pairs = line_hits(spark, d).select(F.col("q").alias("a"), F.col("t").alias("b"))
+    return S.pair_roles(pairs, S.snake_folds(family_members(spark, d), 2)).groupBy("role").agg(F.count("*").alias("rows"))
+
+
+@query("c4_all_fold_membership", _all("c4_fold_membership"))
+def c4_members_all(spark: SparkSession, d: str) -> DataFrame:
+    pairs = line_hits(spark, d).select(F.col("q").alias("a"), F.col("t").alias("b"))
+    return S.fold_membership(pairs, S.snake_folds(family_members(spark, d), 4), 4)
+
+
+@query("c5_all_stratified_folds", _all("c5_group_stratified_folds"))
+def c5_all(spark: SparkSession, d: str) -> DataFrame:
+    members = S.snake_folds(family_members(spark, d), 4)
+    rows = X.table(spark, d, "lineitem").join(members, F.col("l_suppkey") == F.col("entity"))
+    return rows.groupBy("fold").agg(F.count("*").alias("rows"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("positives"))
