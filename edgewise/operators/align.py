@@ -250,11 +250,12 @@ def block_pool(cells: DataFrame, height: int, width: int, k: int) -> DataFrame:
     return pooled.join(whole, "uid")
 
 
-def seed_matches(sequences: DataFrame, patterns: list[str], most: int) -> DataFrame:
+def seed_matches(sequences: DataFrame, patterns: list[str], most: int | None = None, block: int = 1024) -> DataFrame:
     """Positions of two sequences with equal letters under a spaced seed ('1' counts, '0' doesn't).
 
-    Exact seeds only. Seed values shared by more than ``most`` sequences tell
-    nothing about a pair and are set apart as ``hot`` counts by the caller.
+    Exact seeds only. Every shared seed value counts unless ``most`` is given: it
+    drops the values of more than ``most`` sequences. A value with more than
+    ``block`` places is joined block against block.
     """
     def seeds_of(number: int, pattern: str) -> DataFrame:
         on = [i for i, x in enumerate(pattern) if x == "1"]
@@ -265,11 +266,14 @@ def seed_matches(sequences: DataFrame, patterns: list[str], most: int) -> DataFr
         return long_enough.select("row", F.explode(seeds).alias("x")).select("row", "x.at", "x.seed", F.lit(number).alias("pattern"))
 
     found = reduce(DataFrame.union, [seeds_of(k, p) for k, p in enumerate(patterns)])
-    common = found.groupBy("pattern", "seed").agg(F.count_distinct("row").alias("rows"))
-    keyed = found.join(common.filter((F.col("rows") > 1) & (F.col("rows") <= most)), ["pattern", "seed"])
-    left = keyed.select("pattern", "seed", F.col("row").alias("p"), F.col("at").alias("p_at"))
-    right = keyed.select("pattern", "seed", F.col("row").alias("q"), F.col("at").alias("q_at"))
-    return left.join(right, ["pattern", "seed"]).filter("p < q").select("p", "q", "p_at", "q_at").distinct()
+    common = found.groupBy("pattern", "seed").agg(F.count_distinct("row").alias("rows"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("rows > 1")
+    if most is not None:
+        common = common.filter(F.col("rows") <= most)
+    keyed = found.join(common, ["pattern", "seed"]).withColumn("own", F.pmod(F.xxhash64("row", "at"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = keyed.select("pattern", "seed", F.col("own").alias("left"), every.alias("right"), F.col("row").alias("p"), F.col("at").alias("p_at"))
+    right = keyed.select("pattern", "seed", every.alias("left"), F.col("own").alias("right"), F.col("row").alias("q"), F.col("at").alias("q_at"))
+    return left.join(right, ["pattern", "seed", "left", "right"]).filter("p < q").select("p", "q", "p_at", "q_at").distinct()
 
 
 def extend_diagonals(matches: DataFrame, width: int) -> DataFrame:

@@ -211,6 +211,36 @@ def g34(spark: SparkSession, d: str) -> DataFrame:
     return trimmed.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "start", "end")])
 
 
+#: The four seeds of the reference.
+_PATTERNS = ["110000110001", "100101000101", "110010001001", "101000000111"]
+_PLACES = [", ".join(f"k[place + {i + 1}]" for i, x in enumerate(p) if x == "1") for p in _PATTERNS]
+_ALL_SEEDS = _CELLS + """, t AS (SELECT row, list(token ORDER BY col) AS k FROM cells GROUP BY row), s AS (SELECT row, unnest(range(0, 53)) AS place, k FROM t), d AS (""" + " UNION ALL ".join(f"SELECT row, place, {n} AS pattern, concat_ws('.', {k}) AS seed FROM s" for n, k in enumerate(_PLACES)) + """),
+m AS (SELECT DISTINCT x.row AS p, z.row AS q, x.place AS p_at, z.place AS q_at FROM d x JOIN d z USING (pattern, seed) WHERE x.row < z.row)"""
+_ALL_SEGMENTS = _SEGMENTS.replace(_SEEDS, _ALL_SEEDS).replace("OVER w <= 6", "OVER w <= 12").replace("max(p_at) + 6", "max(p_at) + 12")
+
+
+def all_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """All four patterns and every shared seed value."""
+    return A.seed_matches(rows(spark, d).select("row", "tokens"), _PATTERNS)
+
+
+@query("j19_all_seed_matches", _ALL_SEEDS + " SELECT p, q, p_at, q_at FROM m")
+def j19_all(spark: SparkSession, d: str) -> DataFrame:
+    return all_seeds(spark, d).select("p", "q", F.col("p_at").cast("long").alias("p_at"), F.col("q_at").cast("long").alias("q_at"))
+
+
+@query("w8_all_diagonal_segments", _ALL_SEGMENTS + " SELECT p, q, diagonal, p_start, p_end, seeds FROM seg")
+def w8_all(spark: SparkSession, d: str) -> DataFrame:
+    return A.extend_diagonals(all_seeds(spark, d), 12).select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "p_start", "p_end", "seeds")])
+
+
+@query("g34_all_trimmed_segments", _ALL_SEGMENTS + """, cov AS (SELECT p, q, diagonal, p_start, unnest(range(p_start, p_end)) AS pos FROM seg), few AS (SELECT p, pos FROM cov GROUP BY ALL HAVING count(*) <= 3),
+runs AS (SELECT cov.*, pos - row_number() OVER (PARTITION BY p, q, diagonal, p_start ORDER BY pos) AS run FROM cov JOIN few USING (p, pos)) SELECT DISTINCT p, q, diagonal, min(pos) AS "start", max(pos) + 1 AS "end" FROM runs GROUP BY p, q, diagonal, p_start, run""")
+def g34_all(spark: SparkSession, d: str) -> DataFrame:
+    trimmed = A.trim_positions(A.extend_diagonals(all_seeds(spark, d), 12), 3)
+    return trimmed.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "start", "end")])
+
+
 @query("j20_propagated_scores", X.ctes("blocs") + """, seg AS (SELECT DISTINCT x.a AS p, z.a AS q, abs(x.n_rows - z.n_rows) + 1.0 AS s FROM blocs x JOIN blocs z ON x.b = z.b AND x.n_rows = z.n_rows UNION SELECT DISTINCT b, b, 2.0 FROM blocs),
 len AS (SELECT a AS entity, 10.0 + count(*) AS len FROM blocs GROUP BY a UNION ALL SELECT b, 5.0 + count(*) FROM blocs GROUP BY b), e AS (SELECT a AS p1, b AS p2 FROM blocs WHERE y = 1), m AS (SELECT * FROM e UNION ALL SELECT p2, p1 FROM e),
 r AS (SELECT w.a AS x, w.b AS z, sum(s1.s * (l2.len - 4 + 1) + s2.s * (l1.len - 4 + 1)) AS raw FROM blocs w JOIN seg s1 ON s1.q = w.a JOIN m ON m.p1 = s1.p JOIN seg s2 ON s2.p = m.p2 AND s2.q = w.b JOIN len l1 ON l1.entity = m.p1 JOIN len l2 ON l2.entity = m.p2 GROUP BY ALL)

@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from edgewise.operators import splits
+from edgewise.operators import align, splits
 from edgewise.operators.graph import connected_components
 from edgewise.plans import fixtures, registry
 
@@ -49,3 +49,16 @@ def test_isolated_entities_and_their_pairs_stay(spark):
 def test_folds_take_every_line(spark, name, times):
     found = registry.queries()[name](spark, DATA).agg(F.sum("rows")).first()[0]
     assert found == times * fixtures.table(spark, DATA, "lineitem").count()
+
+
+@pytest.mark.parametrize("block", [7, 1024])
+def test_seeds_that_all_sequences_share_stay(spark, block):
+    rows = [(r, [1, 1, 1, 1, 1, r % 3, r % 7, r % 2]) for r in range(70)]
+    patterns = ["11011", "101101"]
+    found = align.seed_matches(spark.createDataFrame(rows, "row long, tokens array<int>"), patterns, block=block).collect()
+    wanted = set()
+    for pattern in patterns:
+        on = [i for i, x in enumerate(pattern) if x == "1"]
+        places = range(8 - len(pattern) + 1)
+        wanted |= {(p, q, a, b) for p, s in rows for q, t in rows if p < q for a in places for b in places if all(s[a + i] == t[b + i] for i in on)}
+    assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
