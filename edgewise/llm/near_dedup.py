@@ -321,7 +321,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows are told apart by id and text; a row repeated exactly stays repeated
     unless exact deduplication went before.
     """
-    gone = jaccard_classes(df, id_col, text_col, threshold, width).filter(~F.col("kept")).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th"), F.lit(1).alias("__gone")).distinct()
+    rated = jaccard_classes(df, id_col, text_col, threshold, width).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).agg(F.max("kept").alias("__kept"))
+    # A repeated row has one copy kept at most; its id and text are gone only if no copy is.
+    gone = rated.filter(~F.col("__kept")).select("__id", "__th")
     rows = df.withColumn("__own", F.xxhash64(text_col))
     joined = rows.join(gone, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__own") == F.col("__th")), "left_anti")
     return joined.select(*df.columns)

@@ -289,6 +289,12 @@ def test_jaccard_edges(spark, odd, empty):
     assert near_dedup.drop_near_duplicates(exact_dedup.drop_exact_duplicates(odd)).columns == odd.columns
 
 
+def test_near_duplicates_keep_repeated_rows(odd):
+    found = near_dedup.drop_near_duplicates(odd)
+    ids = sorted(r["doc_id"] or 0 for r in found.collect())
+    assert found.columns == odd.columns and ids == [0, 1, 2, 3, 4, 4, 6, 8, 9]
+
+
 def test_pruning_bounds():
     for k, n in zip(near_dedup.least_matches(0.8, 1e-4), range(16, 129, 16), strict=True):
         tail = lambda m, n=n: sum(math.comb(n + 1, i) * 0.8**i * 0.2 ** (n + 1 - i) for i in range(m + 1))
