@@ -8,13 +8,13 @@ are then dealt out in one global hash order.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct sources up to which the rate table may be broadcast.
 BROADCAST_SOURCES = 10_000
+#: Greatest rate drawn at once; exp(-rate) underflows from about 745 on.
+MOST_RATE = 500.0
 
 
 def hash_draw(key: Column) -> Column:
@@ -42,11 +42,24 @@ def source_rates(df: DataFrame, source_col: str = "source", weights: dict[str, f
     return aimed.crossJoin(F.broadcast(total)).select("source", "n", F.when(F.col("all_aim") > 0, share * F.col("all_n") * budget / F.col("n")).otherwise(0.0).alias("rate"))
 
 
-def poisson_count(draw: Column, rate: Column, most: int) -> Column:
-    """The inverse distribution function at ``draw``: cumulative terms at or below it, ``most`` at most."""
+def _inverse_poisson(draw: Column, rate: Column) -> Column:
+    """The inverse distribution function at ``draw``: cumulative terms at or below it. For rates up to MOST_RATE."""
+    most = F.ceil(rate + 12 * F.sqrt(rate) + 24).cast("int")  # beyond it lies less than one draw in 2**60
     step = lambda s, i: F.struct((s["term"] * rate / (i + 1)).alias("term"), (s["cum"] + s["term"]).alias("cum"), (s["k"] + F.when(s["cum"] + s["term"] <= draw, 1).otherwise(0)).alias("k"))
     start = F.struct(F.exp(-rate).alias("term"), F.lit(0.0).alias("cum"), F.lit(0).alias("k"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), start, step, lambda s: s["k"])
+    return F.aggregate(F.sequence(F.lit(0), most - 1), start, step, lambda s: s["k"])
+
+
+def poisson_count(key: Column, rate: Column) -> Column:
+    """Poisson count of any rate, drawn by a hash of ``key``.
+
+    A rate over MOST_RATE is the sum of equal parts below it, each with a draw
+    of its own: a sum of Poisson counts is a Poisson count.
+    """
+    uniform = lambda k: hash_draw(k) / F.lit(float(1 << 60))
+    parts = F.ceil(rate / MOST_RATE).cast("int")
+    add = lambda s, i: s + _inverse_poisson(uniform(F.concat(F.lit("part:"), i.cast("string"), F.lit(":"), key)), rate / parts)
+    return F.when(rate <= MOST_RATE, _inverse_poisson(uniform(key), rate)).otherwise(F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), add))
 
 
 def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5, budget: float = 1.0, seed: str = "mix", partitions: int | None = None) -> DataFrame:
@@ -56,16 +69,13 @@ def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id
     empty table gives an empty result.
     """
     rates = source_rates(df, source_col, weights, power, budget)
-    facts = rates.agg(F.max("rate").alias("rate"), F.count("*").alias("n")).first()  # one row
-    top = float(facts["rate"] or 0.0)
-    most = max(1, math.ceil(top + 12 * math.sqrt(top) + 24))  # beyond it lies less than one draw in 2**60
+    sources = rates.count()
     rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    if facts["n"] <= BROADCAST_SOURCES:
+    if sources <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    draw = hash_draw(key) / F.lit(float(1 << 60))
     rated = df.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    counted = rated.withColumn("__n", poisson_count(draw, F.col("__rate"), most)).filter("__n > 0")
+    counted = rated.withColumn("__n", poisson_count(key, F.col("__rate"))).filter("__n > 0")
     copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
     order = hash_draw(F.concat(F.lit("order:"), key, F.lit(":"), F.col("__copy").cast("string")))
     ordered = copies.withColumn("__order", order)

@@ -403,6 +403,21 @@ def test_mixing_reaches_target_weights(spark, odd, empty):
     assert mixing.mix_sources(empty).isEmpty() and set(mixing.mix_sources(odd).columns) == {*odd.columns, "__copy", "__order"}
 
 
+def test_high_rates_stay_poisson(spark):
+    for rate in (30.0, 499.0, 750.0, 1225.0, 4000.0):
+        rows = spark.range(600).select(mixing.poisson_count(F.concat(F.lit("t:"), F.col("id").cast("string")), F.lit(rate)).alias("k"))
+        counts = [r["k"] for r in rows.collect()]
+        mean = sum(counts) / 600
+        spread = sum((k - mean) ** 2 for k in counts) / 599
+        assert abs(mean - rate) < 5 * math.sqrt(rate / 600) and 0.7 < spread / rate < 1.35
+
+
+def test_small_source_meets_a_high_rate(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, "few").otherwise("many").alias("source"))
+    found = mixing.mix_sources(docs, weights={"few": 1.0})
+    assert abs(found.count() - 5000) < 5 * math.sqrt(5000) and found.groupBy("doc_id").count().select("count").distinct().count() > 1
+
+
 # 10 media
 
 
