@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +54,20 @@ def swap_credit(quartets: DataFrame, scores: DataFrame, tolerance: float = 1e-9)
     return q.select("a", "b", "c", "d", F.when(F.abs(gap) <= tolerance * scale, 0.5).when(gap > 0, 1.0).otherwise(0.0).alias("credit"))
 
 
-def capped_quartets(quartets: DataFrame, entity_cap: int, most: int, salt: str = "quartet", max_rounds: int = 10) -> DataFrame:
+def capped_quartets(quartets: DataFrame, entity_cap: int, most: int, salt: str = "quartet", max_rounds: int | None = None) -> DataFrame:
     """Quartets in hash order while no entity is used over ``entity_cap`` times, ``most`` in all.
 
     Rounds as in capped negatives: a quartet is taken when its rank within all
-    four members fits what is left of their caps.
+    four members fits what is left of their caps. Ends when no quartet fits any
+    more; ``max_rounds`` raises where it would end before that.
     """
     key = hash_draw(F.concat_ws(":", F.lit(salt), "a", "b", "c", "d"))
     left = materialise(quartets.withColumn("h", key), "quartets")
     room = materialise(left.select(F.explode(F.array("a", "b", "c", "d")).alias("entity")).distinct().withColumn("room", F.lit(entity_cap).cast("long")), "room")
     taken = None
-    for _ in range(max_rounds):
+    for k in count():
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"quartets did not settle in {max_rounds} rounds")
         ranked = left
         for c in ("a", "b", "c", "d"):
             ranked = ranked.join(room.select(F.col("entity").alias(c), F.col("room").alias(f"room_{c}")), c)

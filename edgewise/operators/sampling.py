@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,16 +80,19 @@ def negative_candidates(positives: DataFrame, factor: float, blacklist: DataFram
     return drawn.join(bad.distinct(), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
 
 
-def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: str = "cap", max_rounds: int = 60) -> DataFrame:
+def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: str = "cap", max_rounds: int | None = None) -> DataFrame:
     """Candidates in hash order while no entity has over ``cap`` times its positive degree.
 
     Rounds: a candidate whose rank within both ends is inside both remaining
-    caps is taken. Stops when a round takes none; the caps always hold.
+    caps is taken. Ends when a round takes none; the caps always hold.
+    ``max_rounds`` raises where it would end before that.
     """
     room = entity_degrees(positives.withColumn("y", F.lit(1)).select("a", "b", "y")).select("entity", (F.col("pos") * cap).alias("room"))
     left = materialise(candidates.withColumn("h", hash_draw(F.concat_ws(":", F.lit(salt), "a", "b"))), "candidates")
     taken = None
-    for _ in range(max_rounds):
+    for k in count():
+        if max_rounds is not None and k > max_rounds:
+            raise RuntimeError(f"candidates did not settle in {max_rounds} rounds")
         open_ = left.join(room.select(F.col("entity").alias("a"), F.col("room").alias("room_a")), "a").join(room.select(F.col("entity").alias("b"), F.col("room").alias("room_b")), "b")
         ranked = open_.withColumns({"ra": F.row_number().over(Window.partitionBy("a").orderBy("h", "b")), "rb": F.row_number().over(Window.partitionBy("b").orderBy("h", "a"))})
         marked = materialise(ranked.withColumn("take", (F.col("ra") <= F.col("room_a")) & (F.col("rb") <= F.col("room_b"))).select("a", "b", "h", "take"), "round")

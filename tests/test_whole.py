@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from edgewise.operators import align, splits
+from edgewise.operators import align, decide, sampling, splits
 from edgewise.operators.graph import connected_components
 from edgewise.plans import fixtures, registry
 
@@ -62,3 +62,41 @@ def test_seeds_that_all_sequences_share_stay(spark, block):
         places = range(8 - len(pattern) + 1)
         wanted |= {(p, q, a, b) for p, s in rows for q, t in rows if p < q for a in places for b in places if all(s[a + i] == t[b + i] for i in on)}
     assert len(found) == len(set(found)) and {tuple(r) for r in found} == wanted
+
+
+def left_over(quartets, taken, cap):
+    load = {}
+    for q in taken:
+        for e in q:
+            load[e] = load.get(e, 0) + 1
+    assert max(load.values()) <= cap
+    return [q for q in quartets if q not in taken and all(load.get(e, 0) < cap for e in q)]
+
+
+def chain(n):
+    """Quartets of one per round: each shares a member with the one before it in hash order."""
+    from hashlib import sha256
+
+    draw = lambda q: int(sha256(":".join(("quartet", *q)).encode()).hexdigest()[:15], 16)
+    found, last, low = [], "e0", -1
+    for i in range(n):
+        q, low = next((q, h) for j in range(100000) if low < (h := draw(q := (last, f"b{i}-{j}", f"c{i}", f"e{i + 1}"))) < (i + 1) << 60 - 6)
+        found, last = [*found, q], q[3]
+    return found
+
+
+def test_quartets_are_taken_until_none_fits(spark):
+    quartets = chain(40)
+    df = spark.createDataFrame(quartets, "a string, b string, c string, d string")
+    taken = {tuple(r) for r in decide.capped_quartets(df, 1, 1000).collect()}
+    # Every second quartet of the chain, one a round.
+    assert taken == set(quartets[::2]) and not left_over(quartets, taken, 1)
+
+
+def test_rounds_beyond_a_bound_raise(spark):
+    quartets = spark.createDataFrame(chain(12), "a string, b string, c string, d string")
+    with pytest.raises(RuntimeError, match="settle"):
+        decide.capped_quartets(quartets, 1, 1000, max_rounds=2)
+    pairs = spark.createDataFrame([("a", "b")], "a string, b string")
+    with pytest.raises(RuntimeError, match="settle"):
+        sampling.degree_capped(pairs, pairs, 1, max_rounds=0)
