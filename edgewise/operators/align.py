@@ -83,16 +83,25 @@ def effective_depth(rows: DataFrame, identity: float, coverage: float) -> DataFr
     return rows.select("uid", "row", "tokens").groupBy("uid").applyInPandas(measure, f"uid {kind}, rows long, neff double, comparable double")
 
 
-def joint_support(rows: DataFrame, least: int) -> DataFrame:
-    """Of all column pairs, the share that at least ``least`` rows and that at least half of the rows occupy together."""
-    def measure(frame: pd.DataFrame) -> pd.DataFrame:
-        full = (np.array(frame["tokens"].tolist()) < GAP).astype(np.float32)
-        both = full.T @ full
-        upper = both[np.triu_indices(len(both), 1)]
-        return pd.DataFrame({"uid": [frame["uid"].iloc[0]], "mean_support": [float(upper.mean(dtype=np.float64))], "enough": [float((upper >= least).mean())], "half": [float((upper >= len(frame) / 2).mean())]})
+def joint_support(rows: DataFrame, least: int, block: int = 4096) -> DataFrame:
+    """Of all column pairs, the share that at least ``least`` rows and that at least half of the rows occupy together.
+
+    Counts of column pairs are summed in blocks of about ``block`` rows and
+    then by alignment, so no task takes an alignment's rows.
+    """
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        full = (np.array(frame["tokens"].tolist()) < GAP).astype(np.float64)
+        both = (full.T @ full)[np.triu_indices(full.shape[1], 1)]
+        return pd.DataFrame({"uid": frame["uid"].iloc[0], "pair": np.arange(len(both)), "n": both.astype(np.int64)})
 
     kind = rows.schema["uid"].dataType.simpleString()
-    return rows.select("uid", "tokens").groupBy("uid").applyInPandas(measure, f"uid {kind}, mean_support double, enough double, half double")
+    depth = rows.groupBy(F.col("uid").alias("__uid")).agg(F.count("*").alias("rows"))
+    own = F.col("uid").eqNullSafe(F.col("__uid"))
+    dealt = rows.select("uid", "row", "tokens").join(depth, own).withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / block)))
+    parts = dealt.groupBy("uid", "block").applyInPandas(lambda frame: add(frame), f"uid {kind}, pair long, n long")
+    sums = parts.groupBy("uid", "pair").agg(F.sum("n").alias("n")).join(depth, own)
+    share = lambda good: F.avg(good.cast("double"))
+    return sums.groupBy("uid").agg(F.avg("n").alias("mean_support"), share(F.col("n") >= least).alias("enough"), share(F.col("n") >= F.col("rows") / 2).alias("half"))
 
 
 def family_diversity(rows: DataFrame, group: str, family: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +101,14 @@ def test_rounds_beyond_a_bound_raise(spark):
     pairs = spark.createDataFrame([("a", "b")], "a string, b string")
     with pytest.raises(RuntimeError, match="settle"):
         sampling.degree_capped(pairs, pairs, 1, max_rounds=0)
+
+
+def test_joint_support_is_summed_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(20, 28, (90, 9))
+    df = spark.createDataFrame([(i % 2, i, t.tolist()) for i, t in enumerate(tokens)], "uid int, row long, tokens array<int>")
+    found = {r["uid"]: r for r in align.joint_support(df, 18, block=8).collect()}
+    for uid in (0, 1):
+        full = (tokens[uid::2] < align.GAP).astype(int)
+        upper = (full.T @ full)[np.triu_indices(9, 1)]
+        assert [found[uid][c] for c in ("mean_support", "enough", "half")] == pytest.approx([upper.mean(), (upper >= 18).mean(), (upper >= 45 / 2).mean()])
