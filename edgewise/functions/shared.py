@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; set to a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir``; on a local master where it is unset (tests), a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -37,3 +37,9 @@ def materialise(df: DataFrame, name: str = "table", path: str | None = None, par
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of ``fresh_path`` that no later step reads."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

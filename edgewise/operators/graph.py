@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.functions.shared import materialise
+from edgewise.functions.shared import discard, fresh_path, materialise
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -13,18 +13,24 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Each round takes the least label among the neighbours and then the label's
     own label, and is written to the shared folder, so lineage stays short and
-    a lost executor costs one round. Self edges give components of one; edges
-    with a null end are left out.
+    a lost executor costs one round; the round before it is deleted. Self edges
+    give components of one; edges with a null end are left out.
     """
+    spark = edges.sparkSession
     pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    both = materialise(pairs.union(pairs.select("v", "u")).distinct(), "edges")
-    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("label")), "labels")
+    once = fresh_path(spark, "edges")
+    both = materialise(pairs.union(pairs.select("v", "u")).distinct(), path=once)
+    place = fresh_path(spark, "labels")
+    labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("near")).select("node", F.least("node", "near").alias("label")), path=place)
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
         hooked = labels.join(near, labels["node"] == near["u"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialise(hooked.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), "labels")
+        before, place = place, fresh_path(spark, "labels")
+        moved = materialise(hooked.join(jump, "label", "left").select("node", "old", F.least("label", "next").alias("label")), path=place)
+        discard(spark, before)
         labels = moved.select("node", "label")
         if moved.filter("old <> label").isEmpty():
+            discard(spark, once)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
