@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.shared import fresh_path, materialise, shared_dir
 
-__all__ = ["bounded_batches", "fresh_path", "groups_in_order", "held_out", "materialise", "sample_by_hash", "shared_dir"]
+__all__ = ["bounded_batches", "fresh_path", "groups_in_order", "held_out", "materialise", "sample_by_hash", "shared_dir", "spread_join", "whole_row"]
 
 #: Rows in one Arrow batch. Texts can be long, so a batch is kept small.
 ARROW_ROWS = 1000
@@ -49,6 +49,33 @@ def sample_by_hash(df: DataFrame, key: str, group: str, bound: int) -> DataFrame
     return df.join(sizes, F.col(group) == F.col("__group")).filter(share * F.col("__n") < bound).drop("__n", "__group")
 
 
+#: A key is hot if it has more rows than this share of all rows, and than HOT_ROWS; fewer than 1 / HOT_SHARE keys can be.
+HOT_SHARE, HOT_ROWS = 1e-3, 10_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, size: str, *salt: str) -> DataFrame:
+    """Inner join by ``key`` with one fact a key; ``size`` tells how many rows have it.
+
+    The rows of hot keys are dealt out by a hash of ``salt``, their facts
+    repeated to match. ``facts`` must be a written table or cheap: it is read
+    for the hot keys first. These are fewer than 1 / HOT_SHARE by their
+    definition, so that their table is broadcast.
+    """
+    total = facts.agg(F.sum(size)).first()[0] or 0
+    cut = max(HOT_ROWS, int(total * HOT_SHARE))
+    parts = F.ceil(F.col(size) / cut).cast("int")
+    hot = facts.filter(F.col(size) > cut).select(key, parts.alias("__parts"))
+    few = rows.sparkSession.createDataFrame(hot.collect(), hot.schema)  # under 1 / HOT_SHARE rows
+    dealt = rows.join(F.broadcast(few), key, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*salt), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    repeated = facts.withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return dealt.join(repeated, [key, "__salt"]).drop("__salt")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that no helper column can clash with them; ``select("row.*")`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def groups_in_order(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Whole groups, as arrays by column, of a partition that is sorted by ``keys`` (numbers without nulls)."""
     held: list[dict[str, np.ndarray]] = []

@@ -1,37 +1,38 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
 Documents with equal shingle sets form one representative. MinHash bands deal
-representatives into buckets. In a bucket a leader is compared with the others
-hash by hash; a pair goes as soon as the posterior probability that it reaches
-the threshold falls below a tolerance. A bucket never lists its pairs: members
-close to the leader leave with it, and by the triangle inequality of Jaccard
-distance every similar pair stays within one group of weakly linked
-representatives. In each such group, block against block, the surviving pairs
-are verified exactly on their shingle sets.
+representatives into buckets. In a bucket, signatures are compared hash by
+hash; a pair goes as soon as the posterior probability that it reaches the
+threshold falls below a tolerance. A bucket never lists its pairs: a search
+from the smallest member on compares each one reached with those not reached
+yet, and gives a spanning forest. Components of these forests hold every pair
+left; in each, block against block, pairs are verified exactly on their
+shingle sets, and only counts and spanning stars leave the tasks.
 """
 
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.operators.graph import connected_components
 
-from .common import bounded_batches, groups_in_order, materialise
+from .common import bounded_batches, groups_in_order, materialise, spread_join, whole_row
 
 #: Words in a shingle, similarity sought, hashes, bands of BAND_ROWS hashes, chance below which a pair is dropped.
 SHINGLE, THRESHOLD, HASHES, BANDS, BAND_ROWS, TOLERANCE = 5, 0.8, 128, 24, 4, 1e-4
 #: Hashes compared at a time.
 STEP = 16
-#: Members of a bucket compared in one task; members of a group verified in one task against as many.
-BUCKET, BLOCK, TILE = 1024, 1024, 256
+#: Members of a bucket compared in one task against as many; members, and their shingles, of a component verified in one task against as many.
+BUCKET, BLOCK, BLOCK_SHINGLES, TILE = 8192, 1024, 4_000_000, 256
 
 
 @lru_cache(maxsize=2)
@@ -79,24 +80,24 @@ def least_matches(threshold: float, tolerance: float, hashes: int = HASHES, step
     return tuple(out)
 
 
-def surviving(one: np.ndarray, others: np.ndarray, bounds: tuple[int, ...], step: int = STEP) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of ``others`` that ``one`` is not pruned from, and their matches."""
-    rows, matches = np.arange(len(others)), np.zeros(len(others), dtype=np.int64)
+def surviving(one: np.ndarray, sigs: np.ndarray, rows: np.ndarray, bounds: tuple[int, ...], step: int = STEP) -> np.ndarray:
+    """Those of ``rows`` of ``sigs`` that ``one`` is not pruned from."""
+    matches = np.zeros(len(rows), dtype=np.int64)
     for k, least in enumerate(bounds):
         part = slice(k * step, (k + 1) * step)
-        matches = matches + (others[rows, part] == one[part]).sum(axis=1)
+        matches = matches + (sigs[rows, part] == one[part]).sum(axis=1)
         keep = matches >= least
         rows, matches = rows[keep], matches[keep]
         if not len(rows):
             break
-    return rows, matches
+    return rows
 
 
 class _Forest:
-    """Joins elements and keeps only the edges that joined two trees."""
+    """Joins elements; the root of a tree is its least element."""
 
     def __init__(self, n: int):
-        self.parent, self.edges = list(range(n)), []
+        self.parent = list(range(n))
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -104,115 +105,95 @@ class _Forest:
             x = self.parent[x]
         return x
 
-    def join(self, a: int, b: int) -> None:
+    def join(self, a: int, b: int) -> bool:
+        """True if ``a`` and ``b`` were in two trees."""
         x, y = self.find(a), self.find(b)
         if x != y:
             self.parent[max(x, y)] = min(x, y)
-            self.edges.append((a, b))
+        return x != y
 
 
 def _matrix(packed: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(packed.tolist()), dtype="<u2").reshape(len(packed), -1)
 
 
-def _link_bucket(sigs: np.ndarray, weak: tuple[int, ...], core: int, drop: bool) -> tuple[list[tuple[int, int]], list[int]]:
-    """Weak edges (a spanning forest) and the leaders of one bucket."""
-    forest, leaders, alive = _Forest(len(sigs)), [], np.arange(len(sigs))
-    while len(alive):
-        lead, rest = int(alive[0]), alive[1:]
-        leaders.append(lead)
-        if not len(rest):
-            break
-        at, matches = surviving(sigs[lead], sigs[rest], weak)
-        for x in rest[at].tolist():
-            forest.join(lead, x)
-        if drop:
-            stay = np.ones(len(rest), dtype=bool)
-            stay[at[matches >= core]] = False
-            rest = rest[stay]
-        alive = rest
-    return forest.edges, leaders
+def _forest_edges(sigs: np.ndarray, side: np.ndarray | None, bounds: tuple[int, ...]) -> list[tuple[int, int]]:
+    """Spanning forest of the pairs that survive; with ``side``, of those that lie on two sides.
+
+    Each member reached is compared with those not reached yet, so near copies
+    of one text cost about one comparison each.
+    """
+    open_, edges = np.ones(len(sigs), dtype=bool), []
+    for start in range(len(sigs)):
+        if not open_[start]:
+            continue
+        open_[start] = False
+        reached = deque([start])
+        while reached:
+            x = reached.popleft()
+            rows = np.flatnonzero(open_ if side is None else open_ & (side != side[x]))
+            if not len(rows):
+                continue
+            close = surviving(sigs[x], sigs, rows, bounds)
+            open_[close] = False
+            reached.extend(close.tolist())
+            edges += [(x, y) for y in close.tolist()]
+    return edges
 
 
 def _set_table(docs: DataFrame, width: int) -> DataFrame:
-    """id, th (hash of the text), key (of the shingle set; null without words), sig."""
+    """id, th (hash of the text), key (of the shingle set; null without words), sig, size of the set."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            keys, sigs = [], []
+            keys, sigs, sizes = [], [], []
             for text in frame["text"]:
                 s = shingle_set(text, width)
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
-            yield pd.DataFrame({"id": frame["id"], "th": frame["th"], "key": keys, "sig": sigs})
+                sizes.append(len(s))
+            yield pd.DataFrame({"id": frame["id"], "th": frame["th"], "key": keys, "sig": sigs, "size": sizes})
 
-    return docs.mapInPandas(run, f"id {kind}, th long, key binary, sig binary")
+    return docs.mapInPandas(run, f"id {kind}, th long, key binary, sig binary, size int")
 
 
-def _weak_edges(reps: DataFrame, threshold: float) -> DataFrame:
-    """Edges (src, dst) between nodes of weakly similar representatives that share a bucket."""
-    away = 1 - threshold
-    # A member within 0.75 of the allowed distance of the leader leaves with it; what is similar to it is then
-    # within 1.75 of it. The bounds are posterior ones, so that chance in the signatures is allowed for.
-    core = math.ceil((1 - 0.75 * away) * HASHES)
-    weak = least_matches(round(1 - 2.25 * away, 6), TOLERANCE)
-    far = least_matches(round(max(0.05, 1 - 3.25 * away), 6), TOLERANCE)
+def _candidate_edges(reps: DataFrame, threshold: float) -> DataFrame:
+    """Edges (src, dst) of spanning forests of the pairs that share a bucket and are not pruned."""
+    bounds = least_matches(threshold, TOLERANCE)
     keys = F.array(*[F.xxhash64(F.lit(b), F.substring("sig", 2 * BAND_ROWS * b + 1, 2 * BAND_ROWS)) for b in range(BANDS)])
     banded = reps.select("node", F.explode(keys).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = banded.join(shared, "bucket").join(reps.select("node", "sig"), "node")
-    members = members.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BUCKET)).cast("int"))
+    members = banded.join(shared, "bucket").join(reps.select("node", "sig"), "node").withColumn("parts", F.ceil(F.col("n") / BUCKET).cast("int"))
+    members = members.withColumn("block", _block("node", "parts"))
 
     def link(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        src, dst, lead = [], [], []
-        for group in groups_in_order(frames, ["bucket", "part"]):
-            node, bucket = group["node"], int(group["bucket"][0])
-            edges, leaders = _link_bucket(_matrix(group["sig"]), weak, core, drop=True)
-            for a, b in edges:
-                src.append(int(node[a]))
-                dst.append(int(node[b]))
-                lead.append(None)
-            if group["n"][0] > BUCKET:
-                for a in leaders:
-                    src.append(int(node[a]))
-                    dst.append(None)
-                    lead.append(bucket)
-            if len(src) > 20_000:
-                yield _edge_frame(src, dst, lead)
-                src, dst, lead = [], [], []
-        if src:
-            yield _edge_frame(src, dst, lead)
-
-    dealt = members.select("bucket", "part", "n", "node", "sig").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    found = materialise(dealt.mapInPandas(link, "src long, dst long, bucket long"), "links")
-    near = found.filter("bucket IS NULL").select("src", "dst")
-    # Leaders of the parts of a large bucket, block against block.
-    heads = found.filter("bucket IS NOT NULL").select("bucket", F.col("src").alias("node"))
-    many = heads.groupBy("bucket").agg(F.count("*").alias("n"))
-    heads = heads.join(many, "bucket").join(reps.select("node", "sig"), "node")
-
-    def cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        src, dst = [], []
         for group in groups_in_order(frames, ["bucket", "low", "high"]):
-            edges, _ = _link_bucket(_matrix(group["sig"]), far, core, drop=False)
-            if edges:
-                node = group["node"]
-                yield pd.DataFrame({"src": [int(node[a]) for a, _ in edges], "dst": [int(node[b]) for _, b in edges]})
+            side = None if group["low"][0] == group["high"][0] else group["block"]
+            node = group["node"]
+            edges = _forest_edges(_matrix(group["sig"]), side, bounds)
+            src += [int(node[a]) for a, _ in edges]
+            dst += [int(node[b]) for _, b in edges]
+            if len(src) > 20_000:
+                yield pd.DataFrame({"src": src, "dst": dst})
+                src, dst = [], []
+        yield pd.DataFrame({"src": src, "dst": dst}, dtype="int64")
 
-    blocks = _block_pairs(heads, "bucket", "node", 4 * BUCKET).select("bucket", "low", "high", "node", "sig")
-    wide = blocks.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high").mapInPandas(cross, "src long, dst long")
-    return near.union(wide)
+    # Sorted by node, the bands of one group of copies start from the same members and give the same stars.
+    dealt = _block_pairs(members, True).select("bucket", "low", "high", "block", "node", "sig").repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node")
+    return dealt.mapInPandas(link, "src long, dst long")
 
 
-def _edge_frame(src: list, dst: list, lead: list) -> pd.DataFrame:
-    return pd.DataFrame({"src": pd.array(src, dtype="Int64"), "dst": pd.array(dst, dtype="Int64"), "bucket": pd.array(lead, dtype="Int64")})
+def _block(node: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), node), F.col(parts)).cast("int")
 
 
-def _block_pairs(df: DataFrame, group: str, node: str, size: int) -> DataFrame:
-    """Deal each row to every pair of blocks (``low``, ``high``) that its block is in; a group of ``size`` is one block."""
-    count = F.ceil(F.col("n") / size).cast("int")
-    own = df.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), node), count).cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), count - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
+def _block_pairs(df: DataFrame, own: bool) -> DataFrame:
+    """Deal each row to the pairs of blocks (``low``, ``high``) that its ``block`` of ``parts`` is in; ``own``: with itself as well."""
+    other = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    other = other if own else other.filter("other <> block")
+    return other.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).drop("other")
 
 
 def exact_links(sets: list[np.ndarray], sigs: np.ndarray, threshold: float, left: np.ndarray, right: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -227,7 +208,7 @@ def exact_links(sets: list[np.ndarray], sigs: np.ndarray, threshold: float, left
             a, b = left[i : i + TILE], right[j : j + TILE]
             alive = np.zeros((len(a), len(b)), dtype=bool)
             for k, x in enumerate(a):
-                alive[k, surviving(sigs[x], sigs[b], bounds)[0]] = True
+                alive[k, np.searchsorted(b, surviving(sigs[x], sigs, b, bounds))] = True
             if same and i == j:
                 alive = np.triu(alive, 1)
             rows, cols = alive.nonzero()
@@ -257,6 +238,53 @@ def exact_links(sets: list[np.ndarray], sigs: np.ndarray, threshold: float, left
             yield a[rows[good]], b[cols[good]]
 
 
+def _verified(texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links of each node (``links``) and edges (src, dst) that join linked nodes, of all blocks of all components.
+
+    Blocks are first searched alone; each tree of links leaves as a star. Pairs
+    of blocks of a large component then give their counts, and an edge only
+    where they join two trees.
+    """
+    schema = "src long, dst long, links long"
+
+    def frame_of(node: np.ndarray, links: np.ndarray, edges: list[tuple[int, int]]) -> pd.DataFrame:
+        own = np.flatnonzero(links)
+        return pd.DataFrame({
+            "src": [*node[own].tolist(), *[a for a, _ in edges]], "dst": pd.array([*[None] * len(own), *[b for _, b in edges]], dtype="Int64"), "links": [*links[own].tolist(), *[0] * len(edges)],
+        }).astype({"src": "int64", "links": "int64"})
+
+    def scan(frames: Iterator[pd.DataFrame], across: bool) -> Iterator[pd.DataFrame]:
+        for group in groups_in_order(frames, ["component", "low", "high"]):
+            node, copies, block = group["node"], group["copies"], group["block"]
+            sets, sigs, everyone = [shingle_set(t, width) for t in group["text"]], _matrix(group["sig"]), np.arange(len(node))
+            left, right = (np.flatnonzero(block == group["low"][0]), np.flatnonzero(block == group["high"][0])) if across else (everyone, everyone)
+            links, forest, edges = np.zeros(len(node), dtype=np.int64), _Forest(len(node)), []
+            if across:
+                first: dict[int, int] = {}
+                for k, label in enumerate(group["label"].tolist()):
+                    forest.join(first.setdefault(label, k), k)
+            for a, b in exact_links(sets, sigs, threshold, left, right, not across):
+                np.add.at(links, a, copies[b])
+                np.add.at(links, b, copies[a])
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    if forest.join(x, y) and across:
+                        edges.append((int(node[x]), int(node[y])))
+            if not across:
+                edges = [(int(node[r]), int(node[k])) for k in everyone.tolist() if (r := forest.find(k)) != k]
+            yield frame_of(node, links, edges)
+
+    keys = ["component", "low", "high"]
+    alone = texts.withColumn("low", F.col("block")).withColumn("high", F.col("block")).repartition(*keys).sortWithinPartitions(*keys, "node")
+    found = materialise(alone.mapInPandas(lambda frames: scan(frames, False), schema), "verified")
+    large = texts.filter("parts > 1")
+    if large.isEmpty():
+        return found
+    stars = found.filter("dst IS NOT NULL").select(F.col("dst").alias("node"), F.col("src").alias("root"))
+    labelled = large.join(stars, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+    pairs = _block_pairs(labelled, False).repartition(*keys).sortWithinPartitions(*keys, "node")
+    return found.unionByName(materialise(pairs.mapInPandas(lambda frames: scan(frames, True), schema), "across"))
+
+
 def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """Per row: id, text_hash, class_id, rep_id, n_links, kept.
 
@@ -266,64 +294,53 @@ def jaccard_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows that links connect, ``rep_id`` the smallest id of the rows with an
     equal set, ``n_links`` the number of linked rows. Of each class one row is
     ``kept``, that of ``class_id``. A text without words (null, empty) links to
-    nothing and is kept. Repeated rows count as rows; extra columns are ignored.
+    nothing and is kept. Repeated rows count as rows; extra columns are
+    ignored; an empty table gives an empty result.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
     rows = materialise(_set_table(docs, width), "sets")
-    reps = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "th")).alias("row"), F.min("id").alias("rep_id"), F.count("*").alias("copies"), F.min("sig").alias("sig"))
-    reps = materialise(reps.withColumn("node", F.xxhash64("key")), "reps")
-    groups = connected_components(_weak_edges(reps, threshold))
-    sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
-    members = groups.join(sizes, "component").join(reps, "node").select("component", "n", "node", "copies", "sig", F.col("row.id").alias("row_id"), F.col("row.th").alias("row_th"))
+    reps = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min(F.struct("id", "th")).alias("row"), F.min("id").alias("rep_id"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("size").alias("size"))
+    # Node numbers are told apart by place, not by hash, and are fixed once the table is written.
+    reps = materialise(reps.withColumn("node", F.monotonically_increasing_id()), "reps")
+    groups = connected_components(_candidate_edges(reps, threshold))
+    known = groups.join(reps, "node")
+    sizes = known.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    members = known.join(sizes, "component").withColumn("block", _block("node", "parts")).select("component", "parts", "block", "node", "copies", "sig", F.col("row.id").alias("row_id"), F.col("row.th").alias("row_th"))
     # One row of each equal set gives the text; hot copies stay out of the join.
     texts = docs.join(members, docs["id"].eqNullSafe(members["row_id"]) & (docs["th"] == members["row_th"])).dropDuplicates(["node"])
-    blocks = _block_pairs(texts.drop("th", "id", "row_id", "row_th"), "component", "node", BLOCK)
-    dealt = blocks.repartition("component", "low", "high").sortWithinPartitions("component", "low", "high")
-
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in groups_in_order(frames, ["component", "low", "high"]):
-            low, high, node, copies = int(group["low"][0]), int(group["high"][0]), group["node"], group["copies"]
-            sets, sigs = [shingle_set(t, width) for t in group["text"]], _matrix(group["sig"])
-            left, right = np.flatnonzero(group["block"] == low), np.flatnonzero(group["block"] == high)
-            links, forest = np.zeros(len(node), dtype=np.int64), _Forest(len(node))
-            for a, b in exact_links(sets, sigs, threshold, left, right, low == high):
-                np.add.at(links, a, copies[b])
-                np.add.at(links, b, copies[a])
-                for x, y in zip(a.tolist(), b.tolist(), strict=True):
-                    forest.join(x, y)
-            out = [(int(node[k]), None, int(links[k])) for k in np.flatnonzero(links)]
-            out += [(int(node[a]), int(node[b]), 0) for a, b in forest.edges]
-            if out:
-                yield pd.DataFrame({"src": [x[0] for x in out], "dst": pd.array([x[1] for x in out], dtype="Int64"), "links": [x[2] for x in out]})
-
-    found = materialise(dealt.mapInPandas(verify, "src long, dst long, links long"), "verified")
+    found = _verified(materialise(texts.drop("th", "id", "row_id", "row_th"), "texts"), threshold, width)
     counts = found.filter("dst IS NULL").groupBy(F.col("src").alias("node")).agg(F.sum("links").alias("links"))
     classes = connected_components(found.filter("dst IS NOT NULL"))
-    facts = reps.select("node", "key", "rep_id", "copies").join(counts, "node", "left").join(classes, "node", "left")
-    facts = facts.select("key", "rep_id", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    names = facts.groupBy("component").agg(F.min("rep_id").alias("class_id"))
-    facts = facts.join(names, "component").drop("component")
-    plain = rows.select("id", F.col("th").alias("text_hash"), "key").withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("text_hash")))
-    out = plain.join(facts, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select(
-        F.col("id").alias(id_col), "text_hash", F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("rep_id")).alias("rep_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        (alone | (F.col("id").eqNullSafe(F.col("class_id")) & F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("nth") == 1))).alias("kept"),
+    linked = classes.join(reps.select("node", "key", "rep_id"), "node")
+    names = linked.groupBy("component").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "key")).alias("first"), F.count("*").alias("members"))
+    names = materialise(names.select("component", "members", F.col("first.rep_id").alias("class_id"), F.col("first.key").alias("class_key")), "names")
+    named = spread_join(linked.select("node", "component"), names, "component", "members", "node").select("node", "class_id", "class_key")
+    facts = reps.select("node", "key", "rep_id", "copies").join(counts, "node", "left").join(named, "node", "left")
+    single = F.col("class_key").isNull()
+    facts = materialise(
+        facts.select(
+            "key", "rep_id", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+            F.when(single, F.col("rep_id")).otherwise(F.col("class_id")).alias("class_id"), (single | (F.col("key") == F.col("class_key"))).alias("first"),
+        ), "facts",
     )
+    numbered = rows.select("id", F.col("th").alias("text_hash"), "key").withColumn("nth", F.row_number().over(Window.partitionBy("id", "key").orderBy("text_hash")))
+    told = spread_join(numbered.filter("key IS NOT NULL"), facts, "key", "copies", "id", "text_hash")
+    told = told.select("id", "text_hash", "class_id", "rep_id", "n_links", (F.col("first") & F.col("id").eqNullSafe(F.col("rep_id")) & (F.col("nth") == 1)).alias("kept"))
+    alone = rows.filter("key IS NULL").select("id", F.col("th").alias("text_hash"), F.col("id").alias("class_id"), F.col("id").alias("rep_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return told.unionByName(alone).withColumnRenamed("id", id_col)
 
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, width: int = SHINGLE) -> DataFrame:
     """Whole rows without those that a class's kept row stands for; all columns of ``df``.
 
     Rows are told apart by id and text; a row repeated exactly stays repeated
-    unless exact deduplication went before.
+    unless exact deduplication went before. Null and empty texts stay; an empty
+    table gives an empty result.
     """
-    rated = jaccard_classes(df, id_col, text_col, threshold, width).groupBy(F.col(id_col).alias("__id"), F.col("text_hash").alias("__th")).agg(F.max("kept").alias("__kept"))
+    rated = jaccard_classes(df, id_col, text_col, threshold, width).groupBy(F.col(id_col).alias("id"), F.col("text_hash").alias("th")).agg(F.max("kept").alias("kept"))
     # A repeated row has one copy kept at most; its id and text are gone only if no copy is.
-    gone = rated.filter(~F.col("__kept")).select("__id", "__th")
-    rows = df.withColumn("__own", F.xxhash64(text_col))
-    joined = rows.join(gone, (F.col(id_col).eqNullSafe(F.col("__id"))) & (F.col("__own") == F.col("__th")), "left_anti")
-    return joined.select(*df.columns)
+    gone = rated.filter(~F.col("kept")).select("id", "th")
+    rows = df.select(whole_row(df).alias("row"), F.col(id_col).alias("own"), F.xxhash64(text_col).alias("hash"))
+    return rows.join(gone, (F.col("own").eqNullSafe(F.col("id"))) & (F.col("hash") == F.col("th")), "left_anti").select("row.*")
