@@ -1,26 +1,43 @@
 """Exact deduplication by an extendible-hash index on shared files.
 
-Distinct texts (pre-aggregated in each map task) get a 64-bit key. A histogram
-over the key's leading bits grows the directory: a bucket that holds more than
-``capacity`` entries splits in two, doubling the directory where need be. The
-entries are written to shared files dealt by bucket; owner tasks read their key
-ranges in order, chain entries of equal key and compare their bytes.
+Texts have 64-bit keys. A directory over the key's leading bits says which
+bucket a key is in: it starts with one bucket, and a bucket with more than
+``capacity`` keys splits on its next bit, doubling the directory where need be.
+Map tasks combine the equal texts they meet; owner tasks get whole buckets (key
+ranges), chain the entries of each key, compare their bytes, and write the
+index: one entry per distinct text. Rows find their group by directory, key
+and, where a key has several entries, bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, fresh_path, materialise, spread_join, whole_row
 
-#: Entries that a bucket holds before it splits, and the directory's greatest depth in bits.
-CAPACITY, MAX_DEPTH = 2000, 16
+#: Keys that a bucket holds before it splits. With more than CAPACITY * MOST_BUCKETS keys the capacity is higher, so
+#: that the directory, which every task holds, stays within 16 * MOST_BUCKETS cells.
+CAPACITY, MOST_BUCKETS = 2000, 1 << 15
+#: Characters of text that a map task holds for combining.
+HELD = 8_000_000
+#: Keys with several texts up to which they are broadcast, so that only their rows carry bytes to the index.
+COLLIDED = 10_000
+
+
+class Index(NamedTuple):
+    """``entries``: bucket, local_depth, key, chain, key_size, keep_id, group_size, text_sha256, text (where the key has several); ``directory``: cell, bucket, local_depth."""
+
+    entries: DataFrame
+    directory: DataFrame
+    bits: int
 
 
 def normalised(text: Column) -> Column:
@@ -29,10 +46,10 @@ def normalised(text: Column) -> Column:
 
 
 def grow_directory(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """First cell and local depth of each bucket, from entries per finest cell.
+    """First cell and local depth of each bucket, from keys per finest cell.
 
     Starts with one bucket of depth 0; an overfull bucket splits on its next
-    bit, down to single cells (deeper ones chain).
+    bit, down to single cells.
     """
     depth = len(histogram).bit_length() - 1
     sums = np.concatenate([[0], np.cumsum(histogram)])
@@ -48,82 +65,152 @@ def grow_directory(histogram: np.ndarray, capacity: int) -> tuple[np.ndarray, np
     return np.array(starts, dtype=np.int64), np.array(depths, dtype=np.int64)
 
 
-def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    norm = normalised(F.col(text_col))
-    return df.select(F.col(id_col).alias("id"), norm.alias("norm"))
+def _keyed(df: DataFrame, id_col: str, text_col: str, key: Column | None, *more: Column) -> DataFrame:
+    rows = df.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"), *more)
+    return rows.withColumn("key", F.xxhash64("norm") if key is None else key)
+
+
+def _cell(bits: int) -> Column:
+    return F.shiftrightunsigned("key", 64 - bits).cast("int")
+
+
+def _grow(rows: DataFrame, capacity: int, base: str) -> tuple[DataFrame, int]:
+    """Write the directory for the keys of ``rows``; the table and the bits it reads."""
+    spark = rows.sparkSession
+    keys = materialise(rows.select("key").distinct(), path=f"{base}/keys")
+    n = keys.count()
+    capacity = max(capacity, -(-n // MOST_BUCKETS))
+    bits = max(1, min(MOST_BUCKETS.bit_length() + 3, (n // capacity).bit_length() + 4))
+    histogram = np.zeros(1 << bits, dtype=np.int64)
+    for row in keys.groupBy(_cell(bits).alias("cell")).agg(F.count("*").alias("n")).collect():  # a small row a cell
+        histogram[row["cell"]] = row["n"]
+    starts, depths = grow_directory(histogram, capacity)
+    bucket = np.repeat(np.arange(len(starts)), np.diff([*starts.tolist(), 1 << bits]))
+    cells = [(c, b, int(depths[b])) for c, b in enumerate(bucket.tolist())]
+    return materialise(spark.createDataFrame(cells, "cell int, bucket int, local_depth int").coalesce(1), path=f"{base}/directory"), bits
 
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Column | None = None) -> DataFrame:
-    """The index as a table: bucket, local_depth, key, text_sha256, chain, keep_id, group_size.
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Column | None = None) -> Index:
+    """Grow the directory, combine, chain and write the index.
 
-    One row per distinct normalised text. ``key`` overrides the 64-bit hash of
-    the column ``norm`` (tests force collisions with it).
+    ``key`` overrides the 64-bit hash of the column ``norm`` (tests force
+    collisions with it).
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    key = F.xxhash64("norm") if key is None else key
-    # Map-side combine: a hot text leaves each map task once.
-    entries = _keyed(df, id_col, text_col).groupBy("norm").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("key", key)
-    entries = materialise(entries, "entries")
-    cell = F.shiftrightunsigned("key", 64 - MAX_DEPTH).cast("int")
-    histogram = np.zeros(1 << MAX_DEPTH, dtype=np.int64)
-    for row in entries.groupBy(cell.alias("cell")).agg(F.count("*").alias("n")).collect():  # at most 2**MAX_DEPTH small rows
-        histogram[row["cell"]] = row["n"]
-    starts, depths = grow_directory(histogram, capacity)
-    kind = df.schema[id_col].dataType.simpleString()
-    shift = 64 - MAX_DEPTH
-
-    def address(keys: pd.Series) -> np.ndarray:
-        return np.searchsorted(starts, (keys.to_numpy(dtype=np.int64).view(np.uint64) >> np.uint64(shift)).astype(np.int64), side="right") - 1
-
-    @F.pandas_udf("int")
-    def bucket_of(keys: pd.Series) -> pd.Series:
-        return pd.Series(address(keys), dtype="int32")
-
-    # The shared files are dealt by bucket; Spark's shuffle hands each owner task whole buckets.
-    owned = entries.withColumn("bucket", bucket_of("key")).repartition("bucket").sortWithinPartitions("bucket", "key")
-
-    def chain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, heads = None, []
-        for frame in frames:
-            rows = []
-            for bucket, key, norm, doc, n in zip(frame["bucket"], frame["key"], frame["norm"], frame["id"], frame["n"], strict=True):
-                data = norm.encode("utf-8", "surrogatepass")
-                if (bucket, key) != last:
-                    last, heads = (bucket, key), []
-                link = next((k for k, head in enumerate(heads) if head == data), None)
-                if link is None:
-                    link = len(heads)
-                    heads.append(data)
-                rows.append((bucket, int(depths[bucket]), key, hashlib.sha256(data).hexdigest(), link, doc, n))
-            out = pd.DataFrame(rows, columns=["bucket", "local_depth", "key", "text_sha256", "chain", "keep_id", "group_size"])
-            yield out.astype({"keep_id": "Int64"}) if kind in ("bigint", "int") else out
-
-    links = owned.mapInPandas(chain, f"bucket int, local_depth int, key long, text_sha256 string, chain int, keep_id {kind}, group_size long")
-    return links
-
-
-def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+    base = fresh_path(spark, "index")
+    rows = _keyed(df, id_col, text_col, key)
+    directory, bits = _grow(rows, capacity, base)
+    kind = df.schema[id_col].dataType
+    id_type = to_arrow_type(kind)
+    least = lambda a, b: b if a is None else a if b is None else min(a, b)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(key, *entry) for key, chain in held.items() for entry in chain]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.string(), id_type, pa.int64()), strict=True)], ["key", "norm", "id", "n"])
+
+        for batch in batches:
+            for key, norm, doc in zip(*(batch.column(c).to_pylist() for c in ("key", "norm", "id")), strict=True):
+                chain = held.setdefault(key, [])
+                for entry in chain:
+                    if entry[0] == norm:
+                        entry[1] = least(entry[1], doc)
+                        entry[2] += 1
+                        break
+                else:
+                    chain.append([norm, doc, 1])
+                    size += len(norm)
+            if size > HELD:
+                yield flush()
+                size = 0
+        yield flush()
+
+    name = kind.simpleString()
+    entries = rows.select("key", "norm", "id").mapInArrow(combine, f"key long, norm string, id {name}, n long")
+    # The directory is bounded (see MOST_BUCKETS). Owner tasks get whole buckets, each a range of keys.
+    owned = entries.withColumn("cell", _cell(bits)).join(F.broadcast(directory), "cell").drop("cell").repartition("bucket").sortWithinPartitions("bucket", "key")
+    names = ["bucket", "local_depth", "key", "chain", "key_size", "keep_id", "group_size", "text_sha256", "text"]
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), id_type, pa.int64(), pa.string(), pa.string())
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, heads, done = None, [], []
+
+        def close() -> None:
+            total = sum(h[2] for h in heads)
+            for k, (data, doc, n) in enumerate(heads):
+                done.append((*last, k, total, doc, n, hashlib.sha256(data.encode("utf-8", "surrogatepass")).hexdigest(), data if len(heads) > 1 else None))
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [[]] * len(names)
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names)
+
+        for batch in batches:
+            for bucket, depth, key, norm, doc, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "local_depth", "key", "norm", "id", "n")), strict=True):
+                if (bucket, depth, key) != last:
+                    close()
+                    last, heads = (bucket, depth, key), []
+                head = next((h for h in heads if h[0] == norm), None)
+                if head is None:
+                    heads.append([norm, doc, n])
+                else:
+                    head[1], head[2] = least(head[1], doc), head[2] + n
+            yield out()
+        close()
+        yield out()
+
+    index = owned.mapInArrow(link, f"bucket int, local_depth int, key long, chain int, key_size long, keep_id {name}, group_size long, text_sha256 string, text string")
+    return Index(materialise(index, path=f"{base}/entries"), directory, bits)
+
+
+def look_up(rows: DataFrame, index: Index, *salt: str) -> DataFrame:
+    """``rows`` (with ``key`` and ``norm``, which goes) joined to their entry: directory cell and key, then bytes where the key has several texts.
+
+    Rows of hot keys are dealt out by a hash of ``salt``.
+    """
+    collided = index.entries.filter("chain > 0").select("key").distinct().limit(COLLIDED + 1)
+    few = collided.collect()
+    if len(few) <= COLLIDED:  # as good as always: 64-bit keys seldom collide
+        some = F.broadcast(rows.sparkSession.createDataFrame(few, collided.schema).withColumn("several", F.lit(True)))
+        rows = rows.join(some, "key", "left").withColumn("bytes", F.when(F.col("several"), F.col("norm"))).drop("several")
+    else:
+        rows = rows.withColumn("bytes", F.col("norm"))
+    joined = spread_join(rows.drop("norm"), index.entries, "key", "key_size", *salt)
+    return joined.filter(F.col("text").isNull() | (F.col("text") == F.col("bytes"))).drop("bytes", "text")
+
+
+def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Column | None = None) -> DataFrame:
     """Per row: id, keep_id, group_size, kept, text_sha256.
 
     A null text counts as empty. Of equal texts the row with the smallest id
     stays; among repeated rows of that id exactly one is ``kept``. Null ids
-    stay only where their group has no other id. Extra columns are ignored.
+    stay only where their group has no other id. Extra columns are ignored; an
+    empty table gives an empty result.
+    """
+    index = build_index(df, id_col, text_col, capacity, key)
+    found = look_up(_keyed(df, id_col, text_col, key), index, "id").select("id", "key", "chain", "keep_id", "group_size", "text_sha256")
+    nth = F.row_number().over(Window.partitionBy("id", "key", "chain").orderBy(F.lit(1)))
+    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (nth == 1)
+    return found.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+
+
+def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, key: Column | None = None) -> DataFrame:
+    """Whole rows that stay, all columns of ``df``; one row per distinct normalised text.
+
+    Nulls, empty tables and the choice of the row are as in
+    ``exact_duplicates``; among rows of one id and text the first by all
+    columns stays.
     """
-    index = materialise(build_index(df, id_col, text_col, capacity), "index").select(F.unhex("text_sha256").alias("sha"), "keep_id", "group_size")
-    rows = _keyed(df, id_col, text_col).select("id", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
-    # Repeated rows of one id are told apart before the join, by a key no hot text shares.
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("id", "sha").orderBy(F.lit(1))))
-    kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)
-    return rows.join(index, "sha").select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-
-
-def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Whole rows that stay, all columns of ``df``; one row per distinct normalised text."""
-    index = materialise(build_index(df, id_col, text_col, capacity), "index").select(F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"), F.col("group_size").alias("__size"))
-    rows = df.withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    joined = rows.join(index, "__sha").filter(F.col(id_col).eqNullSafe(F.col("__keep")))
-    alone = joined.filter("__size = 1")
-    rank = F.row_number().over(Window.partitionBy("__sha").orderBy(*[F.col(c) for c, t in df.dtypes if t in ("bigint", "int", "string", "double")]))
-    several = joined.filter("__size > 1").withColumn("__rank", rank).filter("__rank = 1").drop("__rank")
-    return alone.unionByName(several).select(*df.columns)
+    index = build_index(df, id_col, text_col, capacity, key)
+    rows = _keyed(df, id_col, text_col, key, whole_row(df).alias("row"))
+    joined = look_up(rows, index, "id").filter(F.col("id").eqNullSafe(F.col("keep_id")))
+    order = [F.to_json(F.struct(F.col(f"row.`{c}`"))) if "map<" in t else F.col(f"row.`{c}`") for c, t in df.dtypes]
+    rank = F.row_number().over(Window.partitionBy("key", "chain").orderBy(*order))
+    several = joined.filter("group_size > 1").withColumn("rank", rank).filter("rank = 1")
+    return joined.filter("group_size = 1").select("row.*").unionByName(several.select("row.*"))

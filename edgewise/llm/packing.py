@@ -2,16 +2,19 @@
 
 Only the length histogram (one row a length, ``capacity`` rows at most) comes to
 the driver. The covering program over configurations is solved by
-multiplicative weights, with an unbounded-knapsack table as pricing step; the
-fractional solution is rounded down and what is left goes best fit. The plan is
+multiplicative weights, with an unbounded-knapsack table as pricing step, to a
+gap from its dual bound; the fractional solution is rounded. The plan is
 a short table of runs: pieces of one length, by rank, fill one slot of a run of
 sequences. Pieces get ranks by salted windows and meet the plan in a join.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise
 from .tokens import encoder, tokenizer_path
 
-#: Pieces of one length that one ranking window holds.
+#: Pieces of one length that one ranking window holds at least; with more than its square, the root of their number.
 RANK_BLOCK = 256
+#: Times that what rounding leaves is priced anew before the tail goes best fit.
+RETRIES = 400
 
 
 def split_pieces(df: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,96 +59,181 @@ def split_pieces(df: DataFrame, capacity: int = 1024, path: str | None = None, i
 def _price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: the best value at each room, and the length chosen there (0: leave it)."""
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+    lengths = np.flatnonzero(values)
+    worth = values[lengths]
+    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        with_each = values[1 : room + 1] + best[room - 1 :: -1][:room]
-        k = int(with_each.argmax())
-        if with_each[k] > best[room - 1]:
-            best[room], choice[room] = with_each[k], k + 1
-        else:
-            best[room], choice[room] = best[room - 1], 0
+        best[room] = best[room - 1]
+        if m := upto[room]:
+            each = worth[:m] + best[room - lengths[:m]]
+            k = int(each.argmax())
+            if each[k] > best[room]:
+                best[room], choice[room] = each[k], lengths[k]
     return best, choice
 
 
-def _unfold(room: int, choice: np.ndarray) -> list[int]:
-    out = []
+def _unfold(room: int, choice: np.ndarray) -> Counter:
+    out: Counter = Counter()
     while room > 0:
         if length := int(choice[room]):
-            out.append(length)
+            out[length] += 1
             room -= length
         else:
             room -= 1
     return out
 
 
-def solve_configurations(counts: np.ndarray, capacity: int, rounds: int = 60, step: float = 0.5, tolerance: float = 0.02) -> dict[tuple[int, ...], float]:
-    """Fractional use of each configuration that covers ``counts`` (by length).
+class Program(NamedTuple):
+    """A covering by configurations: sequences used, a bound that no covering beats, the amounts and the prices of lengths."""
+
+    value: float
+    bound: float
+    amounts: dict[tuple[int, ...], float]
+    prices: np.ndarray
+
 
-    Weights rise where coverage lags. Each round prices all configurations that
-    hold one given length and the best fill of its remaining room, and uses
-    those within ``tolerance`` of the best.
+def _cover(counts: np.ndarray, prices: np.ndarray, capacity: int, slack: float = 0.01) -> tuple[float, dict[tuple[int, ...], float], np.ndarray, float]:
+    """Cover ``counts`` by the dearest configurations, priced anew as lengths run out.
+
+    Returns the cost, the amounts, what each length paid (a configuration
+    shares its cost among its pieces by their prices) and the dearest value of
+    all.
+    """
+    left, paid, used, cost, dearest = counts.astype(float), np.zeros(capacity + 1), {}, 0.0, 0.0
+    while (present := np.flatnonzero(left > 1e-9)).size:
+        values = np.zeros(capacity + 1)
+        values[present] = prices[present]
+        best, choice = _price(values, capacity)
+        dearest = dearest or float(best[capacity])
+        worth = prices[present] + best[capacity - present]
+        for length in present[worth >= worth.max() * (1 - slack)][::-1].tolist():
+            if left[length] <= 1e-9:
+                continue
+            pattern = _unfold(capacity - length, choice)
+            pattern[length] += 1
+            lengths = np.fromiter(pattern, dtype=np.int64)
+            times = np.fromiter(pattern.values(), dtype=np.int64)
+            amount = float((left[lengths] / times).min())
+            if amount <= 1e-9:
+                continue
+            left[lengths] -= times * amount
+            cost += amount
+            paid[lengths] += amount * times * prices[lengths] / float(times @ prices[lengths])
+            key = tuple(sorted(pattern.elements(), reverse=True))
+            used[key] = used.get(key, 0.0) + amount
+    return cost, used, paid, dearest
+
+
+def solve_configurations(counts: np.ndarray, capacity: int, gap: float = 0.0025, rounds: int = 40, step: float = 1.0) -> Program:
+    """Fractional covering of ``counts`` (by length) with configurations, by multiplicative weights.
+
+    The weights are prices of lengths. Each round covers all counts with the
+    dearest configurations that a knapsack table finds, and multiplies a
+    length's price by a falling power of what it paid over its price: lengths that only
+    poor configurations take get dearer and go first. Prices over the dearest
+    configuration's value are a dual solution. Ends when value and bound are
+    within ``gap``, or after ``rounds``.
     """
     present = np.flatnonzero(counts)
-    covered = np.zeros(capacity + 1)
-    values = np.zeros(capacity + 1)
-    values[present] = present / capacity
-    used: dict[tuple[int, ...], float] = {}
-    weights = values.copy()
-    for _ in range(rounds):
-        best, choice = _price(weights, capacity)
-        worth = weights[present] + best[capacity - present]
-        chosen = present[worth >= (1 - tolerance) * best[capacity]]
-        patterns = {tuple(sorted([int(length), *_unfold(capacity - int(length), choice)], reverse=True)) for length in chosen}
-        for pattern in patterns:
-            lengths, times = np.unique(pattern, return_counts=True)
-            amount = float((counts[lengths] / times).min()) / rounds * (1 + step)
-            used[pattern] = used.get(pattern, 0.0) + amount
-            covered[lengths] += times * amount
-        lag = covered[present] / counts[present]
-        weights[present] = values[present] * np.exp(step * (lag.mean() - lag) / max(lag.std(), 1e-9) / 4)
-    return used
-
-
-def plan_runs(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Runs (length, first rank, count, first sequence, offset) and the number of sequences.
+    prices = np.zeros(capacity + 1)
+    prices[present] = present / capacity
+    value, bound, amounts, best_prices, mean = math.inf, 0.0, {}, prices.copy(), np.zeros(capacity + 1)
+    for done in range(rounds):
+        cost, used, paid, dearest = _cover(counts, prices, capacity)
+        mean += prices / dearest
+        bound = max(bound, float(counts @ prices) / dearest, float(counts @ mean) / _price(mean, capacity)[0][capacity])
+        if cost < value:
+            value, amounts, best_prices = cost, used, prices.copy()
+        if value <= bound * (1 + gap):
+            break
+        prices[present] *= (paid[present] / (counts[present] * prices[present])) ** (step / (1 + done / 8))
+        # Floor: no price below a hundredth of its share of the volume.
+        prices[present] = np.maximum(prices[present] / float(prices[present] @ counts[present]) * value, present / capacity / 100)
+    return Program(value, bound, amounts, best_prices)
+
+
+class Plan(NamedTuple):
+    """Runs (length, first rank, count, first sequence, offset), the sequences, and the program's value and bound.
 
     Pieces of ``length`` with ranks ``first rank + i`` lie at ``offset`` in
     sequence ``first sequence + i`` for ``i < count``.
     """
+
+    runs: list[tuple[int, int, int, int, int]]
+    sequences: int
+    value: float
+    bound: float
+
+
+def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
+    """The longest piece, then always the longest that fits, as often as the counts allow."""
+    left, out = left.copy(), []
+    while left.any():
+        gap, pattern, spare = capacity, Counter(), left.copy()
+        while (fitting := np.flatnonzero(spare[: gap + 1])).size:
+            length = int(fitting[-1])
+            times = min(int(spare[length]), gap // length)
+            pattern[length] += times
+            spare[length] -= times
+            gap -= length * times
+        times = min(int(left[length]) // n for length, n in pattern.items())
+        for length, n in pattern.items():
+            left[length] -= n * times
+        out.append((pattern, times))
+    return out
+
+
+def _rounded(left: np.ndarray, program: Program, capacity: int) -> list[tuple[Counter, int]]:
+    """Whole parts of the program's amounts; what is left is priced on with the program's prices, one configuration at a time within the counts; the tail goes best fit."""
+    left, out = left.copy(), []
+
+    def take(pattern: Counter, times: int) -> None:
+        for length, n in pattern.items():
+            left[length] -= n * times
+        out.append((pattern, times))
+
+    for key, amount in sorted(program.amounts.items(), key=lambda x: (-x[1], x[0])):
+        pattern = Counter(key)
+        if whole := min(int(amount + 1e-9), min(int(left[length]) // n for length, n in pattern.items())):
+            take(pattern, whole)
+    for _ in range(RETRIES):
+        present = np.flatnonzero(left)
+        if not present.size:
+            break
+        values = np.zeros(capacity + 1)
+        values[present] = program.prices[present]
+        best, choice = _price(values, capacity)
+        top, before = best[capacity] * 0.995, len(out)
+        for length in present[::-1].tolist():
+            while left[length]:
+                pattern = _unfold(capacity - length, choice)
+                pattern[length] += 1
+                if any(left[k] < n for k, n in pattern.items()) or sum(program.prices[k] * n for k, n in pattern.items()) < top:
+                    break
+                take(pattern, min(int(left[k]) // n for k, n in pattern.items()))
+        if len(out) == before:
+            break
+    return out + _best_fit(left, capacity)
+
+
+def plan_runs(histogram: dict[int, int], capacity: int) -> Plan:
+    """Solve the program, round it, and lay the configurations out; never more sequences than best fit alone needs."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
-    rank = np.zeros(capacity + 1, dtype=np.int64)
-    runs: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
-
-    def place(pattern: list[int], times: int) -> None:
-        nonlocal sequences
+    if not left.any():
+        return Plan([], 0, 0.0, 0.0)
+    program = solve_configurations(left, capacity)
+    chosen = min(_rounded(left, program, capacity), _best_fit(left, capacity), key=lambda x: sum(times for _, times in x))
+    rank, runs, sequences = np.zeros(capacity + 1, dtype=np.int64), [], 0
+    for pattern, times in chosen:
         offset = 0
-        for length in pattern:
+        for length in sorted(pattern.elements(), reverse=True):
             runs.append((length, int(rank[length]), times, sequences, offset))
             rank[length] += times
-            left[length] -= times
             offset += length
         sequences += times
-
-    if left.any():
-        fractional = solve_configurations(left.copy(), capacity)
-        for pattern, amount in sorted(fractional.items(), key=lambda x: (sum(x[0]) != capacity, -x[1], x[0])):
-            lengths, times = np.unique(pattern, return_counts=True)
-            if whole := min(int(amount), int((left[lengths] // times).min())):
-                place(list(pattern), whole)
-    while left.any():  # the rest: the longest piece, then always the longest that fits
-        gap, pattern, spare = capacity, [], left.copy()
-        while True:
-            fitting = np.flatnonzero(spare[: gap + 1])
-            if not len(fitting):
-                break
-            pattern.append(int(fitting[-1]))
-            spare[fitting[-1]] -= 1
-            gap -= int(fitting[-1])
-        lengths, times = np.unique(pattern, return_counts=True)
-        place(pattern, int((left[lengths] // times).min()))
-    return runs, sequences
+    return Plan(runs, sequences, program.value, program.bound)
 
 
 def pack_best_fit(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> DataFrame:
@@ -161,11 +251,11 @@ def pack_best_fit(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id
         raise ValueError(f"piece lengths outside 1..{capacity}: {bad[:5]}")
     full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
     histogram.pop(capacity, None)
-    runs, _ = plan_runs(histogram, capacity)
+    runs = plan_runs(histogram, capacity).runs
     if not runs:
         return full
     plan = spark.createDataFrame(runs, "length long, first_rank long, run long, first_sequence long, offset long")
-    blocks = spark.createDataFrame([(k, -(-n // RANK_BLOCK)) for k, n in histogram.items()], "length long, blocks long")
+    blocks = spark.createDataFrame([(k, -(-n // max(RANK_BLOCK, math.isqrt(n)))) for k, n in histogram.items()], "length long, blocks long")
     rest = pieces.filter(F.col("length") < capacity).join(F.broadcast(blocks), "length")  # a row a length
     rest = rest.withColumn("__block", F.pmod(F.xxhash64(id_col, "piece", "start", "ids_crc32"), F.col("blocks"))).drop("blocks")
     counts = rest.groupBy("length", "__block").agg(F.count("*").alias("__n"))
