@@ -3,9 +3,10 @@
 A rolling hash over the ids cuts each document's stream into chunks, so equal
 passages give equal chunks wherever they stand. One shuffle by chunk digest
 lets owner tasks write each unique chunk once; document recipes travel in the
-same shuffle and are then written in ascending id order with their Merkle
-roots. Reading back re-hashes every stored chunk, checks the roots and derives
-each document's checksum from its chunks' checksums.
+same shuffle and are then written in ascending id order, with a Merkle tree
+over the documents of each part and a manifest of the parts' roots. Reading
+back checks the recipes against the manifest, re-hashes every stored chunk and
+derives each document's checksum from its chunks' checksums.
 """
 
 from __future__ import annotations
@@ -17,41 +18,68 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import bounded_batches, fresh_path, materialise
+from .common import bounded_batches, fresh_path, materialise, spread_join
 from .tokens import encoder, tokenizer_path
 
 #: Chunk sizes in ids: least, mean beyond the least, most; and the ids that a rolling hash covers.
 LEAST, MEAN, MOST, WINDOW = 64, 256, 1024, 16
 #: Digests of chunks a worker has sent already; the set is emptied when full.
 SEEN = 300_000
+#: Ids whose rolling hashes are computed together.
+TOGETHER = 500_000
 
 
 def digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+class Merkle:
+    """Merkle root of a stream of leaves in logarithmic memory; an odd node moves up unpaired."""
+
+    def __init__(self) -> None:
+        self.peaks: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.peaks and self.peaks[-1][0] == height:
+            leaf = digest(self.peaks.pop()[1] + leaf)
+            height += 1
+        self.peaks.append((height, leaf))
+
+    def root(self) -> bytes:
+        out = b""
+        for _, peak in reversed(self.peaks):
+            out = digest(peak + out) if out else peak
+        return out or digest(b"")
+
+
 def merkle_root(leaves: list[bytes]) -> bytes:
-    """Root over chunk digests; an odd node moves up unpaired."""
-    level = list(leaves) or [digest(b"")]
-    while len(level) > 1:
-        level = [digest(b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    tree = Merkle()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
-def cut_points(ids: np.ndarray) -> list[int]:
-    """Ends of chunks: where the rolling hash of the last ``WINDOW`` ids falls in one of ``MEAN`` classes."""
-    n = len(ids)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-    mixed ^= mixed >> np.uint64(29)
-    rolled = np.zeros(n, dtype=np.uint64)
-    for back in range(min(WINDOW, n)):
-        rolled[back:] += mixed[: n - back] << np.uint64(back)
-    marks = np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where the rolling hash of the last ``WINDOW`` ids falls in one of ``MEAN`` classes; the window doubles step by step."""
+    rolled = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    rolled ^= rolled >> np.uint64(29)
+    width = 1
+    while width < WINDOW:
+        rolled[width:] += rolled[:-width] << np.uint64(width)
+        width *= 2
+    return np.flatnonzero((rolled >> np.uint64(40)) % np.uint64(MEAN) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
     ends, last = [], 0
-    for mark in [*marks.tolist(), n]:
+    for mark in [*marks, n]:
         while mark - last > MOST:
             last += MOST
             ends.append(last)
@@ -61,29 +89,58 @@ def cut_points(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cut_points(ids: np.ndarray) -> list[int]:
+    """Ends of chunks: at marks of the rolling hash, ``LEAST`` to ``MOST`` ids apart."""
+    return _ends(_marks(ids).tolist(), len(ids))
+
+
+def _cuts(raws: list[bytes]) -> Iterator[list[int]]:
+    """Cut points of many documents, hashed together: no mark counts in a document's first ``LEAST`` ids, so none sees its neighbour."""
+    assert WINDOW <= LEAST
+    at = 0
+    while at < len(raws):
+        to, size = at, 0
+        while to < len(raws) and (to == at or size + len(raws[to]) <= 4 * TOGETHER):
+            size += len(raws[to])
+            to += 1
+        bounds = np.cumsum([0, *[len(r) // 4 for r in raws[at:to]]])
+        marks = _marks(np.frombuffer(b"".join(raws[at:to]), dtype="<u4"))
+        places = np.searchsorted(marks, bounds, side="right").tolist()
+        for k, (start, end) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+            yield _ends((marks[places[k] : places[k + 1]] - start).tolist(), end - start)
+        at = to
+
+
 _OUT = "chunk boolean, key binary, payload binary, id {kind}, n_tokens long, digests array<binary>, root binary"
 
 
+def _batch(rows: list[tuple], names: str, *types: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types, strict=True)], names.split())
+
+
 def chunk_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Chunk rows (``key`` digest, ``payload`` 16-bit ids) and recipe rows of every document.
 
     A null or empty text is the end id alone. Repeated rows give repeated
-    recipes over the same chunks.
+    recipes over the same chunks. An empty table gives no rows.
     """
     path = path or tokenizer_path()
     bounded_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
+    kind = df.schema[id_col].dataType
+    types = (pa.bool_(), pa.binary(), pa.binary(), to_arrow_type(kind), pa.int64(), pa.list_(pa.binary()), pa.binary())
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for frame in frames:
+        for batch in batches:
             rows = []
-            for doc, raw in zip(frame["id"], encoder(path).batch(frame["text"].tolist()), strict=True):
+            raws = encoder(path).batch(batch.column("text").to_pylist())
+            for doc, raw, ends in zip(batch.column("id").to_pylist(), raws, _cuts(raws), strict=True):
                 ids = np.frombuffer(raw, dtype="<u4")
-                small = ids.astype("<u2") if ids.max() < 65536 else ids
-                leaves, start = [], 0
-                for end in cut_points(ids):
-                    payload = bytes([small.itemsize]) + small[start:end].tobytes()
+                small, fits, leaves, start = ids.astype("<u2").tobytes(), ids.max() < 65536, [], 0
+                for end in ends:
+                    # The form depends on the chunk alone, so that equal chunks of unlike documents are equal.
+                    payload = b"\2" + small[2 * start : 2 * end] if fits or ids[start:end].max() < 65536 else b"\4" + raw[4 * start : 4 * end]
                     leaves.append(digest(payload))
                     start = end
                     if leaves[-1] not in seen:
@@ -92,50 +149,62 @@ def chunk_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_i
                         seen.add(leaves[-1])
                         rows.append((True, leaves[-1], payload, None, None, None, None))
                 rows.append((False, digest(raw[:256] + repr(doc).encode()), None, doc, len(ids), leaves, merkle_root(leaves)))
-            out = pd.DataFrame(rows, columns=["chunk", "key", "payload", "id", "n_tokens", "digests", "root"])
-            yield out.astype({"n_tokens": "Int64", "id": "Int64" if kind in ("bigint", "int") else object})
+            yield _batch(rows, "chunk key payload id n_tokens digests root", *types)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, _OUT.format(kind=kind))
+    return rows.mapInArrow(cut, _OUT.format(kind=kind.simpleString()))
+
+
+def _leaf(doc: object, n: int, at: int, before: int, root: bytes) -> bytes:
+    """A document's leaf in its part's tree: id, length, place and content."""
+    return digest(repr((doc, n, at, before)).encode("utf-8", "surrogatepass") + root)
 
 
 def write_store(df: DataFrame, base: str | None = None, path: str | None = None, id_col: str = "doc_id") -> str:
-    """Write ``chunks``, ``recipes`` (ascending ids) and ``manifest`` under a shared folder; return the folder."""
+    """Write ``parts`` (chunks), ``recipes`` (ascending ids) and ``manifest`` under a shared folder; return the folder.
+
+    The manifest has documents, ids and Merkle root of each recipe part, and in
+    part -1 their sums and the root over the parts' roots.
+    """
     spark = df.sparkSession
     base = base or fresh_path(spark, "store")
     rows = chunk_documents(df, path, id_col)
     dealt = rows.repartition(F.col("chunk"), F.col("key")).sortWithinPartitions("chunk", "key")
 
-    def once(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for frame in frames:
-            keys = frame["key"].tolist()
-            new = [not c or k != p for c, k, p in zip(frame["chunk"], keys, [last, *keys[:-1]], strict=True)]
+        for batch in batches:
+            keys = batch.column("key").to_pylist()
+            yield batch.filter(pa.array([not c or k != p for c, k, p in zip(batch.column("chunk").to_pylist(), keys, [last, *keys[:-1]], strict=True)], type=pa.bool_()))
             last = keys[-1] if keys else last
-            yield frame[new]
 
-    materialise(dealt.mapInPandas(once, rows.schema), "", f"{base}/parts", partition_by="chunk")
+    materialise(dealt.mapInArrow(once, rows.schema), "", f"{base}/parts", partition_by="chunk")
     recipes = spark.read.schema(rows.schema).parquet(f"{base}/parts").filter(~F.col("chunk")).select("id", "n_tokens", "digests", "root")
     ordered = recipes.repartitionByRange(F.col("id"), F.col("root")).sortWithinPartitions("id", "root")
-    kind = df.schema[id_col].dataType.simpleString()
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, at, chain = 0, 0, b""
-        for frame in frames:
-            n = frame["n_tokens"].to_numpy(dtype=np.int64)
-            total, chains = np.cumsum(n), []
-            for root in frame["root"]:
-                chain = digest(chain + root)
-                chains.append(chain)
-            yield frame.assign(at=np.arange(at, at + len(n)), before=before + total - n, chain=chains)
-            before, at = before + int(total[-1]) if len(n) else before, at + len(n)
-
-    placed = ordered.mapInPandas(place, f"id {kind}, n_tokens long, digests array<binary>, root binary, at long, before long, chain binary")
-    placed = materialise(placed.withColumn("part", F.spark_partition_id()), "", f"{base}/recipes")
-    # A part's root is the running digest over its documents' roots, so no task gathers them.
-    totals = placed.groupBy("part").agg(F.sum("n_tokens").alias("ids"), F.count("*").alias("documents"), F.max_by("chain", "at").alias("root"))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a recipe file
-    materialise(totals.withColumn("start", F.coalesce(F.sum("ids").over(ahead), F.lit(0))), "", f"{base}/manifest")
+    kind = df.schema[id_col].dataType
+    types = (to_arrow_type(kind), pa.int64(), pa.list_(pa.binary()), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, before, at, part, names = Merkle(), 0, 0, TaskContext.get().partitionId(), "id n_tokens digests root at before part total"
+        for batch in batches:
+            out = []
+            for doc, n, digests, root in zip(*(batch.column(c).to_pylist() for c in ("id", "n_tokens", "digests", "root")), strict=True):
+                tree.add(_leaf(doc, n, at, before, root))
+                out.append((doc, n, digests, root, at, before, part, False))
+                before, at = before + n, at + 1
+            yield _batch(out, names, *types)
+        if at:
+            yield _batch([(None, before, None, tree.root(), at, before, part, True)], names, *types)
+
+    placed = ordered.mapInArrow(place, f"id {kind.simpleString()}, n_tokens long, digests array<binary>, root binary, at long, before long, part int, total boolean")
+    placed = materialise(placed, "", f"{base}/recipes", partition_by="total")
+    totals = placed.filter("total").select("part", F.col("at").alias("documents"), F.col("n_tokens").alias("ids"), "root").orderBy("part").collect()  # a row a recipe part
+    start, lines = 0, []
+    for r in totals:
+        lines.append((r["part"], r["documents"], r["ids"], r["root"], start))
+        start += r["ids"]
+    lines.append((-1, sum(r["documents"] for r in totals), start, bytearray(merkle_root([bytes(r["root"]) for r in totals])), 0))
+    materialise(spark.createDataFrame(lines, "part int, documents long, ids long, root binary, start long").coalesce(1), "", f"{base}/manifest")
     return base
 
 
@@ -184,46 +253,92 @@ def _ids(payload: bytes) -> np.ndarray:
 
 def read_chunks(spark, base: str) -> DataFrame:
     """Stored chunks: ``key``, ``n`` ids, ``crc`` of the ids and whether the bytes hash to the key."""
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids = [_ids(p) for p in frame["payload"]]
-            yield pd.DataFrame({"key": frame["key"], "n": [len(x) for x in ids], "crc": [zlib.crc32(x.tobytes()) for x in ids], "sound": [digest(p) == k for k, p in zip(frame["key"], frame["payload"], strict=True)]})
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                ids = _ids(payload)
+                out.append((key, len(ids), zlib.crc32(ids.tobytes()), digest(payload) == key))
+            yield _batch(out, "key n crc sound", pa.binary(), pa.int64(), pa.int64(), pa.bool_())
 
     chunks = spark.read.schema("chunk boolean, key binary, payload binary").parquet(f"{base}/parts").filter("chunk").select("key", "payload")
-    return chunks.mapInPandas(verify, "key binary, n long, crc long, sound boolean")
+    return chunks.mapInArrow(verify, "key binary, n long, crc long, sound boolean")
 
 
 def _recipes(spark, base: str, id_kind: str) -> DataFrame:
-    recipes = spark.read.schema(f"id {id_kind}, n_tokens long, digests array<binary>, root binary, at long, before long, part int").parquet(f"{base}/recipes")
+    recipes = spark.read.schema(f"id {id_kind}, n_tokens long, digests array<binary>, root binary, at long, before long, part int, total boolean").parquet(f"{base}/recipes").filter("not total").drop("total")
     manifest = spark.read.parquet(f"{base}/manifest").select("part", F.col("start").alias("part_start"))
-    return recipes.join(F.broadcast(manifest), "part")  # one row a recipe file
+    return recipes.join(F.broadcast(manifest), "part")  # a row a recipe part
+
+
+def check_manifest(spark, base: str, id_kind: str = "bigint") -> None:
+    """Raise ValueError unless the recipes are those of the manifest: their parts, documents, ids, order and roots."""
+    rows = _recipes(spark, base, id_kind).select("part", "at", "before", "id", "n_tokens", "digests")
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, tree, documents, ids, done = None, Merkle(), 0, 0, []
+        types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        for batch in batches:
+            for own, at, before, doc, n, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "before", "id", "n_tokens", "digests")), strict=True):
+                if own != part:
+                    if part is not None:
+                        done.append((part, documents, ids, tree.root()))
+                    part, tree, documents, ids = own, Merkle(), 0, 0
+                tree.add(_leaf(doc, n, at, before, merkle_root(digests)))
+                documents, ids = documents + 1, ids + n
+            yield _batch(done, "part documents ids root", *types)
+            done = []
+        if part is not None:
+            yield _batch([(part, documents, ids, tree.root())], "part documents ids root", *types)
+
+    found = rows.repartition("part").sortWithinPartitions("part", "at").mapInArrow(roots, "part int, documents long, ids long, root binary").orderBy("part").collect()  # a row a recipe part
+    lines = {r["part"]: r for r in spark.read.parquet(f"{base}/manifest").collect()}
+    head = lines.pop(-1, None)
+    told = [(r["part"], r["documents"], r["ids"], bytes(r["root"])) for _, r in sorted(lines.items())]
+    if told != [(r["part"], r["documents"], r["ids"], bytes(r["root"])) for r in found]:
+        raise ValueError("the recipes are not those of the manifest")
+    if not head or (head["documents"], head["ids"], bytes(head["root"])) != (sum(x[1] for x in told), sum(x[2] for x in told), merkle_root([x[3] for x in told])):
+        raise ValueError("the manifest's own root does not hold")
 
 
 def read_store(spark, base: str, id_kind: str = "bigint") -> DataFrame:
     """Per document from the files: id, start, n_tokens, ids_crc32, ``verified``.
 
-    ``verified``: every chunk is there and sound, the ids add up and the Merkle root holds.
+    Raises ValueError where recipes and manifest differ. ``verified``: every
+    chunk is there and sound, the ids add up and the Merkle root holds.
     """
+    check_manifest(spark, base, id_kind)
     recipes = _recipes(spark, base, id_kind)
     uses = recipes.select("part", "at", F.posexplode("digests").alias("k", "key"))
-    found = uses.join(read_chunks(spark, base), "key", "left")
-    facts = found.groupBy("part", "at").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "sound", "key"))).alias("chunks"))
-    whole = recipes.select("part", "at", "id", "n_tokens", "root", (F.col("part_start") + F.col("before")).alias("start")).join(facts, ["part", "at"], "left")
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            lists = [list(x) if x is not None else [] for x in frame["chunks"]]
-            crc, good = np.zeros(len(lists), dtype=np.uint32), np.zeros(len(lists), dtype=bool)
-            for i, parts in enumerate(lists):
-                good[i] = all(p["sound"] for p in parts) and sum(p["n"] or 0 for p in parts) == frame["n_tokens"].iloc[i] and merkle_root([p["key"] for p in parts]) == frame["root"].iloc[i]
-            for k in range(max(map(len, lists), default=0)):
-                rows = np.array([i for i, parts in enumerate(lists) if len(parts) > k and parts[k]["crc"] is not None], dtype=np.int64)
-                if len(rows):
-                    nth = [lists[i][k] for i in rows]
-                    crc[rows] = crc_concat(crc[rows], np.array([p["crc"] for p in nth], dtype=np.uint32), np.array([4 * p["n"] for p in nth], dtype=np.int64))
-            yield pd.DataFrame({"id": frame["id"], "start": frame["start"], "n_tokens": frame["n_tokens"], "ids_crc32": crc.astype(np.int64), "verified": good})
-
-    return whole.mapInPandas(fold, f"id {id_kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
+    often = uses.groupBy("key").agg(F.count("*").alias("uses"))
+    facts = materialise(read_chunks(spark, base).join(often, "key"), "facts")
+    found = spread_join(uses, facts, "key", "uses", "part", "at")
+    lists = found.groupBy("part", "at").agg(F.sort_array(F.collect_list(F.struct("k", "n", "crc", "sound", "key"))).alias("chunks"))
+    whole = recipes.select("part", "at", "id", "n_tokens", "root", (F.col("part_start") + F.col("before")).alias("start")).join(lists, ["part", "at"], "left")
+    whole = whole.select("id", "start", "n_tokens", "root", *[F.coalesce(F.col(f"chunks.{c}"), F.array()).alias(c) for c in ("n", "crc", "sound", "key")])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = {c: batch.column(c).flatten() for c in ("n", "crc", "sound", "key")}
+            size = batch.column("n").value_lengths().to_numpy(zero_copy_only=False)
+            first = np.cumsum(size) - size
+            n, parts = column["n"].to_numpy(zero_copy_only=False), column["crc"].to_numpy(zero_copy_only=False).astype(np.uint32)
+            doc = np.repeat(np.arange(len(size)), size)
+            tokens = batch.column("n_tokens").to_numpy(zero_copy_only=False)
+            good = np.bincount(doc, weights=n, minlength=len(size)).astype(np.int64) == tokens
+            good[doc[~column["sound"].to_numpy(zero_copy_only=False).astype(bool)]] = False
+            keys, roots = column["key"].to_pylist(), batch.column("root").to_pylist()
+            good &= np.array([merkle_root(keys[a : a + m]) == root for a, m, root in zip(first.tolist(), size.tolist(), roots, strict=True)], dtype=bool)
+            crc = np.zeros(len(size), dtype=np.uint32)
+            for k in range(int(size.max(initial=0))):
+                rows = np.flatnonzero(size > k)
+                at = first[rows] + k
+                crc[rows] = crc_concat(crc[rows], parts[at], 4 * n[at])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64)), pa.array(good)], ["id", "start", "n_tokens", "ids_crc32", "verified"])
+
+    return whole.mapInArrow(fold, f"id {id_kind}, start long, n_tokens long, ids_crc32 long, verified boolean")
 
 
 def reconstruct(spark, base: str, id_kind: str = "bigint") -> DataFrame:

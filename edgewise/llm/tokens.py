@@ -7,15 +7,20 @@ import sys
 from array import array
 from functools import lru_cache
 
+import numpy as np
+
 #: Fixed value: the id that ends a document.
 END_ID = 2
 #: Words kept per worker; a full table takes no more, and words it lacks are worked out each time.
 CACHE_WORDS = 1_000_000
 
-#: Fixed value: the byte-level pre-tokenizer's split, for the characters of ``_SIMPLE``.
-_WORD = re.compile(r" ?[^\W\d_]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Texts of these characters only: on them Python's classes equal the tokenizer's.
+#: Letters among the characters of ``_SIMPLE``, and those characters: on them Python's classes equal the tokenizer's.
+_LETTERS = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
+#: Fixed value: the byte-level pre-tokenizer's split, for the characters of ``_SIMPLE``.
+_WORD = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+#: Words that are encoded in one line-by-line text.
+LINES = 200
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -29,7 +34,8 @@ class Encoder:
 
     Merges never cross the pre-tokenizer's words, so a word's ids are worked out
     once by the library and looked up from then on. A text with characters on
-    which two regular-expression engines might differ goes to the library whole.
+    which two regular-expression engines might differ, or with the string of a
+    special token, goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -39,7 +45,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.line_end = self.library.encode("\n", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {}
 
     @staticmethod
@@ -49,12 +56,21 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return self._bytes(self.library.encode(text, add_special_tokens=False).ids)
 
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words. A line end is a word of its own before any word that does not start with one, so words go line by line."""
+        lines, found = [w for w in words if not w[-1].isspace()], {}
+        texts = ["\n".join(lines[k : k + LINES]) for k in range(0, len(lines), LINES)]
+        for k, encoded in enumerate(self.library.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, dtype="<u4")
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.line_end[0])).tolist()
+            starts = [0, *[e + 4 for e in ends]]
+            found.update(zip(lines[k * LINES : (k + 1) * LINES], (raw[a:b] for a, b in zip(starts, [*ends, len(raw)], strict=True)), strict=True))
+        return found | {w: self.whole(w) for w in words if w[-1].isspace()}
+
     def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """A table with the ids of these words; new ones come from one library call."""
+        """A table with the ids of these words; new ones come from the library."""
         known = self.words
-        new = [w for w in words if w not in known]
-        encoded = self.library.encode_batch_fast(new, add_special_tokens=False) if new else []
-        found = {w: self._bytes(x.ids) for w, x in zip(new, encoded, strict=True)}
+        found = self._encode_words([w for w in words if w not in known])
         if len(known) < CACHE_WORDS:
             known.update(found)
             return known
@@ -63,8 +79,8 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and then ``END_ID``; a null text counts as empty."""
         end = END_ID.to_bytes(4, "little")
-        split = [_WORD.findall(t) if t and _SIMPLE.fullmatch(t) else None for t in texts]
-        get = self._learn({w for words in split if words for w in words}).__getitem__
+        split = [_WORD.findall(t) if t and _SIMPLE.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
+        get = self._learn(set().union(*filter(None, split))).__getitem__
         return [b"".join([*map(get, words), end]) if words is not None else self.whole(t or "") + end for t, words in zip(texts, split, strict=True)]
 
 

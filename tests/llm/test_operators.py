@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from edgewise.llm import common, exact_dedup, language, media, mixing, near_dedup, packing, quality, queries, secrets, store, toxicity
 from edgewise.llm.common import held_out
@@ -202,10 +203,13 @@ def test_pieces_are_the_documents_ids(spark, odd):
 
 
 def test_encoder_equals_the_library():
-    rng, tool = random.Random(7), encoder(tokenizer_path())
-    parts = ["a", "é", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "²", "_", "!", "ab ", " x", "日", "\x1c", "<|endoftext|>"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
-    assert [x[:-4] for x in tool.batch(texts)] == [tool.whole(t) for t in texts]
+    """A fresh tokenizer of the library, whose special tokens in a text are special."""
+    rng, tool, plain = random.Random(7), encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    parts = ["a", "é", " ", "  ", "\n", "\t", "'", "'s", "'ll", "1", "²", "_", "!", "ab ", " x", "日", "\x1c", "<|endoftext|>", "<|endoftext", "ª", "ß", "\r\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 14))) for _ in range(6000)] + ["a<|endoftext|>b"]
+    found = [np.frombuffer(x[:-4], dtype="<u4").tolist() for x in tool.batch(texts)]
+    assert found == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert found[-1] == [64, 50256, 65]
 
 
 # 4 exact dedup
@@ -292,6 +296,53 @@ def test_store_round_trip(spark, odd):
     assert len(keys) == len({bytes(k) for k in keys})
 
 
+def merkle_by_levels(leaves):
+    level = list(leaves) or [store.digest(b"")]
+    while len(level) > 1:
+        level = [store.digest(b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    return level[0]
+
+
+def test_streamed_merkle_root():
+    leaves = [store.digest(bytes([k])) for k in range(40)]
+    assert all(store.merkle_root(leaves[:n]) == merkle_by_levels(leaves[:n]) for n in range(40))
+
+
+def test_documents_hashed_together_cut_alike():
+    rng = np.random.default_rng(22)
+    raws = [rng.integers(0, 50_000, int(n)).astype("<u4").tobytes() for n in [*rng.integers(1, 3000, 40), 1, 5, 20_000]]
+    assert list(store._cuts(raws)) == [store.cut_points(np.frombuffer(r, dtype="<u4")) for r in raws]
+
+
+def test_damage_is_noticed(spark, empty):
+    docs = spark.createDataFrame([(i, words(i, 300)) for i in range(40)], "doc_id long, text string")
+    base = store.write_store(docs)
+    store.check_manifest(spark, base)
+
+    def damaged(name, change):
+        other = common.fresh_path(spark, "store")
+        for table in ("parts", "recipes", "manifest"):
+            df = spark.read.option("recursiveFileLookup", "false").parquet(f"{base}/{table}")
+            part = {"parts": "chunk", "recipes": "total"}.get(table)
+            writer = (change(df) if table == name else df).write
+            (writer.partitionBy(part) if part else writer).parquet(f"{other}/{table}")
+        return other
+
+    for change in (
+        lambda d: d.filter("id <> 7 or id is null"), lambda d: d.withColumn("at", F.when(F.col("id") == 3, F.lit(0)).otherwise(F.col("at"))), lambda d: d.unionByName(d.filter("id = 5")),
+        lambda d: d.withColumn("digests", F.when(F.col("id") == 9, F.reverse("digests")).otherwise(F.col("digests"))),
+    ):
+        with pytest.raises(ValueError, match="manifest"):
+            store.read_store(spark, damaged("recipes", change))
+    with pytest.raises(ValueError, match="manifest"):
+        store.check_manifest(spark, damaged("manifest", lambda d: d.withColumn("root", F.when(F.col("part") == -1, F.unhex(F.lit("00"))).otherwise(F.col("root")))))
+    flipped = damaged("parts", lambda d: d.withColumn("payload", F.when(F.col("key") == d.filter("payload is not null").agg(F.min("key")).first()[0], F.concat("payload", F.unhex(F.lit("0000")))).otherwise(F.col("payload"))))
+    assert store.read_store(spark, flipped).filter("not verified").count() >= 1
+    lost = damaged("parts", lambda d: d.filter(~F.col("chunk") | (F.col("key") != d.filter("payload is not null").agg(F.max("key")).first()[0])))
+    assert store.read_store(spark, lost).filter("not verified").count() >= 1
+    assert store.read_store(spark, store.write_store(empty)).isEmpty()
+
+
 def test_checksums_concatenate():
     rng = np.random.default_rng(8)
     parts = [rng.bytes(int(n)) for n in rng.integers(0, 5000, 12)]
