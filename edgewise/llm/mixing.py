@@ -11,17 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewise.functions.expressions import hash_draw
+
+from .common import whole_row
+
 #: Distinct sources up to which the rate table may be broadcast.
 BROADCAST_SOURCES = 10_000
 #: Greatest rate drawn at once; exp(-rate) underflows from about 745 on.
 MOST_RATE = 500.0
 
 
-def hash_draw(key: Column) -> Column:
-    """60-bit integer from the SHA-256 of a string; other SQL engines give the same."""
-    return F.conv(F.substring(F.sha2(key.cast("binary"), 256), 1, 15), 16, 10).cast("long")
-
-
 def source_rates(df: DataFrame, source_col: str = "source", weights: dict[str, float] | None = None, power: float = 0.5, budget: float = 1.0) -> DataFrame:
     """``source``, rows ``n`` and mean repetition ``rate`` of each source.
 
@@ -62,22 +61,28 @@ def poisson_count(key: Column, rate: Column) -> Column:
     return F.when(rate <= MOST_RATE, _inverse_poisson(uniform(key), rate)).otherwise(F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), add))
 
 
-def mix_sources(df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5, budget: float = 1.0, seed: str = "mix", partitions: int | None = None) -> DataFrame:
-    """All columns of ``df``, each row once per copy, with ``__copy`` and ``__order``, in global order of ``__order``.
+def mix_sources(
+    df: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict[str, float] | None = None, power: float = 0.5, budget: float = 1.0, seed: str = "mix",
+    partitions: int | None = None, copy_col: str | None = "__copy", order_col: str | None = "__order",
+) -> DataFrame:
+    """All columns of ``df``, each row once per copy, in one global hash order.
 
-    Repeated rows of one id draw alike. A null id draws as the empty string. An
-    empty table gives an empty result.
+    ``copy_col`` numbers a row's copies and ``order_col`` holds the order; with
+    None they are left out, and a column of ``df`` with such a name gives way.
+    Repeated rows of one id draw alike. A null id draws as the empty string, a
+    null source is a source. Texts may be null, empty or long: they aren't
+    read. An empty table gives an empty result.
     """
-    rates = source_rates(df, source_col, weights, power, budget)
-    sources = rates.count()
-    rates = rates.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"))
-    if sources <= BROADCAST_SOURCES:
+    rates = source_rates(df, source_col, weights, power, budget).select("source", "rate")
+    if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
-    key = F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rated = df.join(rates, F.col(source_col).eqNullSafe(F.col("__source")))
-    counted = rated.withColumn("__n", poisson_count(key, F.col("__rate"))).filter("__n > 0")
-    copies = counted.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    order = hash_draw(F.concat(F.lit("order:"), key, F.lit(":"), F.col("__copy").cast("string")))
-    ordered = copies.withColumn("__order", order)
-    ordered = ordered.repartitionByRange(partitions, "__order") if partitions else ordered.repartitionByRange(F.col("__order"))
-    return ordered.sortWithinPartitions("__order").drop("__source", "__rate", "__n")
+    kept = [c for c in df.columns if c not in (copy_col, order_col)]
+    rows = df.select(whole_row(df.select(*[F.col(f"`{c}`") for c in kept])).alias("row"), F.col(source_col).alias("own"), F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
+    counted = rows.join(rates, F.col("own").eqNullSafe(F.col("source"))).withColumn("n", poisson_count(F.col("key"), F.col("rate"))).filter("n > 0")
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    ordered = copies.select("row", "copy", hash_draw(F.concat(F.lit("order:"), F.col("key"), F.lit(":"), F.col("copy").cast("string"))).alias("place"))
+    # The order is even over 60 bits, so its leading part says where a row goes; no range needs to be sampled.
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = ordered.repartitionById(n, F.floor(F.col("place") / float(1 << 60) * n).cast("int")).sortWithinPartitions("place")
+    more = [F.col(c).alias(name) for c, name in (("copy", copy_col), ("place", order_col)) if name]
+    return dealt.select("row.*", *more)

@@ -78,11 +78,15 @@ SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_s
 _OP9 = """
 WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 rates AS (SELECT source, pow(n, 0.5) / sum(pow(n, 0.5)) OVER () * sum(n) OVER () / n AS rate FROM sizes),
-draws AS (SELECT d.doc_id, d.source, d.text, r.rate, ('0x' || substr(sha256('mix:' || d.doc_id), 1, 15))::BIGINT / 1152921504606846976.0 AS u
-          FROM documents d JOIN rates r USING (source)),
-counted AS (SELECT *, len(list_filter(range(0, 64), lambda j: list_sum(list_transform(range(0, j + 1), lambda i: exp(-rate) * pow(rate, i) / gamma(i + 1.0))) <= u)) AS k FROM draws),
-copies AS (SELECT doc_id, source, text, unnest(range(1, k + 1)) AS copy FROM counted)
-SELECT doc_id, source, copy, ('0x' || substr(sha256('order:mix:' || doc_id || ':' || copy), 1, 15))::BIGINT AS order_key, sha256(coalesce(text, '')) AS text_sha256 FROM copies
+parts AS (SELECT d.doc_id, d.source, d.text, 'mix:' || coalesce(d.doc_id::VARCHAR, '') AS key,
+                 CASE WHEN rate <= 500 THEN [''] ELSE list_transform(range(1, ceil(rate / 500)::BIGINT + 1), lambda i: 'part:' || i || ':') END AS names,
+                 rate / greatest(ceil(rate / 500), 1) AS lam
+          FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
+counted AS (SELECT *, list_sum(list_transform(names, lambda p: len(list_filter(range(0, ceil(lam + 12 * sqrt(lam) + 24)::BIGINT),
+                lambda j: list_sum(list_transform(range(0, j + 1), lambda i: exp(i * ln(lam) - lam - lgamma(i + 1.0))))
+                          <= ('0x' || substr(sha256(p || key), 1, 15))::BIGINT / 1152921504606846976.0)))) AS k FROM parts),
+copies AS (SELECT doc_id, source, text, key, unnest(range(1, k::BIGINT + 1)) AS copy FROM counted)
+SELECT doc_id, source, copy, ('0x' || substr(sha256('order:' || key || ':' || copy), 1, 15))::BIGINT AS order_key, sha256(coalesce(text, '')) AS text_sha256 FROM copies
 """
 
 

@@ -541,6 +541,44 @@ def test_high_rates_stay_poisson(spark):
         assert abs(mean - rate) < 5 * math.sqrt(rate / 600) and 0.7 < spread / rate < 1.35
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.1, 1.0, 37.0, 499.0, 700.0, 3000.0])
+def test_counts_are_exact_quantiles(spark, rate):
+    """Each draw against the distribution function itself, summed in log space."""
+    def quantile(u, lam):
+        k, total = 0, 0.0
+        while True:
+            total += math.exp(k * math.log(lam) - lam - math.lgamma(k + 1)) if lam else 1.0
+            if total > u:
+                return k
+            k += 1
+
+    draw = lambda key: int(hashlib.sha256(key.encode()).hexdigest()[:15], 16) / 2**60
+    m = math.ceil(rate / 500)
+    found = spark.range(60).select(mixing.poisson_count(F.concat(F.lit("q:"), F.col("id").cast("string")), F.lit(rate)).alias("k")).collect()
+    for i, r in enumerate(found):
+        wanted = quantile(draw(f"q:{i}"), rate) if rate <= 500 else sum(quantile(draw(f"part:{p}:q:{i}"), rate / m) for p in range(1, m + 1))
+        assert r["k"] == wanted
+
+
+def test_mixing_sql_at_high_rates(spark, tmp_path):
+    """A rare source among many rows: rates over 64 and over 500."""
+    n = 280_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, None).when(F.col("id") < 9, "few").otherwise("many").alias("source"), F.lit("t").alias("text"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.op9_mixing(spark, str(tmp_path)).toPandas()
+    con = __import__("duckdb").connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found.groupby("doc_id").size().max() > 450
+    assert rows_of(found) == rows_of(con.sql(queries.oracle_sql()["op9_mixing"]).df())
+
+
+def test_mixing_with_clashing_names(spark, odd):
+    clash = odd.withColumns({c: F.lit("mine") for c in ("__source", "__rate", "__n", "__order", "rate", "n", "row", "own", "copy", "place")})
+    found = mixing.mix_sources(clash, budget=3.0, copy_col=None, order_col=None)
+    assert found.columns == clash.columns and {r["__rate"] for r in found.collect()} == {"mine"}
+    assert mixing.mix_sources(clash, budget=3.0).columns[-2:] == ["__copy", "__order"]
+
+
 def test_small_source_meets_a_high_rate(spark):
     docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 5, "few").otherwise("many").alias("source"))
     found = mixing.mix_sources(docs, weights={"few": 1.0})
