@@ -4,7 +4,8 @@ Word log-odds come from labelled documents under Dirichlet priors that nest:
 a word shrinks to its five-letter start, that to its four-letter start, that to
 the corpus. A linear scan over a text's word scores finds every maximal
 segment; their scores are calibrated by an extreme-value distribution fitted to
-clean labelled documents.
+clean labelled documents, and a document's segments are put together by the
+distribution of the sum of the best of them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +25,6 @@ from .common import bounded_batches, held_out, materialise, sample_by_hash
 
 #: Labelled documents of each class that are learned from, and prior strengths of a level over the next.
 SAMPLE, STRENGTH = 20_000, 20.0
-#: Words must be in so many documents to have a score of their own; the model keeps at most MODEL of each level.
-LEAST_DOCS, MODEL = 2, 100_000
 #: Cost of each word: words that a chance passage of toxic documents shares stay below it and add up to nothing.
 #: The least significance of a reported passage.
 DRIFT, PASSAGE_P = 1.5, 1e-3
@@ -66,11 +66,23 @@ def maximal_segments(scores: np.ndarray | list[float]) -> list[tuple[int, int, f
 CACHE = 200_000
 
 
+def _code(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token)
+
+
+def _starts(word: str) -> tuple[str, str, str]:
+    return word, word[:5], word[:4]
+
+
 class Model:
-    """Log-odds of words and starts, the extreme-value fit and the final logistic map."""
+    """Log-odds of words and starts, the extreme-value fit and the final logistic map.
+
+    A level holds the sorted 64-bit codes of its tokens and their log-odds: 12
+    bytes for each token of the labelled sample, none left out.
+    """
 
-    def __init__(self, levels: list[dict[str, float]], base: float):
-        self.levels, self.base = levels, base
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
+        self.levels = levels
         self.location, self.scale = 0.0, 1.0
         self.slope, self.offset = 1.0, 0.0
         self.cache: dict[str, float] = {}
@@ -78,9 +90,16 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
-    def word(self, word: str) -> float:
-        found = next((level[key] for level, key in zip(self.levels, (word, word[:5], word[:4]), strict=True) if key in level), 0.0)
-        return found - DRIFT
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of distinct words: of the word, else of its five letters, else of its four; unknown ones have no odds."""
+        out, open_ = np.zeros(len(words)), np.ones(len(words), dtype=bool)
+        for (codes, odds), tokens in zip(self.levels, zip(*map(_starts, words), strict=True), strict=True):
+            own = np.fromiter(map(_code, tokens), dtype=np.uint64, count=len(tokens))
+            at = np.minimum(np.searchsorted(codes, own), max(len(codes) - 1, 0))
+            hit = open_ & (codes[at] == own) if len(codes) else np.zeros(len(words), dtype=bool)
+            out[hit] = odds[at[hit]]
+            open_ &= ~hit
+        return out - DRIFT
 
     def scores(self, text: str | None) -> np.ndarray:
         """Score of each word of a text."""
@@ -91,22 +110,42 @@ class Model:
         except KeyError:
             if len(cache) > CACHE:
                 cache.clear()
-            for w in set(words).difference(cache):
-                cache[w] = self.word(w)
+            new = list(set(words).difference(cache))
+            cache.update(zip(new, self.words(new).tolist(), strict=True))
             return np.fromiter(map(cache.__getitem__, words), dtype=np.float64, count=len(words))
 
-    def raw(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
-        """Calibrated evidence of the best segment, and the segments (in words)."""
+    def standard(self, scores: list[float], length: int) -> list[float]:
+        """Segments' scores in units of the clean model: the greatest of n words' segments grows as the logarithm of n."""
+        return [(s - self.location) / self.scale - math.log1p(length) for s in scores]
+
+    def evidence(self, scores: list[float], length: int) -> float:
+        """Minus the logarithm of the chance of so high a sum of the best segments, for the best number of them, in a clean text."""
+        x = sorted(self.standard(scores, length), reverse=True)
+        best, total, factorials = 0.0, 0.0, 0.0
+        for r, one in enumerate(x, 1):
+            if r == 1:
+                best = -math.log(max(self._tail(one), 1e-300)) if one < 600 else one
+                total = one
+                continue
+            total += one
+            factorials += math.log(r) + math.log(r - 1)
+            if one <= 0 or total <= r:
+                break
+            # Chance of a sum of r over the total, times 2 ** r for the choice of r.
+            best = max(best, total - (r - 1) * math.log(total) + factorials - r * math.log(2))
+        return best
+
+    @staticmethod
+    def _tail(x: float) -> float:
+        """Gumbel: chance of a greatest segment over x."""
+        return -math.expm1(-math.exp(min(-x, 700.0)))
+
+    def raw(self, text: str | None) -> tuple[float, list[tuple[int, int, float, float]]]:
+        """A text's evidence, and its segments (start and end in words, score, chance in a clean text of that length)."""
         scores = self.scores(text)
         found = maximal_segments(scores)
-        if not found:
-            return -math.log1p(len(scores)) * self.scale - self.location, []
-        # The greatest of n words' segments grows as the logarithm of n under the clean model.
-        return max(s for _, _, s in found) - self.location - self.scale * math.log1p(len(scores)), found
-
-    def p_value(self, raw: float) -> float:
-        """Chance of so high a segment in a clean text of that length (Gumbel)."""
-        return -math.expm1(-math.exp(min(-raw / self.scale, 700.0))) if self.scale > 0 else float(raw <= 0)
+        each = [s for _, _, s in found]
+        return self.evidence(each, len(scores)), [(*f, self._tail(x)) for f, x in zip(found, self.standard(each, len(scores)), strict=True)]
 
     def score(self, raw: float) -> float:
         x = self.slope * math.asinh(raw) + self.offset
@@ -114,7 +153,7 @@ class Model:
 
 
 def _counts(labelled: DataFrame) -> DataFrame:
-    """Of each word and start: in how many clean and toxic documents it is."""
+    """Of each word and start, by code: the code of the start it shrinks to, and in how many clean and toxic documents it is."""
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             tables = [(Counter(), Counter()) for _ in range(3)]
@@ -124,18 +163,20 @@ def _counts(labelled: DataFrame) -> DataFrame:
                     tables[level][int(label)].update(keys)
             for level, (clean, toxic) in enumerate(tables):
                 tokens = list(clean.keys() | toxic.keys())
-                yield pd.DataFrame({"level": level, "token": tokens, "clean": [clean[t] for t in tokens], "toxic": [toxic[t] for t in tokens]})
+                codes = lambda x: np.fromiter(map(_code, x), dtype=np.uint64, count=len(tokens)).view(np.int64)
+                parents = codes([t[: 5 - level] for t in tokens]) if level < 2 else 0
+                yield pd.DataFrame({"level": level, "code": codes(tokens), "parent": parents, "clean": [clean[t] for t in tokens], "toxic": [toxic[t] for t in tokens]})
 
-    sums = labelled.mapInPandas(count, "level int, token string, clean long, toxic long")
-    return sums.groupBy("level", "token").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    sums = labelled.mapInPandas(count, "level int, code long, parent long, clean long, toxic long")
+    return sums.groupBy("level", "code", "parent").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on ``text`` and ``label`` (0/1) of at most about ``sample`` documents of each class.
 
     Null labels are left out; null texts are empty. Without both classes every
-    score is 0. The counts are summed by Spark; only tokens whose odds differ
-    from the corpus's come to the driver, ``MODEL`` of a level at most.
+    score is 0. The counts are summed by Spark; the sample's tokens, 36 bytes
+    each, come to the driver.
     """
     return _fit(sample_by_hash(labelled.filter(F.col("label").isin(0, 1)), "id", "label", sample))
 
@@ -145,57 +186,55 @@ def _fit(sampled: DataFrame) -> Model:
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
     if not clean or not toxic:
-        model = Model([{}, {}, {}], 0.0)
+        none = (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
+        model = Model([none, none, none])
         model.slope, model.offset = 0.0, -1e3
         return model
     base = toxic / (clean + toxic)
-    counts = _counts(rows).filter(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
-    skew = F.abs(F.log((F.col("toxic") + base * STRENGTH) / (F.col("clean") + F.col("toxic") + STRENGTH)) - math.log(base))
-    kept = counts.filter((skew > 0.4) | (F.col("level") > 0)).withColumn("weight", skew * F.sqrt(F.col("clean") + F.col("toxic")))
-    tables: list[dict[str, tuple[int, int]]] = [{}, {}, {}]
-    for level in (0, 1, 2):
-        for r in kept.filter(F.col("level") == level).orderBy(F.desc("weight"), "token").limit(MODEL).collect():
-            tables[level][r["token"]] = (r["clean"], r["toxic"])
-
-    def odds(rate: float) -> float:
-        return math.log(rate / (1 - rate)) - math.log(base / (1 - base))
-
-    rates: list[dict[str, float]] = [{}, {}, {}]
+    table = _counts(rows).toArrow()  # bounded by the sample
+    column = {c: table.column(c).to_numpy() for c in table.column_names}
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    above: tuple[np.ndarray, np.ndarray] | None = None
     for level in (2, 1, 0):
-        for token, (n0, n1) in tables[level].items():
-            prior = base if level == 2 else rates[2].get(token[:4], base) if level == 1 else rates[1].get(token[:5], rates[2].get(token[:4], base))
-            rates[level][token] = (n1 + STRENGTH * prior) / (n0 + n1 + STRENGTH)
-    model = Model([{t: odds(min(max(r, 1e-6), 1 - 1e-6)) for t, r in level.items()} for level in rates], base)
+        own = np.flatnonzero(column["level"] == level)
+        codes = column["code"][own].view(np.uint64)
+        order = np.argsort(codes)
+        own, codes = own[order], codes[order]
+        prior = base if above is None else above[1][np.searchsorted(above[0], column["parent"][own].view(np.uint64))]
+        n0, n1 = column["clean"][own], column["toxic"][own]
+        rates = (n1 + STRENGTH * prior) / (n0 + n1 + STRENGTH)
+        above = (codes, rates)
+        sure = np.clip(rates, 1e-6, 1 - 1e-6)
+        levels.insert(0, (codes, (np.log(sure / (1 - sure)) - math.log(base / (1 - base))).astype(np.float32)))
+    model = Model(levels)
     _calibrate(model, rows)
     return model
 
 
 def _calibrate(model: Model, rows: DataFrame) -> None:
     """Gumbel location and scale from clean documents; then a logistic map of the evidence."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL; loaded once a worker
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded by the sample; loaded once a worker
 
-    def evidence(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def segments(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            best, length = [], []
+            each, length = [], []
             for text in frame["text"]:
                 scores = shared.value.scores(text)
-                best.append(max((s for _, _, s in maximal_segments(scores)), default=0.0))
-                length.append(math.log1p(len(scores)))
-            yield pd.DataFrame({"label": frame["label"], "best": best, "length": length})
+                each.append([s for _, _, s in maximal_segments(scores)])
+                length.append(len(scores))
+            yield pd.DataFrame({"label": frame["label"], "each": each, "length": length})
 
-    found = rows.mapInPandas(evidence, "label int, best double, length double").toPandas()  # bounded by the sample
-    clean = found[found["label"] == 0]
+    found = rows.mapInPandas(segments, "label int, each array<double>, length long").toArrow().to_pydict()  # bounded by the sample
+    y, length = np.array(found["label"], dtype=float), np.log1p(np.array(found["length"], dtype=float))
+    best = np.array([max(x, default=0.0) for x in found["each"]])
     # Quantiles of the Gumbel distribution, which a few mislabelled documents don't move;
     # the location moves with the logarithm of the length.
     middle, high = -math.log(-math.log(0.5)), -math.log(-math.log(0.9))
     spread = lambda x: max(float(np.quantile(x, 0.9) - np.quantile(x, 0.5)) / (high - middle), 0.05)
-    model.scale = spread(clean["best"] - spread(clean["best"]) * clean["length"])
-    model.location = float(np.quantile(clean["best"] - model.scale * clean["length"], 0.5)) - middle * model.scale
-    x = (found["best"] - model.location - model.scale * found["length"]).to_numpy()
-    none = (found["best"] <= 0).to_numpy()
-    x[none] = -found["length"].to_numpy()[none] * model.scale - model.location
-    x = np.arcsinh(x)  # one sure word tells nearly as much as many
-    y = found["label"].to_numpy(dtype=float)
+    clean, size = best[y == 0], length[y == 0]
+    model.scale = spread(clean - spread(clean) * size)
+    model.location = float(np.quantile(clean - model.scale * size, 0.5)) - middle * model.scale
+    x = np.arcsinh(np.array([model.evidence(e, n) for e, n in zip(found["each"], found["length"], strict=True)]))  # one sure word tells nearly as much as many
     centre, width = x.mean(), max(x.std(), 1e-9)
     z, a, b = (x - centre) / width, 1.0, 0.0
     for _ in range(60):
@@ -213,7 +252,9 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
     """Id, ``score`` in 0..1, ``predicted`` and ``passages`` (words start and end, score, p_value) of every whole text.
 
     Empty and null texts have no words: they get the score of no evidence.
-    ``passages`` holds every significant maximal segment. No shuffle.
+    ``passages`` holds every significant maximal segment. Repeated rows are
+    scored alike, each as a row; extra columns are ignored; an empty table
+    gives an empty result. No shuffle.
     """
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -224,9 +265,7 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
             for text in frame["text"]:
                 raw, found = model.raw(text)
                 scores.append(model.score(raw))
-                shift = max((s for _, _, s in found), default=0.0) - raw
-                marked = [(s, e, x, model.p_value(x - shift)) for s, e, x in found]
-                passages.append([{"start": s, "end": e, "score": x, "p_value": p} for s, e, x, p in marked if p <= PASSAGE_P])
+                passages.append([{"start": s, "end": e, "score": x, "p_value": p} for s, e, x, p in found if p <= PASSAGE_P])
             yield pd.DataFrame({"id": frame["id"], "score": scores, "passages": passages})
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -247,7 +286,10 @@ def learn_from_tables(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 
 
 def drop_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """Rows whose score is below ``threshold``, all columns. One narrow pass, no shuffle."""
+    """Rows whose score is below ``threshold``, all columns, repeated rows included. One narrow pass, no shuffle.
+
+    Null and empty texts have no evidence and stay; an empty table stays empty.
+    """
     bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
