@@ -1,6 +1,7 @@
 """Quality classification by hierarchical empirical Bayes.
 
-A logistic document classifier gives each document a chance of being good. The
+A logistic document classifier over learned log-odds of hashed character
+n-grams and the text's shape gives each document a chance of being good. The
 chances are summed over hosts and over paths of a host; each level's posterior
 shrinks towards the level above (path to host, host to corpus) with a strength
 that the spread between the sites tells. A document's final odds are its own
@@ -21,37 +22,58 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, held_out, materialise, sample_by_hash
 
-#: Labelled documents of each class that the classifier is fitted on.
+#: Labelled documents of each class that the classifier is fitted on; half of them teach the n-grams' odds, half the weights.
 SAMPLE = 10_000
+#: Lengths of the character n-grams, and the buckets that each length is hashed to.
+GRAMS, BUCKETS = (3, 5), 1 << 17
 _WORD = re.compile(r"\S+")
-_MARKS = "!#$%&*|"
 
 
-def features(text: str | None) -> list[float]:
-    """Shape of a text: lengths, repetition, case, digits, marks and lines. A null text is empty."""
+def shape(text: str | None) -> list[float]:
+    """Lengths, repetition, case, digits, other marks and lines. A null text is empty."""
     text = text or ""
     n = len(text)
     words = _WORD.findall(text)
     if not words:
-        return [0.0] * 13 + [1.0]
+        return [0.0] * 11 + [1.0]
     low = [w.lower().strip(".,;:!?") for w in words]
     counts = Counter(low)
     repeats = sum(a == b for a, b in zip(low, low[1:], strict=False))
-    letters = sum(map(str.isalpha, text)) or 1
-    marks = sum(text.count(c) for c in _MARKS)
+    letters, digits, spaces = sum(map(str.isalpha, text)), sum(map(str.isdigit, text)), sum(map(str.isspace, text))
     lines = text.split("\n")
     return [
-        math.log1p(len(words)), len(counts) / len(words), math.log1p(repeats), repeats / len(words), sum(map(str.isupper, text)) / letters,
-        sum(map(str.isdigit, text)) / n, marks / n, math.log1p(marks), text.count("|") / len(words), n / len(words) / 10, max(counts.values()) / len(words),
-        len(set(lines)) / len(lines), (text.count(".") + text.count(",")) / len(words), 0.0,
+        math.log1p(len(words)), len(counts) / len(words), math.log1p(repeats), repeats / len(words), sum(map(str.isupper, text)) / (letters or 1), digits / n,
+        (n - letters - digits - spaces) / n, n / len(words) / 10, max(counts.values()) / len(words), len(set(lines)) / len(lines), (text.count(".") + text.count(",")) / len(words), 0.0,
     ]
 
 
+def grams(text: str | None) -> list[np.ndarray]:
+    """Buckets of the text's distinct character n-grams, of each length."""
+    points = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    out = []
+    for size in GRAMS:
+        n = max(0, len(points) - size + 1)
+        mixed = np.zeros(n, dtype=np.uint64)
+        for k in range(size):
+            mixed = (mixed ^ points[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(31)
+        seen = np.zeros(BUCKETS, dtype=bool)
+        seen[(mixed >> np.uint64(20)) % np.uint64(BUCKETS)] = True
+        out.append(np.flatnonzero(seen))
+    return out
+
+
+def features(text: str | None, odds: np.ndarray) -> list[float]:
+    """Shape, and the mean log-odds of the text's n-grams of each length (0 where it has none)."""
+    return shape(text) + [float(own[k].mean()) if len(k) else 0.0 for own, k in zip(odds, grams(text), strict=True)]
+
+
 class Classifier:
-    """Weights over standardised features."""
+    """Weights over standardised features, and the n-grams' log-odds (a row a length)."""
 
-    def __init__(self, centre: np.ndarray, width: np.ndarray, weights: np.ndarray):
+    def __init__(self, centre: np.ndarray, width: np.ndarray, weights: np.ndarray, odds: np.ndarray | None = None):
         self.centre, self.width, self.weights = centre, width, weights
+        self.odds = np.zeros((len(GRAMS), BUCKETS), dtype=np.float32) if odds is None else odds
 
     def chance(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.centre) / self.width, -8, 8)
@@ -83,27 +105,56 @@ def learn_classifier(labelled: DataFrame, sample: int = SAMPLE) -> Classifier:
     return _fit_rows(sample_by_hash(labelled.filter(F.col("label").isin(0, 1)), "id", "label", sample).select("text", "label"))
 
 
+def _gram_odds(rows: DataFrame) -> np.ndarray:
+    """Log-odds of each bucket from the documents of each class that have it; add-one smoothed."""
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = np.zeros((2, len(GRAMS), BUCKETS), dtype=np.int64)
+        sizes = [0, 0]
+        for frame in frames:
+            for text, label in zip(frame["text"], frame["label"], strict=True):
+                sizes[int(label)] += 1
+                for k, buckets in enumerate(grams(text)):
+                    table[int(label), k, buckets] += 1
+        row, at = table.sum(axis=0).nonzero()
+        yield pd.DataFrame({"row": [*row.tolist(), -1], "at": [*at.tolist(), 0], "bad": [*table[0, row, at].tolist(), sizes[0]], "good": [*table[1, row, at].tolist(), sizes[1]]})
+
+    found = rows.mapInPandas(count, "row int, at int, bad long, good long").groupBy("row", "at").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()  # BUCKETS a length at most
+    row, at, bad, good = (found.column(c).to_numpy() for c in ("row", "at", "bad", "good"))
+    sums = np.zeros((2, len(GRAMS), BUCKETS))
+    own = row >= 0
+    sums[0, row[own], at[own]], sums[1, row[own], at[own]] = bad[own], good[own]
+    sizes = (int(bad[~own].sum()), int(good[~own].sum()))
+    return (np.log((sums[1] + 1) / (sizes[1] + 2)) - np.log((sums[0] + 1) / (sizes[0] + 2))).astype(np.float32)
+
+
 def _fit_rows(rows: DataFrame) -> Classifier:
-    def shape(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """N-gram odds from one half of the rows, weights from the other, so that no document's own words speak for it."""
+    rows = materialise(rows.withColumn("half", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2))), "labelled")
+    odds = _gram_odds(rows.filter("half = 0"))
+    shared = rows.sparkSession.sparkContext.broadcast(odds)  # 1 MB
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"x": [features(t) for t in frame["text"]], "y": frame["label"].astype(float)})
+            yield pd.DataFrame({"x": [features(t, shared.value) for t in frame["text"]], "y": frame["label"].astype(float)})
 
-    found = rows.mapInPandas(shape, "x array<double>, y double").toPandas()  # bounded by the sample
+    found = rows.filter("half = 1").mapInPandas(measure, "x array<double>, y double").toPandas()  # bounded by the sample
     if found.empty:
-        k = len(features(""))
-        return Classifier(np.zeros(k), np.ones(k), np.zeros(k + 1))
-    return fit(np.array(found["x"].tolist()), found["y"].to_numpy())
+        k = len(features("", odds))
+        return Classifier(np.zeros(k), np.ones(k), np.zeros(k + 1), odds)
+    model = fit(np.array(found["x"].tolist()), found["y"].to_numpy())
+    return Classifier(model.centre, model.width, model.weights, odds)
 
 
 def document_chances(df: DataFrame, model: Classifier, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` and the classifier's ``chance`` of every whole text. No shuffle."""
     bounded_batches(df.sparkSession)
     kinds = dict(df.dtypes)
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            x = np.array([features(t) for t in frame["__text"]])
-            yield frame.drop(columns="__text").assign(chance=model.chance(x) if len(x) else [])
+            x = np.array([features(t, shared.value.odds) for t in frame["__text"]])
+            yield frame.drop(columns="__text").assign(chance=shared.value.chance(x) if len(x) else [])
 
     rows = df.select(*keep, F.col(text_col).alias("__text"))
     return rows.mapInPandas(score, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", chance double")
@@ -141,8 +192,10 @@ def classify_quality(df: DataFrame, labels: DataFrame, host_col: str = "source",
 
     ``labels`` has the id and ``quality`` (0/1). Labels of held-out rows are
     never used; other labelled rows give their label as evidence of their site.
-    Null hosts and paths are sites of their own; null and empty texts have the
-    evidence of a text without words; repeated rows count as rows.
+    Documents have no address: ``host_col`` and ``path_col`` name the columns
+    that stand for its two levels. Null hosts and paths are sites of their own;
+    null and empty texts have the evidence of a text without words; repeated
+    rows count as rows; an empty table gives an empty result.
     """
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col(id_col).alias("__id")).agg(F.max("quality").cast("int").alias("__label"))
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(host_col).alias("host"), F.col(path_col).alias("path")).withColumn("held_out", held_out(F.col("id")))

@@ -111,6 +111,57 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     assert abs(found["big"] - 0.5) < 0.05 and found["mid"] < 0.4 and mean < found["small"] < 1.0 and None in found
 
 
+def test_posteriors_match_a_plain_loop(spark):
+    """Host and path means, strengths and final scores from the classifier's chances, row by row."""
+    rng, rows, labels = random.Random(23), [], []
+    for i in range(300):
+        good = rng.random() < (0.9, 0.5, 0.1)[i % 3]
+        text = words(i, rng.randint(20, 60)) if good else "buy now !! " * rng.randint(5, 20)
+        rows.append((i, text if i % 50 else None, rng.choice(["en", "de", None]), f"h{i % 3}" if i % 29 else None, 0))
+        if i % 2:
+            labels.append((i, int(good), 0))
+    rows.append(rows[5])
+    df, lab = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    found = quality.classify_quality(df, lab).collect()
+    label, place = {i: q for i, q, _ in labels}, {r[0]: (r[3], r[2]) for r in rows}
+    evidence = [float(label[r["doc_id"]]) if r["doc_id"] in label and not r["held_out"] else r["doc_chance"] for r in found]
+    paths, hosts = collections.defaultdict(list), collections.defaultdict(list)
+    for r, e in zip(found, evidence, strict=True):
+        paths[place[r["doc_id"]]].append(e)
+        hosts[place[r["doc_id"]][0]].append(e)
+    mean = (sum(evidence) + 1) / (len(evidence) + 2)
+
+    def strength(sites, prior):
+        n = sum(len(x) for x in sites.values())
+        spread = sum(len(x) * (sum(x) / len(x) - prior[k]) ** 2 for k, x in sites.items()) / n
+        noise = sum(prior[k] * (1 - prior[k]) for k in sites) / n
+        rate = sum(map(sum, sites.values())) / n
+        return min(max(rate * (1 - rate) / max(spread - noise, 1e-9) - 1, 1.0), 1e6)
+
+    k = strength(hosts, dict.fromkeys(hosts, mean))
+    host_mean = {h: (sum(x) + k * mean) / (len(x) + k) for h, x in hosts.items()}
+    inner = strength(paths, {p: host_mean[p[0]] for p in paths})
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    for r, e in zip(found, evidence, strict=True):
+        site, h = paths[place[r["doc_id"]]], host_mean[place[r["doc_id"]][0]]
+        prior = (sum(site) - e + inner * h) / (len(site) - 1 + inner)
+        assert r["host_mean"] == pytest.approx(h, abs=1e-9) and r["path_mean"] == pytest.approx(prior, abs=1e-9)
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(logit(r["doc_chance"]) + logit(prior) - logit(mean)))), abs=1e-9)
+
+
+def test_quality_edges(spark, odd, empty):
+    labels = spark.createDataFrame([(1, 0, 0), (4, 1, 0), (8, 1, 0), (9, None, 0)], "doc_id long, quality int, toxic int")
+    found = quality.classify_quality(odd, labels).collect()
+    assert len(found) == 11 and all(0 <= r["score"] <= 1 for r in found) and sum(r["doc_id"] == 4 for r in found) == 2
+    assert quality.classify_quality(empty, labels).isEmpty() and quality.classify_quality(odd, labels.limit(0)).count() == 11
+
+
+def test_secret_scan_edges(spark, odd, empty):
+    found = secrets.secret_digest(secrets.scan_secrets(odd)).collect()
+    assert len(found) == 11 and sum(r["doc_id"] == 4 for r in found) == 2 and secrets.secret_digest(secrets.scan_secrets(empty)).isEmpty()
+    assert {r["n_assign"] + r["n_access"] + r["n_hex"] for r in found if r["doc_id"] in (1, 2, 3)} == {0}
+
+
 # 3 packing
 
 
