@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +26,7 @@ from .common import bounded_batches
 EBML, DOC_TYPE, SEGMENT, INFO, SCALE = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1
 TRACKS, ENTRY, NUMBER, UID, KIND, CODEC, AUDIO, RATE, CHANNELS, DEPTH = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, CUES, POINT, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_AT = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
+DURATION, BLOCK_DURATION, REFERENCE = 0x23E383, 0x9B, 0xFB
 _PARENTS = {EBML, SEGMENT, INFO, TRACKS, ENTRY, AUDIO, CLUSTER, GROUP, CUES, POINT, CUE_PLACE}
 _TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES}
 #: Samples in a frame, frames in a block, blocks in a cluster; a sample lasts one tick of a millisecond.
@@ -193,12 +194,33 @@ def _frames(data: bytes, at: int, end: int, scheme: int) -> list[tuple[int, int]
     return out
 
 
-def demux(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict[int, tuple[str, float, int]]]:
-    """Packets; cues as (timestamp, track, byte of the cluster); tracks as number: (codec, rate, bits)."""
+class Track:
+    """What a track's entry says: number, codec, sampling rate, bits of a sample, channels, nanoseconds of a frame."""
+
+    def __init__(self) -> None:
+        self.number, self.codec, self.rate, self.bits, self.channels, self.duration = 0, "", 8000.0, 0, 1, 0
+
+    def later(self, frame: int, before: int) -> int:
+        """Nanoseconds from a block's start to its frame number ``frame``, which ``before`` bytes precede; 0 if the track doesn't tell."""
+        if self.duration:
+            return frame * self.duration
+        if self.codec.startswith("A_PCM") and self.bits and self.rate:
+            return int(before * 8 / (self.bits * self.channels) / self.rate * 1e9)
+        return 0
+
+
+def demux(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], list[Track]]:
+    """Packets; cues as (timestamp, track, byte of the cluster); tracks.
+
+    A laced frame's timestamp comes from the track's frame duration, else from
+    the PCM bytes before it, else from its share of the block's duration; with
+    none of these it is the block's. A block of a group is a key frame unless
+    the group refers to another block.
+    """
     packets: list[Packet] = []
     cues: list[list[int]] = []
-    tracks: list[list] = []
-    scale, cluster, clock, segment = 1_000_000, -1, 0, 0
+    tracks: list[Track] = []
+    scale, cluster, clock, segment, group = 1_000_000, -1, 0, 0, 0
     number = lambda a, b: int.from_bytes(data[a:b], "big")
     for ident, at, body, stop in walk(data):
         if ident == SEGMENT:
@@ -206,29 +228,36 @@ def demux(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict[i
         elif ident == SCALE:
             scale = number(body, stop)
         elif ident == ENTRY:
-            tracks.append([0, "", 8000.0, 0])
+            tracks.append(Track())
         elif ident == NUMBER:
-            tracks[-1][0] = number(body, stop)
+            tracks[-1].number = number(body, stop)
         elif ident == CODEC:
-            tracks[-1][1] = data[body:stop].decode("ascii", "replace")
+            tracks[-1].codec = data[body:stop].decode("ascii", "replace")
         elif ident == RATE:
-            tracks[-1][2] = struct.unpack(">d" if stop - body == 8 else ">f", data[body:stop])[0]
+            tracks[-1].rate = struct.unpack(">d" if stop - body == 8 else ">f", data[body:stop])[0]
         elif ident == DEPTH:
-            tracks[-1][3] = number(body, stop)
+            tracks[-1].bits = number(body, stop)
+        elif ident == CHANNELS:
+            tracks[-1].channels = max(1, number(body, stop))
+        elif ident == DURATION:
+            tracks[-1].duration = number(body, stop)
         elif ident == CLUSTER:
             cluster, clock = at, 0
         elif ident == TIME:
             clock = number(body, stop)
+        elif ident == GROUP:
+            group = len(packets)
         elif ident in (SIMPLE, BLOCK):
-            track, place = _vint_at(data, body, False)
+            own, place = _vint_at(data, body, False)
             ticks, flags = struct.unpack_from(">hB", data, place)
-            first, bits = (clock + ticks) * scale, next((t[3] for t in tracks if t[0] == track), 0)
-            rate = next((t[2] for t in tracks if t[0] == track), 0.0)
-            before = 0
-            for offset, size in _frames(data, place + 3, stop, flags >> 1 & 3):
-                later = int(before * 8 / bits / rate * 1e9) if bits and rate else 0
-                packets.append(Packet(track, first + later, offset, size, cluster, flags >> 1 & 3, bool(flags & 0x80) or ident == BLOCK))
+            track, first, before = next((t for t in tracks if t.number == own), Track()), (clock + ticks) * scale, 0
+            for k, (offset, size) in enumerate(_frames(data, place + 3, stop, flags >> 1 & 3)):
+                packets.append(Packet(own, first + track.later(k, before), offset, size, cluster, flags >> 1 & 3, bool(flags & 0x80) or ident == BLOCK))
                 before += size
+        elif ident == REFERENCE:
+            packets[group:] = [p._replace(keyframe=False) for p in packets[group:]]
+        elif ident == BLOCK_DURATION and (n := len(packets) - group) > 1 and packets[group].timestamp == packets[-1].timestamp:
+            packets[group:] = [p._replace(timestamp=p.timestamp + k * number(body, stop) * scale // n) for k, p in enumerate(packets[group:])]
         elif ident == POINT:
             cues.append([0, 0, 0])
         elif ident == CUE_TIME:
@@ -237,7 +266,7 @@ def demux(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict[i
             cues[-1][1] = number(body, stop)
         elif ident == CUE_AT:
             cues[-1][2] = segment + number(body, stop)
-    return packets, [tuple(c) for c in cues], {t[0]: (t[1], t[2], t[3]) for t in tracks}
+    return packets, [tuple(c) for c in cues], tracks
 
 
 def padded(text: str | None) -> tuple[bytes, int]:
@@ -247,69 +276,95 @@ def padded(text: str | None) -> tuple[bytes, int]:
 
 
 def text_media(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``n_bytes`` of the text and ``media``, its Matroska file. A null or empty text is ``PAD`` zero samples."""
+    """Id, ``n_bytes`` of the text and ``media``, its Matroska file.
+
+    A null or empty text is ``PAD`` zero samples. Repeated rows give repeated
+    files, an empty table an empty one; extra columns are left out.
+    """
     bounded_batches(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            both = [padded(t) for t in frame["text"]]
-            yield pd.DataFrame({"id": frame["id"], "n_bytes": [n for _, n in both], "media": [mux(p) for p, _ in both]})
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [padded(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for _, n in both], pa.int64()), pa.array([mux(p) for p, _ in both], pa.binary())], ["id", "n_bytes", "media"])
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(write, f"id {kind}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(write, f"id {df.schema[id_col].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
+
 
+_PACKET = {"track": pa.int32(), "timestamp": pa.int64(), "offset": pa.int64(), "size": pa.int64(), "cluster": pa.int64(), "lacing": pa.int32(), "keyframe": pa.bool_()}
+_CUE = {"timestamp": pa.int64(), "track": pa.int32(), "offset": pa.int64()}
+PACKET_TABLE = "array<struct<track:int,timestamp:long,offset:long,size:long,cluster:long,lacing:int,keyframe:boolean>>"
+CUE_TABLE = "array<struct<timestamp:long,track:int,offset:long>>"
 
-PACKETS = "array<struct<track:int,timestamp:long,offset:long,size:long,cluster:long,lacing:int,keyframe:boolean>>"
+
+def _table(lists: list[list[tuple] | None], kinds: dict[str, pa.DataType]) -> pa.Array:
+    """Lists of tuples as an Arrow array of lists of structs, built column by column."""
+    flat = list(zip(*(x for one in lists for x in one or ()), strict=True)) or [[]] * len(kinds)
+    rows = pa.StructArray.from_arrays([pa.array(c, type=t) for c, t in zip(flat, kinds.values(), strict=True)], names=list(kinds))
+    sizes = [0, *np.cumsum([len(one or ()) for one in lists]).tolist()]
+    starts = pa.array([None if k < len(lists) and lists[k] is None else n for k, n in enumerate(sizes)], pa.int32())
+    return pa.ListArray.from_arrays(starts, rows)
 
 
 def media_packets(df: DataFrame, media_col: str = "media") -> DataFrame:
     """Add ``packets``, ``cues`` and ``error`` to rows with a media column (whole bytes; null: no packets).
 
     Timestamps are in nanoseconds, offsets are bytes of the file. A file that
-    can't be parsed gives null tables and the reason, not a failed job.
+    can't be parsed gives null tables and the reason, not a failed job. Columns
+    of ``df`` with these names give way; repeated rows stay, an empty table
+    gives an empty one.
     """
-    schema = df.schema
     bounded_batches(df.sparkSession)
+    rows = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in ("packets", "cues", "error")])
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             packets, cues, errors = [], [], []
-            for data in frame[media_col]:
+            for data in batch.column(media_col).to_pylist():
                 try:
                     p, c, _ = demux(data or b"")
-                    packets.append([x._asdict() for x in p])
-                    cues.append([{"timestamp": t, "track": k, "offset": o} for t, k, o in c])
+                    packets.append(p)
+                    cues.append(c)
                     errors.append(None)
                 except (ValueError, IndexError, struct.error) as error:
                     packets.append(None)
                     cues.append(None)
                     errors.append(str(error))
-            yield frame.assign(packets=packets, cues=cues, error=errors)
+            more = [_table(packets, _PACKET), _table(cues, _CUE), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "packets", "cues", "error"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return df.mapInPandas(parse, f"{fields}, packets {PACKETS}, cues array<struct<timestamp:long,track:int,offset:long>>, error string")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(parse, f"{fields}, packets {PACKET_TABLE}, cues {CUE_TABLE}, error string")
 
 
-def _feature(samples: np.ndarray, packets: list[Packet], cues: list) -> str:
+def _feature(samples: np.ndarray, laced: int, packets: int, cues: int, end: int) -> str:
     x = samples.astype(np.int64)
     turns = int((np.diff(np.signbit(x - 128).astype(np.int8)) != 0).sum())
-    return f"packets={len(packets)};cues={len(cues)};laced={sum(p.lacing > 0 for p in packets)};end={packets[-1].timestamp if packets else 0};sum={int(x.sum())};energy={int((x * x).sum())};turns={turns}"
+    return f"packets={packets};cues={cues};laced={laced};end={end};sum={int(x.sum())};energy={int((x * x).sum())};turns={turns}"
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Read the stored bytes back through the packet table: payload facts, media facts, feature."""
-    kind = df.schema[id_col].dataType.simpleString()
+    """Read the samples back by the byte ranges of ``media_packets``: payload facts, media facts, feature.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for doc, n, data in zip(frame["id"], frame["n_bytes"], frame["media"], strict=True):
-                packets, cues, _ = demux(data)
-                payload = b"".join(data[p.offset : p.offset + p.size] for p in packets if p.track == 1)
-                rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), _feature(np.frombuffer(payload, dtype=np.uint8), packets, cues)))
-            out = pd.DataFrame(rows, columns=["id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield out.astype({"id": "Int64"}) if kind in ("bigint", "int") else out
-
-    rows = df.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    return rows.mapInPandas(read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
+    Repeated rows give repeated results, an empty table an empty one.
+    """
+    rows = df.select(F.col(id_col).alias("id"), "n_bytes", "media", *[F.col(f"packets.{c}").alias(c) for c in ("track", "timestamp", "offset", "size", "lacing")], F.size("cues").alias("cues"))
+    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c).flatten().to_pylist() for c in ("track", "timestamp", "offset", "size", "lacing")}
+            counts, at, out = batch.column("track").value_lengths().to_pylist(), 0, []
+            for data, cues, n in zip(batch.column("media").to_pylist(), batch.column("cues").to_pylist(), counts, strict=True):
+                own = slice(at, at + n)
+                payload = b"".join(data[o : o + m] for k, o, m in zip(column["track"][own], column["offset"][own], column["size"][own], strict=True) if k == 1)
+                feature = _feature(np.frombuffer(payload, dtype=np.uint8), sum(x > 0 for x in column["lacing"][own]), n, cues, column["timestamp"][at + n - 1] if n else 0)
+                out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(data), hashlib.sha256(data).hexdigest(), feature))
+                at += n
+            columns = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(columns, types, strict=True)]], ["id", "n_bytes", *names])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(read, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)

@@ -61,7 +61,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digest(media.text_media(_docs(spark, sf_dir)))
+    return media.media_digest(media.media_packets(media.text_media(_docs(spark, sf_dir))))
 
 
 def queries() -> dict:

@@ -640,20 +640,20 @@ def test_small_source_meets_a_high_rate(spark):
 
 
 def test_media_round_trip(spark, odd, empty):
-    found = media.media_digest(media.text_media(odd)).collect()
+    found = media.media_digest(media.media_packets(media.text_media(odd))).collect()
     wanted = collections.Counter()
     for d, t in texts_of(odd):
         p, n = media.padded(t)
         wanted[(d, n, len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))] += 1
     assert collections.Counter((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in found) == wanted
-    assert media.media_digest(media.text_media(empty)).isEmpty()
+    assert media.media_digest(media.media_packets(media.text_media(empty))).isEmpty()
 
 
 def test_packets_cues_and_all_lacings():
     payload = bytes(range(256)) * 300
     data = media.mux(payload)
     packets, cues, tracks = media.demux(data)
-    assert {p.lacing for p in packets} == {0, 1, 2, 3} and tracks == {1: ("A_PCM/INT/LIT", 1000.0, 8)}
+    assert {p.lacing for p in packets} == {0, 1, 2, 3} and [(t.number, t.codec, t.rate, t.bits, t.channels) for t in tracks] == [(1, "A_PCM/INT/LIT", 1000.0, 8, 1)]
     at = 0
     for p in packets:
         assert data[p.offset : p.offset + p.size] == payload[at : at + p.size] and p.timestamp == at * 1_000_000
@@ -672,6 +672,26 @@ def test_unknown_sizes_and_broken_files(spark):
     assert len(found[1]["packets"]) == 2 and found[2]["error"] and found[3]["packets"] is None and found[4]["packets"] == []
 
 
+def foreign(codec, audio=b"", duration=b"", blocks=b""):
+    entry = media._uint(media.NUMBER, 3) + media._uint(media.KIND, 2) + media.element(media.CODEC, codec) + duration + (media.element(media.AUDIO, audio) if audio else b"")
+    body = media.element(media.INFO, media._uint(media.SCALE, 500_000)) + media.element(media.TRACKS, media.element(media.ENTRY, entry)) + media.element(media.CLUSTER, media._uint(media.TIME, 40) + blocks)
+    return media.element(media.EBML, b"") + media.element(media.SEGMENT, body)
+
+
+def test_timestamps_and_key_frames_of_other_files():
+    """By hand: stereo 16-bit PCM, a frame duration, a block duration, none; groups with and without a reference."""
+    laced = media.vint(3) + b"\x00\x02" + bytes([2 << 1]) + media.lace([b"a" * 8] * 3, 2)
+    stereo = media.element(media.RATE, b"\x40\x8f\x40" + b"\0" * 5) + media._uint(media.CHANNELS, 2) + media._uint(media.DEPTH, 16)
+    start, simple = 42 * 500_000, media.element(media.SIMPLE, laced)
+    times = lambda data: [p.timestamp - start for p in media.demux(data)[0]]
+    assert times(foreign(b"A_PCM/INT/LIT", stereo, blocks=simple)) == [0, 2_000_000, 4_000_000]
+    assert times(foreign(b"A_OPUS", stereo, media._uint(media.DURATION, 20_000_000), simple)) == [0, 20_000_000, 40_000_000]
+    group = media.element(media.GROUP, media.element(media.BLOCK, laced) + media._uint(media.BLOCK_DURATION, 12))
+    assert times(foreign(b"A_OPUS", blocks=group)) == [0, 2_000_000, 4_000_000] and times(foreign(b"A_OPUS", blocks=simple)) == [0, 0, 0]
+    refers = media.element(media.GROUP, media.element(media.BLOCK, laced) + media.element(media.REFERENCE, b"\xff"))
+    assert [p.keyframe for p in media.demux(foreign(b"V_VP8", blocks=group + refers + group))[0]] == [True] * 3 + [False] * 3 + [True] * 3
+
+
 @pytest.mark.parametrize("value", [0, 1, 126, 127, 128, 16382, 16383, 2**40])
 def test_variable_length_numbers(value):
     data = media.vint(value)
