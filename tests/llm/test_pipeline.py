@@ -57,3 +57,19 @@ def test_stages(spark, corpus):
 def test_run(spark, corpus):
     folder, _ = corpus
     assert corpus_pipeline.run(spark, folder).count() > 100 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_and_empty_tables(spark, corpus):
+    """Nulls, repeated rows and extra columns with helper names, stage by stage; then no rows at all."""
+    folder, _ = corpus
+    long = words(1, 4000)
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (4, long, "en", "s", 1), (4, long, "en", "s", 1), (5, long + " end", "en", None, 1), (None, "no id", "en", "t", 1), (6, "one two", "en", "t", 1)]
+    odd = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("mine") for c in ("id", "key", "row", "own", "__sha", "__own", "__id", "__source", "__rate", "__order", "th", "label", "n")})
+    sizes = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, folder)
+        if name != "packing":
+            assert out.columns == odd.columns and {r["__own"] for r in out.collect()} <= {"mine"}
+        sizes.append(out.count())
+        assert stage(spark, odd.limit(0), folder).isEmpty()
+    assert sizes[:3] == [7, 5, 6] and sizes[4] >= 7
