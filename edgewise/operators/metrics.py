@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import safe_ratio
+from edgewise.functions.shared import materialise
 
 
 def tie_groups(df: DataFrame, keys: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
@@ -14,18 +15,45 @@ def tie_groups(df: DataFrame, keys: list[str], score: str = "score", label: str
     return df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(w * F.col(label)).alias("tp"), F.sum(w * (1 - F.col(label))).alias("fp"))
 
 
-def curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
-    """Cumulative weighted positives and negatives at tie-group ends, from the highest score down."""
+def running_sums(groups: DataFrame, keys: list[str], order: str, values: list[str], descending: bool = False) -> DataFrame:
+    """Add ``cum_`` and ``all_`` of each value, per ``keys`` along ``order``, without a task that holds a whole key.
+
+    The rows are dealt by ranges of (keys, order) and written; each range is
+    summed; the sums of the ranges before it, a row a range and key, start the
+    running sums inside it.
+    """
+    along = F.desc(order) if descending else F.col(order)
+    placed = materialise(groups.repartitionByRange(*keys, along).withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy(*keys, "__part").agg(*[F.sum(v).alias(v) for v in values])
+    before, whole = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*keys)
+    start = [F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"__before_{v}") for v in values]
+    starts = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__range"), *start, *[F.sum(v).over(whole).alias(f"all_{v}") for v in values])
+    same = F.col("__part") == F.col("__range")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    run = Window.partitionBy(*keys, "__part").orderBy(along).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(starts, same)
+    return joined.select(*groups.columns, *[(F.sum(v).over(run) + F.col(f"__before_{v}")).alias(f"cum_{v}") for v in values], *[f"all_{v}" for v in values])
+
+
+def curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "y", weight: str | None = None, many: bool = False) -> DataFrame:
+    """Cumulative weighted positives and negatives at tie-group ends, from the highest score down.
+
+    ``many`` keys (anchors) get a window each; few keys are summed in ranges of
+    scores.
+    """
     groups = tie_groups(df, keys, score, label, weight)
+    if not many:
+        return running_sums(groups, keys, "score", ["tp", "fp"], descending=True).withColumnsRenamed({"all_tp": "all_p", "all_fp": "all_n"})
     run = Window.partitionBy(*keys).orderBy(F.desc("score"))
     whole = Window.partitionBy(*keys)
     at = run.rowsBetween(Window.unboundedPreceding, 0)
     return groups.select(*keys, "score", "tp", "fp", F.sum("tp").over(at).alias("cum_tp"), F.sum("fp").over(at).alias("cum_fp"), F.sum("tp").over(whole).alias("all_p"), F.sum("fp").over(whole).alias("all_n"))
 
 
-def ap_auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "y", weight: str | None = None) -> DataFrame:
+def ap_auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "y", weight: str | None = None, many: bool = False) -> DataFrame:
     """Weighted tie-grouped average precision and AUROC (ties half); null where a class has no mass."""
-    points = curve(df, keys, score, label, weight)
+    points = curve(df, keys, score, label, weight, many)
     precision = safe_ratio(F.col("cum_tp"), F.col("cum_tp") + F.col("cum_fp"))
     area = F.col("fp") * (F.col("cum_tp") - F.col("tp") / 2)
     sums = points.groupBy(*keys).agg(F.sum(F.col("tp") * precision).alias("ap"), F.sum(area).alias("area"), F.max("all_p").alias("p"), F.max("all_n").alias("n"))
@@ -35,10 +63,11 @@ def ap_auroc(df: DataFrame, keys: list[str], score: str = "score", label: str =
 
 def trapezoid_pr_area(df: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
     """Area under the precision-recall curve by trapezoids, from recall 0 at precision 1."""
-    points = curve(df, keys, score, label).withColumns({"precision": F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp")), "recall": safe_ratio(F.col("cum_tp"), F.col("all_p"))})
-    run = Window.partitionBy(*keys).orderBy(F.desc("score"))
-    before = lambda c, first: F.coalesce(F.lag(c).over(run), F.lit(first))
-    steps = points.withColumn("slice", (F.col("recall") - before("recall", 0.0)) * (F.col("precision") + before("precision", 1.0)) / 2)
+    points = curve(df, keys, score, label)
+    tp, seen = F.col("cum_tp") - F.col("tp"), F.col("cum_tp") + F.col("cum_fp") - F.col("tp") - F.col("fp")
+    recall = safe_ratio(F.col("tp"), F.col("all_p"))
+    before, now = F.when(seen > 0, tp / seen).otherwise(1.0), F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
+    steps = points.withColumn("slice", recall * (now + before) / 2)
     return steps.groupBy(*keys).agg(F.sum("slice").alias("pr_area"))
 
 
@@ -90,26 +119,46 @@ def average_rank(keys: list[str], column: str) -> Column:
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    """Correlation of average ranks. Ranks come from grouped values, so ties meet before the window."""
+    """Correlation of average ranks. Ranks come from grouped values, so ties meet before they are summed in ranges."""
     def ranks(column: str, name: str) -> DataFrame:
         sizes = df.groupBy(*keys, column).agg(F.count("*").alias("__n"))
-        below = F.sum("__n").over(Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, -1))
-        return sizes.select(*keys, column, (F.coalesce(below, F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+        summed = running_sums(sizes, keys, column, ["__n"])
+        return summed.select(*keys, column, (F.col("cum___n") - (F.col("__n") - 1) / 2).alias(name))
 
     ranked = df.join(ranks(x, "__rx"), [*keys, x]).join(ranks(y, "__ry"), [*keys, y])
     return ranked.groupBy(*keys).agg(F.corr("__rx", "__ry").alias("spearman"))
 
 
+def percentiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float]) -> DataFrame:
+    """Exact percentiles, linear between rows; places come from running counts, so no task holds all values of a key. Null values are left out."""
+    sizes = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
+    summed = running_sums(sizes, keys, "__v", ["__n"])
+    value, first, last = F.col("__v").cast("double"), F.col("cum___n") - F.col("__n"), F.col("cum___n") - 1
+    out = []
+    for name, q in at.items():
+        place = F.lit(q) * (F.col("all___n") - 1)
+        low, high = F.floor(place), F.ceil(place)
+        inside = lambda k: F.max(F.when((first <= k) & (k <= last), value))
+        between = F.max(place - low)
+        out.append((inside(low) * (1 - between) + inside(high) * between).alias(name))
+    return summed.groupBy(*keys).agg(*out)
+
+
 def concordance(df: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
     """Distance between two scores of the same rows and decisions that flip at one half."""
-    gap = F.abs(F.col(one) - F.col(two))
-    return df.groupBy(*keys).agg(F.avg(gap).alias("mae"), F.max(gap).alias("most"), F.percentile(gap, F.lit(0.5)).alias("median"), F.percentile(gap, F.lit(0.99)).alias("p99"), F.sum(F.when((F.col(one) >= 0.5) != (F.col(two) >= 0.5), 1).otherwise(0)).cast("long").alias("flips"))
+    gaps = df.withColumn("__gap", F.abs(F.col(one) - F.col(two)))
+    flips = F.sum(F.when((F.col(one) >= 0.5) != (F.col(two) >= 0.5), 1).otherwise(0)).cast("long")
+    whole = gaps.groupBy(*keys).agg(F.avg("__gap").alias("mae"), F.max("__gap").alias("most"), flips.alias("flips"))
+    places = percentiles(gaps, keys, "__gap", {"median": 0.5, "p99": 0.99})
+    return whole.join(places, keys).select(*keys, "mae", "most", "median", "p99", "flips") if keys else whole.crossJoin(places)  # single rows
 
 
 def quantiles(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Least, tenth, quarter, half, three quarters, nine tenths and most, linear between rows."""
-    at = {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9}
-    return df.groupBy(*keys).agg(F.min(column).alias("least"), *[F.percentile(column, F.lit(q)).alias(n) for n, q in at.items()], F.max(column).alias("most"))
+    ends = df.groupBy(*keys).agg(F.min(column).alias("least"), F.max(column).alias("most"))
+    places = percentiles(df, keys, column, {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9})
+    joined = ends.join(places, keys) if keys else ends.crossJoin(places)  # single rows
+    return joined.select(*keys, "least", "q10", "q25", "median", "q75", "q90", "most")
 
 
 def mcnemar(df: DataFrame, keys: list[str], one: str, two: str, label: str = "y", threshold: float = 0.5) -> DataFrame:
@@ -122,15 +171,18 @@ def mcnemar(df: DataFrame, keys: list[str], one: str, two: str, label: str = "y"
 
 
 def degree_concentration(degrees: DataFrame, share: float = 0.01) -> DataFrame:
-    """Rows at the top ``share`` of entities by degree, and entities with one label only."""
-    total = F.col("pos") + F.col("neg")
-    sizes = degrees.withColumn("d", total)
-    n = sizes.count()
-    top = sizes.orderBy(F.desc("d"), "entity").limit(max(1, -(-n * int(share * 10_000) // 10_000)))
-    head = top.agg(F.sum("d").cast("long").alias("top_rows"))
+    """Rows at the top ``share`` of entities by degree, entities with one label only, and how positive and negative degrees go together.
+
+    The cut-off degree comes from running counts of degrees, so no task sorts
+    the top entities; entities at the cut-off count as far as the share goes.
+    """
+    sizes = degrees.withColumn("d", F.col("pos") + F.col("neg"))
+    counts = running_sums(sizes.groupBy("d").agg(F.count("*").alias("n")), [], "d", ["n"], descending=True)
+    wanted = F.greatest(F.lit(1), F.ceil(F.col("all_n") * int(share * 10_000) / 10_000))
+    head = counts.agg(F.sum(F.col("d") * F.greatest(F.lit(0), F.least("n", wanted - (F.col("cum_n") - F.col("n"))))).cast("long").alias("top_rows"))
     count = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     rest = sizes.agg(F.count("*").alias("entities"), F.sum("d").cast("long").alias("rows"), count((F.col("pos") > 0) & (F.col("neg") == 0)).alias("positive_only"), count((F.col("pos") == 0) & (F.col("neg") > 0)).alias("negative_only"))
-    return rest.crossJoin(head)  # single rows
+    return rest.crossJoin(head).crossJoin(spearman(sizes, [], "pos", "neg").withColumnRenamed("spearman", "degree_spearman"))  # single rows
 
 
 def anchor_rows(df: DataFrame, keep: list[str], a: str = "a", b: str = "b") -> DataFrame:
@@ -140,14 +192,14 @@ def anchor_rows(df: DataFrame, keep: list[str], a: str = "a", b: str = "b") -> D
 
 def macro_ap(df: DataFrame, keys: list[str], least_rows: int = 10, score: str = "score", label: str = "y") -> DataFrame:
     """Mean over anchors of AP and AUROC, of anchors with enough rows and both labels."""
-    per = ap_auroc(anchor_rows(df, [*keys, score, label]), [*keys, "anchor"], score, label)
+    per = ap_auroc(anchor_rows(df, [*keys, score, label]), [*keys, "anchor"], score, label, many=True)
     kept = per.filter((F.col("p") + F.col("n") >= least_rows) & F.col("ap").isNotNull())
     return kept.groupBy(*keys).agg(F.count("*").alias("anchors"), F.avg("ap").alias("macro_ap"), F.avg("auroc").alias("macro_auroc"))
 
 
 def anchor_concordance(df: DataFrame, keys: list[str], least_each: int = 2, score: str = "score", label: str = "y") -> DataFrame:
     """Chance that an anchor's positive outranks its negative (ties half), mean over anchors."""
-    per = ap_auroc(anchor_rows(df, [*keys, score, label]), [*keys, "anchor"], score, label)
+    per = ap_auroc(anchor_rows(df, [*keys, score, label]), [*keys, "anchor"], score, label, many=True)
     kept = per.filter((F.col("p") >= least_each) & (F.col("n") >= least_each))
     return kept.groupBy(*keys).agg(F.count("*").alias("anchors"), F.avg("auroc").alias("concordance"))
 
@@ -187,7 +239,7 @@ def top_k_overlap(df: DataFrame, one: str, two: str, k: int, row: str = "row_id"
 
 def train_quantile_bins(df: DataFrame, column: str, train: Column, name: str = "bin") -> DataFrame:
     """Bin by the quartiles of the training rows (three numbers, one row)."""
-    cuts = df.filter(train).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__cuts"))
+    cuts = percentiles(df.filter(train), [], column, {"q1": 0.25, "q2": 0.5, "q3": 0.75}).select(F.array("q1", "q2", "q3").alias("__cuts"))
     return df.crossJoin(F.broadcast(cuts)).withColumn(name, F.size(F.filter(F.array_distinct("__cuts"), lambda c: c < F.col(column)))).drop("__cuts")
 
 
@@ -221,3 +273,10 @@ def best_checkpoint(df: DataFrame, run: str, update: str, metric: str) -> DataFr
 def log_windows(df: DataFrame, run: str, update: str, value: str, width: int) -> DataFrame:
     """Per run and range of updates the rows, mean, most and share above one."""
     return df.groupBy(run, F.floor(F.col(update) / width).alias("window")).agg(F.count("*").alias("rows"), F.avg(value).alias("mean"), F.max(value).alias("most"), F.avg(F.when(F.col(value) > 1, 1.0).otherwise(0.0)).alias("above_one"))
+
+
+def trailing_windows(df: DataFrame, run: str, update: str, value: str, width: int) -> DataFrame:
+    """At each update of a run the mean, most and share above one of its last ``width`` updates, and the rows there are."""
+    last = Window.partitionBy(run).orderBy(update).rangeBetween(-(width - 1), 0)
+    over = F.avg(F.when(F.col(value) > 1, 1.0).otherwise(0.0)).over(last)
+    return df.select(run, update, F.count("*").over(last).alias("rows"), F.avg(value).over(last).alias("mean"), F.max(value).over(last).alias("most"), over.alias("above_one"))

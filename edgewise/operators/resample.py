@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from edgewise.functions.expressions import hash_draw, poisson_one
-from edgewise.operators.metrics import ap_auroc
+from edgewise.functions.shared import materialise
+
+#: Rows of one range of scores.
+RANGE_ROWS = 200_000
 
 
 def multinomial_draws(entities: DataFrame, replicates: int, salt: str = "boot") -> DataFrame:
-    """B1: how often each entity is drawn in each replicate of n draws with replacement (drawn ones only).
+    """B1: per drawn entity ``mult``, how often it is drawn in each replicate of n draws with replacement.
 
     ``entities`` has ``entity`` and its place ``ix`` in 0..n-1. Each draw picks
     a place by hash, so draws are spread over the cluster.
@@ -18,31 +27,161 @@ def multinomial_draws(entities: DataFrame, replicates: int, salt: str = "boot")
     n = entities.agg(F.count("*").alias("n"))  # one row
     draws = entities.select("ix").crossJoin(F.broadcast(n)).select("ix", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     picked = draws.select("rep", (hash_draw(F.concat_ws(":", F.lit(salt), F.col("rep").cast("string"), F.col("ix").cast("string"))) % F.col("n")).alias("ix"))
-    counts = picked.groupBy("rep", "ix").agg(F.count("*").alias("mult"))
-    return counts.join(entities.select("entity", "ix"), "ix").select("rep", "entity", "mult")
+    counts = picked.groupBy("rep", "ix").agg(F.count("*").cast("int").alias("mult"))
+    found = counts.groupBy("ix").agg(F.map_from_entries(F.collect_list(F.struct("rep", "mult"))).alias("found"))  # an entry a replicate at most
+    every = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("found", r), F.lit(0)))
+    return found.join(entities.select("entity", "ix"), "ix").select("entity", every.alias("mult"))
 
 
 def poisson_draws(entities: DataFrame, replicates: int, salt: str = "poisson") -> DataFrame:
-    """B2: Poisson(1) multiplicity of each entity in each replicate (positive ones only)."""
-    each = entities.select("entity", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    draw = hash_draw(F.concat_ws(":", F.lit(salt), F.col("rep").cast("string"), F.col("entity").cast("string")))
-    return each.select("rep", "entity", poisson_one(draw).cast("long").alias("mult")).filter("mult > 0")
+    """B2: per entity ``mult``, its Poisson(1) multiplicity in each replicate. No shuffle."""
+    draw = lambda r: hash_draw(F.concat_ws(":", F.lit(salt), r.cast("string"), F.col("entity").cast("string")))
+    return entities.select("entity", F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson_one(draw(r)).cast("int")).alias("mult"))
 
 
 def pair_weights(pairs: DataFrame, draws: DataFrame, keep: list[str], square_self: bool = False) -> DataFrame:
-    """Weight of each pair in each replicate: the product of its ends' multiplicities, a self pair's one multiplicity.
+    """``weights``: a pair's weight in each replicate, the product of its ends' multiplicities, a self pair's one multiplicity.
 
-    Inner joins leave out pairs of weight zero before any metric.
+    Two joins, whatever the number of replicates. Pairs with an end that is
+    never drawn have no weight anywhere and are left out.
     """
-    left, right = draws.select("rep", F.col("entity").alias("a"), F.col("mult").alias("ma")), draws.select("rep", F.col("entity").alias("b"), F.col("mult").alias("mb"))
-    joined = pairs.join(left, "a").join(right, ["rep", "b"])
+    left, right = draws.select(F.col("entity").alias("a"), F.col("mult").alias("ma")), draws.select(F.col("entity").alias("b"), F.col("mult").alias("mb"))
+    joined = pairs.join(left, "a").join(right, "b")
     same = F.lit(False) if square_self else F.col("a") == F.col("b")
-    return joined.select("rep", *keep, F.when(same, F.col("ma")).otherwise(F.col("ma") * F.col("mb")).cast("double").alias("weight"))
+    return joined.select(*keep, F.when(same, F.col("ma")).otherwise(F.zip_with("ma", "mb", lambda x, y: x * y)).alias("weights"))
 
 
 def replicate_metrics(weighted: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
-    """AP and AUROC of each replicate and key; null where a class has no weight."""
-    return ap_auroc(weighted, ["rep", *keys], score, label, "weight")
+    """AP and AUROC of each replicate (``rep``) and key from rows with ``weights``; null where a class has no weight.
+
+    All replicates share one order of scores, so rows are dealt once, by ranges
+    of each key's scores, and all replicates are summed along a range together.
+    The sums of the ranges above it start each range. Rows are never multiplied
+    by replicates. ``keys`` are few and not null.
+    """
+    kinds = dict(weighted.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    sides = ["tp", "fp"]
+    rows = materialise(weighted.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"), "weights"), "weighted")
+    ranges = max(1, -(-rows.count() // RANGE_ROWS))
+    cuts = F.percentile_approx("score", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 20 * ranges) if ranges > 1 else F.array().cast("array<double>")
+    cut = rows.groupBy(*keys).agg(cuts.alias("cuts"))
+    dealt = rows.join(F.broadcast(cut), keys) if keys else rows.crossJoin(F.broadcast(cut))  # a row a key
+    dealt = dealt.withColumn("part", F.size(F.filter("cuts", lambda c: c > F.col("score"))).cast("long")).drop("cuts")
+
+    def matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
+        return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+
+    fields = [(k, to_arrow_type(weighted.schema[k].dataType)) for k in keys]
+
+    def frame(found: dict[tuple, list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+        columns = [pa.array([key[i] for key in found], kind) for i, (_, kind) in enumerate([*fields, ("part", pa.int64())])]
+        columns += [pa.array([x[i] for x in found.values()], pa.list_(pa.float64())) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, [*keys, "part", *names])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Weighted positives and negatives of each range that a task meets."""
+        found: dict[tuple, list[np.ndarray]] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w, y = matrix(batch, "weights"), batch.column("y").to_numpy(zero_copy_only=False)
+            place = pd.DataFrame({k: batch.column(k).to_pandas() for k in [*keys, "part"]})
+            for key, at in place.groupby([*keys, "part"]).indices.items():
+                key = key if isinstance(key, tuple) else (key,)
+                positive = w[at][y[at] == 1].sum(axis=0)
+                now = [positive, w[at].sum(axis=0) - positive]
+                found[key] = [a + b for a, b in zip(found[key], now, strict=True)] if key in found else now
+        if found:
+            yield frame(found, sides)
+
+    def before(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of the ranges above each range, range after range."""
+        last, total, out = None, [0.0, 0.0], {}
+        for batch in batches:
+            place = list(zip(*(batch.column(k).to_pylist() for k in [*keys, "part"]), strict=True))
+            sums = [matrix(batch, side) for side in sides]
+            for i, key in enumerate(place):
+                if last is None or key[:-1] != last[:-1]:
+                    total = [np.zeros(sums[0].shape[1])] * 2
+                if key != last:
+                    out[key] = list(total)
+                last, total = key, [t + s[i] for t, s in zip(total, sums, strict=True)]
+        if out:
+            yield frame(out, sides)
+
+    lists = "part long, tp array<double>, fp array<double>"
+    comma = ", " if keys else ""
+    sums = dealt.mapInArrow(add_up, f"{named}{comma}{lists}")
+    heads = sums.repartition(*[F.col(k) for k in keys] or [F.lit(0)]).sortWithinPartitions(*keys, "part").mapInArrow(before, f"{named}{comma}{lists}")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = heads.select(*keys, "part", F.lit(True).alias("head"), none("double").alias("score"), none("int").alias("y"), none("array<int>").alias("weights"), *sides).unionByName(
+        dealt.select(*keys, "part", F.lit(False).alias("head"), "score", "y", "weights", *[none("array<double>").alias(s) for s in sides])
+    )
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per range and replicate: positives, negatives, and the sums of AP and area."""
+        key, state, tie, out = None, None, None, {}
+
+        def settle() -> None:
+            """Close the tie group that is open."""
+            nonlocal tie
+            if tie is not None:
+                _, tp, fp = tie
+                state[0] += tp
+                state[1] += fp
+                seen = state[0] + state[1]
+                out[key][0] += tp
+                out[key][1] += fp
+                out[key][2] += np.divide(tp * state[0], seen, out=np.zeros_like(tp), where=seen > 0)
+                out[key][3] += fp * (state[0] - tp / 2)
+            tie = None
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            place = list(zip(*(batch.column(k).to_pylist() for k in [*keys, "part"]), strict=True))
+            heads, score, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("head", "score", "y"))
+            at = 0
+            while at < len(place):
+                if heads[at]:
+                    settle()
+                    key, state = place[at], [np.array(batch.column(side)[at].as_py()) for side in sides]
+                    out[key] = [np.zeros_like(state[0]) for _ in range(4)]
+                    at += 1
+                    continue
+                end = at
+                while end < len(place) and not heads[end]:
+                    end += 1
+                w = matrix(batch.slice(at, end - at), "weights")
+                s, positive = score[at:end], (y[at:end] == 1).astype(float)[:, None]
+                starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+                tp, fp = np.add.reduceat(w * positive, starts, axis=0), np.add.reduceat(w * (1 - positive), starts, axis=0)
+                if tie is not None and tie[0] == s[0]:
+                    tp[0] += tie[1]
+                    fp[0] += tie[2]
+                    tie = None
+                settle()
+                # All groups but the last at once; the last may go on in the next batch.
+                ct, cf = state[0] + np.cumsum(tp[:-1], axis=0), state[1] + np.cumsum(fp[:-1], axis=0)
+                if len(ct):
+                    seen = ct + cf
+                    out[key][0] += tp[:-1].sum(axis=0)
+                    out[key][1] += fp[:-1].sum(axis=0)
+                    out[key][2] += np.divide(tp[:-1] * ct, seen, out=np.zeros_like(ct), where=seen > 0).sum(axis=0)
+                    out[key][3] += (fp[:-1] * (ct - tp[:-1] / 2)).sum(axis=0)
+                    state = [ct[-1].copy(), cf[-1].copy()]
+                tie = (s[starts[-1]], tp[-1], fp[-1])
+                at = end
+        settle()
+        if out:
+            yield frame(out, ["p", "n", "ap", "area"])
+
+    ordered = both.repartition(*keys, F.col("part")).sortWithinPartitions(*keys, "part", F.desc("head"), F.desc("score"))
+    ends = ordered.mapInArrow(along, f"{named}{comma}part long, p array<double>, n array<double>, ap array<double>, area array<double>")
+    each = ends.select(*keys, F.posexplode(F.arrays_zip("p", "n", "ap", "area")).alias("rep", "x")).groupBy(*keys, "rep").agg(*[F.sum(f"x.{c}").alias(c) for c in ("p", "n", "ap", "area")])
+    ok = (F.col("p") > 0) & (F.col("n") > 0)
+    return each.select("rep", *keys, "p", "n", F.when(ok, F.col("ap") / F.col("p")).alias("ap"), F.when(ok, F.col("area") / F.col("p") / F.col("n")).alias("auroc"))
 
 
 def percentile_interval(values: DataFrame, keys: list[str], value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
@@ -67,11 +206,14 @@ def qualified_interval(intervals: DataFrame, supported: Column, share: float = 0
 
 
 def component_weights(rows: DataFrame, draws: DataFrame, members: list[str]) -> DataFrame:
-    """Weight of a row in a replicate: the product over the distinct components of its members.
+    """``row_id`` and ``weights``: in each replicate the product over the distinct components of its members.
 
-    ``members`` are component columns of ``rows`` (``row_id``, which must be unique); ``draws`` has rep, entity (component), mult.
+    ``members`` are component columns of ``rows`` (``row_id``, which must be
+    unique); ``draws`` has entity (component) and mult. Rows with a component
+    that has no draws are left out.
     """
     size = F.size(F.array_distinct(F.array(*members)))
     each = rows.select("row_id", size.alias("k"), F.explode(F.array_distinct(F.array(*members))).alias("entity"))
-    joined = each.join(draws, "entity").groupBy("rep", "row_id").agg(F.count("*").alias("found"), F.max("k").alias("k"), F.round(F.exp(F.sum(F.log(F.col("mult").cast("double"))))).cast("long").alias("weight"))
-    return joined.filter("found = k").select("rep", "row_id", "weight")
+    joined = each.join(draws, "entity").groupBy("row_id").agg(F.collect_list("mult").alias("all"), F.count("*").alias("found"), F.max("k").alias("k")).filter("found = k")
+    product = F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a * b))
+    return joined.select("row_id", product.alias("weights"))

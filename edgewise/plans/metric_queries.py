@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from edgewise.functions.expressions import hash_draw
 from edgewise.operators import metrics as M
 from edgewise.operators.pairs import entity_degrees
 
@@ -177,11 +178,12 @@ def g16(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g17_degree_concentration", X.ctes("pairs") + """, e AS (SELECT a AS entity, y FROM pairs UNION ALL SELECT b, y FROM pairs),
-g AS (SELECT entity, sum(y) AS pos, sum(1 - y) AS neg, count(*) AS d FROM e GROUP BY entity), r AS (SELECT *, row_number() OVER (ORDER BY d DESC, entity) AS k, count(*) OVER () AS n FROM g)
-SELECT count(*) AS entities, CAST(sum(d) AS BIGINT) AS rows, count(*) FILTER (pos > 0 AND neg = 0) AS positive_only, count(*) FILTER (pos = 0 AND neg > 0) AS negative_only,
+g AS (SELECT entity, sum(y) AS pos, sum(1 - y) AS neg, count(*) AS d FROM e GROUP BY entity), r AS (SELECT *, row_number() OVER (ORDER BY d DESC, entity) AS k, count(*) OVER () AS n,
+    rank() OVER (ORDER BY pos) + (count(*) OVER (PARTITION BY pos) - 1) / 2.0 AS rp, rank() OVER (ORDER BY neg) + (count(*) OVER (PARTITION BY neg) - 1) / 2.0 AS rn FROM g)
+SELECT round(corr(rp, rn), 6) AS degree_spearman, count(*) AS entities, CAST(sum(d) AS BIGINT) AS rows, count(*) FILTER (pos > 0 AND neg = 0) AS positive_only, count(*) FILTER (pos = 0 AND neg > 0) AS negative_only,
        CAST(sum(d) FILTER (k <= greatest(1, ceil(n / 100.0))) AS BIGINT) AS top_rows FROM r""")
 def g17(spark: SparkSession, d: str) -> DataFrame:
-    return M.degree_concentration(entity_degrees(X.pairs(spark, d)))
+    return rounded(M.degree_concentration(entity_degrees(X.pairs(spark, d))), "degree_spearman")
 
 
 @query("g18_coverage_by_class", X.ctes("pairs") + "SELECT y, count(*) AS rows, count(*) FILTER (score > 0) AS scored, count(*) FILTER (score > 0 AND tax > 0) AS both FROM pairs GROUP BY y")
@@ -202,6 +204,23 @@ def g31(spark: SparkSession, d: str) -> DataFrame:
     return rounded(M.log_windows(X.log(spark, d), "run", "upd", "value", 500), "mean", "above_one")
 
 
+@query("g31_trailing_windows", X.ctes("log") + """, t AS (SELECT run, upd, count(*) OVER w AS rows, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most, round(avg(CASE WHEN value > 1 THEN 1.0 ELSE 0.0 END) OVER w, 6) AS above_one
+FROM log WINDOW w AS (PARTITION BY run ORDER BY upd RANGE BETWEEN 499 PRECEDING AND CURRENT ROW)) SELECT * FROM t""")
+def g31_trailing(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(M.trailing_windows(X.log(spark, d), "run", "upd", "value", 500), "mean", "above_one")
+
+
+@query("w1_continuous_scores", X.ctes("pairs") + """, s AS (SELECT line AS model, ('0x' || substr(sha256('cont:' || row_id), 1, 15))::BIGINT / 1152921504606846976.0 + y / 4.0 AS score, y FROM pairs),
+g AS (SELECT model, score, sum(y) AS tp, sum(1 - y) AS fp FROM s GROUP BY model, score),
+c AS (SELECT *, sum(tp) OVER w AS ct, sum(fp) OVER w AS cf FROM g WINDOW w AS (PARTITION BY model ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT model, CAST(sum(tp) AS DOUBLE) AS p, CAST(sum(fp) AS DOUBLE) AS n, round(sum(tp * ct / (ct + cf)) / sum(tp), 6) AS ap, round(sum(fp * (ct - tp / 2.0)) / sum(tp) / sum(fp), 6) AS auroc FROM c GROUP BY model""")
+def w1_continuous(spark: SparkSession, d: str) -> DataFrame:
+    """Scores without ties: every row is a point of its curve."""
+    draw = hash_draw(F.concat(F.lit("cont:"), F.col("row_id").cast("string"))) / F.lit(float(1 << 60))
+    rows = X.pairs(spark, d).select(F.col("line").alias("model"), (draw + F.col("y") / 4.0).alias("score"), "y")
+    return rounded(M.ap_auroc(rows, ["model"]), "ap", "auroc")
+
+
 @query("g32_best_checkpoint", X.ctes("log") + """, g AS (SELECT *, value - lag(value) OVER (PARTITION BY run ORDER BY upd) AS gain, row_number() OVER (PARTITION BY run ORDER BY value DESC, upd) AS k,
     max(upd) OVER (PARTITION BY run) AS last FROM log)
 SELECT run, max(upd) FILTER (k = 1) AS best_update, max(value) FILTER (k = 1) AS best_value, max(upd) FILTER (k = 1) = max(last) AS at_horizon, round(max(gain) FILTER (upd = last), 6) AS last_gain FROM g GROUP BY run""")

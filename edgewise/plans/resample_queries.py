@@ -13,7 +13,7 @@ from . import fixtures as X
 from .metric_queries import rounded
 from .registry import query
 
-REPLICATES = 20
+REPLICATES = 200
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -60,7 +60,7 @@ def contrast_rows(spark: SparkSession, d: str) -> DataFrame:
     return R.contrasts(boot(spark, d).select("rep", "model", "ap"), table, "ap")
 
 
-@query("b5_contrasts", _CONTRAST + "SELECT contrast, rep, round(ap, 5) AS ap FROM v")
+@query("b5_contrasts", _CONTRAST + "SELECT contrast, rep, round(ap, 5) + 0.0 AS ap FROM v")
 def b5(spark: SparkSession, d: str) -> DataFrame:
     return rounded(contrast_rows(spark, d).withColumn("rep", F.col("rep").cast("long")), "ap", places=5)
 
@@ -86,16 +86,16 @@ def b2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("b3_component_bootstrap", f"""WITH k AS (SELECT DISTINCT ((l_orderkey * 1000000 + l_partkey) * 10000 + l_suppkey) * 10 + l_linenumber AS row_id, s_nationkey AS ca, p_size % 25 AS cb FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey),
-dr AS (SELECT rep, n_nationkey AS c, ('0x' || substr(sha256('comp:' || rep || ':' || n_nationkey), 1, 15))::BIGINT AS h FROM nation, (SELECT unnest(range(0, 5)) AS rep)), m AS (SELECT rep, c, {_POISSON} AS mult FROM dr),
+dr AS (SELECT rep, n_nationkey AS c, ('0x' || substr(sha256('comp:' || rep || ':' || n_nationkey), 1, 15))::BIGINT AS h FROM nation, (SELECT unnest(range(0, {REPLICATES})) AS rep)), m AS (SELECT rep, c, {_POISSON} AS mult FROM dr),
 w AS (SELECT x.rep, CASE WHEN ca = cb THEN x.mult ELSE x.mult * z.mult END AS weight FROM k JOIN m x ON x.c = ca JOIN m z ON z.c = cb AND z.rep = x.rep WHERE x.mult > 0 AND z.mult > 0)
 SELECT rep, count(*) AS rows, CAST(sum(weight) AS BIGINT) AS weight FROM w GROUP BY rep""")
 def b3(spark: SparkSession, d: str) -> DataFrame:
     line, supplier, part = (X.table(spark, d, n) for n in ("lineitem", "supplier", "part"))
     row = ((F.col("l_orderkey") * 1000000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")) * 10 + F.col("l_linenumber")
     rows = line.join(supplier, line["l_suppkey"] == supplier["s_suppkey"]).join(part, line["l_partkey"] == part["p_partkey"]).select(row.alias("row_id"), F.col("s_nationkey").alias("ca"), (F.col("p_size") % 25).alias("cb")).distinct()
-    draws = R.poisson_draws(X.table(spark, d, "nation").select(F.col("n_nationkey").alias("entity")), 5, "comp")
-    weights = R.component_weights(rows, draws, ["ca", "cb"])
-    return weights.groupBy(F.col("rep").cast("long").alias("rep")).agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"))
+    draws = R.poisson_draws(X.table(spark, d, "nation").select(F.col("n_nationkey").alias("entity")), REPLICATES, "comp")
+    each = R.component_weights(rows, draws, ["ca", "cb"]).select(F.posexplode("weights").alias("rep", "weight")).filter("weight > 0")
+    return each.groupBy(F.col("rep").cast("long").alias("rep")).agg(F.count("*").alias("rows"), F.sum("weight").alias("weight"))
 
 
 _H = "('0x' || substr(sha256({}), 1, 15))::BIGINT"
