@@ -54,36 +54,38 @@ def swap_credit(quartets: DataFrame, scores: DataFrame, tolerance: float = 1e-9)
     return q.select("a", "b", "c", "d", F.when(F.abs(gap) <= tolerance * scale, 0.5).when(gap > 0, 1.0).otherwise(0.0).alias("credit"))
 
 
-def capped_quartets(quartets: DataFrame, entity_cap: int, most: int, salt: str = "quartet", max_rounds: int | None = None) -> DataFrame:
-    """Quartets in hash order while no entity is used over ``entity_cap`` times, ``most`` in all.
+def capped_quartets(quartets: DataFrame, entity_cap: int, most: int, salt: str = "quartet", max_rounds: int | None = None, edge_cap: int | None = None) -> DataFrame:
+    """Quartets in hash order while no entity is used over ``entity_cap`` times and no positive edge (a, b), (c, d) over ``edge_cap`` times, ``most`` in all.
 
     Rounds as in capped negatives: a quartet is taken when its rank within all
-    four members fits what is left of their caps. Ends when no quartet fits any
-    more; ``max_rounds`` raises where it would end before that.
+    its members and edges fits what is left of their caps. Ends when no quartet
+    fits any more; ``max_rounds`` raises where it would end before that.
     """
-    key = hash_draw(F.concat_ws(":", F.lit(salt), "a", "b", "c", "d"))
-    left = materialise(quartets.withColumn("h", key), "quartets")
-    room = materialise(left.select(F.explode(F.array("a", "b", "c", "d")).alias("entity")).distinct().withColumn("room", F.lit(entity_cap).cast("long")), "room")
+    own = ["a", "b", "c", "d", "h"]
+    member = lambda c: F.struct(F.lit("m").alias("kind"), F.col(c).cast("string").alias("one"), F.lit("").alias("two"))
+    edge = lambda x, y: F.struct(F.lit("e").alias("kind"), F.col(x).cast("string").alias("one"), F.col(y).cast("string").alias("two"))
+    keys = [member(c) for c in own[:4]] + ([edge("a", "b"), edge("c", "d")] if edge_cap is not None else [])
+    left = materialise(quartets.withColumn("h", hash_draw(F.concat_ws(":", F.lit(salt), "a", "b", "c", "d"))).select(*own), "quartets")
+    uses = lambda df: df.select(*own, F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    cap = F.when(F.col("key.kind") == "m", F.lit(entity_cap)).otherwise(F.lit(edge_cap or 0))
+    room = materialise(uses(left).select("key").distinct().withColumn("room", cap.cast("long")), "room")
     taken = None
     for k in count():
         if max_rounds is not None and k > max_rounds:
             raise RuntimeError(f"quartets did not settle in {max_rounds} rounds")
-        ranked = left
-        for c in ("a", "b", "c", "d"):
-            ranked = ranked.join(room.select(F.col("entity").alias(c), F.col("room").alias(f"room_{c}")), c)
-        # A member's uses in any place count together.
-        uses = ranked.select("a", "b", "c", "d", "h", F.explode(F.array("a", "b", "c", "d")).alias("entity"), F.least("room_a", "room_b", "room_c", "room_d").alias("least_room"))
-        order = F.row_number().over(Window.partitionBy("entity").orderBy("h", "a", "b", "c", "d"))
-        own = uses.withColumn("rank", order).join(room, "entity")
-        fits = own.groupBy("a", "b", "c", "d", "h").agg(F.min((F.col("rank") <= F.col("room")).cast("int")).alias("take"))
-        marked = materialise(fits, "round")
-        now = marked.filter("take = 1").select("a", "b", "c", "d", "h")
+        # A quartet is open while all its keys have room; only open ones are ranked.
+        alive = uses(left).join(room, "key", "left")
+        open_ = alive.groupBy(*own).agg(F.min(F.coalesce("room", F.lit(0))).alias("least")).filter("least > 0").drop("least")
+        order = F.row_number().over(Window.partitionBy("key").orderBy("h", "a", "b", "c", "d"))
+        ranked = uses(open_).withColumn("rank", order).join(room, "key")
+        marked = materialise(ranked.groupBy(*own).agg(F.min((F.col("rank") <= F.col("room")).cast("int")).alias("take")), "round")
+        now = marked.filter("take = 1").select(*own)
         if now.isEmpty():
             break
         taken = now if taken is None else taken.union(now)
-        used = now.select(F.explode(F.array("a", "b", "c", "d")).alias("entity")).groupBy("entity").agg(F.count("*").alias("used"))
-        room = materialise(room.join(used, "entity", "left").select("entity", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).filter("room > 0"), "room")
-        left = marked.filter("take = 0").select("a", "b", "c", "d", "h")
+        used = uses(now).groupBy("key").agg(F.count("*").alias("used"))
+        room = materialise(room.join(used, "key", "left").select("key", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).filter("room > 0"), "room")
+        left = marked.filter("take = 0").select(*own)
     chosen = taken if taken is not None else left.limit(0)
     return chosen.orderBy("h", "a", "b", "c", "d").limit(most).select("a", "b", "c", "d")
 

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import hash_draw
-from edgewise.functions.shared import materialise
-from edgewise.operators.metrics import spearman
+from edgewise.functions.shared import fresh_path, materialise
+from edgewise.operators.metrics import running_sums, spearman
 from edgewise.operators.pairs import canonical_pair, entity_degrees
 
 
@@ -26,8 +26,14 @@ def proportional_sample(df: DataFrame, strata: list[str], size: int, row: str, s
     spare = size - F.sum("__base").over(Window.partitionBy())  # one row a stratum
     place = F.row_number().over(Window.orderBy(F.desc("__rest"), *strata))
     quotas = quotas.select(*strata, (F.col("__base") + F.when(place <= spare, 1).otherwise(0)).alias("__quota"))
-    ranked = df.withColumn("__place", F.row_number().over(Window.partitionBy(*strata).orderBy(_draw(salt, row), row)))
-    return ranked.join(F.broadcast(quotas), strata).filter("__place <= __quota").drop("__place", "__quota")
+    # Only rows whose hash can be among the quota's least are ranked: six deviations over the quota's share of the stratum.
+    quotas = materialise(quotas.join(sizes, strata).withColumn("__share", (F.col("__quota") + 6 * F.sqrt("__quota") + 36) / F.col("__n")).drop("__n"), "quotas")
+    few = df.join(F.broadcast(quotas), strata).withColumn("__h", _draw(salt, row)).filter(F.col("__h") < F.col("__share") * float(1 << 60))
+    kept = few.withColumn("__place", F.row_number().over(Window.partitionBy(*strata).orderBy("__h", row))).filter("__place <= __quota")
+    short = kept.groupBy(*strata).agg(F.count("*").alias("__k")).join(F.broadcast(quotas), strata, "right").filter(F.coalesce("__k", F.lit(0)) < F.col("__quota"))
+    if not short.isEmpty():  # a hash that uneven is met once in a thousand million strata: rank all
+        kept = df.join(F.broadcast(quotas), strata).withColumn("__place", F.row_number().over(Window.partitionBy(*strata).orderBy(_draw(salt, row), row))).filter("__place <= __quota")
+    return kept.select(*df.columns)
 
 
 def round_robin(df: DataFrame, group: str, family: str, row: str, k: int, salt: str, family_salt: str) -> DataFrame:
@@ -41,12 +47,11 @@ def round_robin(df: DataFrame, group: str, family: str, row: str, k: int, salt:
 def decile_sample(df: DataFrame, row: str, value: str, k: int, salt: str) -> DataFrame:
     """``k`` rows in hash order of each tenth by value.
 
-    Places come from counts of each value, summed along the values, so that no
-    task sorts all rows: a value's rows share a window and values a running sum.
+    Places come from counts of each value, summed in ranges of values, so that
+    no task sorts all rows; the rows of one value share a window.
     """
-    sizes = df.groupBy(value).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))  # one row a distinct value
-    starts = sizes.select(value, F.coalesce(before, F.lit(0)).alias("__start"))
+    sizes = running_sums(df.groupBy(value).agg(F.count("*").alias("__n")), [], value, ["__n"])
+    starts = sizes.select(value, (F.col("cum___n") - F.col("__n")).alias("__start"))
     total = df.agg(F.count("*").alias("__all"))
     within = F.row_number().over(Window.partitionBy(value).orderBy(row)) - 1
     placed = df.withColumn("__within", within).join(starts, value).crossJoin(F.broadcast(total)).withColumn("__at", F.col("__start") + F.col("__within"))
@@ -58,52 +63,91 @@ def decile_sample(df: DataFrame, row: str, value: str, k: int, salt: str) -> Dat
     return tagged.withColumn("place", F.row_number().over(Window.partitionBy("decile").orderBy(_draw(salt, row), row))).filter(F.col("place") <= k)
 
 
-def negative_candidates(positives: DataFrame, factor: float, blacklist: DataFrame | None = None, salt: str = "neg") -> DataFrame:
-    """Pairs whose ends are drawn as often as they are in positives, new, without selves, positives and blacklisted.
+def first_by_hash(df: DataFrame, k: int, h: str = "h") -> DataFrame:
+    """The ``k`` rows of the least ``h``, a hash of the row; its cut-off comes from running counts, not from a global sort."""
+    counts = running_sums(df.groupBy(h).agg(F.count("*").alias("n")), [], h, ["n"])
+    cut = counts.filter(F.col("cum_n") <= k).agg(F.max(h)).first()[0]
+    return df.filter(F.col(h) <= cut) if cut is not None else df.limit(0)
 
-    Every positive edge's slot offers its left end ``ceil(factor)`` times; a
-    hash deals these among as many right-end slots, block by block, so that
-    ends keep their degrees without a global order.
+
+def negative_candidates(positives: DataFrame, factor: float, blacklist: DataFrame | None = None, salt: str = "neg", annotations: DataFrame | None = None, max_rounds: int = 50) -> DataFrame:
+    """``factor`` times as many pairs as positives: new ones, without selves, positives and blacklisted.
+
+    Both ends are drawn as often as entities are ends of positives: each
+    positive offers its ends, and a hash deals the offers against each other,
+    block by block, without a global order. Rounds go on until the pool is
+    large enough. Pairs whose ends share an annotation (``annotations``:
+    entity, annots) come first, others fill up; each part in hash order. Where
+    there are fewer pairs than wanted, all are wanted. A pool that ``max_rounds``
+    do not fill is an error.
     """
-    copies = max(1, round(factor * 2))
-    slots = positives.select("a", "b", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("c"))
-    key = F.concat_ws(":", F.lit(salt), "a", "b", F.col("c").cast("string"))
-    blocks = max(1, positives.count() * copies // 4096)
-    dealt = slots.withColumn("block", hash_draw(F.concat(F.lit("block:"), key)) % blocks)
-    left = F.row_number().over(Window.partitionBy("block").orderBy(hash_draw(F.concat(F.lit("l:"), key)), "a", "b", "c"))
-    right = F.row_number().over(Window.partitionBy("block").orderBy(hash_draw(F.concat(F.lit("r:"), key)), "a", "b", "c"))
-    one, two = dealt.select("block", left.alias("k"), "a"), dealt.select("block", right.alias("k"), "b")
-    drawn = canonical_pair(one.join(two, ["block", "k"]).filter("a <> b")).select("lo", "hi").distinct()
+    spark = positives.sparkSession
     bad = canonical_pair(positives).select("lo", "hi")
+    known = materialise(bad.distinct(), "positives")
     if blacklist is not None:
         bad = bad.union(canonical_pair(blacklist).select("lo", "hi"))
-    return drawn.join(bad.distinct(), ["lo", "hi"], "left_anti").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-
-
-def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: str = "cap", max_rounds: int | None = None) -> DataFrame:
+    bad = materialise(bad.distinct(), "forbidden")
+    ends = known.select("lo", "hi", F.posexplode(F.array("lo", "hi")).alias("side", "end"))
+    n, entities = known.count(), ends.select("end").distinct().count()
+    target = min(round(factor * n), entities * (entities - 1) // 2 - bad.filter("lo <> hi").count())
+    blocks, path, have = max(1, 2 * n // 4096), fresh_path(spark, "pool"), 0
+    for k in range(max_rounds):
+        if have >= target:
+            break
+        copies = max(1, -(-2 * (target - have) // (2 * n)))
+        slots = ends.select("end", F.concat_ws(":", F.lit(f"{salt}{k}"), "lo", "hi", F.col("side").cast("string")).alias("key"), F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("c"))
+        key = F.concat_ws(":", "key", F.col("c").cast("string"))
+        dealt = slots.select("end", key.alias("key")).withColumn("block", hash_draw(F.concat(F.lit("block:"), "key")) % blocks)
+        left, right = (F.row_number().over(Window.partitionBy("block").orderBy(hash_draw(F.concat(F.lit(x), "key")), "key")) for x in ("l:", "r:"))
+        drawn = dealt.select("block", left.alias("k"), F.col("end").alias("a")).join(dealt.select("block", right.alias("k"), F.col("end").alias("b")), ["block", "k"]).filter("a <> b")
+        new = canonical_pair(drawn).select("lo", "hi").distinct().join(bad, ["lo", "hi"], "left_anti")
+        new = new.join(spark.read.parquet(path), ["lo", "hi"], "left_anti") if k else new
+        new.write.mode("append").parquet(path)
+        have = spark.read.parquet(path).count()
+    if have < target:
+        raise RuntimeError(f"{have} candidates after {max_rounds} rounds; {target} are wanted")
+    pool = spark.read.parquet(path).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    pool = pool.withColumn("h", hash_draw(F.concat_ws(":", F.lit(f"{salt}-first"), "a", "b")))
+    if annotations is None:
+        return first_by_hash(pool, target).select("a", "b")
+    one, two = (annotations.select(F.col("entity").alias(x), F.col("annots").alias(f"n_{x}")) for x in ("a", "b"))
+    told = materialise(pool.join(one, "a", "left").join(two, "b", "left").select("a", "b", "h", F.coalesce(F.arrays_overlap("n_a", "n_b"), F.lit(False)).alias("related")), "told")
+    first = first_by_hash(told.filter("related"), target)
+    rest = target - first.count()
+    return (first.unionByName(first_by_hash(told.filter("NOT related"), rest)) if rest else first).select("a", "b")
+
+
+def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: str = "cap", max_rounds: int | None = None, target: int | None = None) -> DataFrame:
     """Candidates in hash order while no entity has over ``cap`` times its positive degree.
 
     Rounds: a candidate whose rank within both ends is inside both remaining
-    caps is taken. Ends when a round takes none; the caps always hold.
-    ``max_rounds`` raises where it would end before that.
+    caps is taken. Ends when a round takes none, or when ``target`` are taken;
+    the caps always hold. Of more than ``target`` the first in hash order stay;
+    fewer are an error. ``max_rounds`` raises where it would end before that.
     """
     room = entity_degrees(positives.withColumn("y", F.lit(1)).select("a", "b", "y")).select("entity", (F.col("pos") * cap).alias("room"))
     left = materialise(candidates.withColumn("h", hash_draw(F.concat_ws(":", F.lit(salt), "a", "b"))), "candidates")
-    taken = None
+    taken, have = None, 0
     for k in count():
         if max_rounds is not None and k > max_rounds:
             raise RuntimeError(f"candidates did not settle in {max_rounds} rounds")
         open_ = left.join(room.select(F.col("entity").alias("a"), F.col("room").alias("room_a")), "a").join(room.select(F.col("entity").alias("b"), F.col("room").alias("room_b")), "b")
         ranked = open_.withColumns({"ra": F.row_number().over(Window.partitionBy("a").orderBy("h", "b")), "rb": F.row_number().over(Window.partitionBy("b").orderBy("h", "a"))})
         marked = materialise(ranked.withColumn("take", (F.col("ra") <= F.col("room_a")) & (F.col("rb") <= F.col("room_b"))).select("a", "b", "h", "take"), "round")
-        now = marked.filter("take").select("a", "b")
-        if now.isEmpty():
+        now = marked.filter("take").select("a", "b", "h")
+        found = now.count()
+        if found:
+            taken, have = now if taken is None else taken.union(now), have + found
+        if not found or (target is not None and have >= target):
             break
-        taken = now if taken is None else taken.union(now)
         used = now.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count("*").alias("used"))
         room = materialise(room.join(used, "entity", "left").select("entity", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).filter("room > 0"), "room")
         left = marked.filter("NOT take").select("a", "b", "h")
-    return taken if taken is not None else candidates.limit(0)
+    if target is not None and have < target:
+        raise ValueError(f"{have} candidates fit the caps; {target} are wanted")
+    if taken is None:
+        return candidates.limit(0)
+    return (first_by_hash(taken, target) if target is not None and have > target else taken).select("a", "b")
 
 
 def balance_report(degrees: DataFrame) -> DataFrame:
@@ -116,14 +160,15 @@ def balance_report(degrees: DataFrame) -> DataFrame:
     return facts.crossJoin(spearman(rows, [], "pos", "neg"))  # single rows
 
 
-def length_pool_batches(df: DataFrame, row: str, length: str, pools: int, size: int, salt: str) -> DataFrame:
-    """Rows to pools by hash; inside a pool by length into batches of ``size``.
+def length_pool_batches(df: DataFrame, row: str, length: str, size: int, salt: str, batches: int = 50) -> DataFrame:
+    """Rows to random pools of ``batches`` batches; inside a pool by length into batches of ``size``; ``turn`` is the batches' random order.
 
-    ``pools`` should grow with the rows so that a pool stays small.
+    The number of pools follows the rows, so a pool stays small on any table.
     """
+    pools = max(1, -(-df.count() // (batches * size)))
     pooled = df.withColumn("pool", (_draw(salt, row) % pools).cast("int"))
     place = F.row_number().over(Window.partitionBy("pool").orderBy(length, row)) - 1
-    return pooled.withColumn("batch", F.floor(place / size))
+    return pooled.withColumn("batch", F.floor(place / size)).withColumn("turn", hash_draw(F.concat_ws(":", F.lit(f"{salt}-turn"), F.col("pool").cast("string"), F.col("batch").cast("string"))))
 
 
 def token_budget_batches(batches: DataFrame, row: str, length: str, budget: int, most: int) -> DataFrame:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import hash_draw
+from edgewise.functions.shared import materialise
+
+#: Components of one size that one ranking window holds, on average.
+RANK_BLOCK = 10_000
 
 
 def must_link_edges(entities: DataFrame, hits: DataFrame) -> DataFrame:
@@ -28,36 +32,89 @@ def contracted_graph(hits: DataFrame, components: DataFrame) -> DataFrame:
     return joined.groupBy(F.least("cq", "ct").alias("lo"), F.greatest("cq", "ct").alias("hi")).agg(F.max(weight).alias("weight"))
 
 
-def snake_folds(members: DataFrame, folds: int, salt: str = "fold", component: str = "component") -> DataFrame:
-    """Whole components to folds, largest first, dealt there and back.
+def _items_up_to(loads: list[int], size: int, value: int) -> list[int]:
+    return [0 if value < x else (value - x) // size + 1 for x in loads]
+
+
+def _after(loads: list[int], size: int, n: int) -> list[int]:
+    """Loads after ``n`` pieces of one size, each to the least-loaded fold, the first of equals."""
+    low, high = min(loads), min(loads) + size * n
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(_items_up_to(loads, size, middle)) >= n else (middle + 1, high)
+    counts = _items_up_to(loads, size, low - 1)
+    spare = n - sum(counts)
+    for k, x in enumerate(loads):
+        if spare and low >= x and (low - x) % size == 0:
+            counts[k], spare = counts[k] + 1, spare - 1
+    return [x + size * c for x, c in zip(loads, counts, strict=True)]
+
+
+def _fold_of(loads: Column, size: Column, rank: Column, folds: int) -> Column:
+    """The fold that the piece of this rank goes to: the rank-th least of all ``load + size * j``, by value and then fold."""
+    upto = lambda v: F.aggregate(loads, F.lit(0).cast("long"), lambda s, x: s + F.when(v >= x, F.floor((v - x) / size) + 1).otherwise(0))
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2)
+        inside = upto(middle) > rank
+        return F.struct(F.when(inside, s["low"]).otherwise(middle + 1).alias("low"), F.when(inside, middle).otherwise(s["high"]).alias("high"))
+
+    least = F.array_min(loads)
+    value = F.aggregate(F.sequence(F.lit(1), F.lit(52)), F.struct(least.alias("low"), (least + size * (rank + 1)).alias("high")), lambda s, i: F.when(s["low"] < s["high"], halve(s, i)).otherwise(s), lambda s: s["low"])
+    here = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda g: (loads[g] <= value) & ((value - loads[g]) % size == 0))
+    return F.element_at(here, (rank - upto(value - 1) + 1).cast("int"))
+
+
+def least_loaded_folds(members: DataFrame, folds: int, salt: str = "fold", component: str = "component", stratum: str | None = None) -> DataFrame:
+    """Whole components, largest first, each to the fold with the fewest members so far.
 
-    Never splits a component. Sizes are grouped first; only components, not
-    members, are ranked. Ties go by a hash of the component.
+    Equal sizes go in hash order, equal loads to the first fold. With
+    ``stratum`` (a component has one; C5: its label) each stratum is dealt on
+    its own, so that folds are alike in every stratum. Components of one size
+    are ranked in blocks of their hash, and a rank gives its fold directly: the
+    driver only follows the loads from size to size, and there are no more
+    sizes than the root of twice the members. A component in two strata is an
+    error.
     """
-    sizes = members.groupBy(component).agg(F.count("*").alias("size"))
-    # Components of one size are ranked apart, then blocks of sizes are laid end to end.
-    key = hash_draw(F.concat_ws(":", F.lit(salt), F.col(component).cast("string")))
-    inside = F.row_number().over(Window.partitionBy("size").orderBy(key, component))
-    ahead = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1)  # one row a size
-    starts = sizes.groupBy("size").agg(F.count("*").alias("n")).select("size", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    placed = sizes.withColumn("k", inside).join(starts, "size").withColumn("k", F.col("start") + F.col("k") - 1)
-    lap, seat = F.floor(F.col("k") / folds), F.col("k") % folds
-    fold = F.when(lap % 2 == 0, seat).otherwise(folds - 1 - seat).cast("int")
-    return members.join(placed.select(component, fold.alias("fold")), component)
+    spark = members.sparkSession
+    strata = F.col(stratum) if stratum else F.lit(0)
+    sizes = members.groupBy(component).agg(F.count("*").alias("size"), F.min(strata).alias("stratum"), F.max(strata).alias("most"))
+    draw = hash_draw(F.concat_ws(":", F.lit(salt), F.col(component).cast("string")))
+    sizes = materialise(sizes.withColumn("h", draw), "sizes")
+    if stratum and not sizes.filter("stratum <> most").isEmpty():
+        raise ValueError(f"a component has two values of {stratum}")
+    classes: list[tuple] = []
+    loads: dict[object, list[int]] = {}
+    for r in sizes.groupBy("stratum", "size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():  # a row a size and stratum
+        now = loads.setdefault(r["stratum"], [0] * folds)
+        classes.append((r["stratum"], r["size"], list(now), -(-r["n"] // RANK_BLOCK)))
+        loads[r["stratum"]] = _after(now, r["size"], r["n"])
+    kind = sizes.schema["stratum"].dataType.simpleString()
+    table = spark.createDataFrame(classes, f"stratum {kind}, size long, loads array<long>, blocks long")
+    placed = sizes.drop("most").join(F.broadcast(table), ["stratum", "size"])
+    placed = placed.withColumn("block", F.floor(F.col("h") / float(1 << 60) * F.col("blocks")))
+    key = ["stratum", "size", "block"]
+    ahead = F.sum("n").over(Window.partitionBy("stratum", "size").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    starts = placed.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(ahead, F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy(*key).orderBy("h", component)) - 1
+    ranked = placed.withColumn("within", within).join(starts, key).withColumn("rank", F.col("start") + F.col("within"))
+    fold = _fold_of(F.col("loads"), F.col("size"), F.col("rank"), folds)
+    return members.join(ranked.select(component, fold.cast("int").alias("fold")), component)
 
 
 def pair_roles(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """The fold of both ends, or ``crossing``."""
+    """The fold of both ends, or ``crossing``; ``unassigned`` where an end has no fold. No pair is lost."""
     own = members.select("entity", "fold")
-    joined = pairs.join(own.select(F.col("entity").alias("a"), F.col("fold").alias("fa")), "a").join(own.select(F.col("entity").alias("b"), F.col("fold").alias("fb")), "b")
-    return joined.withColumn("role", F.when(F.col("fa") == F.col("fb"), F.col("fa").cast("string")).otherwise("crossing"))
+    joined = pairs.join(own.select(F.col("entity").alias("a"), F.col("fold").alias("fa")), "a", "left").join(own.select(F.col("entity").alias("b"), F.col("fold").alias("fb")), "b", "left")
+    role = F.when(F.col("fa").isNull() | F.col("fb").isNull(), "unassigned").when(F.col("fa") == F.col("fb"), F.col("fa").cast("string")).otherwise("crossing")
+    return joined.withColumn("role", role)
 
 
 def fold_membership(pairs: DataFrame, members: DataFrame, folds: int) -> DataFrame:
     """C4: per fold the pairs with 0, 1 and 2 ends in it (train, crossing, validation)."""
     roles = pair_roles(pairs, members)
     each = roles.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    inside = (F.col("fa") == F.col("fold")).cast("int") + (F.col("fb") == F.col("fold")).cast("int")
+    inside = F.coalesce((F.col("fa") == F.col("fold")).cast("int"), F.lit(0)) + F.coalesce((F.col("fb") == F.col("fold")).cast("int"), F.lit(0))
     return each.groupBy("fold", inside.alias("ends_inside")).agg(F.count("*").alias("rows"))
 
 

@@ -144,7 +144,7 @@ def e5(spark: SparkSession, d: str) -> DataFrame:
 @query("e6_capped_quartets")
 def e6(spark: SparkSession, d: str) -> DataFrame:
     """Rows only: the caps are checked in the tests."""
-    return D.capped_quartets(P.swap_quartets(X.blocs(spark, d)), 40, 2000)
+    return D.capped_quartets(P.swap_quartets(X.blocs(spark, d)), 40, 2000, edge_cap=5)
 
 
 @query("e7_paired_comparison", _BY_LINE + " SELECT line, round(control, 6) AS control_ap, round(candidate, 6) AS candidate_ap, round(candidate - control, 6) AS ap_gain, round(d_roc - c_roc, 6) AS auroc_gain FROM p")

@@ -131,21 +131,28 @@ def n4(spark: SparkSession, d: str) -> DataFrame:
     return rounded(N.balance_report(degrees), "ratio", "spearman", "objective")
 
 
+def annotated(spark: SparkSession, d: str) -> DataFrame:
+    """Words of a part's type; a supplier's nation."""
+    part, supplier = X.table(spark, d, "part"), X.table(spark, d, "supplier")
+    one = part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("entity"), F.split("p_type", " ").alias("annots"))
+    return one.union(supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.array(F.concat(F.lit("n"), F.col("s_nationkey").cast("string")))))
+
+
 @query("n1_negative_candidates")
 def n1(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: the draw is checked by its properties in the tests."""
+    """Rows only: the pool is checked by its size and properties in the tests."""
     positives = X.pairs(spark, d).filter("y = 1").select("a", "b").distinct()
-    return N.negative_candidates(positives, 2.0)
+    return N.negative_candidates(positives, 4.0, annotations=annotated(spark, d))
 
 
 @query("n3_degree_capped_negatives")
 def n3(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: the caps are checked in the tests."""
+    """Rows only: caps and number are checked in the tests. As many as there are positives, from a pool of four times as many."""
     positives = X.pairs(spark, d).filter("y = 1").select("a", "b").distinct()
-    return N.degree_capped(N.negative_candidates(positives, 1.0), positives, 6)
+    return N.degree_capped(N.negative_candidates(positives, 4.0), positives, 6, target=positives.count())
 
 
-@query("w15_length_pool_batches", X.ctes("entity") + f""", o AS (SELECT entity, len, {_H.format("'pool:' || entity")} AS h FROM entity), p AS (SELECT *, CAST(h % 5 AS INTEGER) AS pool FROM o),
-r AS (SELECT *, (row_number() OVER (PARTITION BY pool ORDER BY len, entity) - 1) // 16 AS batch FROM p) SELECT entity, pool, CAST(batch AS BIGINT) AS batch FROM r""")
+@query("w15_length_pool_batches", X.ctes("entity") + f""", n AS (SELECT CAST(greatest(1, ceil(count(*) / (50 * 16.0))) AS BIGINT) AS pools FROM entity), o AS (SELECT entity, len, {_H.format("'pool:' || entity")} AS h FROM entity), p AS (SELECT *, CAST(h % pools AS INTEGER) AS pool FROM o, n),
+r AS (SELECT *, (row_number() OVER (PARTITION BY pool ORDER BY len, entity) - 1) // 16 AS batch FROM p) SELECT entity, pool, CAST(batch AS BIGINT) AS batch, {_H.format("'pool-turn:' || pool || ':' || batch")} AS turn FROM r""")
 def w15(spark: SparkSession, d: str) -> DataFrame:
-    return N.length_pool_batches(X.entity(spark, d), "entity", "len", 5, 16, "pool").select("entity", "pool", F.col("batch").cast("long").alias("batch"))
+    return N.length_pool_batches(X.entity(spark, d), "entity", "len", 16, "pool").select("entity", "pool", F.col("batch").cast("long").alias("batch"), "turn")

@@ -93,7 +93,7 @@ def test_long_chain_settles(spark):
 
 def test_folds_keep_components_whole_and_balanced(spark):
     members = spark.createDataFrame([(i, i % 17) for i in range(200)], "entity long, component long")
-    found = splits.snake_folds(members, 4)
+    found = splits.least_loaded_folds(members, 4)
     assert found.groupBy("component").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
     sizes = [r["count"] for r in found.groupBy("fold").count().collect()]
     assert len(sizes) == 4 and max(sizes) - min(sizes) <= 24
@@ -155,13 +155,51 @@ def test_thinning_matches_a_loop(spark):
 
 def test_multinomial_draws_add_up(spark):
     entities = spark.range(50).select(F.col("id").cast("string").alias("entity"), F.col("id").alias("ix"))
-    sums = resample.multinomial_draws(entities, 4).groupBy("rep").agg(F.sum("mult").alias("n")).collect()
-    assert [r["n"] for r in sums] == [50] * 4
+    drawn = [r["mult"] for r in resample.multinomial_draws(entities, 4).collect()]
+    assert np.array(drawn).sum(axis=0).tolist() == [50] * 4
+
+
+def plain_curve(rows):
+    """Weighted average precision and area, tie by tie."""
+    tp = fp = ap = area = 0.0
+    for score in sorted({s for s, _, _ in rows}, reverse=True):
+        p, n = (sum(w for s, y, w in rows if s == score and y == one) for one in (1, 0))
+        tp, fp = tp + p, fp + n
+        ap += p * tp / (tp + fp) if tp + fp else 0.0
+        area += n * (tp - p / 2)
+    return ap / tp, area / tp / fp
+
+
+@pytest.mark.parametrize("rows_of_range", [13, 10_000])
+def test_replicates_match_a_loop(spark, monkeypatch, rows_of_range):
+    """Several ranges of scores, small batches, ties over their borders."""
+    monkeypatch.setattr(resample, "RANGE_ROWS", rows_of_range)
+    rng = np.random.default_rng(6)
+    rows = [("m" if i % 2 else "n", float(rng.integers(0, 12)), int(rng.integers(0, 2)), rng.integers(0, 3, 5).tolist()) for i in range(150)]
+    df = spark.createDataFrame(rows, "model string, score double, y int, weights array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    found = resample.replicate_metrics(df, ["model"]).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == 10
+    for r in found:
+        assert (r["ap"], r["auroc"]) == pytest.approx(plain_curve([(s, y, w[r["rep"]]) for m, s, y, w in rows if m == r["model"]]))
+
+
+def test_running_sums_and_percentiles_match_a_loop(spark):
+    from edgewise.operators import metrics
+
+    rng = np.random.default_rng(7)
+    rows = [(k, float(v)) for k in ("a", "b", None) for v in rng.integers(0, 40, 200)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    sums = metrics.running_sums(df.groupBy("k", "v").agg(F.count("*").alias("n")), ["k"], "v", ["n"]).collect()
+    assert all(r["cum_n"] == sum(k == r["k"] and v <= r["v"] for k, v in rows) and r["all_n"] == 200 for r in sums)
+    found = {r["k"]: (r["q"], r["m"]) for r in metrics.percentiles(df, ["k"], "v", {"q": 0.1, "m": 0.5}).collect()}
+    assert found == {k: (pytest.approx(np.quantile([v for x, v in rows if x == k], 0.1)), pytest.approx(np.quantile([v for x, v in rows if x == k], 0.5))) for k in ("a", "b", None)}
 
 
 def test_token_budget(spark):
     rows = spark.createDataFrame([(i, 1 + i % 30) for i in range(100)], "entity long, len int")
-    batches = sampling.length_pool_batches(rows, "entity", "len", 3, 16, "pool")
+    batches = sampling.length_pool_batches(rows, "entity", "len", 16, "pool", batches=2)
     found = sampling.token_budget_batches(batches, "entity", "len", 60, 8).groupBy("pool", "batch", "micro").agg(F.max("len").alias("m"), F.count("*").alias("n"))
     assert found.filter("m * n > 60 AND n > 1 OR n > 8").isEmpty() and found.agg(F.sum("n")).first()[0] == 100
 

@@ -1,6 +1,7 @@
 """Queries and operators that must not leave part of the job out."""
 
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -43,10 +44,10 @@ def test_isolated_entities_and_their_pairs_stay(spark):
     members = splits.with_components(entities, connected_components(splits.must_link_edges(entities, hits)))
     assert {r["entity"]: r["component"] for r in members.collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6}
     pairs = spark.createDataFrame([(a, b) for a in range(1, 7) for b in range(1, 7)], "a long, b long")
-    assert splits.pair_roles(pairs, splits.snake_folds(members, 2)).count() == 36
+    assert splits.pair_roles(pairs, splits.least_loaded_folds(members, 2)).count() == 36
 
 
-@pytest.mark.parametrize(("name", "times"), [("c3_all_pair_roles", 1), ("c4_all_fold_membership", 4), ("c5_all_stratified_folds", 1)])
+@pytest.mark.parametrize(("name", "times"), [("c3_all_pair_roles", 1), ("c4_all_fold_membership", 4), ("c5_all_stratified_folds", 1), ("c3_pair_roles", 1), ("c4_fold_membership", 4)])
 def test_folds_take_every_line(spark, name, times):
     found = registry.queries()[name](spark, DATA).agg(F.sum("rows")).first()[0]
     assert found == times * fixtures.table(spark, DATA, "lineitem").count()
@@ -94,6 +95,14 @@ def test_quartets_are_taken_until_none_fits(spark):
     assert taken == set(quartets[::2]) and not left_over(quartets, taken, 1)
 
 
+def test_quartets_keep_edge_caps(spark):
+    quartets = [(f"a{i}", f"b{i}", f"c{j}", f"d{j}") for i in range(6) for j in range(6)]
+    df = spark.createDataFrame(quartets, "a string, b string, c string, d string")
+    taken = [tuple(r) for r in decide.capped_quartets(df, 5, 1000, edge_cap=2).collect()]
+    load = Counter(e for a, b, c, d in taken for e in ((a, b), (c, d)))
+    assert max(load.values()) == 2 and not [q for q in quartets if q not in taken and load[q[:2]] < 2 and load[q[2:]] < 2]
+
+
 def test_rounds_beyond_a_bound_raise(spark):
     quartets = spark.createDataFrame(chain(12), "a string, b string, c string, d string")
     with pytest.raises(RuntimeError, match="settle"):
@@ -112,3 +121,56 @@ def test_joint_support_is_summed_over_blocks(spark):
         full = (tokens[uid::2] < align.GAP).astype(int)
         upper = (full.T @ full)[np.triu_indices(9, 1)]
         assert [found[uid][c] for c in ("mean_support", "enough", "half")] == pytest.approx([upper.mean(), (upper >= 18).mean(), (upper >= 45 / 2).mean()])
+
+
+def in_turn(sizes, folds):
+    """Fold of each (size, key), in the order given, by the least load."""
+    loads, out = [0] * folds, {}
+    for size, key in sizes:
+        k = loads.index(min(loads))
+        loads[k] += size
+        out[key] = k
+    return out, loads
+
+
+@pytest.mark.parametrize(("sizes", "folds"), [([1] * 50, 4), ([40, 1, 1, 1] + [2] * 9, 3), ([7, 7, 7, 5, 5, 3, 3, 3, 3, 1] * 4, 5), ([100] + [3] * 60 + [1] * 10, 4)])
+def test_folds_are_dealt_in_turn(spark, monkeypatch, sizes, folds):
+    """Against one component after the other; ranks come from several small blocks."""
+    from hashlib import sha256
+
+    monkeypatch.setattr(splits, "RANK_BLOCK", 4)
+    members = spark.createDataFrame([(f"{k}-{i}", k) for k, n in enumerate(sizes) for i in range(n)], "entity string, component long")
+    found = {r["component"]: r["fold"] for r in splits.least_loaded_folds(members, folds).collect()}
+    order = sorted((-n, int(sha256(f"fold:{k}".encode()).hexdigest()[:15], 16), k) for k, n in enumerate(sizes))
+    assert found == in_turn([(-n, k) for n, _, k in order], folds)[0]
+
+
+def test_stratified_folds_are_alike_in_each_label(spark):
+    rows = [(f"g{i}", int(i % 5 == 0)) for i in range(200) for _ in range(1 + i % 4)]
+    df = spark.createDataFrame(rows, "component string, y int")
+    found = splits.least_loaded_folds(df, 4, stratum="y")
+    sizes = {(r["y"], r["fold"]): r["count"] for r in found.groupBy("y", "fold").count().collect()}
+    assert len(sizes) == 8 and all(max(v) - min(v) <= 1 for v in ([sizes[y, f] for f in range(4)] for y in (0, 1)))
+    assert found.groupBy("component").agg(F.count_distinct("fold").alias("n")).filter("n > 1").isEmpty()
+    with pytest.raises(ValueError, match="two values"):
+        splits.least_loaded_folds(df.union(spark.createDataFrame([("g0", 0)], df.schema)), 4, stratum="y")
+
+
+def test_negative_pool_reaches_its_target(spark):
+    positives = spark.createDataFrame([(f"a{i % 30}", f"b{(i * 7) % 40}") for i in range(400)], "a string, b string").distinct()
+    n = positives.count()
+    notes = spark.createDataFrame([(f"a{i}", ["x"] if i < 3 else [f"own{i}"]) for i in range(30)] + [(f"b{i}", ["x"] if i < 2 else None) for i in range(40)], "entity string, annots array<string>")
+    found = sampling.negative_candidates(positives, 4.0, annotations=notes).collect()
+    assert len({tuple(r) for r in found}) == len(found) == 4 * n
+    half = spark.createDataFrame([(f"a{i}", ["x"] if i < 15 else [f"own{i}"]) for i in range(30)] + [(f"b{i}", ["x"] if i < 20 else None) for i in range(40)], "entity string, annots array<string>")
+    few = sampling.negative_candidates(positives, 0.1, annotations=half).collect()
+    group = {*(f"a{i}" for i in range(15)), *(f"b{i}" for i in range(20))}
+    assert len(few) == round(0.1 * n) and all(r["a"] in group and r["b"] in group for r in few)
+    triangle = spark.createDataFrame([("a", "b"), ("c", "d")], "a string, b string")
+    assert {tuple(r) for r in sampling.negative_candidates(triangle, 9.0).collect()} == {("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")}
+    with pytest.raises(RuntimeError, match="wanted"):
+        sampling.negative_candidates(positives, 4.0, max_rounds=0)
+    pool = sampling.negative_candidates(positives, 4.0)
+    assert sampling.degree_capped(pool, positives, 6, target=n).count() == n
+    with pytest.raises(ValueError, match="fit the caps"):
+        sampling.degree_capped(pool.limit(5), positives, 6, target=n)
