@@ -131,9 +131,10 @@ def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: s
     for k in count():
         if max_rounds is not None and k > max_rounds:
             raise RuntimeError(f"candidates did not settle in {max_rounds} rounds")
-        open_ = left.join(room.select(F.col("entity").alias("a"), F.col("room").alias("room_a")), "a").join(room.select(F.col("entity").alias("b"), F.col("room").alias("room_b")), "b")
-        ranked = open_.withColumns({"ra": F.row_number().over(Window.partitionBy("a").orderBy("h", "b")), "rb": F.row_number().over(Window.partitionBy("b").orderBy("h", "a"))})
-        marked = materialise(ranked.withColumn("take", (F.col("ra") <= F.col("room_a")) & (F.col("rb") <= F.col("room_b"))).select("a", "b", "h", "take"), "round")
+        open_ = left.join(room.select(F.col("entity").alias("a")), "a", "left_semi").join(room.select(F.col("entity").alias("b")), "b", "left_semi")
+        # An entity's uses at either end count together.
+        uses = open_.select("a", "b", "h", F.explode(F.array("a", "b")).alias("entity")).withColumn("rank", F.row_number().over(Window.partitionBy("entity").orderBy("h", "a", "b")))
+        marked = materialise(uses.join(room, "entity").groupBy("a", "b", "h").agg(F.bool_and(F.col("rank") <= F.col("room")).alias("take")), "round")
         now = marked.filter("take").select("a", "b", "h")
         found = now.count()
         if found:
