@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,7 +59,7 @@ def read_a3m(spark: SparkSession, path: str) -> DataFrame:
     named = raw.filter(F.trim("text") != "").select("uid", F.split(head, r"\s+").alias("h"), F.translate(body, "J", "X").alias("aligned"))
     rows = named.select("uid", F.element_at("h", 1).alias("key"), F.when(F.size("h") > 1, F.element_at("h", 2)).alias("tax"), "aligned")
     width = rows.filter("key = 'query'").groupBy("uid").agg(F.max(F.char_length("aligned")).alias("__width"))
-    return rows.join(F.broadcast(width), "uid", "left").withColumn("bad_length", F.char_length("aligned") != F.col("__width")).drop("__width")
+    return rows.join(width, "uid", "left").withColumn("bad_length", F.char_length("aligned") != F.col("__width")).drop("__width")
 
 
 def select_archive(files: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -66,8 +69,14 @@ def select_archive(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def read_event_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines; a torn line is dropped."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """JSON lines. A file's last line may be torn and is dropped; any other line that can't be read is an error when its row is read."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"))
+    parsed = lines.filter(F.trim("value") != "").withColumn("x", F.from_json("value", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
+    last = parsed.groupBy("file").agg(F.max("place").alias("last"))  # a row a file
+    bad = F.col("x._corrupt").isNotNull()
+    clash = F.raise_error(F.concat(F.lit("a line before the last can't be read in "), "file")).cast("boolean")
+    kept = parsed.join(last, "file").withColumn("keep", F.when(bad & (F.col("place") != F.col("last")), clash).otherwise(~bad))
+    return kept.filter("keep").select(*[f"x.{f}" for f in StructType.fromDDL(schema).fieldNames()])
 
 
 def read_shards(spark: SparkSession, paths: list[str], row: str = "row_id") -> DataFrame:
@@ -81,11 +90,25 @@ def wide_predictions(df: DataFrame, models: list[str], row: str = "row_id", scor
 
 
 def write_with_manifest(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Write Parquet and return per file its rows and an order-insensitive digest of ``keys``."""
-    df.write.mode("overwrite").parquet(path)
-    back = df.sparkSession.read.parquet(path)
+    """Publish ``df`` as Parquet at ``path``, whole or not at all, and return its manifest.
+
+    The table is written and read back under another name, its manifest goes
+    in beside its files (``_manifest``), and one rename makes it visible. The
+    manifest has per file its rows and an order-insensitive digest of ``keys``.
+    A path that is taken is an error.
+    """
+    spark = df.sparkSession
+    hidden = f"{path}.unpublished-{uuid.uuid4().hex}"
+    df.write.parquet(hidden)
     digest = F.bit_xor(hash_draw(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])))
-    return back.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file")).agg(F.count("*").alias("rows"), digest.alias("digest"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    spark.read.parquet(hidden).groupBy(name.alias("file")).agg(F.count("*").alias("rows"), digest.alias("digest")).coalesce(1).write.parquet(f"{hidden}/_manifest")
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (hidden, path))
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(target) or not system.rename(source, target):
+        system.delete(source, True)
+        raise FileExistsError(path)
+    return spark.read.parquet(f"{path}/_manifest")
 
 
 def tokenise(df: DataFrame, alphabet: str, unknown: int, seq: str = "seq") -> DataFrame:
@@ -103,6 +126,12 @@ def task_rows(pairs: DataFrame, stride: int, swap: bool, longer_than: int | None
     return rows.withColumns({"a": F.col("b"), "b": F.col("a")}) if swap else rows
 
 
+def task_catalogue(pairs: DataFrame, tasks: dict[str, dict]) -> DataFrame:
+    """Rows of every task of a catalogue (``stride``, ``swap``, ``longer_than`` by name), with the task's name."""
+    parts = [task_rows(pairs, t.get("stride", 1), t.get("swap", False), t.get("longer_than")).withColumn("task", F.lit(name)) for name, t in tasks.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def clean_interactions(raw: DataFrame, sequences: DataFrame, salt: str = "shuffle") -> DataFrame:
     """Raw pairs with labels as text in a hash order, ends joined to sequences, missing ones marked."""
     left, right = (sequences.select(F.col("id").alias(x), F.col("seq").alias(f"{x}_seq")) for x in ("a", "b"))

@@ -229,9 +229,86 @@ def test_catalogue(spark, tmp_path):
     assert found == {"P1": (["Q1"], ["GO:1"], ["P1-1"]), "P2": ([], [], [])}
 
 
-def test_torn_log_line_is_dropped(spark, tmp_path):
-    (tmp_path / "log.jsonl").write_text('{"event": "a", "update": 1}\n{"event": "b", "upd')
-    assert [r["event"] for r in files.read_event_log(spark, str(tmp_path / "log.jsonl"), "event string, update long").collect() if r["event"]] == ["a"]
+def test_torn_last_line_is_dropped_and_others_are_errors(spark, tmp_path):
+    log, schema = tmp_path / "log", "event string, update long"
+    log.mkdir()
+    (log / "one.jsonl").write_text('{"event": "a", "update": 1}\n{"event": "b", "upd')
+    (log / "two.jsonl").write_text('{"event": "c", "update": 2}\n\n{"event": "d", "update": 3}\n')
+    assert sorted(r["event"] for r in files.read_event_log(spark, str(log), schema).collect()) == ["a", "c", "d"]
+    (log / "three.jsonl").write_text('{"event": "e", "upd\n{"event": "f", "update": 4}\n')
+    with pytest.raises(Exception, match="before the last"):
+        files.read_event_log(spark, str(log), schema).collect()
+
+
+def test_publishing_is_whole_or_nothing(spark, tmp_path):
+    path = f"{tmp_path}/table"
+    manifest = files.write_with_manifest(spark.range(100), path, ["id"])
+    assert manifest.agg(F.sum("rows")).first()[0] == 100 and spark.read.parquet(path).count() == 100
+    with pytest.raises(FileExistsError):
+        files.write_with_manifest(spark.range(5), path, ["id"])
+    broken = spark.range(10).select(F.raise_error(F.lit("no")).cast("long").alias("id"))
+    with pytest.raises(Exception, match="no"):
+        files.write_with_manifest(broken, f"{tmp_path}/other", ["id"])
+    assert [p.name for p in tmp_path.iterdir() if "unpublished" not in p.name] == ["table"] and spark.read.parquet(path).count() == 100
+
+
+def test_monitor_drops_late_rows(spark, tmp_path):
+    """Third file: one row within the delay, one later than it. A batch drops rows by the watermark of the batch before it."""
+    from datetime import datetime
+
+    from edgewise.streaming import monitor
+
+    kind = "user_id long, event_id long, value double, event_type string, ts timestamp"
+    at = lambda h, m: datetime(2024, 1, 1, h, m)
+    first = [(0, 1, 1.0, "x", at(10, 0)), (0, 2, 3.0, "x", at(12, 5))]
+    later = [(0, 3, 100.0, "x", at(10, 10)), (0, 4, 5.0, "x", at(11, 50)), (0, 5, 1.0, "x", at(15, 0))]
+    for k, rows in enumerate((first, [(0, 7, 2.0, "x", at(12, 10))], later, [(0, 6, 1.0, "x", at(18, 0))], [(0, 8, 1.0, "x", at(20, 0))])):
+        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in/*")
+    monitor.start_monitor(spark, stream, "1 hour", "30 minutes", f"{tmp_path}/out").awaitTermination()
+    found = {r["window_start"].hour: (r["rows"], r["most"]) for r in spark.read.parquet(f"{tmp_path}/out/windows").collect()}
+    assert found[10] == (1, 1.0) and found[11] == (1, 5.0) and found[12] == (2, 3.0)
+
+
+def held_out_auroc(rows, score, label):
+    rows = [(r[score], label[r["row_id"]]) for r in rows]
+    good, bad = [s for s, y in rows if y], [s for s, y in rows if not y]
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad)
+
+
+def learning_table(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        v = rng.normal(size=12)
+        rows.append((i, v.tolist(), int(v[0] + 0.8 * v[1] - v[2] + 0.3 * rng.normal() > 0)))
+    return spark.createDataFrame(rows, "row_id long, v array<double>, y int"), {i: y for i, _, y in rows}
+
+
+def test_learned_heads_on_held_out_rows(spark):
+    from edgewise.operators import learn
+
+    df, label = learning_table(spark)
+    train, held = df.filter("row_id % 4 <> 0"), df.filter("row_id % 4 = 0")
+    scored = learn.score_head(learn.fit_head(train, components=12), held).collect()
+    assert len(scored) == 100 and held_out_auroc(scored, "probability", label) > 0.95
+    values = learn.boosted_values(train, held, trees=10, depth=3).collect()
+    assert held_out_auroc(values, "value", label) > 0.85
+    # Held-out labels never reach the fit.
+    flipped = learn.score_head(learn.fit_head(train, components=12), held.withColumn("y", 1 - F.col("y"))).collect()
+    assert [r["probability"] for r in flipped] == [r["probability"] for r in scored]
+
+
+def test_cross_fitting_never_sees_its_fold(spark):
+    from edgewise.operators import learn
+
+    df, label = learning_table(spark)
+    folds = df.withColumn("fold", (F.col("row_id") % 3).cast("int"))
+    found = {r["row_id"]: r["probability"] for r in learn.cross_fit(folds, 3, components=12).collect()}
+    assert len(found) == 400 and held_out_auroc([{"row_id": k, "p": v} for k, v in found.items()], "p", label) > 0.95
+    changed = folds.withColumn("y", F.when(F.col("fold") == 1, 1 - F.col("y")).otherwise(F.col("y")))
+    again = {r["row_id"]: r["probability"] for r in learn.cross_fit(changed, 3, components=12).collect()}
+    assert all(again[k] == found[k] for k in found if k % 3 == 1) and any(again[k] != found[k] for k in found if k % 3 == 0)
 
 
 def test_log_sigmoid_is_stable(spark):
