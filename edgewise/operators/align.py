@@ -2,11 +2,12 @@
 
 An alignment is a long table of cells (uid, row, col, token) with ``GAP`` for
 a gap, or a table of rows (uid, row, tokens). Operators that compare rows with
-rows work per alignment in a grouped task; alignments are bounded (W11) first.
+rows deal them to blocks; thinning bounds an alignment first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import hash_draw
+from edgewise.operators.metrics import percentiles
 
 #: Tokens of a gap and of padding.
 GAP, PAD = 25, 26
@@ -50,37 +52,133 @@ def query_profile(cells: DataFrame) -> DataFrame:
     return column_profile(cells).groupBy("uid").agg(F.avg("gap_share").alias("gap_share"), F.avg("entropy").alias("entropy"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.log(F.count("*")).alias("log_length"), F.log(F.max("depth")).alias("log_depth"))
 
 
-def block_profile(cells: DataFrame, length: int, blocks: int) -> DataFrame:
-    """The profile of consecutive blocks of columns; the first ``length % blocks`` blocks have one column more."""
-    small, extra = divmod(length, blocks)
+def balanced_block(at: Column, length: Column, blocks: Column) -> Column:
+    """Block of a place when ``length`` places go to ``blocks`` blocks of like size; the first ones have one place more."""
+    small, extra = F.floor(length / blocks), length % blocks
     edge = extra * (small + 1)
-    block = F.when(F.col("col") < edge, F.floor(F.col("col") / (small + 1))).otherwise(extra + F.floor((F.col("col") - edge) / max(small, 1))).cast("int")
+    return F.when(at < edge, F.floor(at / (small + 1))).otherwise(extra + F.floor((at - edge) / F.greatest(small, F.lit(1)))).cast("int")
+
+
+def block_profile(cells: DataFrame, length: int, blocks: int) -> DataFrame:
+    """Gap share and entropy of consecutive blocks of columns; the first ``length % blocks`` blocks have one column more."""
+    block = balanced_block(F.col("col"), F.lit(length), F.lit(blocks))
     return column_profile(cells).groupBy("uid", block.alias("block")).agg(F.count("*").alias("columns"), F.avg("gap_share").alias("gap_share"), F.avg("entropy").alias("entropy"))
 
 
+def _spread(pairs: Column, size: int) -> Column:
+    """Array of ``size`` from (place, value) pairs, 0 where a place has none."""
+    found = F.map_from_entries(pairs)
+    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.coalesce(F.try_element_at(found, k), F.lit(0.0)))
+
+
+def alignment_profile(cells: DataFrame, good: Column) -> DataFrame:
+    """``profile`` of 32 numbers an alignment: log length, log depth, share of good columns, mean gap share, mean and
+    quartiles of good columns' entropy, and the mean share of each of the 25 letters among a column's letters.
+
+    ``good`` says of a column (``col``) whether its quality is good.
+    """
+    counts = cells.groupBy("uid", "col", "token").agg(F.count("*").alias("n"))
+    columns = column_profile(cells).withColumn("good", good)
+    kept = F.when(F.col("good"), F.col("entropy"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    head = columns.groupBy("uid").agg(
+        F.count("*").alias("columns"),
+        F.array(
+            F.log1p(F.count("*").cast("double")), F.log1p(F.max("depth").cast("double")), F.avg(F.col("good").cast("double")), F.avg("gap_share"), zero(F.avg(kept)), zero(F.percentile(kept, F.lit(0.25))), zero(F.percentile(kept, F.lit(0.75))),
+        ).alias("head"),
+    )
+    letters = counts.filter(F.col("token") < GAP).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("uid", "col")))
+    shares = letters.groupBy("uid", "token").agg(F.sum("share").alias("share")).groupBy("uid").agg(F.collect_list(F.struct("token", "share")).alias("pairs"))  # 25 letters at most
+    joined = head.join(shares, "uid", "left")
+    means = F.transform(_spread(F.coalesce("pairs", F.array().cast("array<struct<token:int,share:double>>")), GAP), lambda x: x / F.col("columns"))
+    return joined.select("uid", F.concat("head", means).alias("profile"))
+
+
+def pair_profile(pairs: DataFrame, left: str, right: str, common: str, neff: str, quality_a: str, quality_b: str) -> DataFrame:
+    """``features`` of 68 numbers a pair that don't depend on its order: means and gaps of both profiles, log common keys, log effective count, mean and gap of the qualities."""
+    half = F.zip_with(left, right, lambda x, y: (x + y) / 2)
+    gap = F.zip_with(left, right, lambda x, y: F.abs(x - y))
+    more = F.array(F.log1p(common), F.log1p(neff), (F.col(quality_a) + F.col(quality_b)) / 2, F.abs(F.col(quality_a) - F.col(quality_b)))
+    return pairs.withColumn("features", F.concat(half, gap, more))
+
+
+def wide_block_profile(cells: DataFrame, query: DataFrame, good: Column, blocks: int = 4) -> DataFrame:
+    """``values`` of 36 numbers for all columns (block -1) and for each of ``blocks`` balanced blocks.
+
+    Shares of the 26 tokens, entropy's mean, deviation and quartiles, occupancy's
+    mean, lower quartile and least, share of cells equal to the query's, share
+    of ambiguous letters, share of good columns. Only good columns count but
+    for the last; a block without one is all zeros. ``cells`` leaves the query
+    row out, ``query`` has its uid, col, token.
+    """
+    counts = cells.groupBy("uid", "col", "token").agg(F.count("*").alias("n"))
+    facing = counts.join(query.select("uid", "col", F.col("token").alias("own")), ["uid", "col"])
+    length = query.groupBy("uid").agg((F.max("col") + 1).alias("length"))
+    part = lambda rule: F.sum(F.when(rule, F.col("n")).otherwise(0))
+    t = F.col("token")
+    sums = facing.groupBy("uid", "col").agg(F.sum("n").alias("depth"), part(t < GAP).alias("letters"), part(t == F.col("own")).alias("agree"), part((t >= 20) & (t < GAP)).alias("unsure"))
+    ent = column_profile(cells).select("uid", "col", "entropy")
+    each = F.explode(F.array(F.lit(-1), balanced_block(F.col("col"), F.col("length"), F.lit(blocks)))).alias("block")
+    columns = sums.join(ent, ["uid", "col"]).join(length, "uid").withColumn("good", good).select("uid", "col", "good", "depth", "entropy", (F.col("letters") / F.col("depth")).alias("occupied"), (F.col("agree") / F.col("depth")).alias("same"), (F.col("unsure") / F.col("depth")).alias("vague"), each)
+    kept = lambda c: F.when(F.col("good"), F.col(c))
+    cut = lambda c, q: F.percentile(kept(c), F.lit(q))
+    tail = F.array(
+        F.avg(kept("entropy")), F.stddev_pop(kept("entropy")), cut("entropy", 0.25), cut("entropy", 0.75), F.avg(kept("occupied")), cut("occupied", 0.25), F.min(kept("occupied")), F.avg(kept("same")), F.avg(kept("vague")), F.avg(F.col("good").cast("double")),
+    )
+    tails = columns.groupBy("uid", "block").agg(F.count(kept("col")).alias("columns"), tail.alias("tail"))
+    shares = counts.join(columns.filter("good").select("uid", "col", "block", "depth"), ["uid", "col"]).groupBy("uid", "block", "token").agg(F.sum(F.col("n") / F.col("depth")).alias("share"))
+    listed = shares.groupBy("uid", "block").agg(F.collect_list(F.struct("token", "share")).alias("pairs"))  # 26 tokens at most
+    joined = tails.join(listed, ["uid", "block"], "left")
+    pairs = F.coalesce("pairs", F.array().cast("array<struct<token:int,share:double>>"))
+    first = F.transform(_spread(pairs, GAP + 1), lambda x: F.when(F.col("columns") > 0, x / F.col("columns")).otherwise(0.0))
+    return joined.select("uid", "block", F.transform(F.concat(first, "tail"), lambda x: F.coalesce(x, F.lit(0.0))).alias("values"))
+
+
+def base_profile(*depths: str, comparable: str, families: str, effective: str, unknown: str, capped: str, quality: str) -> Column:
+    """The 12 numbers ahead of the blocks: logs of length and of raw, cached, filtered, retained and effective depth, and what is known of taxa, cap and quality."""
+    logs = [F.log1p(F.col(c).cast("double")) for c in depths]
+    return F.array(*logs, F.col(comparable), F.log1p(F.col(families).cast("double")), F.log1p(effective), F.col(unknown), F.col(capped).cast("double"), F.col(quality))
+
+
 def _one_hot(tokens: np.ndarray) -> np.ndarray:
     return (tokens[:, :, None] == np.arange(GAP)[None, None, :]).reshape(len(tokens), -1).astype(np.float32)
 
 
-def row_identity(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal letters and jointly occupied columns of all row pairs of one alignment."""
-    hot, full = _one_hot(tokens), (tokens < GAP).astype(np.float32)
-    return hot @ hot.T, full @ full.T
+def row_identity(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal letters and jointly occupied columns of all pairs of a row of one block and a row of another."""
+    full = [(t < GAP).astype(np.float32) for t in (left, right)]
+    return _one_hot(left) @ _one_hot(right).T, full[0] @ full[1].T
 
 
-def effective_depth(rows: DataFrame, identity: float, coverage: float) -> DataFrame:
-    """Sum over rows of one over the rows related to it (identity over jointly occupied columns, coverage of the row), and the share of comparable row pairs."""
-    def measure(frame: pd.DataFrame) -> pd.DataFrame:
-        tokens = np.array(frame["tokens"].tolist())
-        same, both = row_identity(tokens)
-        size = np.maximum((tokens < GAP).sum(axis=1), 1)
-        comparable = both >= coverage * size[:, None]
-        related = comparable & (same >= identity * np.maximum(both, 1))
-        np.fill_diagonal(related, True)
-        return pd.DataFrame({"uid": [frame["uid"].iloc[0]], "rows": [len(frame)], "neff": [float((1 / related.sum(axis=1)).sum())], "comparable": [float(comparable.mean())]})
+def effective_depth(rows: DataFrame, identity: float, coverage: float, block: int = 512) -> DataFrame:
+    """Sum over rows of one over the rows related to it (identity over jointly occupied columns, coverage of the row), and the share of comparable row pairs.
 
+    Rows are dealt to blocks of about ``block``; each pair of blocks is one
+    task's work and gives counts by row, so no task takes an alignment.
+    """
     kind = rows.schema["uid"].dataType.simpleString()
-    return rows.select("uid", "row", "tokens").groupBy("uid").applyInPandas(measure, f"uid {kind}, rows long, neff double, comparable double")
+    depth = rows.groupBy(F.col("uid").alias("__uid")).agg(F.count("*").alias("rows"))
+    own = F.col("uid").eqNullSafe(F.col("__uid"))
+    parts = F.ceil(F.col("rows") / block).cast("int")
+    dealt = rows.select("uid", "row", "tokens").join(depth, own).withColumn("own", F.pmod(F.xxhash64("row"), parts).cast("int"))
+    # A row stands on the left of its own block's pairs and on the right of all.
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    sides = dealt.select("uid", "row", "tokens", F.lit(0).alias("side"), F.col("own").alias("low"), every.alias("high")).union(dealt.select("uid", "row", "tokens", F.lit(1), every, F.col("own")))
+
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
+        if left.empty or right.empty:
+            return pd.DataFrame({"uid": [], "row": [], "related": [], "comparable": []})
+        one, two = np.array(left["tokens"].tolist()), np.array(right["tokens"].tolist())
+        same, both = row_identity(one, two)
+        comparable = both >= coverage * np.maximum((one < GAP).sum(axis=1), 1)[:, None]
+        related = (comparable & (same >= identity * np.maximum(both, 1))) | (left["row"].to_numpy()[:, None] == right["row"].to_numpy()[None, :])
+        return pd.DataFrame({"uid": left["uid"], "row": left["row"], "related": related.sum(axis=1), "comparable": comparable.sum(axis=1)})
+
+    counts = sides.groupBy("uid", "low", "high").applyInPandas(lambda frame: count(frame), f"uid {kind}, row long, related long, comparable long")
+    by_row = counts.groupBy("uid", "row").agg(F.sum("related").alias("related"), F.sum("comparable").alias("comparable"))
+    n = F.count("*")
+    return by_row.groupBy("uid").agg(n.alias("rows"), F.sum(1 / F.col("related")).alias("neff"), (F.sum("comparable") / (n * n)).alias("comparable"))
 
 
 def joint_support(rows: DataFrame, least: int, block: int = 4096) -> DataFrame:
@@ -138,6 +236,20 @@ def profile_variation(one: DataFrame, two: DataFrame) -> DataFrame:
     return per.groupBy("uid").agg(F.avg("tv").alias("tv"), F.max("tv").alias("most"))
 
 
+def variation_summary(one: DataFrame, two: DataFrame, query: DataFrame) -> DataFrame:
+    """What a change did to an alignment: total variation of column profiles, share of cells that changed, and before and after the mean and deviation over rows of the share equal to the query and of the gap share.
+
+    ``one`` and ``two`` are cells of the same rows, ``query`` its uid, col, token.
+    """
+    def by_row(cells: DataFrame, name: str) -> DataFrame:
+        facing = cells.join(query.select("uid", "col", F.col("token").alias("own")), ["uid", "col"])
+        rows = facing.groupBy("uid", "row").agg(F.avg((F.col("token") == F.col("own")).cast("double")).alias("same"), F.avg((F.col("token") == GAP).cast("double")).alias("gap"))
+        return rows.groupBy("uid").agg(*[f(c).alias(f"{name}_{c}_{k}") for c in ("same", "gap") for k, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+    changed = one.join(two.withColumnRenamed("token", "other"), ["uid", "row", "col"]).groupBy("uid").agg(F.avg((F.col("token") != F.col("other")).cast("double")).alias("changed"))
+    return profile_variation(one, two).join(changed, "uid").join(by_row(one, "before"), "uid").join(by_row(two, "after"), "uid")
+
+
 def pair_rows(left: DataFrame, right: DataFrame, least_coverage: float) -> DataFrame:
     """Rows of two alignments on a shared key, without conflicting taxonomy, identical rows and poor coverage.
 
@@ -152,10 +264,12 @@ def pair_rows(left: DataFrame, right: DataFrame, least_coverage: float) -> DataF
     return one.join(two, "key").withColumn("outcome", outcome)
 
 
-def thin_redundant(rows: DataFrame, identity: float, coverage: float, cap: int) -> DataFrame:
+def thin_redundant(rows: DataFrame, identity: float, coverage: float, cap: int, most: int = 4096, least: int = 0, salt: str = "cache") -> DataFrame:
     """Keep rows in order, drop one that is ``identity`` alike over ``coverage`` of it to a kept one; stop at ``cap``.
 
-    Greedy in one alignment, which is bounded; alignments run in parallel.
+    An alignment is first cut to its ``most`` rows of the least hash (the rule
+    by which alignments are cached), so the greedy step is bounded; alignments
+    run in parallel. One that keeps fewer than ``least`` rows is left out.
     """
     def thin(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("order", kind="stable")
@@ -170,10 +284,13 @@ def thin_redundant(rows: DataFrame, identity: float, coverage: float, cap: int)
             n = both.sum(axis=1)
             if not ((n >= coverage * max(1, full[k].sum())) & (same >= identity * np.maximum(n, 1))).any():
                 kept.append(k)
+        kept = kept if len(kept) >= least else []
         return frame.iloc[kept][["uid", "row"]].assign(place=range(len(kept)))
 
     kind = rows.schema["uid"].dataType.simpleString()
-    return rows.select("uid", "row", "order", "tokens").groupBy("uid").applyInPandas(thin, f"uid {kind}, row long, place int")
+    order = hash_draw(F.concat_ws(":", F.lit(salt), F.col("row").cast("string")))
+    cached = rows.withColumn("__k", F.row_number().over(Window.partitionBy("uid").orderBy(order, "row"))).filter(F.col("__k") <= most)
+    return cached.select("uid", "row", "order", "tokens").groupBy("uid").applyInPandas(thin, f"uid {kind}, row long, place int")
 
 
 def rotate_within(rows: DataFrame, levels: list[str], value: str, salt: str) -> DataFrame:
@@ -228,16 +345,18 @@ def scramble_positions(cells: DataFrame, salt: str) -> DataFrame:
 
 
 def matrix_summary(cells: DataFrame, k: int, threshold: float) -> DataFrame:
-    """Per matrix (uid, i, j, p) mean of the ``k`` greatest cells, share over the threshold, rows and columns with such a cell, normalised row entropy."""
+    """Per matrix (uid, i, j, p) mean of the ``k`` greatest cells, share over the threshold, rows and columns with such a cell, normalised entropy of the row and column sums."""
     ranked = cells.withColumn("__k", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("p"), "i", "j")))
     top = ranked.groupBy("uid").agg(F.avg(F.when(F.col("__k") <= k, F.col("p"))).alias("top_mean"), F.avg((F.col("p") >= threshold).cast("double")).alias("share"))
     part = cells.groupBy("uid").agg(
         (F.count_distinct(F.when(F.col("p") >= threshold, F.col("i"))) / F.count_distinct("i")).alias("row_part"), (F.count_distinct(F.when(F.col("p") >= threshold, F.col("j"))) / F.count_distinct("j")).alias("col_part")
     )
-    rows = cells.groupBy("uid", "i").agg(F.sum("p").alias("s"))
-    share = F.col("s") / F.sum("s").over(Window.partitionBy("uid"))
-    ent = rows.withColumn("q", share).groupBy("uid").agg((entropy(F.col("q")) / F.log(F.count("*").cast("double"))).alias("row_entropy"))
-    return top.join(part, "uid").join(ent, "uid")
+    def spread(axis: str, name: str) -> DataFrame:
+        sums = cells.groupBy("uid", axis).agg(F.sum("p").alias("s"))
+        shares = sums.withColumn("q", F.col("s") / F.sum("s").over(Window.partitionBy("uid")))
+        return shares.groupBy("uid").agg((entropy(F.col("q")) / F.log(F.count("*").cast("double"))).alias(name))
+
+    return top.join(part, "uid").join(spread("i", "row_entropy"), "uid").join(spread("j", "col_entropy"), "uid")
 
 
 def window_peak(cells: DataFrame, width: int) -> DataFrame:
@@ -249,14 +368,26 @@ def window_peak(cells: DataFrame, width: int) -> DataFrame:
     return both.groupBy("uid").agg((F.max("t") / (width * width)).alias("peak"))
 
 
-def block_pool(cells: DataFrame, height: int, width: int, k: int) -> DataFrame:
-    """Means of tiles of ``height`` x ``width`` cells; mean of the ``k`` greatest and ``k`` least tiles; q95 and most of all cells."""
-    tiles = cells.groupBy("uid", F.floor(F.col("i") / height).alias("ti"), F.floor(F.col("j") / width).alias("tj")).agg(F.avg("p").alias("m"))
+def block_pool(cells: DataFrame, target: int, k: int, least_good: float) -> DataFrame:
+    """Mean of the ``k`` greatest and ``k`` least tile means; mean, deviation, q95 and most of all good cells; tiles that qualify.
+
+    Rows and columns go to balanced blocks of about ``target``. ``cells`` has
+    uid, i, j, p and the quality ``good_i``, ``good_j``; bad rows and columns
+    don't count, and a tile qualifies if at least ``least_good`` of its rows
+    and of its columns are good.
+    """
+    size = cells.groupBy("uid").agg((F.max("i") + 1).alias("li"), (F.max("j") + 1).alias("lj"))
+    blocks = lambda x, n: balanced_block(F.col(x), F.col(n), F.ceil(F.col(n) / target))
+    good = F.col("good_i") & F.col("good_j")
+    share = lambda x: F.count_distinct(F.when(F.col(f"good_{x}"), F.col(x))) >= least_good * F.count_distinct(x)
+    tiles = cells.join(size, "uid").groupBy("uid", blocks("i", "li").alias("ti"), blocks("j", "lj").alias("tj")).agg(F.avg(F.when(good, F.col("p"))).alias("m"), (share("i") & share("j")).alias("ok"))
+    tiles = tiles.filter("ok AND m IS NOT NULL")
     up, down = (F.row_number().over(Window.partitionBy("uid").orderBy(o, "ti", "tj")) for o in (F.desc("m"), F.col("m")))
     ranked = tiles.withColumns({"u": up, "d": down})
-    pooled = ranked.groupBy("uid").agg(F.avg(F.when(F.col("u") <= k, F.col("m"))).alias("top"), F.avg(F.when(F.col("d") <= k, F.col("m"))).alias("bottom"))
-    whole = cells.groupBy("uid").agg(F.avg("p").alias("mean"), F.percentile("p", F.lit(0.95)).alias("q95"), F.max("p").alias("most"))
-    return pooled.join(whole, "uid")
+    pooled = ranked.groupBy("uid").agg(F.count("*").alias("tiles"), F.avg(F.when(F.col("u") <= k, F.col("m"))).alias("top"), F.avg(F.when(F.col("d") <= k, F.col("m"))).alias("bottom"))
+    kept = cells.filter(good)
+    whole = kept.groupBy("uid").agg(F.avg("p").alias("mean"), F.stddev_pop("p").alias("std"), F.max("p").alias("most"))
+    return pooled.join(whole, "uid").join(percentiles(kept, ["uid"], "p", {"q95": 0.95}), "uid")
 
 
 def seed_matches(sequences: DataFrame, patterns: list[str], most: int | None = None, block: int = 1024) -> DataFrame:
@@ -294,6 +425,27 @@ def extend_diagonals(matches: DataFrame, width: int) -> DataFrame:
     return islands.groupBy("p", "q", "diagonal", "island").agg(F.min("p_at").alias("p_start"), (F.max("p_at") + width).alias("p_end"), F.count("*").alias("seeds")).drop("island")
 
 
+def scored_segments(matches: DataFrame, sequences: DataFrame, score: Callable[[Column, Column], Column], width: int, least: int) -> DataFrame:
+    """On each diagonal with a seed, the runs of windows of ``width`` whose summed score is at least ``least`` and that a seed starts in.
+
+    ``sequences`` has row and tokens, ``score`` is the substitution score of two
+    tokens. Window scores are running sums along the diagonal; consecutive
+    windows that reach ``least`` are one segment.
+    """
+    diagonals = matches.groupBy("p", "q", (F.col("p_at") - F.col("q_at")).alias("diagonal")).agg(F.collect_set("p_at").alias("seeds"))  # a sequence's places at most
+    one, two = (sequences.select(F.col("row").alias(x), F.col("tokens").alias(f"t_{x}")) for x in ("p", "q"))
+    start, end = F.greatest(F.lit(0), F.col("diagonal")), F.least(F.size("t_p"), F.size("t_q") + F.col("diagonal"))
+    facing = diagonals.join(one, "p").join(two, "q").withColumn("from", start).withColumn("to", end).filter(F.col("to") - F.col("from") >= width)
+    cell = F.zip_with(F.slice("t_p", F.col("from") + 1, F.col("to") - F.col("from")), F.slice("t_q", F.col("from") - F.col("diagonal") + 1, F.col("to") - F.col("from")), score)
+    along = facing.select("p", "q", "diagonal", "seeds", "from", cell.alias("cell"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("cell") - width), lambda k: F.struct((F.col("from") + k).alias("at"), F.aggregate(F.slice("cell", k + 1, width), F.lit(0), lambda s, x: s + x).alias("score")))
+    high = along.select("p", "q", "diagonal", "seeds", F.explode(F.filter(windows, lambda w: w["score"] >= least)).alias("w")).select("p", "q", "diagonal", "seeds", "w.at", "w.score")
+    run = F.col("at") - F.row_number().over(Window.partitionBy("p", "q", "diagonal").orderBy("at"))
+    grouped = high.withColumn("run", run).groupBy("p", "q", "diagonal", "run")
+    segments = grouped.agg(F.min("at").alias("p_start"), (F.max("at") + width).alias("p_end"), F.max("score").alias("best"), F.max(F.array_contains("seeds", F.col("at"))).alias("seeded"))
+    return segments.filter("seeded").select("p", "q", "diagonal", "p_start", "p_end", "best")
+
+
 def trim_positions(segments: DataFrame, most: int) -> DataFrame:
     """Positions of a sequence that more than ``most`` segments cover are cut out; the rest of each segment stays as runs."""
     cover = segments.select("p", "q", "diagonal", "p_start", F.explode(F.sequence(F.col("p_start"), F.col("p_end") - 1)).alias("pos"))

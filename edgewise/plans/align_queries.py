@@ -60,6 +60,75 @@ def g22(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.block_profile(cells(spark, d), 64, 6), "gap_share", "entropy")
 
 
+_PROFILE = _COLUMNS + """, prof AS (SELECT uid, 0 AS k, ln(1 + count(*)) AS value FROM c GROUP BY uid UNION ALL SELECT uid, 1, ln(1 + max(depth)) FROM c GROUP BY uid UNION ALL SELECT uid, 2, avg(CASE WHEN col % 5 <> 0 THEN 1.0 ELSE 0 END) FROM c GROUP BY uid
+UNION ALL SELECT uid, 3, avg(gap_share) FROM c GROUP BY uid UNION ALL SELECT uid, 4, avg(entropy) FROM c WHERE col % 5 <> 0 GROUP BY uid UNION ALL SELECT uid, 5, quantile_cont(entropy, 0.25) FROM c WHERE col % 5 <> 0 GROUP BY uid
+UNION ALL SELECT uid, 6, quantile_cont(entropy, 0.75) FROM c WHERE col % 5 <> 0 GROUP BY uid
+UNION ALL SELECT uid, 7 + t, coalesce(sum(n / letters) / 64.0, 0) FROM (SELECT DISTINCT uid FROM c) CROSS JOIN (SELECT unnest(range(0, 25)) AS t) LEFT JOIN (SELECT uid, token AS t, n, letters FROM n JOIN s USING (uid, col) WHERE token < 25) USING (uid, t) GROUP BY uid, t)"""
+
+
+@query("g21_alignment_profile", _PROFILE + " SELECT uid, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM prof")
+def g21_profile(spark: SparkSession, d: str) -> DataFrame:
+    """All 32 numbers of each alignment, a row a number."""
+    found = A.alignment_profile(cells(spark, d), F.col("col") % 5 != 0)
+    return rounded(found.select("uid", F.posexplode("profile").alias("k", "value")), "value")
+
+
+@query("g21_pair_features", _PROFILE + """, two AS (SELECT x.uid AS a, z.uid AS b, x.k, x.value AS u, z.value AS v FROM prof x JOIN prof z ON z.uid = x.uid + 1 AND z.k = x.k),
+f AS (SELECT a, b, k, (u + v) / 2 AS value FROM two UNION ALL SELECT a, b, 32 + k, abs(u - v) FROM two UNION ALL SELECT DISTINCT a, b, 64, ln(1 + a + b) FROM two UNION ALL SELECT DISTINCT a, b, 65, ln(1 + 2.0 * b) FROM two
+UNION ALL SELECT a, b, 66, (u + v) / 2 FROM two WHERE k = 2 UNION ALL SELECT a, b, 67, abs(u - v) FROM two WHERE k = 2) SELECT a, b, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM f""")
+def g21_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All 68 numbers of each pair of neighbouring alignments, a row a number."""
+    found = A.alignment_profile(cells(spark, d), F.col("col") % 5 != 0)
+    left, right = found.select(F.col("uid").alias("a"), F.col("profile").alias("u")), found.select(F.col("uid").alias("b"), F.col("profile").alias("v"))
+    pairs = left.join(right, F.col("b") == F.col("a") + 1).withColumns({"common": (F.col("a") + F.col("b")).cast("double"), "neff": 2.0 * F.col("b"), "qa": F.col("u")[2], "qb": F.col("v")[2]})
+    features = A.pair_profile(pairs, "u", "v", "common", "neff", "qa", "qb")
+    return rounded(features.select("a", "b", F.posexplode("features").alias("k", "value")), "value")
+
+
+_FACING = _CELLS + """, q AS (SELECT uid, min(row) AS first FROM cells GROUP BY uid), qt AS (SELECT uid, col, token AS own FROM cells JOIN q USING (uid) WHERE row = first), h AS (SELECT uid, row, col, token FROM cells JOIN q USING (uid) WHERE row <> first)"""
+
+
+@query("g22_wide_block_profile", _FACING + """, n AS (SELECT uid, col, token, count(*) AS n FROM h GROUP BY ALL),
+s AS (SELECT uid, col, sum(n) AS depth, coalesce(sum(n) FILTER (token < 25), 0) AS letters, coalesce(sum(n) FILTER (token = own), 0) AS agree, coalesce(sum(n) FILTER (token >= 20 AND token < 25), 0) AS unsure FROM n JOIN qt USING (uid, col) GROUP BY ALL),
+e AS (SELECT uid, col, -sum(n / letters * ln(n / letters)) AS entropy FROM n JOIN s USING (uid, col) WHERE token < 25 GROUP BY ALL),
+c AS (SELECT uid, col, col % 5 <> 0 AS good, depth, coalesce(entropy, 0) AS entropy, letters / depth AS occupied, agree / depth AS same, unsure / depth AS vague, unnest([-1, col // 16]) AS block FROM s LEFT JOIN e USING (uid, col)),
+g AS (SELECT * FROM c WHERE good), m AS (SELECT uid, block, count(*) AS cols FROM g GROUP BY ALL),
+f AS (SELECT uid, block, t AS k, coalesce(sum(n / depth), 0) / max(cols) AS value FROM m CROSS JOIN (SELECT unnest(range(0, 26)) AS t) LEFT JOIN (SELECT uid, block, token AS t, n.n, g.depth FROM n JOIN g USING (uid, col)) USING (uid, block, t) GROUP BY ALL
+UNION ALL SELECT uid, block, unnest(range(26, 35)), unnest([avg(entropy), stddev_pop(entropy), quantile_cont(entropy, 0.25), quantile_cont(entropy, 0.75), avg(occupied), quantile_cont(occupied, 0.25), min(occupied), avg(same), avg(vague)]) FROM g GROUP BY uid, block
+UNION ALL SELECT uid, block, 35, avg(CASE WHEN good THEN 1.0 ELSE 0 END) FROM c GROUP BY uid, block) SELECT uid, CAST(block AS INTEGER) AS block, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM f""")
+def g22_wide(spark: SparkSession, d: str) -> DataFrame:
+    """All 36 numbers of the whole and of four blocks of each alignment, a row a number."""
+    query_cells, rest = facing(spark, d)
+    found = A.wide_block_profile(rest, query_cells, F.col("col") % 5 != 0)
+    return rounded(found.select("uid", "block", F.posexplode("values").alias("k", "value")), "value")
+
+
+def facing(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Cells of each alignment's first row, its query, and of the others."""
+    every = cells(spark, d)
+    first = X.table(spark, d, "embeddings").groupBy(F.col("label").alias("uid")).agg(F.min("vec_id").alias("first"))
+    told = every.join(first, "uid")
+    return told.filter("row = first").select("uid", "col", "token"), told.filter("row <> first").select("uid", "row", "col", "token")
+
+
+@query("g22_base_profile", _CELLS + """, f AS (SELECT * FROM cells WHERE token < 25), sz AS (SELECT uid, row, count(*) AS size FROM f GROUP BY ALL),
+p AS (SELECT x.uid, x.row, z.row AS other, count(*) AS n, count(*) FILTER (x.token = z.token) AS same FROM f x JOIN f z ON x.uid = z.uid AND x.col = z.col GROUP BY ALL),
+r AS (SELECT uid, row, count(*) FILTER (row = other OR (n >= 0.5 * size AND same >= 0.18 * n)) AS k, count(*) FILTER (n >= 0.5 * size) AS cmp FROM p JOIN sz USING (uid, row) GROUP BY ALL),
+d AS (SELECT uid, count(*) AS depth, sum(1.0 / k) AS neff, sum(cmp) * 1.0 / (count(*) * count(*)) AS comparable FROM r GROUP BY uid),
+t AS (SELECT uid, fam, count(*) AS m FROM (SELECT DISTINCT uid, row, CASE WHEN row % 7 <> 0 THEN row % 7 END AS fam FROM cells) GROUP BY ALL), u AS (SELECT uid, sum(m) FILTER (fam IS NOT NULL) AS known, sum(m) AS every FROM t GROUP BY uid),
+v AS (SELECT uid, count(*) AS families, exp(-sum(m / known * ln(m / known))) AS effective FROM t JOIN u USING (uid) WHERE fam IS NOT NULL GROUP BY uid),
+w AS (SELECT uid, unnest(range(0, 12)) AS k, unnest([ln(65), ln(1 + depth), ln(1 + least(depth, 40)), ln(1 + depth), ln(1 + least(depth, 40)), ln(1 + neff), comparable, ln(1 + families), ln(1 + effective), 1 - known / every, CAST(depth > 40 AS INTEGER), 0.8]) AS value FROM d JOIN u USING (uid) JOIN v USING (uid))
+SELECT uid, CAST(k AS INTEGER) AS k, round(value, 6) + 0.0 AS value FROM w""")
+def g22_base(spark: SparkSession, d: str) -> DataFrame:
+    """The 12 numbers ahead of the blocks, from effective depths and taxa; a row's place modulo seven is its taxon."""
+    every = rows(spark, d)
+    taxa = A.family_diversity(every.select("uid", F.when(F.col("row") % 7 != 0, F.col("row") % 7).alias("fam")), "uid", "fam")
+    depth = F.col("rows")
+    told = A.effective_depth(every, 0.18, 0.5).join(taxa, "uid").withColumns({"length": F.lit(64), "cached": F.least(depth, F.lit(40)), "filtered": depth, "retained": F.least(depth, F.lit(40)), "capped": depth > 40, "quality": F.lit(0.8)})
+    values = A.base_profile("length", "rows", "cached", "filtered", "retained", "neff", comparable="comparable", families="families", effective="effective", unknown="unknown", capped="capped", quality="quality")
+    return rounded(told.select("uid", F.posexplode(values).alias("k", "value")), "value")
+
+
 @query("g23_effective_depth", _CELLS + """, f AS (SELECT * FROM cells WHERE token < 25), sz AS (SELECT uid, row, count(*) AS size FROM f GROUP BY ALL),
 p AS (SELECT x.uid, x.row, z.row AS other, count(*) AS n, count(*) FILTER (x.token = z.token) AS same FROM f x JOIN f z ON x.uid = z.uid AND x.col = z.col GROUP BY ALL),
 r AS (SELECT uid, row, count(*) FILTER (row = other OR (n >= 0.5 * size AND same >= 0.18 * n)) AS k, count(*) FILTER (n >= 0.5 * size) AS cmp FROM p JOIN sz USING (uid, row) GROUP BY ALL)
@@ -98,15 +167,31 @@ def g27(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.profile_variation(every.filter("row % 2 = 0"), every.filter("row % 2 = 1")), "tv", "most")
 
 
+@query("g27_variation_summary", _FACING + """, z AS (SELECT uid, row, col, CASE WHEN (row * 7 + col) % 3 = 0 THEN (token + 1) % 26 ELSE token END AS token FROM h),
+o AS (SELECT uid, col, token, count(*) AS n FROM h GROUP BY ALL), t AS (SELECT uid, col, token, count(*) AS n FROM z GROUP BY ALL), p AS (SELECT uid, col, token, n / sum(n) OVER (PARTITION BY uid, col) AS p FROM o), r AS (SELECT uid, col, token, n / sum(n) OVER (PARTITION BY uid, col) AS r FROM t),
+v AS (SELECT uid, col, sum(abs(coalesce(p, 0) - coalesce(r, 0))) / 2 AS tv FROM p FULL JOIN r USING (uid, col, token) GROUP BY ALL), a AS (SELECT uid, avg(tv) AS tv, max(tv) AS most FROM v GROUP BY uid),
+b AS (SELECT uid, avg(CASE WHEN h.token <> z.token THEN 1.0 ELSE 0 END) AS changed FROM h JOIN z USING (uid, row, col) GROUP BY uid),
+x AS (SELECT uid, row, avg(CASE WHEN token = own THEN 1.0 ELSE 0 END) AS same, avg(CASE WHEN token = 25 THEN 1.0 ELSE 0 END) AS gap FROM h JOIN qt USING (uid, col) GROUP BY ALL), y AS (SELECT uid, row, avg(CASE WHEN token = own THEN 1.0 ELSE 0 END) AS same, avg(CASE WHEN token = 25 THEN 1.0 ELSE 0 END) AS gap FROM z JOIN qt USING (uid, col) GROUP BY ALL),
+i AS (SELECT uid, avg(same) AS bsm, stddev_pop(same) AS bss, avg(gap) AS bgm, stddev_pop(gap) AS bgs FROM x GROUP BY uid), j AS (SELECT uid, avg(same) AS asm, stddev_pop(same) AS ass, avg(gap) AS agm, stddev_pop(gap) AS ags FROM y GROUP BY uid)
+SELECT uid, round(tv, 6) AS tv, round(most, 6) AS most, round(changed, 6) AS changed, round(bsm, 6) AS before_same_mean, round(bss, 6) AS before_same_std, round(bgm, 6) AS before_gap_mean, round(bgs, 6) AS before_gap_std,
+ round(asm, 6) AS after_same_mean, round(ass, 6) AS after_same_std, round(agm, 6) AS after_gap_mean, round(ags, 6) AS after_gap_std FROM a JOIN b USING (uid) JOIN i USING (uid) JOIN j USING (uid)""")
+def g27_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Every third cell takes the next token."""
+    query_cells, rest = facing(spark, d)
+    moved = rest.withColumn("token", F.when((F.col("row") * 7 + F.col("col")) % 3 == 0, (F.col("token") + 1) % 26).otherwise(F.col("token")).cast("int"))
+    found = A.variation_summary(rest, moved, query_cells)
+    return rounded(found, *[c for c in found.columns if c != "uid"])
+
+
 _ROUNDED_MEAN = "round(avg(p), 5)"
 
 
 @query("g28_matrix_summary", _MATRIX + """, r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY p DESC, i, j) AS k FROM mat), s AS (SELECT uid, i, sum(p) AS s FROM mat GROUP BY ALL), q AS (SELECT uid, s / sum(s) OVER (PARTITION BY uid) AS q FROM s),
-e AS (SELECT uid, -sum(q * ln(q)) / ln(count(*)) AS row_entropy FROM q GROUP BY uid)
-SELECT uid, round(avg(p) FILTER (k <= 20), 5) AS top_mean, round(avg(CASE WHEN p >= 0.9 THEN 1.0 ELSE 0 END), 5) AS share, round(count(DISTINCT i) FILTER (p >= 0.9) * 1.0 / count(DISTINCT i), 5) AS row_part,
- round(count(DISTINCT j) FILTER (p >= 0.9) * 1.0 / count(DISTINCT j), 5) AS col_part, round(max(row_entropy), 5) AS row_entropy FROM r JOIN e USING (uid) GROUP BY uid""")
+e AS (SELECT uid, -sum(q * ln(q)) / ln(count(*)) AS row_entropy FROM q GROUP BY uid), sj AS (SELECT uid, j, sum(p) AS s FROM mat GROUP BY ALL), qj AS (SELECT uid, s / sum(s) OVER (PARTITION BY uid) AS q FROM sj), ej AS (SELECT uid, -sum(q * ln(q)) / ln(count(*)) AS col_entropy FROM qj GROUP BY uid)
+SELECT uid, round(max(col_entropy), 5) AS col_entropy, round(avg(p) FILTER (k <= 20), 5) AS top_mean, round(avg(CASE WHEN p >= 0.9 THEN 1.0 ELSE 0 END), 5) AS share, round(count(DISTINCT i) FILTER (p >= 0.9) * 1.0 / count(DISTINCT i), 5) AS row_part,
+ round(count(DISTINCT j) FILTER (p >= 0.9) * 1.0 / count(DISTINCT j), 5) AS col_part, round(max(row_entropy), 5) AS row_entropy FROM r JOIN e USING (uid) JOIN ej USING (uid) GROUP BY uid""")
 def g28(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.matrix_summary(matrix(spark, d), 20, 0.9), "top_mean", "share", "row_part", "col_part", "row_entropy", places=5)
+    return rounded(A.matrix_summary(matrix(spark, d), 20, 0.9), "top_mean", "share", "row_part", "col_part", "row_entropy", "col_entropy", places=5)
 
 
 @query("g29_window_peak", _MATRIX + """, s AS (SELECT *, sum(p) OVER w AS s, count(*) OVER w AS n FROM mat WINDOW w AS (PARTITION BY uid, i ORDER BY j ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
@@ -115,11 +200,18 @@ def g29(spark: SparkSession, d: str) -> DataFrame:
     return rounded(A.window_peak(matrix(spark, d), 5), "peak")
 
 
-@query("g30_block_pooling", _MATRIX + """, t AS (SELECT uid, i // 8 AS ti, j // 8 AS tj, avg(p) AS m FROM mat GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY m DESC, ti, tj) AS u, row_number() OVER (PARTITION BY uid ORDER BY m, ti, tj) AS d FROM t),
-g AS (SELECT uid, avg(m) FILTER (u <= 3) AS top, avg(m) FILTER (d <= 3) AS bottom FROM r GROUP BY uid), w AS (SELECT uid, avg(p) AS mean, quantile_cont(p, 0.95) AS q95, max(p) AS most FROM mat GROUP BY uid)
-SELECT uid, round(top, 5) AS top, round(bottom, 5) AS bottom, round(mean, 5) AS mean, round(q95, 5) AS q95, round(most, 5) AS most FROM g JOIN w USING (uid)""")
+_BLOCK = "CASE WHEN {x} < (L{x} % n{x}) * (L{x} // n{x} + 1) THEN {x} // (L{x} // n{x} + 1) ELSE L{x} % n{x} + ({x} - (L{x} % n{x}) * (L{x} // n{x} + 1)) // (L{x} // n{x}) END"
+
+
+@query("g30_block_pooling", _MATRIX + f""", z AS (SELECT uid, max(i) + 1 AS Li, max(j) + 1 AS Lj, CAST(ceil((max(i) + 1) / 7.0) AS BIGINT) AS ni, CAST(ceil((max(j) + 1) / 7.0) AS BIGINT) AS nj FROM mat GROUP BY uid),
+b AS (SELECT uid, i, j, p, i % 4 <> 0 AND i % 5 <> 1 AS gi, j % 3 <> 0 AS gj, {_BLOCK.format(x="i")} AS ti, {_BLOCK.format(x="j")} AS tj FROM mat JOIN z USING (uid)),
+t AS (SELECT uid, ti, tj, avg(p) FILTER (gi AND gj) AS m, count(DISTINCT i) FILTER (gi) >= 0.6 * count(DISTINCT i) AND count(DISTINCT j) FILTER (gj) >= 0.6 * count(DISTINCT j) AS ok FROM b GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY m DESC, ti, tj) AS u, row_number() OVER (PARTITION BY uid ORDER BY m, ti, tj) AS d FROM t WHERE ok AND m IS NOT NULL),
+g AS (SELECT uid, count(*) AS tiles, avg(m) FILTER (u <= 3) AS top, avg(m) FILTER (d <= 3) AS bottom FROM r GROUP BY uid), w AS (SELECT uid, avg(p) AS mean, stddev_pop(p) AS std, quantile_cont(p, 0.95) AS q95, max(p) AS most FROM b WHERE gi AND gj GROUP BY uid)
+SELECT uid, tiles, round(top, 5) AS top, round(bottom, 5) AS bottom, round(mean, 5) AS mean, round(std, 5) AS std, round(q95, 5) AS q95, round(most, 5) AS most FROM g JOIN w USING (uid)""")
 def g30(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.block_pool(matrix(spark, d), 8, 8, 3), "top", "bottom", "mean", "q95", "most", places=5)
+    marked = matrix(spark, d).withColumns({"good_i": (F.col("i") % 4 != 0) & (F.col("i") % 5 != 1), "good_j": F.col("j") % 3 != 0})
+    return rounded(A.block_pool(marked, 7, 3, 0.6), "top", "bottom", "mean", "std", "q95", "most", places=5)
 
 
 @query("p13_quality_mask", _CELLS + " SELECT uid, row, count(*) FILTER (col % 3 = 0) AS masked, CAST(sum(CASE WHEN col % 3 = 0 THEN 26 ELSE token END) AS BIGINT) AS total FROM cells GROUP BY ALL")
@@ -182,12 +274,12 @@ def n10(spark: SparkSession, d: str) -> DataFrame:
 
 _SEEDS = _CELLS + """, t AS (SELECT row, list(token ORDER BY col) AS k FROM cells GROUP BY row), s AS (SELECT row, unnest(range(0, 60)) AS place, k FROM t),
 d AS (SELECT row, place, 0 AS pattern, concat_ws('.', k[place + 1], k[place + 2], k[place + 4], k[place + 5]) AS seed FROM s UNION ALL SELECT row, place, 1, concat_ws('.', k[place + 1], k[place + 3], k[place + 4], k[place + 6]) FROM s WHERE place <= 58),
-c AS (SELECT pattern, seed, count(DISTINCT row) AS n FROM d GROUP BY ALL), g AS (SELECT d.* FROM d JOIN c USING (pattern, seed) WHERE n > 1 AND n <= 50),
+c AS (SELECT pattern, seed, count(DISTINCT row) AS n FROM d GROUP BY ALL), g AS (SELECT d.* FROM d JOIN c USING (pattern, seed) WHERE n > 1),
 m AS (SELECT DISTINCT x.row AS p, z.row AS q, x.place AS p_at, z.place AS q_at FROM g x JOIN g z USING (pattern, seed) WHERE x.row < z.row)"""
 
 
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    return A.seed_matches(rows(spark, d).select("row", "tokens"), ["11011", "101101"], 50)
+    return A.seed_matches(rows(spark, d).select("row", "tokens"), ["11011", "101101"])
 
 
 @query("j19_seed_matches", _SEEDS + " SELECT p, q, p_at, q_at FROM m")
@@ -211,6 +303,21 @@ def g34(spark: SparkSession, d: str) -> DataFrame:
     return trimmed.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "start", "end")])
 
 
+@query("w8_scored_segments", _SEEDS + """, dg AS (SELECT DISTINCT p, q, p_at - q_at AS diagonal FROM m), sd AS (SELECT DISTINCT p, q, p_at - q_at AS diagonal, p_at FROM m),
+pos AS (SELECT p, q, diagonal, unnest(range(greatest(0, diagonal), least(64, 64 + diagonal))) AS i FROM dg),
+sc AS (SELECT p, q, diagonal, i, CASE WHEN x.k[i + 1] = z.k[i - diagonal + 1] THEN 5 WHEN abs(x.k[i + 1] - z.k[i - diagonal + 1]) = 1 THEN 1 ELSE -2 END AS s FROM pos JOIN t x ON x.row = p JOIN t z ON z.row = q),
+w AS (SELECT p, q, diagonal, i, sum(s) OVER v AS score, count(*) OVER v AS n FROM sc WINDOW v AS (PARTITION BY p, q, diagonal ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+hi AS (SELECT *, i - row_number() OVER (PARTITION BY p, q, diagonal ORDER BY i) AS run FROM w WHERE n = 8 AND score >= 18),
+sg AS (SELECT p, q, diagonal, min(i) AS p_start, max(i) + 8 AS p_end, max(score) AS best, max(CASE WHEN p_at IS NOT NULL THEN 1 ELSE 0 END) AS seeded FROM hi LEFT JOIN sd ON sd.p = hi.p AND sd.q = hi.q AND sd.diagonal = hi.diagonal AND sd.p_at = hi.i GROUP BY hi.p, hi.q, hi.diagonal, run)
+SELECT p, q, diagonal, CAST(p_start AS BIGINT) AS p_start, CAST(p_end AS BIGINT) AS p_end, CAST(best AS BIGINT) AS best FROM sg WHERE seeded = 1""".replace("SELECT p, q, diagonal, min(i)", "SELECT hi.p, hi.q, hi.diagonal, min(i)"))
+def w8_scored(spark: SparkSession, d: str) -> DataFrame:
+    """Equal tokens score 5, neighbours 1, others -2; windows of 8 with 18 at least."""
+    gap = lambda x, y: F.abs(x - y)
+    score = lambda x, y: F.when(gap(x, y) == 0, 5).when(gap(x, y) == 1, 1).otherwise(-2)
+    found = A.scored_segments(seeds(spark, d), rows(spark, d).select("row", "tokens"), score, 8, 18)
+    return found.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "p_start", "p_end", "best")])
+
+
 #: The four seeds of the reference.
 _PATTERNS = ["110000110001", "100101000101", "110010001001", "101000000111"]
 _PLACES = [", ".join(f"k[place + {i + 1}]" for i, x in enumerate(p) if x == "1") for p in _PATTERNS]
