@@ -132,6 +132,7 @@ def chunk_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             rows = []
             raws = encoder(path).batch(batch.column("text").to_pylist())
@@ -148,7 +149,8 @@ def chunk_documents(df: DataFrame, path: str | None = None, id_col: str = "doc_i
                             seen.clear()
                         seen.add(leaves[-1])
                         rows.append((True, leaves[-1], payload, None, None, None, None))
-                rows.append((False, digest(raw[:256] + repr(doc).encode()), None, doc, len(ids), leaves, merkle_root(leaves)))
+                row += 1
+                rows.append((False, digest(b"%d:%d" % (task, row)), None, doc, len(ids), leaves, merkle_root(leaves)))
             yield _batch(rows, "chunk key payload id n_tokens digests root", *types)
 
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -169,16 +171,9 @@ def write_store(df: DataFrame, base: str | None = None, path: str | None = None,
     spark = df.sparkSession
     base = base or fresh_path(spark, "store")
     rows = chunk_documents(df, path, id_col)
-    dealt = rows.repartition(F.col("chunk"), F.col("key")).sortWithinPartitions("chunk", "key")
-
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            yield batch.filter(pa.array([not c or k != p for c, k, p in zip(batch.column("chunk").to_pylist(), keys, [last, *keys[:-1]], strict=True)], type=pa.bool_()))
-            last = keys[-1] if keys else last
-
-    materialise(dealt.mapInArrow(once, rows.schema), "", f"{base}/parts", partition_by="chunk")
+    # One shuffle brings equal chunks together; the first of each stays. Recipe rows have keys of their own.
+    once = rows.repartition(F.col("chunk"), F.col("key")).sortWithinPartitions("chunk", "key").dropDuplicates(["chunk", "key"])
+    materialise(once, "", f"{base}/parts", partition_by="chunk")
     recipes = spark.read.schema(rows.schema).parquet(f"{base}/parts").filter(~F.col("chunk")).select("id", "n_tokens", "digests", "root")
     ordered = recipes.repartitionByRange(F.col("id"), F.col("root")).sortWithinPartitions("id", "root")
     kind = df.schema[id_col].dataType
