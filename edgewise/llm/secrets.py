@@ -13,7 +13,6 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
-from re import _parser as sre  # the standard library's own pattern parser
 
 import numpy as np
 import pandas as pd
@@ -50,6 +49,83 @@ MORE_RULES = (
 FINDING = "array<struct<kind:string,start:int,end:int>>"
 
 
+class _Pattern:
+    """A rule's pattern as nested tuples: bytes, sequences, alternatives, repeats.
+
+    Knows what rules need: literals, escapes, classes with ranges, groups
+    (``(?:``, ``(?i:``), alternatives and the quantifiers ``* + ? {m} {m,} {m,n}``.
+    """
+
+    _ESCAPES = {"n": 10, "t": 9, "r": 13, "f": 12, "v": 11}
+
+    def __init__(self, pattern: bytes):
+        self.text, self.at = pattern.decode("latin-1"), 0
+
+    def parse(self, fold: bool = False) -> tuple:
+        ways = [self._sequence(fold)]
+        while self.text[self.at : self.at + 1] == "|":
+            self.at += 1
+            ways.append(self._sequence(fold))
+        return ways[0] if len(ways) == 1 else ("any", ways)
+
+    def _sequence(self, fold: bool) -> tuple:
+        items = []
+        while self.at < len(self.text) and self.text[self.at] not in "|)":
+            items.append(self._repeated(self._one(fold)))
+        return ("all", items)
+
+    def _one(self, fold: bool) -> tuple:
+        c = self.text[self.at]
+        self.at += 1
+        if c == "(":
+            head = re.match(r"\?(i?):", self.text[self.at :])
+            self.at += len(head[0]) if head else 0
+            inner = self.parse(fold or bool(head and head[1]))
+            if self.text[self.at : self.at + 1] != ")":
+                raise ValueError("an open group")
+            self.at += 1
+            return inner
+        found = self._class() if c == "[" else frozenset(range(256)) - {10} if c == "." else frozenset([self._byte(c)])
+        return ("byte", found | {b ^ 32 for b in found if 65 <= b & 223 <= 90} if fold else found)
+
+    def _byte(self, c: str) -> int:
+        if c in "*+?{":
+            raise ValueError(f"nothing to repeat before {c}")
+        if c != "\\":
+            return ord(c)
+        c = self.text[self.at]
+        self.at += 1
+        if c == "x":
+            self.at += 2
+            return int(self.text[self.at - 2 : self.at], 16)
+        if c.isalnum() and c not in self._ESCAPES:
+            raise ValueError(f"no escape {c}")
+        return self._ESCAPES.get(c, ord(c))
+
+    def _class(self) -> frozenset[int]:
+        negate = self.text[self.at] == "^"
+        self.at += negate
+        found: set[int] = set()
+        while self.text[self.at] != "]" or not found:
+            self.at += 1
+            low = high = self._byte(self.text[self.at - 1]) if self.text[self.at - 1] == "\\" else ord(self.text[self.at - 1])
+            if self.text[self.at] == "-" and self.text[self.at + 1] != "]":
+                self.at += 2
+                high = self._byte("\\") if self.text[self.at - 1] == "\\" else ord(self.text[self.at - 1])
+            found |= set(range(low, high + 1))
+        self.at += 1
+        return frozenset(range(256)) - found if negate else frozenset(found)
+
+    def _repeated(self, node: tuple) -> tuple:
+        found = re.match(r"[*+?]|\{(\d+)(?:(,)(\d*))?\}", self.text[self.at :])
+        if not found:
+            return node
+        self.at += len(found[0])
+        bounds = {"*": (0, None), "+": (1, None), "?": (0, 1)}
+        low, high = bounds.get(found[0]) or (int(found[1]), int(found[3]) if found[3] else None if found[2] else int(found[1]))
+        return ("repeat", low, high, node)
+
+
 class _Nfa:
     """States with byte-set edges and empty edges; built forward or reversed."""
 
@@ -63,67 +139,35 @@ class _Nfa:
         self.empty.append([])
         return len(self.edges) - 1
 
-    def add(self, items, at: int) -> int:
-        for op, arg in reversed(list(items)) if self.backward else items:
-            at = self._one(str(op), arg, at)
-        return at
-
-    def _one(self, op: str, arg, at: int) -> int:
-        if op == "SUBPATTERN":
-            group = arg[3]
-            return self._folded(group, at) if arg[1] & re.IGNORECASE else self.add(group, at)
-        if op == "BRANCH":
+    def add(self, node: tuple, at: int) -> int:
+        """The state after ``node`` from state ``at``."""
+        if node[0] == "byte":
+            to = self.state()
+            self.edges[at].append((node[1], to))
+            return to
+        if node[0] == "all":
+            for one in reversed(node[1]) if self.backward else node[1]:
+                at = self.add(one, at)
+            return at
+        if node[0] == "any":
             out = self.state()
-            for way in arg[1]:
+            for way in node[1]:
                 self.empty[self.add(way, at)].append(out)
             return out
-        if op in ("MAX_REPEAT", "MIN_REPEAT"):
-            low, high, inner = arg
-            for _ in range(low):
-                at = self.add(inner, at)
-            if high == sre.MAXREPEAT:
-                loop = self.state()
-                self.empty[at].append(loop)
-                self.empty[self.add(inner, loop)].append(loop)
-                return loop
-            out = self.state()
+        _, low, high, inner = node
+        for _ in range(low):
+            at = self.add(inner, at)
+        if high is None:
+            loop = self.state()
+            self.empty[at].append(loop)
+            self.empty[self.add(inner, loop)].append(loop)
+            return loop
+        out = self.state()
+        self.empty[at].append(out)
+        for _ in range(high - low):
+            at = self.add(inner, at)
             self.empty[at].append(out)
-            for _ in range(high - low):
-                at = self.add(inner, at)
-                self.empty[at].append(out)
-            return out
-        to = self.state()
-        self.edges[at].append((self._bytes(op, arg), to))
-        return to
-
-    def _folded(self, items, at: int) -> int:
-        self._fold, kept = True, getattr(self, "_fold", False)
-        at = self.add(items, at)
-        self._fold = kept
-        return at
-
-    def _bytes(self, op: str, arg) -> frozenset[int]:
-        if op == "LITERAL":
-            found = {arg}
-        elif op == "NOT_LITERAL":
-            found = set(range(256)) - {arg}
-        elif op == "ANY":
-            found = set(range(256)) - {10}
-        elif op == "IN":
-            found, negate = set(), False
-            for kind, value in arg:
-                if str(kind) == "NEGATE":
-                    negate = True
-                elif str(kind) == "RANGE":
-                    found |= set(range(value[0], value[1] + 1))
-                else:
-                    found |= self._bytes(str(kind), value)
-            found = set(range(256)) - found if negate else found
-        else:
-            raise ValueError(f"no automaton for {op}")
-        if getattr(self, "_fold", False):
-            found |= {b ^ 32 for b in found if chr(b).isascii() and chr(b).isalpha()}
-        return frozenset(found)
+        return out
 
     def closure(self, states) -> frozenset[int]:
         seen, todo = set(states), list(states)
@@ -199,12 +243,12 @@ def compile_rules(rules: tuple[Rule, ...]) -> tuple[Automaton, tuple[Automaton,
     for k, rule in enumerate(rules):
         entry = nfa.state()
         nfa.empty[start].append(entry)
-        ends[nfa.add(sre.parse(rule.pattern), entry)] = k
+        ends[nfa.add(_Pattern(rule.pattern).parse(), entry)] = k
     back = []
     for rule in rules:
         own = _Nfa(backward=True)
         entry = own.state()
-        back.append(_determinise(own, entry, {own.add(sre.parse(rule.pattern), entry): 0}, unanchored=False))
+        back.append(_determinise(own, entry, {own.add(_Pattern(rule.pattern).parse(), entry): 0}, unanchored=False))
     return _determinise(nfa, start, ends, unanchored=True), tuple(back)
 
 

@@ -80,6 +80,21 @@ def test_more_rules_find_known_shapes(spark):
     assert {f["kind"]: text[f["start"] : f["end"]] for f in found} == {"jwt": "eyJhbGciOi.eyJzdWIi.SflKxw", "github": "ghp_" + "aZ" * 20, "pem": "-----BEGIN RSA PRIVATE KEY-----"}
 
 
+@pytest.mark.parametrize("pattern", [rb"a(?:b|cd)*e{2}", rb"[^a-c\\]]{1,2}x?", rb"(?i:Ab[c-e]+|f\x20g)h", rb"[]a-]+b", rb"x{2,}|y{0,2}z", rb"\.\-[_A-]"])
+def test_patterns_mean_what_regular_expressions_mean(pattern):
+    """Every start and end of a match, against the standard library."""
+    rng = random.Random(24)
+    auto, _ = secrets.compile_rules((secrets.Rule("one", pattern),))
+    for _ in range(300):
+        data = bytes(rng.choice(b"abcdefghABCDxyz .-]\\_") for _ in range(rng.randint(0, 9)))
+        state, ends = auto.start, []
+        for k, byte in enumerate(data):
+            state = auto.table[state + byte]
+            if state >= auto.first_accepting:
+                ends.append(k + 1)
+        assert ends == [e for e in range(1, len(data) + 1) if any(re.fullmatch(pattern, data[b:e]) for b in range(e))]
+
+
 def test_minimised_automaton_has_no_equal_states():
     auto, _ = secrets.compile_rules(secrets.BASE_RULES)
     table = np.array(auto.table).reshape(auto.states, 256)
