@@ -2,35 +2,96 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from edgewise.functions.expressions import safe_ratio
 from edgewise.operators.metrics import ap_auroc
 from edgewise.operators.pairs import gated_fusion
 
 
+def _codes(text: str, letters: str) -> np.ndarray:
+    """Place of each character among ``letters``; their number for all others."""
+    table = np.full(128, len(letters), dtype=np.int64)
+    table[[ord(x) for x in letters]] = np.arange(len(letters))
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    return np.where(points < 128, table[np.minimum(points, 127)], len(letters))
+
+
+def _mers(codes: np.ndarray, base: int, k: int) -> np.ndarray:
+    """Codes of the overlapping runs of ``k`` valid letters."""
+    n = max(0, len(codes) - k + 1)
+    run, valid = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for at in range(k):
+        run = run * base + codes[at : at + n]
+        valid &= codes[at : at + n] < base
+    return run[valid]
+
+
+def _counted(entities: DataFrame, letters: str, k: int, sequence: str) -> DataFrame:
+    """entity, mer, n and the text's length, one pass over each text in lower case; texts without a valid run give no row."""
+    names = ["".join(x) for x in product(letters, repeat=k)]
+    kind = entities.schema["entity"].dataType
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(_mers(_codes((t or "").lower(), letters), len(letters), k), return_counts=True) for t in batch.column("seq").to_pylist()]
+            times = pa.array(np.repeat(np.arange(len(found)), [len(m) for m, _ in found]), pa.int64())
+            mers = np.concatenate([m for m, _ in found]) if found else np.zeros(0, dtype=np.int64)
+            counts = np.concatenate([n for _, n in found]) if found else np.zeros(0, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("entity").take(times), pa.array([names[m] for m in mers.tolist()], pa.string()), pa.array(counts, pa.int64()), batch.column("len").take(times)], ["entity", "mer", "n", "len"])
+
+    rows = entities.select("entity", F.col(sequence).alias("seq"), F.char_length(sequence).cast("long").alias("len"))
+    return rows.mapInArrow(count, f"entity {kind.simpleString()}, mer string, n long, len long")
+
+
 def letter_shares(entities: DataFrame, letters: str, sequence: str = "seq") -> DataFrame:
     """how often each letter of the alphabet is in a sequence, and its share of the length (sparse, long form)."""
-    low = F.lower(sequence)
-    size = F.char_length(sequence)
-    # Counting by removal keeps one row per letter that occurs, not one per position.
-    counts = F.array(*[F.struct(F.lit(x).alias("letter"), (F.char_length(low) - F.char_length(F.replace(low, F.lit(x), F.lit("")))).cast("long").alias("n")) for x in letters])
-    rows = entities.select("entity", size.alias("__len"), F.explode(counts).alias("c")).filter("c.n > 0")
-    return rows.select("entity", "c.letter", "c.n", (F.col("c.n") / F.col("__len")).alias("share"))
+    counts = _counted(entities, letters, 1, sequence)
+    return counts.select("entity", F.col("mer").alias("letter"), "n", (F.col("n") / F.col("len")).alias("share"))
 
 
 def mer_shares(entities: DataFrame, letters: str, k: int, sequence: str = "seq") -> DataFrame:
     """overlapping runs of ``k`` valid letters, counts and shares (sparse, long form)."""
-    chars = entities.filter(F.char_length(sequence) >= k).select("entity", F.split(F.lower(sequence), "").alias("__c"))
-    mer = F.col("__c")
-    for shift in range(1, k):  # arrays shifted against each other: no substring search from the start for each position
-        mer = F.zip_with(mer, F.slice("__c", F.lit(shift + 1), F.size("__c")), lambda x, y: F.concat(x, y))
-    mers = chars.select("entity", F.explode(mer).alias("mer"))
-    counts = mers.filter(F.col("mer").rlike(f"^[{letters}]{{{k}}}$")).groupBy("entity", "mer").agg(F.count("*").alias("n"))
+    counts = _counted(entities, letters, k, sequence)
     totals = counts.groupBy("entity").agg(F.sum("n").alias("__all"))
     return counts.join(totals, "entity").select("entity", "mer", "n", (F.col("n") / F.col("__all")).alias("share"))
 
 
+def composition_vector(entities: DataFrame, letters: str = "ACDEFGHIKLMNPQRSTVWY", sequence: str = "seq") -> DataFrame:
+    """``v``, log length, each letter's share, each ordered pair of letters' share of the places for pairs, and the share of other characters.
+
+    422 numbers for twenty letters; a row for each entity. An empty sequence is all zeros.
+    """
+    base = len(letters)
+    kind = entities.schema["entity"].dataType.simpleString()
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros((batch.num_rows, base * base + base + 2))
+            for row, text in zip(out, batch.column("seq").to_pylist(), strict=True):
+                if text:
+                    codes = _codes(text, letters)
+                    valid = codes < base
+                    row[0] = np.log(len(codes))
+                    row[1 : base + 1] = np.bincount(codes[valid], minlength=base) / len(codes)
+                    row[base + 1 : -1] = np.bincount(_mers(codes, base, 2), minlength=base * base) / max(1, len(codes) - 1)
+                    row[-1] = 1 - valid.mean()
+            yield pa.RecordBatch.from_arrays([batch.column("entity"), pa.array(list(out), pa.list_(pa.float64()))], ["entity", "v"])
+
+    return entities.select("entity", F.col(sequence).alias("seq")).mapInArrow(measure, f"entity {kind}, v array<double>")
+
+
 def mer_cosine(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     """cosine of the sparse counts of both ends, for wanted pairs only."""
     norms = counts.groupBy("entity").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
@@ -39,6 +100,40 @@ def mer_cosine(pairs: DataFrame, counts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, ["b", "mer"]).groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
 
 
+def sequence_controls(pairs: DataFrame, entities: DataFrame, letters: str, k: int = 3, sequence: str = "seq") -> DataFrame:
+    """a, b, cosine of letter counts, cosine of ``k``-mer counts and the shorter length over the longer; 0 where nothing is shared."""
+    size = entities.select("entity", F.char_length(sequence).alias("len"))
+    one, two = (size.select(F.col("entity").alias(x), F.col("len").alias(f"l_{x}")) for x in ("a", "b"))
+    letter = mer_cosine(pairs, _counted(entities, letters, 1, sequence)).withColumnRenamed("cosine", "letter_cosine")
+    mer = mer_cosine(pairs, _counted(entities, letters, k, sequence)).withColumnRenamed("cosine", "mer_cosine")
+    joined = pairs.select("a", "b").join(one, "a").join(two, "b").join(letter, ["a", "b"], "left").join(mer, ["a", "b"], "left")
+    ratio = safe_ratio(F.least("l_a", "l_b").cast("double"), F.greatest("l_a", "l_b").cast("double"))
+    return joined.select("a", "b", F.coalesce("letter_cosine", F.lit(0.0)).alias("letter_cosine"), F.coalesce("mer_cosine", F.lit(0.0)).alias("mer_cosine"), ratio.alias("length_ratio"))
+
+
+def pair_baselines(rows: DataFrame, held: Column, left: str = "u", right: str = "v", label: str = "y") -> DataFrame:
+    """scores of four simple baselines on the rows where ``held`` holds, fitted on the others: baseline, y, score.
+
+    The constant is the fitted rows' share of positives; the others are
+    standardised logistic heads on the first number of both ends (a length),
+    on the sum of the ends, and on sum, gap and product.
+    """
+    add = F.zip_with(left, right, lambda x, y: x + y)
+    gap = F.zip_with(left, right, lambda x, y: F.abs(x - y))
+    times = F.zip_with(left, right, lambda x, y: x * y)
+    first = lambda c: F.slice(c, 1, 1)
+    kinds = {"length only": F.concat(first(add), first(gap), first(times)), "additive": add, "pair": F.concat(add, gap, times)}
+    marked = rows.withColumn("__held", held)
+    share = marked.filter(~F.col("__held")).agg(F.avg(F.col(label).cast("double")).alias("score"))  # one row
+    parts = [marked.filter("__held").crossJoin(F.broadcast(share)).select(F.lit("constant").alias("baseline"), F.col(label).alias("y"), "score")]
+    for name, vector in kinds.items():
+        table = marked.select("__held", F.col(label).cast("double").alias("y"), array_to_vector(vector).alias("x"))
+        head = Pipeline(stages=[StandardScaler(inputCol="x", outputCol="s", withMean=True), LogisticRegression(featuresCol="s", labelCol="y", regParam=1e-4, maxIter=200, probabilityCol="q", rawPredictionCol="r", predictionCol="c")])
+        model = head.fit(table.filter(~F.col("__held")))
+        parts.append(model.transform(table.filter("__held")).select(F.lit(name).alias("baseline"), F.col("y").cast("int").alias("y"), F.element_at(vector_to_array("q"), 2).alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def transferred_value(entities: DataFrame, hits: DataFrame, values: DataFrame) -> DataFrame:
     """an entity's own value where known, else the weighted mean of its hits' values, else the mean of all."""
     weight = F.col("fident") * F.sqrt(F.col("qcov") * F.col("tcov"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import jaccard
 from edgewise.operators import features as E
+from edgewise.operators import metrics as M
 from edgewise.operators import pairs as P
 
 from . import fixtures as X
@@ -109,6 +110,45 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
     return rounded(E.mer_cosine(talks, shares), "cosine")
 
 
+@query("f1_composition_vector", X.ctes("entity") + """, t AS (SELECT entity, len, string_split(seq, '') AS s FROM entity WHERE len > 0), a AS (SELECT entity, len, list_transform(s, lambda x: CASE WHEN contains('acdefghiklmnpqrstvwy', x) THEN x END) AS s FROM t),
+u AS (SELECT entity, max(len) AS len, count(z) AS valid, sum(strpos('acdefghiklmnpqrstvwy', z)) AS places FROM (SELECT entity, len, unnest(s) AS z FROM a) GROUP BY entity),
+m AS (SELECT entity, count(*) FILTER (x IS NOT NULL AND z IS NOT NULL) AS pairs, sum(CASE WHEN x IS NOT NULL AND z IS NOT NULL THEN (strpos('acdefghiklmnpqrstvwy', x) - 1) * 20 + strpos('acdefghiklmnpqrstvwy', z) ELSE 0 END) AS pair_places
+      FROM (SELECT entity, unnest(s[1:-2]) AS x, unnest(s[2:]) AS z FROM a WHERE len > 1) GROUP BY entity)
+SELECT e.entity, 422 AS dims, round(coalesce(ln(u.len), 0), 6) AS log_length, round(coalesce(valid / u.len, 0), 6) AS known, round(coalesce(places / u.len, 0), 6) AS places, round(coalesce(pairs / greatest(1, u.len - 1), 0), 6) AS pairs,
+ round(coalesce(pair_places / greatest(1, u.len - 1), 0), 5) AS pair_places, round(coalesce(1 - valid / u.len, 0), 6) + 0.0 AS unknown FROM entity e LEFT JOIN u USING (entity) LEFT JOIN m USING (entity)""")
+def f1_vector(spark: SparkSession, d: str) -> DataFrame:
+    """All 422 numbers of each text, by sums over them."""
+    found = E.composition_vector(X.entity(spark, d), "acdefghiklmnpqrstvwy")
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    placed = lambda c: add(F.transform(c, lambda x, i: x * (i + 1)))
+    letters, pairs = F.slice("v", 2, 20), F.slice("v", 22, 400)
+    named = found.select("entity", F.size("v").alias("dims"), F.col("v")[0].alias("log_length"), add(letters).alias("known"), placed(letters).alias("places"), add(pairs).alias("pairs"), placed(pairs).alias("pair_places"), F.col("v")[421].alias("unknown"))
+    return rounded(rounded(named, "log_length", "known", "places", "pairs", "unknown"), "pair_places", places=5)
+
+
+@query("f2_sequence_controls", X.ctes("entity") + f""", c AS (SELECT entity, letter AS x, len - length(replace(lower(seq), letter, '')) AS n FROM entity, (SELECT unnest(string_split('{_LETTERS}', '')) AS letter)),
+v AS (SELECT entity, x, n / sqrt(sum(n * n) OVER (PARTITION BY entity)) AS w FROM c WHERE n > 0), p AS (SELECT DISTINCT conv_id AS a, conv_id + turn + 1 AS b FROM conversations),
+t AS (SELECT entity, string_split(lower(seq), '') AS s FROM entity WHERE len > 2), g AS (SELECT entity, unnest(s[1:-3]) AS x, unnest(s[2:-2]) AS z, unnest(s[3:]) AS o FROM t),
+k AS (SELECT entity, x || z || o AS mer, count(*) AS n FROM g WHERE contains('{_LETTERS}', x) AND contains('{_LETTERS}', z) AND contains('{_LETTERS}', o) GROUP BY ALL), q AS (SELECT entity, mer, n / sqrt(sum(n * n) OVER (PARTITION BY entity)) AS w FROM k),
+l AS (SELECT a, b, sum(x.w * z.w) AS cosine FROM p JOIN v x ON x.entity = a JOIN v z ON z.entity = b AND z.x = x.x GROUP BY ALL), r AS (SELECT a, b, sum(x.w * z.w) AS cosine FROM p JOIN q x ON x.entity = a JOIN q z ON z.entity = b AND z.mer = x.mer GROUP BY ALL)
+SELECT a, b, round(coalesce(l.cosine, 0), 6) AS letter_cosine, round(coalesce(r.cosine, 0), 6) AS mer_cosine, round(CASE WHEN greatest(x.len, z.len) > 0 THEN least(x.len, z.len) / greatest(x.len, z.len) ELSE 0 END, 6) AS length_ratio
+FROM p JOIN entity x ON x.entity = a JOIN entity z ON z.entity = b LEFT JOIN l USING (a, b) LEFT JOIN r USING (a, b)""")
+def f2_controls(spark: SparkSession, d: str) -> DataFrame:
+    talks = X.table(spark, d, "conversations").select(F.col("conv_id").alias("a"), (F.col("conv_id") + F.col("turn") + 1).alias("b")).distinct()
+    return rounded(E.sequence_controls(talks, X.entity(spark, d), _LETTERS), "letter_cosine", "mer_cosine", "length_ratio")
+
+
+@query("f3_pair_baselines")
+def f3_baselines(spark: SparkSession, d: str) -> DataFrame:
+    """Each text with the next one, positive if they have one language; a quarter of the pairs is held out. No SQL, as heads are fitted; the tests hold them against what their features can tell."""
+    vectors = E.composition_vector(X.entity(spark, d), "acdefghiklmnpqrstvwy").select("entity", F.slice("v", 1, 21).alias("v"))
+    named = vectors.join(X.entity(spark, d).select("entity", "grp"), "entity")
+    left, right = named.select(F.col("entity").alias("a"), F.col("v").alias("u"), F.col("grp").alias("one")), named.select((F.col("entity") - 1).alias("a"), "v", F.col("grp").alias("two"))
+    rows = left.join(right, "a").withColumn("y", F.col("one").eqNullSafe(F.col("two")).cast("int"))
+    scored = E.pair_baselines(rows, F.pmod(F.xxhash64("a"), F.lit(4)) == 0)
+    return rounded(M.ap_auroc(scored, ["baseline"]), "ap", "auroc")
+
+
 @query("f4_transferred_value", X.ctes("pairs") + """, v AS (SELECT b AS entity, avg(y) AS value FROM pairs WHERE line <= 3 GROUP BY b), h AS (SELECT a AS q, b AS t, share * sqrt((1 - tax) * (1 - score)) AS w FROM pairs)
 SELECT q, round(sum(w * value) / sum(w), 6) AS value FROM h JOIN v ON t = entity GROUP BY q""")
 def f4(spark: SparkSession, d: str) -> DataFrame:

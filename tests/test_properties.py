@@ -299,6 +299,40 @@ def test_learned_heads_on_held_out_rows(spark):
     assert [r["probability"] for r in flipped] == [r["probability"] for r in scored]
 
 
+def test_composition_vector_matches_a_loop(spark):
+    from edgewise.operators import features
+
+    letters, texts = "ACDEFGHIKLMNPQRSTVWY", ["ACACX", "", None, "é日A", "W", "ACDEFGHIKLMNPQRSTVWY" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "entity long, seq string")
+    for r in features.composition_vector(df).collect():
+        t, v = texts[r["entity"]] or "", r["v"]
+        assert len(v) == 422
+        if not t:
+            assert not any(v)
+            continue
+        assert v[0] == pytest.approx(math.log(len(t))) and v[421] == pytest.approx(sum(c not in letters for c in t) / len(t))
+        assert v[1:21] == pytest.approx([t.count(c) / len(t) for c in letters])
+        pairs = [sum(t[i : i + 2] == x + y for i in range(len(t) - 1)) / max(1, len(t) - 1) for x in letters for y in letters]
+        assert v[21:421] == pytest.approx(pairs)
+
+
+def test_baselines_tell_what_their_features_can(spark):
+    """Labels that only the product of the ends tells, and labels that only their lengths tell."""
+    from edgewise.operators import features, metrics
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(900):
+        u, v = rng.normal(size=4), rng.normal(size=4)
+        rows.append((i, u.tolist(), v.tolist(), int(u[2] * v[2] > 0), int(u[0] + v[0] > 0)))
+    df = spark.createDataFrame(rows, "i long, u array<double>, v array<double>, y int, z int")
+    held = F.col("i") % 3 == 0
+    auroc = lambda label: {r["baseline"]: r["auroc"] for r in metrics.ap_auroc(features.pair_baselines(df, held, label=label), ["baseline"]).collect()}
+    found = auroc("y")
+    assert found["constant"] == 0.5 and found["pair"] > 0.9 and found["additive"] < 0.65 and found["length only"] < 0.65
+    assert auroc("z")["length only"] > 0.95
+
+
 def test_cross_fitting_never_sees_its_fold(spark):
     from edgewise.operators import learn
 
