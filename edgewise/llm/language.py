@@ -70,7 +70,9 @@ def detect_language(df: DataFrame, profiles: dict[str, np.ndarray], id_col: str
 
     ``und`` with score 0 where the text is null or has no letter, or no profile
     is known. The score grows with the gap between the two nearest languages;
-    ties go to the first name.
+    ties go to the first name. Repeated rows are rows of their own and get the
+    same answer; extra columns are ignored; an empty table gives an empty
+    result.
     """
     bounded_batches(df.sparkSession)
     names = sorted(profiles)
