@@ -31,12 +31,13 @@ def jaccard(left: Column, right: Column) -> Column:
     return safe_ratio(F.size(F.array_intersect(left, right)).cast("double"), F.size(F.array_union(left, right)).cast("double"))
 
 
-def _poisson_cuts(most: int = 12) -> list[int]:
+def _poisson_cuts() -> list[int]:
+    """Cut-offs of all counts that a 60-bit draw can have."""
     cuts, term, total = [], math.exp(-1), 0.0
-    for k in range(most):
+    while (cut := int((total + term) * (1 << 60))) < 1 << 60:
+        cuts.append(cut)
         total += term
-        cuts.append(int(total * (1 << 60)))
-        term /= k + 1
+        term /= len(cuts)
     return cuts
 
 

@@ -144,21 +144,31 @@ def percentiles(df: DataFrame, keys: list[str], column: str, at: dict[str, float
     return summed.groupBy(*keys).agg(*out)
 
 
+def _beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Two tables of one row a key (or one row in all) side by side; null is a key."""
+    if not keys:
+        return left.crossJoin(right)
+    named = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return left.join(named, same).drop(*[f"__{k}" for k in keys])
+
+
 def concordance(df: DataFrame, keys: list[str], one: str, two: str) -> DataFrame:
     """Distance between two scores of the same rows and decisions that flip at one half."""
     gaps = df.withColumn("__gap", F.abs(F.col(one) - F.col(two)))
     flips = F.sum(F.when((F.col(one) >= 0.5) != (F.col(two) >= 0.5), 1).otherwise(0)).cast("long")
     whole = gaps.groupBy(*keys).agg(F.avg("__gap").alias("mae"), F.max("__gap").alias("most"), flips.alias("flips"))
     places = percentiles(gaps, keys, "__gap", {"median": 0.5, "p99": 0.99})
-    return whole.join(places, keys).select(*keys, "mae", "most", "median", "p99", "flips") if keys else whole.crossJoin(places)  # single rows
+    return _beside(whole, places, keys).select(*keys, "mae", "most", "median", "p99", "flips")
 
 
 def quantiles(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Least, tenth, quarter, half, three quarters, nine tenths and most, linear between rows."""
     ends = df.groupBy(*keys).agg(F.min(column).alias("least"), F.max(column).alias("most"))
     places = percentiles(df, keys, column, {"q10": 0.1, "q25": 0.25, "median": 0.5, "q75": 0.75, "q90": 0.9})
-    joined = ends.join(places, keys) if keys else ends.crossJoin(places)  # single rows
-    return joined.select(*keys, "least", "q10", "q25", "median", "q75", "q90", "most")
+    return _beside(ends, places, keys).select(*keys, "least", "q10", "q25", "median", "q75", "q90", "most")
 
 
 def mcnemar(df: DataFrame, keys: list[str], one: str, two: str, label: str = "y", threshold: float = 0.5) -> DataFrame:

@@ -346,3 +346,15 @@ def top_shared(df: DataFrame, column: str, k: int) -> DataFrame:
 def rank_within(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group in an order."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def exact_first_hits(hits: DataFrame, queries: DataFrame, k: int, score: str = "bits") -> DataFrame:
+    """The ``k`` best targets of each query: its exact match first, then by ``score`` and target.
+
+    Of several hits of one target the best counts. ``queries`` has ``q``; a
+    query without a hit of itself gets one, with no score.
+    """
+    best = hits.groupBy("q", "t").agg(F.max(score).alias(score))
+    own = queries.select("q", F.col("q").alias("t")).join(best.select("q", "t"), ["q", "t"], "left_anti").withColumn(score, F.lit(None).cast(dict(best.dtypes)[score]))
+    exact = F.col("q") == F.col("t")
+    return rank_within(best.unionByName(own).withColumn("exact", exact), ["q"], [F.desc("exact"), F.desc(score), F.col("t")], k)

@@ -222,15 +222,27 @@ def p13(spark: SparkSession, d: str) -> DataFrame:
     return masked.select("uid", "row", count.alias("masked"), F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-@query("j13_alignment_pairing", """WITH r AS (SELECT conv_id AS key, turn, role AS tax, text FROM conversations), x AS (SELECT key, turn AS a, CASE WHEN turn % 4 < 2 THEN 'even' ELSE 'odd' END AS tax, replace(text, ' ', '-') AS seq FROM r WHERE tax = 'user'),
+_PAIRED = """WITH r AS (SELECT conv_id AS key, turn, role AS tax, text FROM conversations), x AS (SELECT key, turn AS a, CASE WHEN turn % 4 < 2 THEN 'even' ELSE 'odd' END AS tax, replace(text, ' ', '-') AS seq FROM r WHERE tax = 'user'),
 z AS (SELECT key, turn AS b, CASE WHEN turn % 3 < 2 THEN 'even' ELSE 'odd' END AS tax, replace(text, ' ', '-') AS seq FROM r WHERE tax <> 'user'),
-p AS (SELECT CASE WHEN x.tax <> z.tax THEN 'taxonomy' WHEN replace(x.seq, '-', '') = replace(z.seq, '-', '') THEN 'identical' WHEN least(length(replace(x.seq, '-', '')) / length(x.seq), length(replace(z.seq, '-', '')) / length(z.seq)) < 0.83 THEN 'coverage' ELSE 'paired' END AS outcome
-FROM x JOIN z USING (key)) SELECT outcome, count(*) AS rows FROM p GROUP BY outcome""")
-def j13(spark: SparkSession, d: str) -> DataFrame:
+p AS (SELECT key, a, b, CASE WHEN x.tax <> z.tax THEN 'taxonomy' WHEN replace(x.seq, '-', '') = replace(z.seq, '-', '') THEN 'identical' WHEN least(length(replace(x.seq, '-', '')) / length(x.seq), length(replace(z.seq, '-', '')) / length(z.seq)) < 0.83 THEN 'coverage' ELSE 'paired' END AS outcome
+FROM x JOIN z USING (key))"""
+
+
+def paired(spark: SparkSession, d: str) -> DataFrame:
     talks = X.table(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("row"), "role", F.replace("text", F.lit(" "), F.lit("-")).alias("seq"))
     left = talks.filter("role = 'user'").withColumn("tax", F.when(F.col("row") % 4 < 2, "even").otherwise("odd"))
     right = talks.filter("role <> 'user'").withColumn("tax", F.when(F.col("row") % 3 < 2, "even").otherwise("odd"))
-    return A.pair_rows(left, right, 0.83).groupBy("outcome").agg(F.count("*").alias("rows"))
+    return A.pair_rows(left, right, 0.83)
+
+
+@query("j13_alignment_pairing", _PAIRED + " SELECT outcome, count(*) AS rows FROM p GROUP BY outcome")
+def j13(spark: SparkSession, d: str) -> DataFrame:
+    return paired(spark, d).groupBy("outcome").agg(F.count("*").alias("rows"))
+
+
+@query("j13_paired_rows", _PAIRED + " SELECT key, a AS row_a, b AS row_b FROM p WHERE outcome = 'paired'")
+def j13_rows(spark: SparkSession, d: str) -> DataFrame:
+    return paired(spark, d).filter("outcome = 'paired'").select("key", "row_a", "row_b")
 
 
 @query("n5_hierarchical_rotation", """WITH r AS (SELECT label AS uid, vec_id AS row, vec_id // 3 AS fam, vec_id // 40 AS ord, ('0x' || substr(sha256('rot:' || vec_id), 1, 15))::BIGINT AS h FROM embeddings),

@@ -315,6 +315,14 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     return P.rank_within(best, ["q"], [F.desc("bits"), F.col("t")], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query("w5_exact_first_hits", "WITH" + _HITS[1:] + """, best AS (SELECT q, t, max(bits) AS bits FROM hits GROUP BY q, t), every AS (SELECT q, t, bits FROM best UNION ALL SELECT p_partkey, p_partkey, NULL FROM part WHERE (p_partkey, p_partkey) NOT IN (SELECT (q, t) FROM best)),
+r AS (SELECT q, t, bits, q = t AS exact, row_number() OVER (PARTITION BY q ORDER BY q = t DESC, bits DESC NULLS LAST, t) AS rank FROM every) SELECT * FROM r WHERE rank <= 5""")
+def w5_exact(spark: SparkSession, d: str) -> DataFrame:
+    """A part's exact match is the supplier of its number; most parts have none and get one."""
+    queries = X.table(spark, d, "part").select(F.col("p_partkey").alias("q"))
+    return P.exact_first_hits(hits(spark, d), queries, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query("w11_hash_priority_sample", X.ctes("pairs") + ", r AS (SELECT b, row_id, row_number() OVER (PARTITION BY b ORDER BY sha256(CAST(row_id AS VARCHAR))) AS rank FROM pairs) SELECT * FROM r WHERE rank <= 64")
 def w11(spark: SparkSession, d: str) -> DataFrame:
     key = F.sha2(F.col("row_id").cast("string").cast("binary"), 256)
