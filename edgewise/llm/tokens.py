@@ -12,7 +12,7 @@ import numpy as np
 #: Fixed value: the id that ends a document.
 END_ID = 2
 #: Words kept per worker; a full table takes no more, and words it lacks are worked out each time.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 600_000
 
 #: Letters among the characters of ``_SIMPLE``, and those characters: on them Python's classes equal the tokenizer's.
 _LETTERS = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ"

@@ -63,7 +63,7 @@ def maximal_segments(scores: np.ndarray | list[float]) -> list[tuple[int, int, f
 
 
 #: Words whose scores a worker keeps; the table is emptied when full.
-CACHE = 200_000
+CACHE = 60_000
 
 
 def _code(token: str) -> int:
@@ -225,6 +225,7 @@ def _calibrate(model: Model, rows: DataFrame) -> None:
             yield pd.DataFrame({"label": frame["label"], "each": each, "length": length})
 
     found = rows.mapInPandas(segments, "label int, each array<double>, length long").toArrow().to_pydict()  # bounded by the sample
+    shared.destroy()  # the workers need not hold it beside the finished model
     y, length = np.array(found["label"], dtype=float), np.log1p(np.array(found["length"], dtype=float))
     best = np.array([max(x, default=0.0) for x in found["each"]])
     # Quantiles of the Gumbel distribution, which a few mislabelled documents don't move;
