@@ -34,9 +34,10 @@ def multinomial_draws(entities: DataFrame, replicates: int, salt: str = "boot")
 
 
 def poisson_draws(entities: DataFrame, replicates: int, salt: str = "poisson") -> DataFrame:
-    """B2: per entity ``mult``, its Poisson(1) multiplicity in each replicate. No shuffle."""
-    draw = lambda r: hash_draw(F.concat_ws(":", F.lit(salt), r.cast("string"), F.col("entity").cast("string")))
-    return entities.select("entity", F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: poisson_one(draw(r)).cast("int")).alias("mult"))
+    """B2: per entity ``mult``, its Poisson(1) multiplicity in each replicate. No shuffle; the draws are written once."""
+    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_draw(F.concat_ws(":", F.lit(salt), r.cast("string"), F.col("entity").cast("string"))))
+    # A transform of its own, so that a draw is hashed once and not for each cut-off.
+    return materialise(entities.select("entity", draws.alias("draws")), "draws").select("entity", F.transform("draws", lambda h: poisson_one(h).cast("int")).alias("mult"))
 
 
 def pair_weights(pairs: DataFrame, draws: DataFrame, keep: list[str], square_self: bool = False) -> DataFrame:

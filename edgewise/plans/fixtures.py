@@ -44,10 +44,15 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three frozen scores of every pair row: two without information, one with; all with ties."""
+def by_model(rows: DataFrame, *keep: str) -> DataFrame:
+    """Rows of ``pairs`` once for each of three frozen scores, two without information, one with; all with ties."""
     own = F.array(F.struct(F.lit("m0").alias("model"), (F.col("score") * 10).alias("score")), F.struct(F.lit("m1").alias("model"), F.col("share").alias("score")), F.struct(F.lit("m2").alias("model"), ((F.col("tax") * 100 + F.col("y") * 4) / 13.0).alias("score")))
-    return pairs(spark, sf_dir).select("a", "b", "y", "row_id", "line", F.explode(own).alias("__s")).select("a", "b", "y", "row_id", "__s.model", "__s.score", "line")
+    return rows.select(*keep, F.explode(own).alias("__s")).select(*keep, "__s.model", "__s.score")
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three frozen scores of every pair row."""
+    return by_model(pairs(spark, sf_dir), "a", "b", "y", "row_id", "line").select("a", "b", "y", "row_id", "model", "score", "line")
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ m AS (SELECT rep, model, sum(tp * ct / (ct + cf)) / sum(tp) AS ap, sum(fp * (ct
 
 def boot(spark: SparkSession, d: str) -> DataFrame:
     draws = R.multinomial_draws(entities(spark, d), REPLICATES)
-    weighted = R.pair_weights(X.scores(spark, d), draws, ["model", "score", "y"])
+    weighted = X.by_model(R.pair_weights(X.pairs(spark, d), draws, ["score", "share", "tax", "y"]), "y", "weights")  # one product a pair, for all models
     return R.replicate_metrics(weighted, ["model"])
 
 
@@ -81,7 +81,7 @@ g AS (SELECT rep, model, score, sum(w * y) AS tp, sum(w * (1 - y)) AS fp FROM w
 SELECT rep, model, round(sum(tp * ct / (ct + cf)) / sum(tp), 6) AS ap FROM c GROUP BY ALL""")
 def b2(spark: SparkSession, d: str) -> DataFrame:
     draws = R.poisson_draws(entities(spark, d), REPLICATES)
-    weighted = R.pair_weights(X.scores(spark, d), draws, ["model", "score", "y"], square_self=True)
+    weighted = X.by_model(R.pair_weights(X.pairs(spark, d), draws, ["score", "share", "tax", "y"], square_self=True), "y", "weights")
     return rounded(R.replicate_metrics(weighted, ["model"]).select(F.col("rep").cast("long").alias("rep"), "model", "ap"), "ap")
 
 
