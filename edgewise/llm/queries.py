@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language, media, mixing, near_dedup, packing, quality, secrets, store, toxicity
+from . import alignment, exact_dedup, language, media, mixing, near_dedup, neighbours, packing, quality, secrets, store, toxicity, whitening
 from .common import held_out
 
 
@@ -64,8 +64,28 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digest(media.media_packets(media.text_media(_docs(spark, sf_dir))))
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def op11_graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest_neighbours(_embeddings(spark, sf_dir), F.col("vec_id") % 20 == 0, 20)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_docs(spark, sf_dir))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_embeddings(spark, sf_dir).select("vec_id", "embedding"))
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
 def queries() -> dict:
-    found = (op1_secrets, op2_quality, op3_packing, op4_exact_dedup, op5_token_store, op6_ngram_jaccard, op7_toxicity, op8_language, op9_mixing, op10_matroska)
+    found = (
+        op1_secrets, op2_quality, op3_packing, op4_exact_dedup, op5_token_store, op6_ngram_jaccard, op7_toxicity, op8_language, op9_mixing, op10_matroska, op11_graph_neighbours, op12_token_alignment,
+        op13_whitening,
+    )
     return {f.__name__: f for f in found}
 
 

@@ -14,10 +14,10 @@ END_ID = 2
 #: Words kept per worker; a full table takes no more, and words it lacks are worked out each time.
 CACHE_WORDS = 600_000
 
-#: Letters among the characters of ``_SIMPLE``, and those characters: on them Python's classes equal the tokenizer's.
+#: Letters among the characters of ``SIMPLE``, and those characters: on them Python's classes equal the tokenizer's.
 _LETTERS = "a-zA-Zªµº\xc0-\xd6\xd8-\xf6\xf8-ɏ"
-_SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
-#: Fixed value: the byte-level pre-tokenizer's split, for the characters of ``_SIMPLE``.
+SIMPLE = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ‐-‧]*")
+#: Fixed value: the byte-level pre-tokenizer's split, for the characters of ``SIMPLE``.
 _WORD = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: Words that are encoded in one line-by-line text.
 LINES = 200
@@ -79,11 +79,19 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids and then ``END_ID``; a null text counts as empty."""
         end = END_ID.to_bytes(4, "little")
-        split = [_WORD.findall(t) if t and _SIMPLE.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
+        split = [_WORD.findall(t) if t and SIMPLE.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
         get = self._learn(set().union(*filter(None, split))).__getitem__
         return [b"".join([*map(get, words), end]) if words is not None else self.whole(t or "") + end for t, words in zip(texts, split, strict=True)]
 
 
+def byte_level_table(library) -> list[bytes]:
+    """Bytes of each id of a byte-level tokenizer, which writes visible bytes of Latin-1 as themselves and the others, in order, as the characters from 256 on."""
+    visible = {b for b in range(256) if chr(b).isprintable() and not chr(b).isspace()}
+    hidden = [b for b in range(256) if b not in visible]
+    byte_of = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
+    return [bytes(byte_of[c] for c in library.id_to_token(k)) for k in range(library.get_vocab_size())]
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder a worker process and file."""
