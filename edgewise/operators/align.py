@@ -1,8 +1,8 @@
 """Alignment tables: pairing, thinning, permutations, profiles and matrix summaries.
 
 An alignment is a long table of cells (uid, row, col, token) with ``GAP`` for
-a gap, or a table of rows (uid, row, tokens). Operators that compare rows with
-rows deal them to blocks; thinning bounds an alignment first.
+a gap, or a table of rows (uid, row, tokens). What compares rows with rows is
+in ``similar``.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,68 +138,6 @@ def base_profile(*depths: str, comparable: str, families: str, effective: str, u
     return F.array(*logs, F.col(comparable), F.log1p(F.col(families).cast("double")), F.log1p(effective), F.col(unknown), F.col(capped).cast("double"), F.col(quality))
 
 
-def _one_hot(tokens: np.ndarray) -> np.ndarray:
-    return (tokens[:, :, None] == np.arange(GAP)[None, None, :]).reshape(len(tokens), -1).astype(np.float32)
-
-
-def row_identity(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Equal letters and jointly occupied columns of all pairs of a row of one block and a row of another."""
-    full = [(t < GAP).astype(np.float32) for t in (left, right)]
-    return _one_hot(left) @ _one_hot(right).T, full[0] @ full[1].T
-
-
-def effective_depth(rows: DataFrame, identity: float, coverage: float, block: int = 512) -> DataFrame:
-    """Sum over rows of one over the rows related to it (identity over jointly occupied columns, coverage of the row), and the share of comparable row pairs.
-
-    Rows are dealt to blocks of about ``block``; each pair of blocks is one
-    task's work and gives counts by row, so no task takes an alignment.
-    """
-    kind = rows.schema["uid"].dataType.simpleString()
-    depth = rows.groupBy(F.col("uid").alias("__uid")).agg(F.count("*").alias("rows"))
-    own = F.col("uid").eqNullSafe(F.col("__uid"))
-    parts = F.ceil(F.col("rows") / block).cast("int")
-    dealt = rows.select("uid", "row", "tokens").join(depth, own).withColumn("own", F.pmod(F.xxhash64("row"), parts).cast("int"))
-    # A row stands on the left of its own block's pairs and on the right of all.
-    every = F.explode(F.sequence(F.lit(0), parts - 1))
-    sides = dealt.select("uid", "row", "tokens", F.lit(0).alias("side"), F.col("own").alias("low"), every.alias("high")).union(dealt.select("uid", "row", "tokens", F.lit(1), every, F.col("own")))
-
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right = frame[frame["side"] == 0], frame[frame["side"] == 1]
-        if left.empty or right.empty:
-            return pd.DataFrame({"uid": [], "row": [], "related": [], "comparable": []})
-        one, two = np.array(left["tokens"].tolist()), np.array(right["tokens"].tolist())
-        same, both = row_identity(one, two)
-        comparable = both >= coverage * np.maximum((one < GAP).sum(axis=1), 1)[:, None]
-        related = (comparable & (same >= identity * np.maximum(both, 1))) | (left["row"].to_numpy()[:, None] == right["row"].to_numpy()[None, :])
-        return pd.DataFrame({"uid": left["uid"], "row": left["row"], "related": related.sum(axis=1), "comparable": comparable.sum(axis=1)})
-
-    counts = sides.groupBy("uid", "low", "high").applyInPandas(lambda frame: count(frame), f"uid {kind}, row long, related long, comparable long")
-    by_row = counts.groupBy("uid", "row").agg(F.sum("related").alias("related"), F.sum("comparable").alias("comparable"))
-    n = F.count("*")
-    return by_row.groupBy("uid").agg(n.alias("rows"), F.sum(1 / F.col("related")).alias("neff"), (F.sum("comparable") / (n * n)).alias("comparable"))
-
-
-def joint_support(rows: DataFrame, least: int, block: int = 4096) -> DataFrame:
-    """Of all column pairs, the share that at least ``least`` rows and that at least half of the rows occupy together.
-
-    Counts of column pairs are summed in blocks of about ``block`` rows and
-    then by alignment, so no task takes an alignment's rows.
-    """
-    def add(frame: pd.DataFrame) -> pd.DataFrame:
-        full = (np.array(frame["tokens"].tolist()) < GAP).astype(np.float64)
-        both = (full.T @ full)[np.triu_indices(full.shape[1], 1)]
-        return pd.DataFrame({"uid": frame["uid"].iloc[0], "pair": np.arange(len(both)), "n": both.astype(np.int64)})
-
-    kind = rows.schema["uid"].dataType.simpleString()
-    depth = rows.groupBy(F.col("uid").alias("__uid")).agg(F.count("*").alias("rows"))
-    own = F.col("uid").eqNullSafe(F.col("__uid"))
-    dealt = rows.select("uid", "row", "tokens").join(depth, own).withColumn("block", F.pmod(F.xxhash64("row"), F.ceil(F.col("rows") / block)))
-    parts = dealt.groupBy("uid", "block").applyInPandas(lambda frame: add(frame), f"uid {kind}, pair long, n long")
-    sums = parts.groupBy("uid", "pair").agg(F.sum("n").alias("n")).join(depth, own)
-    share = lambda good: F.avg(good.cast("double"))
-    return sums.groupBy("uid").agg(F.avg("n").alias("mean_support"), share(F.col("n") >= least).alias("enough"), share(F.col("n") >= F.col("rows") / 2).alias("half"))
-
-
 def family_diversity(rows: DataFrame, group: str, family: str) -> DataFrame:
     """Families, effective families (exponential of entropy) and share of rows without one."""
     counts = rows.groupBy(group, family).agg(F.count("*").alias("n"))
@@ -264,35 +200,6 @@ def pair_rows(left: DataFrame, right: DataFrame, least_coverage: float) -> DataF
     return one.join(two, "key").withColumn("outcome", outcome)
 
 
-def thin_redundant(rows: DataFrame, identity: float, coverage: float, cap: int, most: int = 4096, least: int = 0, salt: str = "cache") -> DataFrame:
-    """Keep rows in order, drop one that is ``identity`` alike over ``coverage`` of it to a kept one; stop at ``cap``.
-
-    An alignment is first cut to its ``most`` rows of the least hash (the rule
-    by which alignments are cached), so the greedy step is bounded; alignments
-    run in parallel. One that keeps fewer than ``least`` rows is left out.
-    """
-    def thin(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("order", kind="stable")
-        tokens = np.array(frame["tokens"].tolist())
-        full = tokens < GAP
-        kept: list[int] = []
-        for k in range(len(frame)):
-            if len(kept) >= cap:
-                break
-            both = full[kept] & full[k]
-            same = ((tokens[kept] == tokens[k]) & both).sum(axis=1)
-            n = both.sum(axis=1)
-            if not ((n >= coverage * max(1, full[k].sum())) & (same >= identity * np.maximum(n, 1))).any():
-                kept.append(k)
-        kept = kept if len(kept) >= least else []
-        return frame.iloc[kept][["uid", "row"]].assign(place=range(len(kept)))
-
-    kind = rows.schema["uid"].dataType.simpleString()
-    order = hash_draw(F.concat_ws(":", F.lit(salt), F.col("row").cast("string")))
-    cached = rows.withColumn("__k", F.row_number().over(Window.partitionBy("uid").orderBy(order, "row"))).filter(F.col("__k") <= most)
-    return cached.select("uid", "row", "order", "tokens").groupBy("uid").applyInPandas(thin, f"uid {kind}, row long, place int")
-
-
 def rotate_within(rows: DataFrame, levels: list[str], value: str, salt: str) -> DataFrame:
     """Each row takes the next row's ``value`` within its family, or the next wider level where its family is alone.
 
@@ -390,30 +297,60 @@ def block_pool(cells: DataFrame, target: int, k: int, least_good: float) -> Data
     return pooled.join(whole, "uid").join(percentiles(kept, ["uid"], "p", {"q95": 0.95}), "uid")
 
 
-def seed_matches(sequences: DataFrame, patterns: list[str], most: int | None = None, block: int = 1024) -> DataFrame:
-    """Positions of two sequences with equal letters under a spaced seed ('1' counts, '0' doesn't).
-
-    Exact seeds only. Every shared seed value counts unless ``most`` is given: it
-    drops the values of more than ``most`` sequences. A value with more than
-    ``block`` places is joined block against block.
-    """
+def _keyed_seeds(sequences: DataFrame, patterns: list[str], block: int, most: int | None = None, window: int | None = None) -> DataFrame:
+    """Places of seed values that two sequences share: row, at, pattern, seed, the value's ``blocks`` and the place's ``own`` block; with ``window``, the tokens from there on, where there are that many."""
     def seeds_of(number: int, pattern: str) -> DataFrame:
         on = [i for i, x in enumerate(pattern) if x == "1"]
         starts = F.sequence(F.lit(0), F.greatest(F.size("tokens") - len(pattern), F.lit(0)))
         value = lambda at: F.concat_ws(".", *[F.element_at("tokens", at + i + 1).cast("string") for i in on])
-        seeds = F.transform(starts, lambda at: F.struct(at.alias("at"), value(at).alias("seed")))
+        tokens = (lambda at: F.slice("tokens", at + 1, window)) if window else (lambda at: F.lit(None))
+        seeds = F.transform(starts, lambda at: F.struct(at.alias("at"), value(at).alias("seed"), tokens(at).alias("window")))
         long_enough = sequences.filter(F.size("tokens") >= len(pattern))
-        return long_enough.select("row", F.explode(seeds).alias("x")).select("row", "x.at", "x.seed", F.lit(number).alias("pattern"))
+        own = long_enough.select("row", F.explode(seeds).alias("x")).select("row", "x.at", "x.seed", F.lit(number).alias("pattern"), "x.window")
+        return own.filter(F.size("window") == window) if window else own.drop("window")
 
     found = reduce(DataFrame.union, [seeds_of(k, p) for k, p in enumerate(patterns)])
     common = found.groupBy("pattern", "seed").agg(F.count_distinct("row").alias("rows"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("rows > 1")
     if most is not None:
         common = common.filter(F.col("rows") <= most)
-    keyed = found.join(common, ["pattern", "seed"]).withColumn("own", F.pmod(F.xxhash64("row", "at"), F.col("blocks")).cast("int"))
+    return found.join(common, ["pattern", "seed"]).withColumn("own", F.pmod(F.xxhash64("row", "at"), F.col("blocks")).cast("int"))
+
+
+def _facing_seeds(keyed: DataFrame, *more: str) -> DataFrame:
+    """Each place against each of its seed value, block against block, as p, p_at, q, q_at with p < q; ``more`` columns come as ``p_`` and ``q_``."""
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = keyed.select("pattern", "seed", F.col("own").alias("left"), every.alias("right"), F.col("row").alias("p"), F.col("at").alias("p_at"))
-    right = keyed.select("pattern", "seed", every.alias("left"), F.col("own").alias("right"), F.col("row").alias("q"), F.col("at").alias("q_at"))
-    return left.join(right, ["pattern", "seed", "left", "right"]).filter("p < q").select("p", "q", "p_at", "q_at").distinct()
+    left = keyed.select("pattern", "seed", F.col("own").alias("left"), every.alias("right"), F.col("row").alias("p"), F.col("at").alias("p_at"), *[F.col(c).alias(f"p_{c}") for c in more])
+    right = keyed.select("pattern", "seed", every.alias("left"), F.col("own").alias("right"), F.col("row").alias("q"), F.col("at").alias("q_at"), *[F.col(c).alias(f"q_{c}") for c in more])
+    return left.join(right, ["pattern", "seed", "left", "right"]).filter("p < q")
+
+
+def seed_matches(sequences: DataFrame, patterns: list[str], most: int | None = None, block: int = 1024) -> DataFrame:
+    """Positions of two sequences with equal letters under a spaced seed ('1' counts, '0' doesn't).
+
+    Exact seeds only. Every shared seed value counts unless ``most`` is given: it
+    drops the values of more than ``most`` sequences. A value with more than
+    ``block`` places is joined block against block. Matches grow with the
+    square of the places that share a seed; ``seeded_segments`` keeps only those
+    whose window scores.
+    """
+    return _facing_seeds(_keyed_seeds(sequences, patterns, block, most)).select("p", "q", "p_at", "q_at").distinct()
+
+
+def seeded_segments(sequences: DataFrame, patterns: list[str], score: Callable[[Column, Column], Column], width: int, least: int, block: int = 1024) -> DataFrame:
+    """J19 and W8 in one: the segments of ``scored_segments`` over all seed matches, without listing the matches.
+
+    A segment counts if one of its windows starts at a seed, so a match whose
+    own window scores under ``least`` can't start one. The join that meets the
+    places of a seed value scores the two windows at once and lets only the
+    others out; what is shuffled behind it grows with the windows that score,
+    not with the matches. Seed places carry the ``width`` tokens of their window.
+    """
+    def total(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, score), F.lit(0), lambda s, v: s + v)
+
+    facing = _facing_seeds(_keyed_seeds(sequences, patterns, block, window=width), "window")
+    high = facing.filter(total(F.col("p_window"), F.col("q_window")) >= least).select("p", "q", "p_at", "q_at").distinct()
+    return scored_segments(high, sequences, score, width, least)
 
 
 def extend_diagonals(matches: DataFrame, width: int) -> DataFrame:

@@ -326,16 +326,45 @@ def interolog_scores(pairs: DataFrame, hits: DataFrame, edges: DataFrame) -> Dat
     return pairs.join(support, "row_id", "left").withColumn("interolog", F.coalesce("interolog", F.lit(0.0))).withColumn("support", F.coalesce("support", F.lit(0)))
 
 
+def light_wedges(pairs: DataFrame) -> DataFrame:
+    """Paths u - v - w of labelled pairs (a, b, y) on which u comes last by (degree, side, end): u_left (u stands on the side of ``a``), u, v, w, first, second (labels).
+
+    Every cycle of four pairs has one such u and two such paths from it. A path
+    is found at its middle, whose degree is no higher than that of u, so a hub
+    costs no more than its neighbours' own pairs; their number is at most the
+    pairs times the root of twice the pairs.
+    """
+    pairs = pairs.select("a", "b", "y")
+    both = pairs.select(F.lit(True).alias("left"), F.col("a").alias("x"), F.col("b").alias("z"), "y").union(pairs.select(F.lit(False), "b", "a", "y"))
+    degrees = both.groupBy("left", "x").agg(F.count("*").alias("degree"))
+    near = degrees.select(F.col("left").alias("s"), F.col("x").alias("own"), F.struct("degree", "left", "x").alias("rank"))
+    far = near.withColumnsRenamed({"s": "t", "own": "other", "rank": "far_rank"})
+    ranked = both.join(near, (F.col("left") == F.col("s")) & (F.col("x") == F.col("own"))).join(far, (F.col("left") != F.col("t")) & (F.col("z") == F.col("other")))
+    ranked = ranked.select("left", "x", "z", "y", "rank", "far_rank")
+    # v -> u goes up; w is any other end of v below u.
+    up = ranked.filter("rank < far_rank").select(F.col("left").alias("v_left"), F.col("x").alias("v"), F.col("z").alias("u"), F.col("far_rank").alias("top"), F.col("y").alias("first"))
+    down = ranked.select(F.col("left").alias("w_side"), F.col("x").alias("m"), F.col("z").alias("w"), F.col("far_rank").alias("below"), F.col("y").alias("second"))
+    wedges = up.join(down, (F.col("v_left") == F.col("w_side")) & (F.col("v") == F.col("m")) & (F.col("below") < F.col("top")))
+    return wedges.select((~F.col("v_left")).alias("u_left"), "u", "v", "w", "first", "second")
+
+
 def swap_quartets(pairs: DataFrame) -> DataFrame:
-    """Positives (a, b) and (c, d) whose crossings (a, d) and (c, b) are both negatives; each once.
+    """Positives (a, b) and (c, d) whose crossings (a, d) and (c, b) are both negatives; each once, with a < c.
 
-    Walks negative, positive, negative, positive edges; rows are consistent
-    directed pairs (a, b, y), ends of a quartet are four.
+    Rows are consistent directed pairs (a, b, y), one a pair; ends on the left
+    and on the right are apart. From its end of the highest degree a quartet is
+    one path positive - negative and one path negative - positive to the
+    opposite end, so the two kinds of ``light_wedges`` meet on both.
     """
-    pos, neg = pairs.filter("y = 1").select("a", "b"), pairs.filter("y = 0").select("a", "b")
-    one = pos.join(neg.select("a", F.col("b").alias("d")), "a")  # a-b positive, a-d negative
-    two = one.join(pos.select(F.col("a").alias("c"), F.col("b").alias("d")), "d").filter("a < c AND b <> d")  # c-d positive
-    return two.join(neg.select(F.col("a").alias("c"), "b"), ["c", "b"]).select("a", "b", "c", "d")  # c-b negative
+    wedges = light_wedges(pairs)
+    one = wedges.filter("first = 1 AND second = 0").select("u_left", "u", "w", F.col("v").alias("v1"))
+    two = wedges.filter("first = 0 AND second = 1").select("u_left", "u", "w", F.col("v").alias("v2"))
+    met = one.join(two, ["u_left", "u", "w"])
+    # u on the left: a = u, b = v1, c = w, d = v2; on the right: a = v1, b = u, c = v2, d = w.
+    ends = {"a": ("u", "v1"), "b": ("v1", "u"), "c": ("w", "v2"), "d": ("v2", "w")}
+    found = met.select(*[F.when(F.col("u_left"), F.col(x)).otherwise(F.col(z)).alias(c) for c, (x, z) in ends.items()])
+    swap = F.col("a") > F.col("c")
+    return found.select(*[F.when(swap, F.col(z)).otherwise(F.col(c)).alias(c) for c, z in (("a", "c"), ("b", "d"), ("c", "a"), ("d", "b"))])
 
 
 def top_shared(df: DataFrame, column: str, k: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from edgewise.functions.shared import materialise
 
 #: Components of one size that one ranking window holds, on average.
 RANK_BLOCK = 10_000
+#: Components of one range of the hash order; size above which a component is a step of its own.
+SCAN_ROWS, LARGE = 200_000, 1 << 14
 
 
 def must_link_edges(entities: DataFrame, hits: DataFrame) -> DataFrame:
@@ -102,6 +106,94 @@ def least_loaded_folds(members: DataFrame, folds: int, salt: str = "fold", compo
     return members.join(ranked.select(component, fold.cast("int").alias("fold")), component)
 
 
+def _ends(sizes: np.ndarray, reach: int) -> np.ndarray:
+    """What each load difference -reach..reach becomes along ``sizes``: a size goes on top where the difference isn't above 0, and else off it.
+
+    Differences that have met stay together, so that only distinct ones are
+    carried on; sizes are at most ``reach``, so none leaves the range.
+    """
+    now, back = np.arange(-reach, reach + 1, dtype=np.int64), np.arange(2 * reach + 1)
+    for k, size in enumerate(sizes.tolist()):
+        now = np.where(now <= 0, now + size, now - size)
+        if k % 16 == 0 and len(now) > 1:
+            now, again = np.unique(now, return_inverse=True)
+            back = again[back]
+    return now[back]
+
+
+def _sides(sizes: list[int], difference: int) -> tuple[list[int], int]:
+    out = []
+    for size in sizes:
+        side = int(difference > 0)
+        out.append(side)
+        difference += -size if side else size
+    return out, difference
+
+
+def _steps(sizes: np.ndarray, large: int) -> list[tuple[int, int]]:
+    """Runs (from, to) of small components and single large ones, in order."""
+    cuts, out, at = np.flatnonzero(sizes > large).tolist(), [], 0
+    for k in cuts:
+        out += ([(at, k)] if k > at else []) + [(k, k + 1)]
+        at = k + 1
+    return out + ([(at, len(sizes))] if at < len(sizes) else [])
+
+
+def hash_order_sides(members: DataFrame, salt: str = "side", component: str = "component", rows: int = SCAN_ROWS, large: int = LARGE) -> DataFrame:
+    """Whole components in hash order, each to side 1 while that has fewer members than side 0, and else to side 0; members with ``side``.
+
+    What a loop over all components gives, as a scan over ranges of the hash
+    order. Only the difference of the two loads matters, and behind a component
+    it is at most that component's size away from where it turned. So a range
+    is a table from difference to difference. Ranges work out their tables side
+    by side, the driver follows one difference through them (a lookup a range),
+    and ranges replay their components from it. Components over ``large`` are
+    steps of their own; a run behind one may be met by a difference outside its
+    table, which is plain arithmetic unless the run evens it out: then that
+    run alone is walked, at most once a large component.
+    """
+    sizes = materialise(members.groupBy(F.col(component).alias("component")).agg(F.count("*").alias("size")).withColumn("h", hash_draw(F.concat_ws(":", F.lit(salt), F.col("component").cast("string")))), "sizes")
+    n, reach = sizes.agg(F.count("*"), F.coalesce(F.max(F.when(F.col("size") <= large, F.col("size"))), F.lit(1))).first()
+    ranges = max(1, -(-n // rows))
+    placed = materialise(sizes.repartitionByRange(ranges, "h", "component").withColumn("part", F.spark_partition_id()), "placed")
+    kind = placed.schema["component"].dataType.simpleString()
+
+    def tables(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("component", "ascending")])
+        own, part = table["size"].to_numpy(), table["part"][0].as_py()
+        rows = [{"part": part, "step": k, "total": int(own[a:b].sum()), "ends": None if own[a] > large else _ends(own[a:b], reach).tolist()} for k, (a, b) in enumerate(_steps(own, large))]
+        return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("step", pa.int32()), ("total", pa.int64()), ("ends", pa.list_(pa.int64()))]))
+
+    def walked(part: int, step: int, difference: int) -> int:
+        def walk(table: pa.Table) -> pa.Table:
+            own = table.sort_by([("h", "ascending"), ("component", "ascending")])["size"].to_numpy()
+            a, b = _steps(own, large)[step]
+            return pa.table({"end": pa.array([_sides(own[a:b].tolist(), difference)[1]], pa.int64())})
+
+        return placed.filter(F.col("part") == part).groupBy("part").applyInArrow(walk, "end long").first()["end"]
+
+    difference, starts = 0, {}
+    steps = placed.groupBy("part").applyInArrow(tables, "part int, step int, total long, ends array<long>")
+    for r in materialise(steps, "steps").orderBy("part", "step").toLocalIterator():  # a table a range, and a row a large component
+        starts.setdefault(r["part"], []).append(difference)
+        if r["ends"] is None:
+            difference += -r["total"] if difference > 0 else r["total"]
+        elif -reach <= difference <= reach:
+            difference = r["ends"][difference + reach]
+        elif abs(difference) >= r["total"]:
+            difference += -r["total"] if difference > 0 else r["total"]
+        else:
+            difference = walked(r["part"], r["step"], difference)
+
+    def replay(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("h", "ascending"), ("component", "ascending")])
+        sides, _ = _sides(table["size"].to_pylist(), starts[table["part"][0].as_py()][0])
+        return pa.table({"__component": table["component"], "side": pa.array(sides, pa.int32())})
+
+    sides = placed.groupBy("part").applyInArrow(replay, f"__component {kind}, side int")
+    return members.join(sides, F.col(component).eqNullSafe(F.col("__component"))).drop("__component")
+
+
 def pair_roles(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """The fold of both ends, or ``crossing``; ``unassigned`` where an end has no fold. No pair is lost."""
     own = members.select("entity", "fold")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.operators import align as A
+from edgewise.operators import similar as R
 
 from . import fixtures as X
 from .metric_queries import rounded
@@ -124,7 +125,7 @@ def g22_base(spark: SparkSession, d: str) -> DataFrame:
     every = rows(spark, d)
     taxa = A.family_diversity(every.select("uid", F.when(F.col("row") % 7 != 0, F.col("row") % 7).alias("fam")), "uid", "fam")
     depth = F.col("rows")
-    told = A.effective_depth(every, 0.18, 0.5).join(taxa, "uid").withColumns({"length": F.lit(64), "cached": F.least(depth, F.lit(40)), "filtered": depth, "retained": F.least(depth, F.lit(40)), "capped": depth > 40, "quality": F.lit(0.8)})
+    told = R.effective_depth(every, 0.18, 0.5).join(taxa, "uid").withColumns({"length": F.lit(64), "cached": F.least(depth, F.lit(40)), "filtered": depth, "retained": F.least(depth, F.lit(40)), "capped": depth > 40, "quality": F.lit(0.8)})
     values = A.base_profile("length", "rows", "cached", "filtered", "retained", "neff", comparable="comparable", families="families", effective="effective", unknown="unknown", capped="capped", quality="quality")
     return rounded(told.select("uid", F.posexplode(values).alias("k", "value")), "value")
 
@@ -134,14 +135,14 @@ p AS (SELECT x.uid, x.row, z.row AS other, count(*) AS n, count(*) FILTER (x.tok
 r AS (SELECT uid, row, count(*) FILTER (row = other OR (n >= 0.5 * size AND same >= 0.18 * n)) AS k, count(*) FILTER (n >= 0.5 * size) AS cmp FROM p JOIN sz USING (uid, row) GROUP BY ALL)
 SELECT uid, count(*) AS rows, round(sum(1.0 / k), 6) AS neff, round(sum(cmp) * 1.0 / (count(*) * count(*)), 6) AS comparable FROM r GROUP BY uid""")
 def g23(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(A.effective_depth(rows(spark, d), 0.18, 0.5), "neff", "comparable")
+    return rounded(R.effective_depth(rows(spark, d), 0.18, 0.5), "neff", "comparable")
 
 
 @query("g24_joint_support", _CELLS + """, f AS (SELECT uid, row, col FROM cells WHERE token < 25), n AS (SELECT uid, count(DISTINCT row) AS n FROM cells GROUP BY uid),
 p AS (SELECT x.uid, x.col, z.col AS other, count(*) AS joint FROM f x JOIN f z ON x.uid = z.uid AND x.row = z.row AND x.col < z.col GROUP BY ALL)
 SELECT uid, round(sum(joint) / 2016.0, 4) AS mean_support, round(count(*) FILTER (joint >= 34) / 2016.0, 6) AS enough, round(count(*) FILTER (joint >= n / 2.0) / 2016.0, 6) AS half FROM p JOIN n USING (uid) GROUP BY uid""")
 def g24(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(rounded(A.joint_support(rows(spark, d), 34), "enough", "half"), "mean_support", places=4)
+    return rounded(rounded(R.joint_support(rows(spark, d), 34), "enough", "half"), "mean_support", places=4)
 
 
 @query("g25_family_diversity", """WITH n AS (SELECT lang AS g, CASE WHEN source <> 'src0' THEN source END AS f, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT g, sum(n) FILTER (f IS NOT NULL) AS known, sum(n) AS every FROM n GROUP BY g),
@@ -272,10 +273,21 @@ def n8(spark: SparkSession, d: str) -> DataFrame:
     return A.nested_depths(rows(spark, d).select("uid", "row"), 8, 32, "deep").withColumn("place", F.col("place").cast("long"))
 
 
-@query("n9_redundancy_thinning")
+_THINNED = """, t AS (SELECT uid, row, list(token ORDER BY col) AS k, row_number() OVER (PARTITION BY uid ORDER BY row) AS n FROM cells GROUP BY uid, row),
+f AS (SELECT uid, row, col, token FROM cells WHERE token < 25), z AS (SELECT uid, row, count(*) AS letters FROM f GROUP BY ALL), j AS (SELECT x.uid, x.row AS early, y.row AS late, count(*) AS n, count(*) FILTER (x.token = y.token) AS same
+  FROM f x JOIN f y ON x.uid = y.uid AND x.col = y.col AND x.row < y.row GROUP BY ALL),
+e AS (SELECT j.uid, late, list(early) AS before FROM j JOIN z ON z.uid = j.uid AND z.row = late WHERE n >= 0.5 * letters AND same >= 0.2 * n GROUP BY ALL),
+o AS (SELECT t.uid, t.n, t.row, coalesce(before, []) AS before FROM t LEFT JOIN e ON e.uid = t.uid AND e.late = t.row),
+g(uid, n, kept) AS (SELECT DISTINCT uid, 0::BIGINT, []::BIGINT[] FROM t UNION ALL
+  SELECT o.uid, o.n, CASE WHEN list_has_any(g.kept, o.before) THEN g.kept ELSE list_append(g.kept, o.row) END FROM g JOIN o ON o.uid = g.uid AND o.n = g.n + 1),
+l AS (SELECT uid, arg_max(kept, n) AS kept FROM g GROUP BY uid)
+SELECT uid, unnest(kept) AS row, CAST(unnest(range(0, len(kept))) AS INTEGER) AS place FROM l"""
+
+
+@query("n9_redundancy_thinning", _CELLS.replace("WITH", "WITH RECURSIVE", 1) + _THINNED)
 def n9(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: greedy; the tests hold it against a plain loop."""
-    return A.thin_redundant(rows(spark, d).withColumn("order", F.col("row")), 0.2, 0.5, 4096)
+    """All rows of every alignment, in order of their numbers."""
+    return R.thin_redundant(rows(spark, d).withColumn("order", F.col("row")), 0.2, 0.5)
 
 
 @query("n10_position_scramble", _CELLS + """, f AS (SELECT * FROM cells WHERE token < 25), k AS (SELECT uid, row, col, token, row_number() OVER (PARTITION BY uid, row ORDER BY col) AS a,
@@ -290,8 +302,11 @@ c AS (SELECT pattern, seed, count(DISTINCT row) AS n FROM d GROUP BY ALL), g AS
 m AS (SELECT DISTINCT x.row AS p, z.row AS q, x.place AS p_at, z.place AS q_at FROM g x JOIN g z USING (pattern, seed) WHERE x.row < z.row)"""
 
 
+_TWO = ["11011", "101101"]
+
+
 def seeds(spark: SparkSession, d: str) -> DataFrame:
-    return A.seed_matches(rows(spark, d).select("row", "tokens"), ["11011", "101101"])
+    return A.seed_matches(rows(spark, d).select("row", "tokens"), _TWO)
 
 
 @query("j19_seed_matches", _SEEDS + " SELECT p, q, p_at, q_at FROM m")
@@ -315,22 +330,29 @@ def g34(spark: SparkSession, d: str) -> DataFrame:
     return trimmed.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "start", "end")])
 
 
-@query("w8_scored_segments", _SEEDS + """, dg AS (SELECT DISTINCT p, q, p_at - q_at AS diagonal FROM m), sd AS (SELECT DISTINCT p, q, p_at - q_at AS diagonal, p_at FROM m),
+_SCORED = """, dg AS (SELECT DISTINCT p, q, p_at - q_at AS diagonal FROM m), sd AS (SELECT DISTINCT p, q, p_at - q_at AS diagonal, p_at FROM m),
 pos AS (SELECT p, q, diagonal, unnest(range(greatest(0, diagonal), least(64, 64 + diagonal))) AS i FROM dg),
 sc AS (SELECT p, q, diagonal, i, CASE WHEN x.k[i + 1] = z.k[i - diagonal + 1] THEN 5 WHEN abs(x.k[i + 1] - z.k[i - diagonal + 1]) = 1 THEN 1 ELSE -2 END AS s FROM pos JOIN t x ON x.row = p JOIN t z ON z.row = q),
 w AS (SELECT p, q, diagonal, i, sum(s) OVER v AS score, count(*) OVER v AS n FROM sc WINDOW v AS (PARTITION BY p, q, diagonal ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
 hi AS (SELECT *, i - row_number() OVER (PARTITION BY p, q, diagonal ORDER BY i) AS run FROM w WHERE n = 8 AND score >= 18),
-sg AS (SELECT p, q, diagonal, min(i) AS p_start, max(i) + 8 AS p_end, max(score) AS best, max(CASE WHEN p_at IS NOT NULL THEN 1 ELSE 0 END) AS seeded FROM hi LEFT JOIN sd ON sd.p = hi.p AND sd.q = hi.q AND sd.diagonal = hi.diagonal AND sd.p_at = hi.i GROUP BY hi.p, hi.q, hi.diagonal, run)
-SELECT p, q, diagonal, CAST(p_start AS BIGINT) AS p_start, CAST(p_end AS BIGINT) AS p_end, CAST(best AS BIGINT) AS best FROM sg WHERE seeded = 1""".replace("SELECT p, q, diagonal, min(i)", "SELECT hi.p, hi.q, hi.diagonal, min(i)"))
-def w8_scored(spark: SparkSession, d: str) -> DataFrame:
+sg AS (SELECT hi.p, hi.q, hi.diagonal, min(i) AS p_start, max(i) + 8 AS p_end, max(score) AS best, max(CASE WHEN p_at IS NOT NULL THEN 1 ELSE 0 END) AS seeded FROM hi LEFT JOIN sd ON sd.p = hi.p AND sd.q = hi.q AND sd.diagonal = hi.diagonal AND sd.p_at = hi.i GROUP BY hi.p, hi.q, hi.diagonal, run)
+SELECT p, q, diagonal, CAST(p_start AS BIGINT) AS p_start, CAST(p_end AS BIGINT) AS p_end, CAST(best AS BIGINT) AS best FROM sg WHERE seeded = 1"""
+
+
+def scored(spark: SparkSession, d: str, patterns: list[str]) -> DataFrame:
     """Equal tokens score 5, neighbours 1, others -2; windows of 8 with 18 at least."""
     gap = lambda x, y: F.abs(x - y)
     score = lambda x, y: F.when(gap(x, y) == 0, 5).when(gap(x, y) == 1, 1).otherwise(-2)
-    found = A.scored_segments(seeds(spark, d), rows(spark, d).select("row", "tokens"), score, 8, 18)
+    found = A.seeded_segments(rows(spark, d).select("row", "tokens"), patterns, score, 8, 18)
     return found.select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "p_start", "p_end", "best")])
 
 
-#: The four seeds of the reference.
+@query("w8_scored_segments", _SEEDS + _SCORED)
+def w8_scored(spark: SparkSession, d: str) -> DataFrame:
+    return scored(spark, d, _TWO)
+
+
+#: The four spaced seeds.
 _PATTERNS = ["110000110001", "100101000101", "110010001001", "101000000111"]
 _PLACES = [", ".join(f"k[place + {i + 1}]" for i, x in enumerate(p) if x == "1") for p in _PATTERNS]
 _ALL_SEEDS = _CELLS + """, t AS (SELECT row, list(token ORDER BY col) AS k FROM cells GROUP BY row), s AS (SELECT row, unnest(range(0, 53)) AS place, k FROM t), d AS (""" + " UNION ALL ".join(f"SELECT row, place, {n} AS pattern, concat_ws('.', {k}) AS seed FROM s" for n, k in enumerate(_PLACES)) + """),
@@ -353,6 +375,12 @@ def w8_all(spark: SparkSession, d: str) -> DataFrame:
     return A.extend_diagonals(all_seeds(spark, d), 12).select("p", "q", *[F.col(c).cast("long").alias(c) for c in ("diagonal", "p_start", "p_end", "seeds")])
 
 
+@query("w8_all_scored_segments", _ALL_SEEDS + _SCORED)
+def w8_all_scored(spark: SparkSession, d: str) -> DataFrame:
+    """All four patterns, and no list of their matches."""
+    return scored(spark, d, _PATTERNS)
+
+
 @query("g34_all_trimmed_segments", _ALL_SEGMENTS + """, cov AS (SELECT p, q, diagonal, p_start, unnest(range(p_start, p_end)) AS pos FROM seg), few AS (SELECT p, pos FROM cov GROUP BY ALL HAVING count(*) <= 3),
 runs AS (SELECT cov.*, pos - row_number() OVER (PARTITION BY p, q, diagonal, p_start ORDER BY pos) AS run FROM cov JOIN few USING (p, pos)) SELECT DISTINCT p, q, diagonal, min(pos) AS "start", max(pos) + 1 AS "end" FROM runs GROUP BY p, q, diagonal, p_start, run""")
 def g34_all(spark: SparkSession, d: str) -> DataFrame:

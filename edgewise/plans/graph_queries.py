@@ -9,7 +9,7 @@ from edgewise.operators import splits as S
 from edgewise.operators.graph import connected_components
 
 from . import fixtures as X
-from .registry import _SQL, query
+from .registry import query
 
 # An entity (supplier or part) belongs to a family, its nation or brand. Every supplier, part and order line is read.
 
@@ -86,6 +86,19 @@ def c3(spark: SparkSession, d: str) -> DataFrame:
     return S.pair_roles(line_pairs(spark, d), S.least_loaded_folds(family_members(spark, d), 2)).groupBy("role").agg(F.count("*").alias("rows"))
 
 
+@query("c3_hash_order_sides", _FAMILIES + """, size AS (SELECT component, count(*) AS size FROM comp GROUP BY component),
+o AS (SELECT component, size, row_number() OVER (ORDER BY ('0x' || substr(sha256('side:' || component), 1, 15))::BIGINT, component) AS k FROM size),
+r(k, component, side, diff) AS (SELECT 0::BIGINT, 0::BIGINT, -1, 0::BIGINT UNION ALL
+  SELECT o.k, o.component, CASE WHEN r.diff > 0 THEN 1 ELSE 0 END, CASE WHEN r.diff > 0 THEN r.diff - o.size ELSE r.diff + o.size END FROM r JOIN o ON o.k = r.k + 1),
+m AS (SELECT node, side FROM comp JOIN r USING (component) WHERE k > 0)
+SELECT CASE WHEN x.side = z.side THEN CAST(x.side AS VARCHAR) ELSE 'crossing' END AS role, count(*) AS rows
+FROM lineitem JOIN m x ON x.node = l_suppkey JOIN m z ON z.node = 100000000 + l_partkey GROUP BY 1""")
+def c3_hash(spark: SparkSession, d: str) -> DataFrame:
+    """Whole families in hash order to two sides, and every order line by the sides of its ends."""
+    sides = S.hash_order_sides(family_members(spark, d)).withColumnRenamed("side", "fold")
+    return S.pair_roles(line_pairs(spark, d), sides).groupBy("role").agg(F.count("*").alias("rows"))
+
+
 @query("c4_fold_membership", _FAMILIES + _fold_sql(4) + """, p AS (SELECT x.fold AS fa, z.fold AS fb FROM lineitem JOIN m x ON x.node = l_suppkey JOIN m z ON z.node = 100000000 + l_partkey)
 SELECT CAST(g AS INTEGER) AS fold, CAST(fa = g AS INTEGER) + CAST(fb = g AS INTEGER) AS ends_inside, count(*) AS rows FROM p, (SELECT unnest(range(0, 4)) AS g) GROUP BY ALL""")
 def c4_members(spark: SparkSession, d: str) -> DataFrame:
@@ -117,11 +130,6 @@ def c5_all(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("fold").agg(F.count("*").alias("rows"), F.sum((F.col("l_returnflag") == "R").cast("long")).alias("positives"))
 
 
-# Names of earlier rounds, when the queries above left out most lines.
-for _old, _new, _function in (("c2_all_contracted_graph", "c2_contracted_graph", c2), ("c3_all_pair_roles", "c3_pair_roles", c3), ("c4_all_component_folds", "c4_component_folds", c4), ("c4_all_fold_membership", "c4_fold_membership", c4_members)):
-    query(_old, _SQL[_new])(_function)
-
-
 @query("c6_split_retention", """SELECT least(x.s_nationkey % 5, p_size % 5) AS lo, greatest(x.s_nationkey % 5, p_size % 5) AS hi, count(*) AS rows, least(x.s_nationkey % 5, p_size % 5) = greatest(x.s_nationkey % 5, p_size % 5) AS kept
 FROM lineitem JOIN supplier x ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL""")
 def c6(spark: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from edgewise.operators import align, decide, metrics, pairs, resample, sampling, splits
+from edgewise.operators import align, decide, metrics, pairs, resample, sampling, similar, splits
 from edgewise.operators.graph import connected_components
 from edgewise.sources import files
 
@@ -142,7 +142,7 @@ def test_thinning_matches_a_loop(spark):
     rng = np.random.default_rng(2)
     rows = [(u, r, [int(x) for x in rng.integers(0, 3, 12)]) for u in range(3) for r in range(15)]
     df = spark.createDataFrame(rows, "uid int, row long, tokens array<int>").withColumn("order", F.col("row"))
-    found = {(r["uid"], r["row"]) for r in align.thin_redundant(df, 0.6, 0.5, 8).collect()}
+    found = {(r["uid"], r["row"]) for r in similar.thin_redundant(df, 0.6, 0.5, 8).collect()}
     wanted = set()
     for u in range(3):
         kept = []
