@@ -15,7 +15,6 @@ coordinate that fills its length up to the shard's greatest, a query gets 0.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
