@@ -26,8 +26,10 @@ from .tokens import encoder, tokenizer_path
 
 #: Pieces of one length that one ranking window holds at least; with more than its square, the root of their number.
 RANK_BLOCK = 256
-#: Times that what rounding leaves is priced anew before the tail goes best fit.
-RETRIES = 400
+#: Times that what whole parts leave is solved again; times that the rest is priced anew before the tail goes best fit.
+RESOLVES, RETRIES = 4, 400
+#: Rounds of covers without gain after which the pool's program is solved instead.
+PATIENCE = 8
 
 
 def split_pieces(df: DataFrame, capacity: int = 1024, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,18 +59,25 @@ def split_pieces(df: DataFrame, capacity: int = 1024, path: str | None = None, i
 
 
 def _price(values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unbounded knapsack: the best value at each room, and the length chosen there (0: leave it)."""
+    """Unbounded knapsack: the best value at each room, and the length chosen there (0: leave it).
+
+    A length that shorter ones fill at a greater value is in no best choice and is passed over.
+    """
     best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.flatnonzero(values)
-    worth = values[lengths]
-    upto = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    lengths, worth, used = np.zeros(capacity, dtype=np.int64), np.zeros(capacity), 0
+    listed = values.tolist()
     for room in range(1, capacity + 1):
-        best[room] = best[room - 1]
-        if m := upto[room]:
-            each = worth[:m] + best[room - lengths[:m]]
+        top, at = best[room - 1], 0
+        if used:
+            each = worth[:used] + best[room - lengths[:used]]
             k = int(each.argmax())
-            if each[k] > best[room]:
-                best[room], choice[room] = each[k], lengths[k]
+            if each[k] > top:
+                top, at = each[k], lengths[k]
+        if (own := listed[room]) > 0 and own >= top - 1e-12:
+            lengths[used], worth[used], used = room, own, used + 1
+            if own > top:
+                top, at = own, room
+        best[room], choice[room] = top, at
     return best, choice
 
 
@@ -84,12 +93,13 @@ def _unfold(room: int, choice: np.ndarray) -> Counter:
 
 
 class Program(NamedTuple):
-    """A covering by configurations: sequences used, a bound that no covering beats, the amounts and the prices of lengths."""
+    """A covering by configurations: sequences used, a bound that no covering beats, the amounts, the prices of lengths, and the whole amounts of the covering that the pool starts from."""
 
     value: float
     bound: float
     amounts: dict[tuple[int, ...], float]
     prices: np.ndarray
+    start: dict[tuple[int, ...], float]
 
 
 def _cover(counts: np.ndarray, prices: np.ndarray, capacity: int, slack: float = 0.01) -> tuple[float, dict[tuple[int, ...], float], np.ndarray, float]:
@@ -124,32 +134,137 @@ def _cover(counts: np.ndarray, prices: np.ndarray, capacity: int, slack: float =
     return cost, used, paid, dearest
 
 
-def solve_configurations(counts: np.ndarray, capacity: int, gap: float = 0.0025, rounds: int = 40, step: float = 1.0) -> Program:
-    """Fractional covering of ``counts`` (by length) with configurations, by multiplicative weights.
+class _Pool:
+    """Configurations met so far, as a sparse matrix: of each, its lengths and how often they occur."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[tuple[int, int], ...], int] = {}
+
+    def add(self, pattern: Counter) -> int:
+        return self.number.setdefault(tuple(sorted(pattern.items())), len(self.number))
+
+    def matrix(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Column, row (by ``place`` of a length) and entry of the matrix's cells."""
+        cells = [(k, length, n) for key, k in self.number.items() for length, n in key]
+        column, length, n = (np.array(x) for x in zip(*cells, strict=True))
+        return column, place[length], n.astype(float)
+
+
+def _restricted(pool: _Pool, counts: np.ndarray, amounts: np.ndarray, shares: np.ndarray, steps: int = 1500, rate: float = 0.3) -> tuple[float, np.ndarray, np.ndarray]:
+    """The covering program over the pool's configurations, by multiplicative weights on both sides.
+
+    A game: configurations share a number of sequences, lengths share a unit of
+    weight; a length's cover is multiplied into its weight, a configuration's
+    worth into its share, each with the last change counted twice (the
+    optimistic step, with which both settle and do not circle). Returns the best
+    cost of a full covering, its amounts, and the lengths' weights.
+    """
+    present = np.flatnonzero(counts)
+    place = np.zeros(len(counts), dtype=np.int64)
+    place[present] = np.arange(len(present))
+    column, row, times = pool.matrix(place)
+    n, m, total = len(pool.number), len(present), float(amounts.sum())
+    entry = times / counts[present][row] * total
+    x, w = np.maximum(amounts / total, 1e-9 / n), np.maximum(shares / shares.sum(), 1e-12)
+    log_x, log_w = np.log(x), np.log(w)
+    cover, worth = (lambda x: np.bincount(row, entry * x[column], m)), (lambda w: np.bincount(column, entry * w[row], n))
+    last_cover, last_worth, mean_x, mean_w = cover(x), worth(w), np.zeros(n), np.zeros(m)
+    best, bound = (math.inf, x), (0.0, w)
+    for step in range(1, steps + 1):
+        now_cover, now_worth = cover(x), worth(w)
+        log_x, log_w = log_x + rate * (2 * now_worth - last_worth), log_w - rate * (2 * now_cover - last_cover)
+        last_cover, last_worth = now_cover, now_worth
+        x, w = np.exp(log_x - log_x.max()), np.exp(log_w - log_w.max())
+        x, w = x / x.sum(), w / w.sum()
+        mean_x, mean_w = mean_x + x, mean_w + w
+        if step % 250 == 0:
+            for one in (x, mean_x / step):
+                if (least := cover(one).min()) > 0 and total / least < best[0]:
+                    best = total / least, one * total / least
+            for one in (w, mean_w / step):
+                bound = max(bound, (1 / worth(one).max(), one), key=lambda b: b[0])
+    return best[0], best[1], bound[1]
+
+
+def solve_configurations(counts: np.ndarray, capacity: int, gap: float = 1e-4, rounds: int = 30, tries: int = 12) -> Program:
+    """Fractional covering of ``counts`` (by length) with configurations, by multiplicative weights and knapsack pricing.
 
     The weights are prices of lengths. Each round covers all counts with the
     dearest configurations that a knapsack table finds, and multiplies a
-    length's price by a falling power of what it paid over its price: lengths that only
-    poor configurations take get dearer and go first. Prices over the dearest
-    configuration's value are a dual solution. Ends when value and bound are
-    within ``gap``, or after ``rounds``.
+    length's price by a falling power of what it paid over its price: lengths
+    that only poor configurations take get dearer and go first. All
+    configurations met, and those of a best-fit packing, form a pool. If covers
+    alone leave a gap (few lengths), the program over the pool is solved by
+    weights on both sides, and its prices, and mixtures of them with the best
+    prices so far, price new configurations in, ``tries`` times at most. Prices
+    over the dearest configuration's value are a dual solution. Ends when value
+    and bound are within ``gap``, or need the same number of whole sequences, or
+    when two tries in a row gain nothing.
     """
     present = np.flatnonzero(counts)
-    prices = np.zeros(capacity + 1)
-    prices[present] = present / capacity
-    value, bound, amounts, best_prices, mean = math.inf, 0.0, {}, prices.copy(), np.zeros(capacity + 1)
+    volume = np.zeros(capacity + 1)
+    volume[present] = present / capacity
+    prices, best_prices, dual = volume.copy(), volume.copy(), volume.copy()
+    value, bound, amounts, mean = math.inf, float(counts @ volume), {}, np.zeros(capacity + 1)
+    pool, solutions = _Pool(), []
+
+    def closed() -> bool:
+        return value <= bound * (1 + gap) or math.ceil(value - 1e-6) <= math.ceil(bound - 1e-6)
+
+    def keep(solution: dict[tuple[int, ...], float]) -> None:
+        solutions.append({pool.add(Counter(key)): amount for key, amount in solution.items()})
+
+    fit: dict[tuple[int, ...], float] = {}
+    for pattern, times in _best_fit(counts, capacity):
+        key = tuple(sorted(pattern.elements(), reverse=True))
+        fit[key] = fit.get(key, 0.0) + times
+    keep(fit)
+    last = 0
     for done in range(rounds):
         cost, used, paid, dearest = _cover(counts, prices, capacity)
+        keep(used)
         mean += prices / dearest
-        bound = max(bound, float(counts @ prices) / dearest, float(counts @ mean) / _price(mean, capacity)[0][capacity])
+        for one in (prices / dearest, mean / _price(mean, capacity)[0][capacity]):
+            if (least := float(counts @ one)) > bound:
+                bound, dual = least, one
         if cost < value:
-            value, amounts, best_prices = cost, used, prices.copy()
-        if value <= bound * (1 + gap):
+            value, amounts, best_prices, last = cost, used, prices.copy(), done
+        if closed():
+            return Program(value, bound, amounts, best_prices, fit)
+        if done - last == PATIENCE:
             break
-        prices[present] *= (paid[present] / (counts[present] * prices[present])) ** (step / (1 + done / 8))
+        prices[present] *= (paid[present] / (counts[present] * prices[present])) ** (1 / (1 + done / 8))
         # Floor: no price below a hundredth of its share of the volume.
         prices[present] = np.maximum(prices[present] / float(prices[present] @ counts[present]) * value, present / capacity / 100)
-    return Program(value, bound, amounts, best_prices)
+    start, shares = np.zeros(len(pool.number)), counts[present] * dual[present]
+    for solution in solutions:
+        start[list(solution)] += np.array(list(solution.values())) / len(solutions)
+    idle = 0
+    for _ in range(tries):
+        cost, found, shares = _restricted(pool, counts, start, shares)
+        prices = np.zeros(capacity + 1)
+        prices[present] = shares / counts[present]
+        prices /= _price(prices, capacity)[0][capacity]
+        idle = 0 if cost < value * (1 - 1e-6) else idle + 1
+        if cost < value:
+            keys, least = list(pool.number), cost * 1e-9
+            value, amounts = cost, {tuple(sorted(Counter(dict(keys[k])).elements(), reverse=True)): float(found[k]) for k in np.flatnonzero(found > least).tolist()}
+            best_prices = prices.copy()
+        before = len(pool.number)
+        for part in (1.0, 0.5, 0.2):
+            mixed = part * prices + (1 - part) * dual
+            best, choice = _price(mixed, capacity)
+            if (least := float(counts @ mixed) / best[capacity]) > bound:
+                bound, dual = least, mixed / best[capacity]
+            for length in present[mixed[present] + best[capacity - present] >= best[capacity] * 0.99].tolist():
+                pattern = _unfold(capacity - length, choice)
+                pattern[length] += 1
+                pool.add(pattern)
+        if closed() or idle > 1:
+            break
+        new = len(pool.number) - before
+        start = np.concatenate([np.maximum(found, cost * 1e-6 / before), np.full(new, cost * 1e-3 / max(1, new))])
+    return Program(value, bound, amounts, best_prices, fit)
 
 
 class Plan(NamedTuple):
@@ -184,7 +299,11 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[Counter, int]]:
 
 
 def _rounded(left: np.ndarray, program: Program, capacity: int) -> list[tuple[Counter, int]]:
-    """Whole parts of the program's amounts; what is left is priced on with the program's prices, one configuration at a time within the counts; the tail goes best fit."""
+    """Whole parts of the program's amounts; what they leave is a program of its own, RESOLVES times while whole parts come of it.
+
+    The rest is priced on, one configuration at a time within the counts, and
+    its tail, which no dear configuration takes, goes best fit.
+    """
     left, out = left.copy(), []
 
     def take(pattern: Counter, times: int) -> None:
@@ -192,10 +311,17 @@ def _rounded(left: np.ndarray, program: Program, capacity: int) -> list[tuple[Co
             left[length] -= n * times
         out.append((pattern, times))
 
-    for key, amount in sorted(program.amounts.items(), key=lambda x: (-x[1], x[0])):
-        pattern = Counter(key)
-        if whole := min(int(amount + 1e-9), min(int(left[length]) // n for length, n in pattern.items())):
-            take(pattern, whole)
+    for _ in range(RESOLVES):
+        before = len(out)
+        for key, amount in sorted(program.amounts.items(), key=lambda x: (-x[1], x[0])):
+            pattern = Counter(key)
+            if whole := min(int(amount + 1e-9), min(int(left[length]) // n for length, n in pattern.items())):
+                take(pattern, whole)
+        if not left.any():
+            return out
+        if len(out) == before:
+            break
+        program = solve_configurations(left, capacity, rounds=8, tries=2)
     for _ in range(RETRIES):
         present = np.flatnonzero(left)
         if not present.size:
@@ -216,17 +342,21 @@ def _rounded(left: np.ndarray, program: Program, capacity: int) -> list[tuple[Co
     return out + _best_fit(left, capacity)
 
 
+def round_program(left: np.ndarray, program: Program, capacity: int) -> list[tuple[Counter, int]]:
+    """The fewer sequences of two roundings, of the program's best covering and of the one that its pool starts from (whole amounts); of equals the former."""
+    return min((_rounded(left, program._replace(amounts=a), capacity) for a in (program.amounts, program.start)), key=lambda x: sum(times for _, times in x))
+
+
 def plan_runs(histogram: dict[int, int], capacity: int) -> Plan:
-    """Solve the program, round it, and lay the configurations out; never more sequences than best fit alone needs."""
+    """Solve the program, round it, and lay the configurations out."""
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         left[length] = n
     if not left.any():
         return Plan([], 0, 0.0, 0.0)
     program = solve_configurations(left, capacity)
-    chosen = min(_rounded(left, program, capacity), _best_fit(left, capacity), key=lambda x: sum(times for _, times in x))
     rank, runs, sequences = np.zeros(capacity + 1, dtype=np.int64), [], 0
-    for pattern, times in chosen:
+    for pattern, times in round_program(left, program, capacity):
         offset = 0
         for length in sorted(pattern.elements(), reverse=True):
             runs.append((length, int(rank[length]), times, sequences, offset))

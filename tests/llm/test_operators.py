@@ -242,14 +242,33 @@ def test_plan_against_exhaustive_packing():
     assert extra <= 3
 
 
-@pytest.mark.parametrize("low, high, n", [(1, 1023, 40_000), (1, 300, 40_000), (300, 700, 40_000), (341, 600, 9000)])
-def test_program_is_close_to_its_bound(low, high, n):
-    lengths = np.random.default_rng(low).integers(low, high + 1, n)
-    plan = packing.plan_runs(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), 1024)
-    left = np.bincount(lengths, minlength=1025)
-    greedy = sum(times for _, times in packing._best_fit(left, 1024))
-    assert lengths.sum() / 1024 <= plan.bound + 1e-6 and plan.value <= 1.01 * plan.bound
-    assert plan.bound <= plan.sequences <= greedy and plan.sequences <= 1.01 * plan.bound + 1
+def lengths_of(kind):
+    rng = np.random.default_rng(6)
+    if kind == "lognormal":
+        return np.clip(rng.lognormal(3.8, 0.9, 20_000), 1, 255).astype(int), 256
+    if kind == "few":
+        return rng.choice(rng.choice(np.arange(200, 900), 30, replace=False), 10_000), 1024
+    low, high, n, capacity = kind
+    return rng.integers(low, high + 1, n), capacity
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "few", (1, 255, 20_000, 256), (75, 175, 20_000, 256), (340, 343, 3000, 1024), (341, 600, 9000, 1024)])
+def test_runs_are_the_programs(kind):
+    """The returned runs come from the program, near its bound, and are no more than best fit alone would make; few lengths are solved to the bound."""
+    lengths, capacity = lengths_of(kind)
+    left = np.bincount(lengths, minlength=capacity + 1)
+    greedy = sum(times for _, times in packing._best_fit(left, capacity))
+    program = packing.solve_configurations(left, capacity)
+    packed, sequences = collections.Counter(), 0
+    for pattern, times in packing.round_program(left, program, capacity):
+        packed.update({k: n * times for k, n in pattern.items()})
+        sequences += times
+    assert packed == collections.Counter(lengths.tolist())
+    assert lengths.sum() / capacity <= program.bound + 1e-6 and program.value <= 1.01 * program.bound + 1
+    assert program.bound - 1e-6 <= sequences <= greedy
+    if len(np.unique(lengths)) < 40:
+        assert program.value <= program.bound * 1.001 and sequences <= program.bound + 2
+        assert packing.plan_runs(dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True)), capacity).sequences == sequences
 
 
 def test_empty_table_packs_to_nothing(empty):
