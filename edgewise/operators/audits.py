@@ -19,6 +19,35 @@ def multiset_digest(df: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.agg(F.bit_xor(hash_draw(text)).alias("digest"), F.sum("__n").alias("rows"), F.count("*").alias("distinct_rows"))
 
 
+#: Fixed value: the modulus of the additive digest, the greatest prime below 2**61.
+DIGEST_PRIME = (1 << 61) - 1
+
+
+def additive_digest(df: DataFrame, keys: list[str], parts: int = 4) -> DataFrame:
+    """A2: a digest of a multiset of rows as ``parts`` sums of 60-bit hashes in a prime field, and the number of rows.
+
+    A row's hash doesn't depend on other rows, so there is no shuffle but that
+    of one partial sum a task; repeated rows add up and don't cancel. Digests
+    of parts of a table add up to that of the whole (``join_digests``), so rows
+    can be added and, with sign -1, removed. Null is told apart from every
+    text, and field borders from their contents.
+    """
+    field = lambda k: F.when(F.col(k).isNull(), F.lit("n")).otherwise(F.concat(F.lit("v"), F.char_length(F.col(k).cast("string")).cast("string"), F.lit(":"), F.col(k).cast("string")))
+    row = F.concat(*[field(k) for k in keys])
+    total = lambda p: F.coalesce(F.sum(hash_draw(F.concat(F.lit(f"{p}|"), row)).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    sums = df.agg(*[total(p).alias(f"d{p}") for p in range(parts)], F.count("*").alias("rows"))
+    return sums.select(*[(F.col(f"d{p}") % F.lit(DIGEST_PRIME)).cast("long").alias(f"d{p}") for p in range(parts)], "rows")
+
+
+def join_digests(digests: DataFrame, sign: str | None = None) -> DataFrame:
+    """A2: the digest of several tables' rows together; rows with ``sign`` -1 are taken out."""
+    factor = F.col(sign) if sign else F.lit(1)
+    sums = [c for c in digests.columns if c.startswith("d") and c[1:].isdigit()]
+    prime = F.lit(DIGEST_PRIME)
+    added = digests.agg(*[F.sum((F.col(c) * factor).cast("decimal(38,0)")).alias(c) for c in sums], F.sum(F.col("rows") * factor).alias("rows"))
+    return added.select(*[F.pmod(F.col(c), prime).cast("long").alias(c) for c in sums], "rows")
+
+
 def disjointness(df: DataFrame, split: str, keys: list[str]) -> DataFrame:
     """A3: per key column and pair of splits, how many values both hold (0: disjoint)."""
     long = df.select(split, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("x")).select(split, "x.key", "x.value").filter("value IS NOT NULL").distinct()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import log_sigmoid, sigmoid
+from edgewise.functions.shared import materialise
 
 
 def canonical_pair(df: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -306,6 +308,60 @@ def exposure_flags(tests: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, zero) for c in ("pair_bits", "a_bits", "b_bits")})
 
 
+def normal_sequence(seq: Column) -> Column:
+    """Upper case, with the letters that stand for rare or unsure residues as X."""
+    return F.regexp_replace(F.upper(seq), "[UZOBJ]", "X")
+
+
+def sequence_exposure(tests: DataFrame, entities: DataFrame, sources: DataFrame, sequences: DataFrame, bounds: tuple[int, int] | None = None, normal: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """J9 by sequence: pair and end bits of test pairs from sources whose ids are foreign, and an audit row a source split.
+
+    ``entities`` (entity, seq) are the test side's, ``sequences`` (split, id,
+    seq) the source's; an id stands for all entities of its sequence
+    (``normal`` of it). ``sources`` has split, bit, a, b, y. A source pair
+    exposes every test pair of such entities, in either order. With ``bounds``
+    a source pair with an end that is missing or whose sequence length is out
+    of them is filtered: it exposes nothing. Pairs meet as pairs of hashes,
+    both sides counted first, so ids with a common sequence aren't multiplied.
+
+    Flags: the columns of ``tests`` and pair_bits, a_bits, b_bits. Audit: split,
+    source_rows, positive_rows, missing_ids, filtered_rows, matched (source
+    pair and test pair, each order of a pair of two entities of one sequence).
+    """
+    key = lambda c: F.sha2((normal(c) if normal else c).cast("binary"), 256)
+    own = entities.select("entity", key(F.col("seq")).alias("h"))
+    known = sequences.select("split", "id", key(F.col("seq")).alias("h"), F.char_length("seq").alias("n"))
+    end = lambda side: known.select(F.col("split").alias(f"s_{side}"), F.col("id").alias(f"i_{side}"), F.col("h").alias(f"h_{side}"), F.col("n").alias(f"n_{side}"))
+    met = sources
+    for side in ("a", "b"):
+        met = met.join(end(side), (F.col("split") == F.col(f"s_{side}")) & (F.col(side) == F.col(f"i_{side}")), "left")
+    inside = F.lit(True)
+    if bounds is not None:
+        inside = F.coalesce(F.col("n_a").between(*bounds) & F.col("n_b").between(*bounds), F.lit(False))
+    met = materialise(met.select("split", "bit", "a", "b", "y", "h_a", "h_b", inside.alias("inside")), "source_pairs")
+    kept = met.filter("inside")
+    ends = kept.select("bit", F.explode(F.array("h_a", "h_b")).alias("h")).filter("h IS NOT NULL").groupBy("h").agg(F.bit_or("bit").alias("bits"))
+    seen = own.join(ends, "h").groupBy("entity").agg(F.bit_or("bits").alias("bits"))
+    low, high = F.least("h_a", "h_b").alias("lo"), F.greatest("h_a", "h_b").alias("hi")
+    whole = kept.filter("h_a IS NOT NULL AND h_b IS NOT NULL").groupBy("split", low, high).agg(F.bit_or("bit").alias("bits"), F.count("*").alias("n"))
+    hashed = tests.select("a", "b").distinct().join(own.select(F.col("entity").alias("a"), F.col("h").alias("h_a")), "a").join(own.select(F.col("entity").alias("b"), F.col("h").alias("h_b")), "b")
+    hashed = materialise(hashed.select("a", "b", low, high), "test_pairs")
+    by_hash = whole.groupBy("lo", "hi").agg(F.bit_or("bits").alias("pair_bits"))
+    pair_bits = hashed.join(by_hash, ["lo", "hi"]).select("a", "b", "pair_bits")
+    zero = F.lit(0)
+    flags = tests.join(pair_bits, ["a", "b"], "left").join(seen.select(F.col("entity").alias("a"), F.col("bits").alias("a_bits")), "a", "left").join(seen.select(F.col("entity").alias("b"), F.col("bits").alias("b_bits")), "b", "left")
+    flags = flags.select(*tests.columns, *[F.coalesce(c, zero).alias(c) for c in ("pair_bits", "a_bits", "b_bits")])
+    # Test pairs count once whatever their order; two entities of one sequence are met from both sides.
+    unordered = hashed.select(F.least("a", "b").alias("one"), F.greatest("a", "b").alias("two"), "lo", "hi").distinct()
+    times = F.when((F.col("lo") == F.col("hi")) & (F.col("one") != F.col("two")), 2).otherwise(1)
+    tested = unordered.groupBy("lo", "hi").agg(F.sum(times).alias("times"))
+    matched = whole.join(tested, ["lo", "hi"]).groupBy("split").agg(F.sum(F.col("n") * F.col("times")).alias("matched"))
+    missing = met.select("split", F.explode(F.array(F.struct(F.col("a").alias("id"), F.col("h_a").alias("h")), F.struct(F.col("b").alias("id"), F.col("h_b").alias("h")))).alias("x")).filter("x.h IS NULL").groupBy("split").agg(F.count_distinct("x.id").alias("missing_ids"))
+    rows = met.groupBy("split").agg(F.count("*").alias("source_rows"), F.sum("y").cast("long").alias("positive_rows"), F.count_if(~F.col("inside")).alias("filtered_rows"))
+    audit = rows.join(missing, "split", "left").join(matched, "split", "left")
+    return flags, audit.select("split", "source_rows", "positive_rows", F.coalesce("missing_ids", zero).cast("long").alias("missing_ids"), "filtered_rows", F.coalesce("matched", zero).cast("long").alias("matched"))
+
+
 def annotation_witness(pairs: DataFrame, annotation: DataFrame, known: DataFrame) -> DataFrame:
     """How many ends share a family with ``known`` (-1: an end has no annotation)."""
     listed = known.select("family").distinct().withColumn("k", F.lit(1))

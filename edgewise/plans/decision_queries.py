@@ -22,6 +22,14 @@ def a2(spark: SparkSession, d: str) -> DataFrame:
     return A.multiset_digest(X.pairs(spark, d), ["a", "b", "y"])
 
 
+_FIELDS = " || ".join(f"'v' || length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR)" for c in ("a", "b", "y"))
+
+
+@query("a2_additive_digest", X.ctes("pairs") + ", r AS (SELECT " + _FIELDS + " AS t FROM pairs) SELECT " + ", ".join(f"CAST(sum(CAST({_H.format(f"'{p}|' || t")} AS HUGEINT)) % 2305843009213693951 AS BIGINT) AS d{p}" for p in range(4)) + ", count(*) AS rows FROM r")
+def a2_additive(spark: SparkSession, d: str) -> DataFrame:
+    return A.additive_digest(X.pairs(spark, d), ["a", "b", "y"])
+
+
 @query("a3_split_disjointness", X.ctes("entity") + """, s AS (SELECT *, CASE WHEN entity % 3 = 0 THEN 'test' WHEN entity % 3 = 1 THEN 'train' ELSE 'val' END AS split FROM entity),
 l AS (SELECT DISTINCT split, 'sha' AS key, sha AS v FROM s UNION SELECT DISTINCT split, 'family', family FROM s UNION SELECT DISTINCT split, 'entity', CAST(entity AS VARCHAR) FROM s),
 p AS (SELECT x.split AS one, z.split AS two FROM (SELECT DISTINCT split FROM s) x JOIN (SELECT DISTINCT split FROM s) z ON x.split < z.split), k AS (SELECT DISTINCT key FROM l)

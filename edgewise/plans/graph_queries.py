@@ -107,11 +107,12 @@ def c4_members(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c5_group_stratified_folds", """WITH RECURSIVE g AS (SELECT l_partkey || ':' || l_suppkey AS component, count(*) AS size, max(CAST(l_returnflag = 'R' AS INTEGER)) AS y FROM lineitem
   GROUP BY ALL HAVING max(CAST(l_returnflag = 'R' AS INTEGER)) = min(CAST(l_returnflag = 'R' AS INTEGER))),
-o AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY size DESC, ('0x' || substr(sha256('fold:' || component), 1, 15))::BIGINT, component) AS k FROM g),
-r(y, k, component, size, fold, loads) AS (SELECT DISTINCT y, 0::BIGINT, '', 0::BIGINT, -1, [0, 0, 0, 0]::BIGINT[] FROM g UNION ALL
-  SELECT o.y, o.k, o.component, o.size, CAST(list_position(r.loads, list_min(r.loads)) - 1 AS INTEGER),
-         list_transform(r.loads, lambda x, i: CASE WHEN i = list_position(r.loads, list_min(r.loads)) THEN x + o.size ELSE x END) FROM r JOIN o ON o.y = r.y AND o.k = r.k + 1)
-SELECT y, fold, count(*) AS groups, CAST(sum(size) AS BIGINT) AS rows FROM r WHERE k > 0 GROUP BY ALL""")
+c AS (SELECT y, size, count(*) AS n, row_number() OVER (PARTITION BY y ORDER BY size DESC) AS k FROM g GROUP BY y, size),
+r(y, k, size, loads, taken) AS (SELECT DISTINCT y, 0::BIGINT, 0::BIGINT, [0, 0, 0, 0]::BIGINT[], [0, 0, 0, 0]::BIGINT[] FROM g UNION ALL
+  SELECT y, k, size, list_transform(loads, lambda x, i: x + size * len(list_filter(chosen, lambda v: v % 4 = i - 1))), list_transform(loads, lambda x, i: len(list_filter(chosen, lambda v: v % 4 = i - 1))::BIGINT) FROM (
+    SELECT c.y, c.k, c.size, r.loads, list_sort(flatten(list_transform(range(0, 4), lambda f: list_transform(range(0, c.n), lambda j: (r.loads[f + 1] + c.size * j) * 4 + f))))[1:c.n] AS chosen FROM r JOIN c ON c.y = r.y AND c.k = r.k + 1)),
+l AS (SELECT y, size, unnest(taken) AS n, CAST(unnest(range(0, 4)) AS INTEGER) AS fold FROM r WHERE k > 0)
+SELECT y, fold, CAST(sum(n) AS BIGINT) AS groups, CAST(sum(n * size) AS BIGINT) AS rows FROM l GROUP BY ALL HAVING sum(n) > 0""")
 def c5(spark: SparkSession, d: str) -> DataFrame:
     """All rows of pairs whose rows agree on the label, a pair a group; each label is dealt on its own."""
     line = X.table(spark, d, "lineitem")

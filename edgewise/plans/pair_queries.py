@@ -226,6 +226,46 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
     return P.exposure_flags(rows.filter("line > 3"), sources).select("row_id", "pair_bits", "a_bits", "b_bits")
 
 
+_FOREIGN = X.ctes("pairs") + """, raw AS (SELECT p_partkey AS k, p_brand || ':' || p_type || ':' || p_size AS seq, p_size FROM part),
+ent AS (SELECT 'p' || k AS entity, sha256(regexp_replace(upper(seq), '[UZOBJ]', 'X', 'g')) AS h FROM raw UNION ALL SELECT 's' || s_suppkey, sha256(regexp_replace(upper('nation ' || s_nationkey), '[UZOBJ]', 'X', 'g')) FROM supplier),
+fs AS (SELECT 'x' || k AS id, sha256(regexp_replace(upper(lower(seq)), '[UZOBJ]', 'X', 'g')) AS h, length(seq) AS n FROM raw WHERE p_size > 3 UNION ALL
+  SELECT 'y' || s_suppkey, sha256(regexp_replace(upper('Nation ' || s_nationkey), '[UZOBJ]', 'X', 'g')), length('Nation ' || s_nationkey) FROM supplier),
+src AS (SELECT CASE line WHEN 1 THEN 'one' ELSE 'two' END AS split, line AS bit, 'x' || substr(a, 2) AS a, 'y' || substr(b, 2) AS b, y FROM pairs WHERE line <= 2),
+met AS (SELECT src.*, u.h AS ha, v.h AS hb, coalesce(u.n BETWEEN 8 AND 20 AND v.n BETWEEN 8 AND 20, false) AS inside FROM src LEFT JOIN fs u ON u.id = src.a LEFT JOIN fs v ON v.id = src.b),
+t AS (SELECT * FROM pairs WHERE line > 3), """
+
+
+def foreign(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Lines 1 and 2 as two source splits with ids of their own; small parts' sequences are missing there; lines over 3 as test pairs."""
+    rows, part, supplier = X.pairs(spark, d), X.table(spark, d, "part"), X.table(spark, d, "supplier")
+    seq = F.concat_ws(":", "p_brand", "p_type", F.col("p_size").cast("string"))
+    nation = lambda word: F.concat(F.lit(f"{word} "), F.col("s_nationkey").cast("string"))
+    named = lambda letter, column: F.concat(F.lit(letter), F.col(column).cast("string"))
+    entities = part.select(named("p", "p_partkey").alias("entity"), seq.alias("seq")).union(supplier.select(named("s", "s_suppkey"), nation("nation")))
+    own = part.filter("p_size > 3").select(named("x", "p_partkey").alias("id"), F.lower(seq).alias("seq")).union(supplier.select(named("y", "s_suppkey"), nation("Nation")))
+    sequences = own.select(F.explode(F.array(F.lit("one"), F.lit("two"))).alias("split"), "id", "seq")
+    end = lambda letter, column: F.concat(F.lit(letter), F.substr(column, F.lit(2)))
+    sources = rows.filter("line <= 2").select(F.when(F.col("line") == 1, "one").otherwise("two").alias("split"), F.col("line").cast("int").alias("bit"), end("x", "a").alias("a"), end("y", "b").alias("b"), "y")
+    return P.sequence_exposure(rows.filter("line > 3"), entities, sources, sequences, (8, 20), P.normal_sequence)
+
+
+@query("j9_sequence_exposure", _FOREIGN + """k AS (SELECT least(ha, hb) AS lo, greatest(ha, hb) AS hi, CAST(bit_or(CAST(bit AS INTEGER)) AS INTEGER) AS bits FROM met WHERE inside AND ha IS NOT NULL AND hb IS NOT NULL GROUP BY ALL),
+e AS (SELECT h, CAST(bit_or(CAST(bit AS INTEGER)) AS INTEGER) AS bits FROM (SELECT ha AS h, bit FROM met WHERE inside UNION ALL SELECT hb, bit FROM met WHERE inside) GROUP BY h)
+SELECT row_id, coalesce(k.bits, 0) AS pair_bits, coalesce(ea.bits, 0) AS a_bits, coalesce(eb.bits, 0) AS b_bits FROM t JOIN ent x ON x.entity = t.a JOIN ent z ON z.entity = t.b
+LEFT JOIN k ON k.lo = least(x.h, z.h) AND k.hi = greatest(x.h, z.h) LEFT JOIN e ea ON ea.h = x.h LEFT JOIN e eb ON eb.h = z.h""")
+def j9_sequences(spark: SparkSession, d: str) -> DataFrame:
+    return foreign(spark, d)[0].select("row_id", "pair_bits", "a_bits", "b_bits")
+
+
+@query("j9_exposure_audit", _FOREIGN + """u AS (SELECT DISTINCT t.a, t.b, least(x.h, z.h) AS lo, greatest(x.h, z.h) AS hi FROM t JOIN ent x ON x.entity = t.a JOIN ent z ON z.entity = t.b),
+m AS (SELECT split, count(*) AS matched FROM met JOIN u ON lo = least(ha, hb) AND hi = greatest(ha, hb) WHERE inside GROUP BY split),
+o AS (SELECT split, count(DISTINCT id) AS missing FROM (SELECT split, a AS id FROM met WHERE ha IS NULL UNION ALL SELECT split, b FROM met WHERE hb IS NULL) GROUP BY split)
+SELECT met.split, count(*) AS source_rows, CAST(sum(y) AS BIGINT) AS positive_rows, coalesce(max(missing), 0) AS missing_ids, count(*) FILTER (NOT inside) AS filtered_rows, coalesce(max(matched), 0) AS matched
+FROM met LEFT JOIN m ON m.split = met.split LEFT JOIN o ON o.split = met.split GROUP BY met.split""")
+def j9_audit(spark: SparkSession, d: str) -> DataFrame:
+    return foreign(spark, d)[1]
+
+
 @query("j10_endpoint_unexposed", X.ctes("pairs", "split") + """, e AS (SELECT a AS x FROM split WHERE split = 'val' AND y = 1 UNION SELECT b FROM split WHERE split = 'val' AND score > 0.099)
 SELECT row_id, y FROM split WHERE split = 'test' AND a NOT IN (SELECT x FROM e) AND b NOT IN (SELECT x FROM e)""")
 def j10(spark: SparkSession, d: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgewise.functions.shared import fresh_path
 from edgewise.operators import learn as L
+from edgewise.sources import archive
 from edgewise.sources import files as S
 from edgewise.streaming import monitor
 
@@ -75,6 +76,22 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return S.select_archive(files, wanted)
 
 
+@query("s6_archive_members", """WITH d AS (SELECT doc_id, 'm' || doc_id || '.a3m' AS name, regexp_replace(text, '[^A-Za-z]', '', 'g') AS query FROM documents),
+w AS (SELECT DISTINCT sha256(query) AS sha FROM d JOIN labels USING (doc_id) WHERE toxic = 0), f AS (SELECT sha256(query) AS sha, min(name) AS name FROM d WHERE sha256(query) IN (SELECT sha FROM w) GROUP BY ALL)
+SELECT f.sha AS query_sha256, f.name, CAST(doc_id % 3 + 1 AS BIGINT) AS records, CAST((doc_id % 3 + 1) * length(query) AS BIGINT) AS letters FROM f JOIN d USING (name)""")
+def s6_members(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as members of written archives, a third of them with one record, two or three; the wanted ones are read back."""
+    letters = F.regexp_replace("text", "[^A-Za-z]", "")
+    docs = X.table(spark, d, "documents").withColumn("query", letters)
+    record = lambda k: F.concat(F.lit(">r"), k.cast("string"), F.lit(" t\n"), F.reverse("query"), F.lit("\n"))
+    records = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3), record), "")
+    text = F.concat(F.lit(">mask\n"), F.repeat(F.lit("*"), F.char_length("query")), F.lit("\n>query\n"), F.col("query"), F.lit("\n"), records)
+    path = fresh_path(spark, "archives")
+    archive.write_archives(docs.select(F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".a3m")).alias("name"), text.alias("text")), path)
+    wanted = docs.join(X.table(spark, d, "labels").filter("toxic = 0"), "doc_id").select(F.sha2(F.col("query").cast("binary"), 256).alias("sha"))
+    return archive.read_members(spark, path, wanted).groupBy("query_sha256", "name").agg(F.count("*").alias("records"), F.sum(F.char_length("aligned")).alias("letters"))
+
+
 @query("s7_event_log_scan", "SELECT event_type AS kind, count(*) AS rows, CAST(max(event_id) AS BIGINT) AS last_update FROM events GROUP BY 1")
 def s7(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "jsonl")
@@ -193,3 +210,15 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
 def f9(spark: SparkSession, d: str) -> DataFrame:
     """Out-of-fold scores of all rows. No SQL; the tests check that no fold sees its own labels."""
     return L.cross_fit(_learning_rows(spark, d).withColumn("fold", F.col("row_id") % 3), 3, components=32)
+
+
+@query("st1_streamed_alarms", X.ctes("log") + """, t AS (SELECT run, upd, avg(value) OVER w AS mean, count(*) OVER w AS n FROM log WINDOW w AS (PARTITION BY run ORDER BY upd ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+f AS (SELECT run, min(upd) AS upd FROM t WHERE n = 50 AND mean > 55 GROUP BY run) SELECT run, upd, 'mean' AS alarm, round(mean, 6) AS value FROM t JOIN f USING (run, upd)""")
+def st1_alarms(spark: SparkSession, d: str) -> DataFrame:
+    """All events, as a growing folder of JSON lines in order of their updates, a file a batch; alarms of the trailing mean."""
+    rows = X.log(spark, d).select(F.col("run").cast("long").alias("run"), F.col("upd").cast("long").alias("upd"), "value")
+    folder, out = fresh_path(spark, "growing"), fresh_path(spark, "watched")
+    rows.repartitionByRange(3, "upd").sortWithinPartitions("upd").write.json(folder)
+    stream = spark.readStream.schema("run long, upd long, value double").option("maxFilesPerTrigger", "1").json(folder)
+    monitor.watch(stream, 50, 55.0, out).awaitTermination()
+    return rounded(spark.read.schema(monitor.ALARMS).parquet(f"{out}/alarms"), "value")
