@@ -166,59 +166,12 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
 
 @query("st1_alarms", "SELECT user_id % 4 AS run, count(*) AS alarms, CAST(min(event_id) AS BIGINT) AS first_update FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0 GROUP BY 1")
 def st1_alarms(spark: SparkSession, d: str) -> DataFrame:
-    """Logs in which some updates lost their value: none, or none that is finite."""
-    log = X.log(spark, d)
-    broken = log.withColumn("value", F.when(F.col("upd") % 97 == 0, F.lit(float("nan"))).when(F.col("upd") % 89 == 0, F.lit(float("inf"))).otherwise(F.col("value")))
-    return monitor.alarms(broken).groupBy("run").agg(F.count("*").alias("alarms"), F.min("upd").alias("first_update"))
-
-
-def _learning_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = X.table(spark, d, "embeddings")
-    return rows.select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("v"), (F.col("label") < 3).cast("int").alias("y"))
-
-
-def held_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Rows to fit on and rows to score: a quarter by hash is held out."""
-    rows = _learning_rows(spark, d).withColumn("held", F.pmod(F.xxhash64("row_id"), F.lit(4)) == 0)
-    return rows.filter("NOT held"), rows.filter("held")
-
-
-@query("f5_boosted_trees")
-def f5(spark: SparkSession, d: str) -> DataFrame:
-    """Rows held out from the fit. No SQL: another implementation of trees than the one compared with; the tests check the order of held-out rows."""
-    train, held = held_rows(spark, d)
-    return L.boosted_values(train, held, trees=20, depth=4)
-
-
-@query("f6_scaled_pca_logistic")
-def f6(spark: SparkSession, d: str) -> DataFrame:
-    """Rows held out from the fit. No SQL: fitted numbers differ between libraries; the tests check them on rows held out."""
-    train, held = held_rows(spark, d)
-    return L.score_head(L.fit_head(train, components=32), held)
-
-
-_W = ", ".join(f"{(i % 7 - 3) / 10.0}" for i in range(64))
-
-
-@query("f7_frozen_head", f"SELECT vec_id AS row_id, round(0.25 + list_sum(list_transform(range(1, 65), lambda i: embedding[i]::DOUBLE * ([{_W}])[i])), 6) AS logit FROM embeddings")
-def f7(spark: SparkSession, d: str) -> DataFrame:
-    weights = [(i % 7 - 3) / 10.0 for i in range(64)]
-    return _learning_rows(spark, d).select("row_id", F.round(L.frozen_logit(F.col("v"), weights, 0.25), 6).alias("logit"))
-
-
-@query("f9_cross_fitting")
-def f9(spark: SparkSession, d: str) -> DataFrame:
-    """Out-of-fold scores of all rows. No SQL; the tests check that no fold sees its own labels."""
-    return L.cross_fit(_learning_rows(spark, d).withColumn("fold", F.col("row_id") % 3), 3, components=32)
-
-
-@query("st1_streamed_alarms", X.ctes("log") + """, t AS (SELECT run, upd, avg(value) OVER w AS mean, count(*) OVER w AS n FROM log WINDOW w AS (PARTITION BY run ORDER BY upd ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
-f AS (SELECT run, min(upd) AS upd FROM t WHERE n = 50 AND mean > 55 GROUP BY run) SELECT run, upd, 'mean' AS alarm, round(mean, 6) AS value FROM t JOIN f USING (run, upd)""")
-def st1_alarms(spark: SparkSession, d: str) -> DataFrame:
-    """All events, as a growing folder of JSON lines in order of their updates, a file a batch; alarms of the trailing mean."""
+    """All events as a folder of JSON lines that grows by a third of the updates at a time, watched again each time; alarms of the trailing mean."""
     rows = X.log(spark, d).select(F.col("run").cast("long").alias("run"), F.col("upd").cast("long").alias("upd"), "value")
     folder, out = fresh_path(spark, "growing"), fresh_path(spark, "watched")
-    rows.repartitionByRange(3, "upd").sortWithinPartitions("upd").write.json(folder)
-    stream = spark.readStream.schema("run long, upd long, value double").option("maxFilesPerTrigger", "1").json(folder)
-    monitor.watch(stream, 50, 55.0, out).awaitTermination()
+    low, high = rows.agg(F.min("upd"), F.max("upd")).first()
+    third = F.floor((F.col("upd") - low) * 3 / (high - low + 1))
+    for k in range(3):
+        rows.filter(third == k).write.mode("append").json(folder)
+        monitor.watch(spark.readStream.schema("run long, upd long, value double").json(folder), 50, 55.0, out).awaitTermination()
     return rounded(spark.read.schema(monitor.ALARMS).parquet(f"{out}/alarms"), "value")
