@@ -47,7 +47,7 @@ def test_isolated_entities_and_their_pairs_stay(spark):
     assert splits.pair_roles(pairs, splits.least_loaded_folds(members, 2)).count() == 36
 
 
-@pytest.mark.parametrize(("name", "times"), [("c5_all_stratified_folds", 1), ("c3_pair_roles", 1), ("c3_hash_order_sides", 1), ("c4_fold_membership", 4)])
+@pytest.mark.parametrize(("name", "times"), [("c3_all_pair_roles", 1), ("c4_all_fold_membership", 4), ("c5_all_stratified_folds", 1), ("c3_pair_roles", 1), ("c3_hash_order_sides", 1), ("c4_fold_membership", 4)])
 def test_folds_take_every_line(spark, name, times):
     found = registry.queries()[name](spark, DATA).agg(F.sum("rows")).first()[0]
     assert found == times * fixtures.table(spark, DATA, "lineitem").count()
