@@ -40,7 +40,7 @@ PAIR = 1 << 20
 STRIDE = 4
 
 #: A space after which both tokenizers start anew: no space before it, and something visible behind it.
-_CUT = re.compile("(?<! ) (?=[^\\s᠎​⁠﻿])")
+_CUT = re.compile(r"(?<! ) (?=[^\s\u180e\u200b\u2060\ufeff])")
 
 
 class Tokens(NamedTuple):
