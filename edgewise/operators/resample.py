@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pandas as pd
@@ -10,60 +11,216 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, BinaryType, ByteType, IntegerType, StructField, StructType
 
-from edgewise.functions.expressions import hash_draw, poisson_one
+from edgewise.functions.expressions import POISSON_CUTS
 from edgewise.functions.shared import materialise
 
 #: Rows of one range of scores.
 RANGE_ROWS = 200_000
 
 
+#: Places of one block of draws.
+BLOCK = 1024
+#: Draws, or weights, that a task holds unpacked at a time.
+CHUNK = 2_000_000
+
+
+def _hashed(keys: list[bytes]) -> np.ndarray:
+    """``hash_draw`` of each key: the first 60 bits of its SHA-256."""
+    return np.frombuffer(b"".join([sha256(k).digest()[:8] for k in keys]), ">u8").astype(np.uint64) >> np.uint64(4)
+
+
+def _binary(matrix: np.ndarray) -> pa.Array:
+    """Each row of bytes as one binary value."""
+    rows, width = matrix.shape
+    if rows * width >= 1 << 31:
+        raise ValueError("a batch of multiplicities is over 2 GB; lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    offsets = np.arange(rows + 1, dtype=np.int32) * np.int32(width)
+    return pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(matrix))])
+
+
+def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column without nulls."""
+    _, offsets, data = column.buffers()
+    return np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4).astype(np.int64), np.frombuffer(data, np.uint8) if data else np.empty(0, np.uint8)
+
+
+def _listed(matrix: np.ndarray) -> pa.Array:
+    """Each row as one array."""
+    rows, width = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * np.int32(width)), pa.array(np.ascontiguousarray(matrix).reshape(-1)))
+
+
+def _multiplicities(column: pa.Array) -> np.ndarray:
+    """A row for each value of ``mult``; all have one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _packed(weights: np.ndarray) -> pa.Array:
+    """``weights`` in bytes: how many bytes a number takes, then the numbers."""
+    width = 1 if (most := int(weights.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4
+    rows = np.ascontiguousarray(weights.astype(f"<u{width}")).view(np.uint8).reshape(len(weights), -1)
+    return _binary(np.concatenate([np.full((len(weights), 1), width, np.uint8), rows], axis=1))
+
+
+def _weights(column: pa.Array) -> np.ndarray:
+    """Numbers of a column of weights, packed or an array of integers."""
+    if not pa.types.is_binary(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    at, data = _values(column)
+    size, width = np.diff(at), data[at[:-1]]
+    out = None
+    for w in np.unique(width):
+        own = np.flatnonzero(width == w)
+        length = int(size[own[0]])
+        rows = data[at[0] : at[-1]].reshape(-1, length) if len(own) == len(width) else data[at[own][:, None] + np.arange(length)]
+        numbers = np.ascontiguousarray(rows[:, 1:]).view(f"<u{w}")
+        if len(own) == len(width):
+            return numbers
+        out = np.zeros((len(width), numbers.shape[1]), np.uint32) if out is None else out
+        out[own] = numbers
+    return out
+
+
 def multinomial_draws(entities: DataFrame, replicates: int, salt: str = "boot") -> DataFrame:
-    """B1: per drawn entity ``mult``, how often it is drawn in each replicate of n draws with replacement.
+    """B1: per drawn entity ``mult``, how often it is drawn in each replicate of n draws with replacement, as ``array<tinyint>``.
 
     ``entities`` has ``entity`` and its place ``ix`` in 0..n-1. Each draw picks
-    a place by hash, so draws are spread over the cluster.
+    a place by hash. A task gathers its draws by blocks of places, so a row
+    crosses the network for each batch and block, with four bytes a draw. A
+    multiplicity over 127 is an error; among n draws it has a chance under
+    1 in 127!.
     """
-    n = entities.agg(F.count("*").alias("n"))  # one row
-    draws = entities.select("ix").crossJoin(F.broadcast(n)).select("ix", "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    picked = draws.select("rep", (hash_draw(F.concat_ws(":", F.lit(salt), F.col("rep").cast("string"), F.col("ix").cast("string"))) % F.col("n")).alias("ix"))
-    counts = picked.groupBy("rep", "ix").agg(F.count("*").cast("int").alias("mult"))
-    found = counts.groupBy("ix").agg(F.map_from_entries(F.collect_list(F.struct("rep", "mult"))).alias("found"))  # an entry a replicate at most
-    every = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.coalesce(F.try_element_at("found", r), F.lit(0)))
-    return found.join(entities.select("entity", "ix"), "ix").select("entity", every.alias("mult"))
+    n = entities.count()
+    spread = entities.select(F.col("ix").cast("long").alias("ix")).repartition(entities.sparkSession.sparkContext.defaultParallelism, "ix")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CHUNK // replicates)
+        reps = [f"{salt}:{r}:".encode() for r in range(replicates)]
+        for batch in batches:
+            places = [b"%d" % i for i in batch.column("ix").to_pylist()]
+            for start in range(0, len(places), step):
+                some = places[start : start + step]
+                picked = (_hashed([r + i for r in reps for i in some]) % np.uint64(n)).astype(np.int64)
+                block = picked // BLOCK
+                code = ((picked - block * BLOCK) * replicates + np.repeat(np.arange(replicates), len(some))).astype("<u4")
+                order = np.argsort(block, kind="stable")
+                block, code = block[order], code[order]
+                first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+                ends = [*first[1:], len(block)]
+                yield pa.RecordBatch.from_arrays([pa.array(block[first]), pa.array([code[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary())], ["block", "draws"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Counts of one block after the other."""
+        now, counts = None, None
+
+        def settle() -> pa.RecordBatch:
+            if counts.max() > 127:
+                raise ValueError("an entity is drawn over 127 times in a replicate")
+            seen = np.flatnonzero(counts.any(axis=1))
+            return pa.RecordBatch.from_arrays([pa.array(now * BLOCK + seen), _listed(counts[seen].astype(np.int8))], ["ix", "mult"])
+
+        for batch in batches:
+            for block, draws in zip(batch.column("block").to_pylist(), batch.column("draws"), strict=True):
+                if block != now:
+                    if now is not None:
+                        yield settle()
+                    now, counts = block, np.zeros((BLOCK, replicates), np.uint32)
+                np.add.at(counts.reshape(-1), np.frombuffer(draws.as_buffer(), "<u4"), 1)
+        if now is not None:
+            yield settle()
+
+    drawn = spread.mapInArrow(draw, "block long, draws binary").repartition("block").sortWithinPartitions("block").mapInArrow(gather, "ix long, mult array<tinyint>")
+    return drawn.join(entities.select("entity", F.col("ix").cast("long").alias("ix")), "ix").select("entity", "mult")
 
 
 def poisson_draws(entities: DataFrame, replicates: int, salt: str = "poisson") -> DataFrame:
-    """B2: per entity ``mult``, its Poisson(1) multiplicity in each replicate. No shuffle; the draws are written once."""
-    draws = F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: hash_draw(F.concat_ws(":", F.lit(salt), r.cast("string"), F.col("entity").cast("string"))))
-    # A transform of its own, so that a draw is hashed once and not for each cut-off.
-    return materialise(entities.select("entity", draws.alias("draws")), "draws").select("entity", F.transform("draws", lambda h: poisson_one(h).cast("int")).alias("mult"))
+    """B2: per entity ``mult``, its Poisson(1) multiplicity in each replicate, as ``array<tinyint>``. The draws are written once."""
+    kind = entities.schema["entity"].dataType
+    cuts = np.array(POISSON_CUTS, np.uint64)
+    named = entities.select("entity", F.col("entity").cast("string").alias("name")).repartition(entities.sparkSession.sparkContext.defaultParallelism, "entity")
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, CHUNK // replicates)
+        reps = [f"{salt}:{r}:".encode() for r in range(replicates)]
+        for batch in batches:
+            for start in range(0, batch.num_rows, step):
+                some = batch.slice(start, step)
+                names = [x.encode() for x in some.column("name").to_pylist()]
+                counts = np.searchsorted(cuts, _hashed([r + x for x in names for r in reps]), side="right").astype(np.int8)
+                yield pa.RecordBatch.from_arrays([some.column("entity"), _listed(counts.reshape(len(names), replicates))], ["entity", "mult"])
+
+    return materialise(named.filter("name IS NOT NULL").mapInArrow(draw, StructType([StructField("entity", kind), StructField("mult", ArrayType(ByteType()))])), "draws")
+
+
+@F.arrow_udf(BinaryType())
+def _pair_product(left: pa.Array, right: pa.Array, once: pa.Array) -> pa.Array:
+    """Products of the ends' multiplicities; the left one alone where ``once``."""
+    if not len(left):
+        return pa.array([], pa.binary())
+    one, two = _multiplicities(left), _multiplicities(right)
+    product = one.astype(np.uint16) * two.astype(np.uint16)
+    single = once.to_numpy(zero_copy_only=False).astype(bool)
+    product[single] = one[single]
+    return _packed(product)
+
+
+@F.arrow_udf(ArrayType(IntegerType()))
+def _many_product(lists: pa.Array) -> pa.Array:
+    """Product of the multiplicities of each list, number by number."""
+    rows, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    if not len(rows):
+        return pa.array([], pa.list_(pa.int32()))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    product = np.multiply.reduceat(_multiplicities(rows).astype(np.int32), starts, axis=0)
+    return _listed(product)
 
 
 def pair_weights(pairs: DataFrame, draws: DataFrame, keep: list[str], square_self: bool = False) -> DataFrame:
-    """``weights``: a pair's weight in each replicate, the product of its ends' multiplicities, a self pair's one multiplicity.
+    """``weights``: a pair's weight in each replicate, packed in bytes: the product of its ends' multiplicities, a self pair's one multiplicity.
 
-    Two joins, whatever the number of replicates. Pairs with an end that is
-    never drawn have no weight anywhere and are left out.
+    Two joins, whatever the number of replicates, that carry a byte a replicate
+    and end. Pairs with an end that is never drawn have no weight anywhere and
+    are left out.
     """
     left, right = draws.select(F.col("entity").alias("a"), F.col("mult").alias("ma")), draws.select(F.col("entity").alias("b"), F.col("mult").alias("mb"))
     joined = pairs.join(left, "a").join(right, "b")
     same = F.lit(False) if square_self else F.col("a") == F.col("b")
-    return joined.select(*keep, F.when(same, F.col("ma")).otherwise(F.zip_with("ma", "mb", lambda x, y: x * y)).alias("weights"))
+    return joined.select(*keep, _pair_product("ma", "mb", same).alias("weights"))
 
 
 def replicate_metrics(weighted: DataFrame, keys: list[str], score: str = "score", label: str = "y") -> DataFrame:
-    """AP and AUROC of each replicate (``rep``) and key from rows with ``weights``; null where a class has no weight.
+    """AP and AUROC of each replicate (``rep``) and key from rows with ``weights`` (packed, or an array of integers); null where a class has no weight.
 
-    All replicates share one order of scores, so rows are dealt once, by ranges
-    of each key's scores, and all replicates are summed along a range together.
-    The sums of the ranges above it start each range. Rows are never multiplied
-    by replicates. ``keys`` are few and not null.
+    Rows of one score and label are summed where they are read, batch by batch.
+    All replicates share one order of scores, so what is left is dealt once, by
+    ranges of each key's scores, and all replicates are summed along a range
+    together. The sums of the ranges above it start each range. Rows are never
+    multiplied by replicates. ``keys`` are few and not null.
     """
     kinds = dict(weighted.dtypes)
     named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
     sides = ["tp", "fp"]
-    rows = materialise(weighted.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"), "weights"), "weighted")
+    comma = ", " if keys else ""
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sum the weights of rows that share key, score and label."""
+        same = [*keys, "score", "y"]
+        for batch in batches:
+            step = max(1, CHUNK // len(_weights(batch.column("weights").slice(0, 1))[0])) if batch.num_rows else 1
+            for start in range(0, batch.num_rows, step):
+                some = batch.slice(start, step)
+                place = pd.DataFrame({k: some.column(k).to_pandas() for k in same})
+                group = place.groupby(same, sort=False, dropna=False).ngroup().to_numpy()
+                order = np.argsort(group, kind="stable")
+                first = np.flatnonzero(np.concatenate([[True], group[order][1:] != group[order][:-1]]))
+                sums = np.add.reduceat(_weights(some.column("weights"))[order], first, axis=0, dtype=np.uint32)
+                kept = some.take(pa.array(order[first]))
+                yield pa.RecordBatch.from_arrays([*[kept.column(k) for k in same], _packed(sums)], [*same, "weights"])
+
+    rows = weighted.select(*keys, F.col(score).cast("double").alias("score"), F.col(label).cast("int").alias("y"), "weights")
+    rows = materialise(rows.mapInArrow(combine, f"{named}{comma}score double, y int, weights binary"), "weighted")
     ranges = max(1, -(-rows.count() // RANGE_ROWS))
     cuts = F.percentile_approx("score", F.array(*[F.lit(k / ranges) for k in range(1, ranges)]), 20 * ranges) if ranges > 1 else F.array().cast("array<double>")
     cut = rows.groupBy(*keys).agg(cuts.alias("cuts"))
@@ -86,7 +243,7 @@ def replicate_metrics(weighted: DataFrame, keys: list[str], score: str = "score"
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w, y = matrix(batch, "weights"), batch.column("y").to_numpy(zero_copy_only=False)
+            w, y = _weights(batch.column("weights")).astype(np.float64), batch.column("y").to_numpy(zero_copy_only=False)
             place = pd.DataFrame({k: batch.column(k).to_pandas() for k in [*keys, "part"]})
             for key, at in place.groupby([*keys, "part"]).indices.items():
                 key = key if isinstance(key, tuple) else (key,)
@@ -112,11 +269,10 @@ def replicate_metrics(weighted: DataFrame, keys: list[str], score: str = "score"
             yield frame(out, sides)
 
     lists = "part long, tp array<double>, fp array<double>"
-    comma = ", " if keys else ""
     sums = dealt.mapInArrow(add_up, f"{named}{comma}{lists}")
     heads = sums.repartition(*[F.col(k) for k in keys] or [F.lit(0)]).sortWithinPartitions(*keys, "part").mapInArrow(before, f"{named}{comma}{lists}")
     none = lambda kind: F.lit(None).cast(kind)
-    both = heads.select(*keys, "part", F.lit(True).alias("head"), none("double").alias("score"), none("int").alias("y"), none("array<int>").alias("weights"), *sides).unionByName(
+    both = heads.select(*keys, "part", F.lit(True).alias("head"), none("double").alias("score"), none("int").alias("y"), none("binary").alias("weights"), *sides).unionByName(
         dealt.select(*keys, "part", F.lit(False).alias("head"), "score", "y", "weights", *[none("array<double>").alias(s) for s in sides])
     )
 
@@ -154,7 +310,7 @@ def replicate_metrics(weighted: DataFrame, keys: list[str], score: str = "score"
                 end = at
                 while end < len(place) and not heads[end]:
                     end += 1
-                w = matrix(batch.slice(at, end - at), "weights")
+                w = _weights(batch.column("weights").slice(at, end - at)).astype(np.float64)
                 s, positive = score[at:end], (y[at:end] == 1).astype(float)[:, None]
                 starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                 tp, fp = np.add.reduceat(w * positive, starts, axis=0), np.add.reduceat(w * (1 - positive), starts, axis=0)
@@ -216,5 +372,4 @@ def component_weights(rows: DataFrame, draws: DataFrame, members: list[str]) ->
     size = F.size(F.array_distinct(F.array(*members)))
     each = rows.select("row_id", size.alias("k"), F.explode(F.array_distinct(F.array(*members))).alias("entity"))
     joined = each.join(draws, "entity").groupBy("row_id").agg(F.collect_list("mult").alias("all"), F.count("*").alias("found"), F.max("k").alias("k")).filter("found = k")
-    product = F.aggregate(F.slice("all", 2, 1_000_000), F.col("all")[0], lambda s, x: F.zip_with(s, x, lambda a, b: a * b))
-    return joined.select("row_id", product.alias("weights"))
+    return joined.select("row_id", _many_product("all").alias("weights"))

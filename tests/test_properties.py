@@ -1,14 +1,17 @@
 """Properties and edge cases on small hand-made frames."""
 
+import hashlib
 import json
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from edgewise.functions.expressions import POISSON_CUTS
 from edgewise.operators import align, decide, metrics, pairs, resample, sampling, similar, splits
 from edgewise.operators.graph import connected_components
 from edgewise.sources import files
@@ -185,6 +188,61 @@ def test_replicates_match_a_loop(spark, monkeypatch, rows_of_range):
         assert (r["ap"], r["auroc"]) == pytest.approx(plain_curve([(s, y, w[r["rep"]]) for m, s, y, w in rows if m == r["model"]]))
 
 
+def hashed(key):
+    return int(hashlib.sha256(key.encode()).hexdigest()[:15], 16)
+
+
+def test_draws_match_a_loop(spark, monkeypatch):
+    """Several blocks of places and pieces of a batch; names that are no ASCII; an entity that is never drawn has no row."""
+    monkeypatch.setattr(resample, "BLOCK", 7)
+    monkeypatch.setattr(resample, "CHUNK", 15)
+    names = [f"é{i}" for i in range(40)]
+    entities = spark.createDataFrame(list(zip(names, range(40))), "entity string, ix int")
+    counts = np.zeros((40, 3), int)
+    for rep in range(3):
+        for ix in range(40):
+            counts[hashed(f"boot:{rep}:{ix}") % 40, rep] += 1
+    assert {r["entity"]: r["mult"] for r in resample.multinomial_draws(entities, 3).collect()} == {n: c.tolist() for n, c in zip(names, counts) if c.any()}
+    poisson = {r["entity"]: r["mult"] for r in resample.poisson_draws(entities, 3).collect()}
+    assert poisson == {n: [sum(hashed(f"poisson:{rep}:{n}") >= c for c in POISSON_CUTS) for rep in range(3)] for n in names}
+
+
+def test_draws_of_empty_tables(spark):
+    none = spark.createDataFrame([], "entity string, ix long")
+    assert resample.multinomial_draws(none, 3).collect() == resample.poisson_draws(none, 3).collect() == []
+    pairs = spark.createDataFrame([("a", "b", 0.5, 1)], "a string, b string, score double, y int")
+    assert resample.replicate_metrics(resample.pair_weights(pairs, resample.poisson_draws(none, 3), ["score", "y"]), []).collect() == []
+
+
+@pytest.mark.parametrize("weights", [[3, 0, 250], [3, 0, 60_000], [70_000, 1, 2]])
+def test_packed_weights_are_read_back(weights):
+    rows = np.array([weights, [0, 1, 2]])
+    assert resample._weights(resample._packed(rows)).tolist() == rows.tolist()
+
+
+def test_packed_weights_of_several_widths():
+    mixed = pa.concat_arrays([resample._packed(np.array([[1, 2]])), resample._packed(np.array([[300, 2], [5, 6]])), resample._packed(np.array([[1 << 20, 9]]))])
+    assert resample._weights(mixed).tolist() == [[1, 2], [300, 2], [5, 6], [1 << 20, 9]]
+    assert resample._weights(mixed.slice(1, 2)).tolist() == [[300, 2], [5, 6]]
+    assert resample._weights(mixed.slice(2)).tolist() == [[5, 6], [1 << 20, 9]]
+
+
+@pytest.mark.parametrize("square", [False, True])
+def test_weighted_pairs_match_a_loop(spark, square):
+    """Drawn ends to metrics of each replicate: selves, ties and scores without ties, pairs whose ends are never drawn."""
+    rng = np.random.default_rng(8)
+    draws = {f"e{i}": rng.poisson(1, 4).tolist() for i in range(12)}
+    pairs = [(f"e{rng.integers(14)}", f"e{rng.integers(14)}", float(rng.integers(0, 6)) if i % 2 else float(rng.random() * 6), int(rng.integers(0, 2))) for i in range(200)]
+    table = spark.createDataFrame(list(draws.items()), "entity string, mult array<tinyint>")
+    weighted = resample.pair_weights(spark.createDataFrame(pairs, "a string, b string, score double, y int"), table, ["score", "y"], square_self=square)
+    found = resample.replicate_metrics(weighted, []).collect()
+    assert len(found) == 4
+    for r in found:
+        k = r["rep"]
+        rows = [(s, y, draws[a][k] * (1 if a == b and not square else draws[b][k])) for a, b, s, y in pairs if a in draws and b in draws]
+        assert (r["ap"], r["auroc"]) == pytest.approx(plain_curve(rows))
+
+
 def test_running_sums_and_percentiles_match_a_loop(spark):
     from edgewise.operators import metrics
 
