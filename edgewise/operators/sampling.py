@@ -63,10 +63,15 @@ def decile_sample(df: DataFrame, row: str, value: str, k: int, salt: str) -> Dat
     return tagged.withColumn("place", F.row_number().over(Window.partitionBy("decile").orderBy(_draw(salt, row), row))).filter(F.col("place") <= k)
 
 
-def first_by_hash(df: DataFrame, k: int, h: str = "h") -> DataFrame:
-    """The ``k`` rows of the least ``h``, a hash of the row; its cut-off comes from running counts, not from a global sort."""
+def hash_cut(df: DataFrame, k: int, h: str = "h") -> int | None:
+    """The greatest ``h`` up to which there are ``k`` rows at most; from running counts, not from a global sort."""
     counts = running_sums(df.groupBy(h).agg(F.count("*").alias("n")), [], h, ["n"])
-    cut = counts.filter(F.col("cum_n") <= k).agg(F.max(h)).first()[0]
+    return counts.filter(F.col("cum_n") <= k).agg(F.max(h)).first()[0]
+
+
+def first_by_hash(df: DataFrame, k: int, h: str = "h") -> DataFrame:
+    """The ``k`` rows of the least ``h``, a hash of the row."""
+    cut = hash_cut(df, k, h)
     return df.filter(F.col(h) <= cut) if cut is not None else df.limit(0)
 
 
@@ -121,9 +126,12 @@ def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: s
     """Candidates in hash order while no entity has over ``cap`` times its positive degree.
 
     Rounds: a candidate whose rank within both ends is inside both remaining
-    caps is taken. Ends when a round takes none, or when ``target`` are taken;
-    the caps always hold. Of more than ``target`` the first in hash order stay;
-    fewer are an error. ``max_rounds`` raises where it would end before that.
+    caps is taken, as going through the candidates one after the other would.
+    Ends when no candidate is open. With ``target``, it is the first that many
+    of the same order: once enough are taken, candidates behind the last of
+    them can't matter and are dropped, and rounds go on until all before it are
+    decided. Too few are an error. ``max_rounds`` raises where it would end
+    before that. Candidates are distinct.
     """
     room = entity_degrees(positives.withColumn("y", F.lit(1)).select("a", "b", "y")).select("entity", (F.col("pos") * cap).alias("room"))
     left = materialise(candidates.withColumn("h", hash_draw(F.concat_ws(":", F.lit(salt), "a", "b"))), "candidates")
@@ -139,11 +147,15 @@ def degree_capped(candidates: DataFrame, positives: DataFrame, cap: int, salt: s
         found = now.count()
         if found:
             taken, have = now if taken is None else taken.union(now), have + found
-        if not found or (target is not None and have >= target):
+        if not found:
             break
         used = now.select(F.explode(F.array("a", "b")).alias("entity")).groupBy("entity").agg(F.count("*").alias("used"))
         room = materialise(room.join(used, "entity", "left").select("entity", (F.col("room") - F.coalesce("used", F.lit(0))).alias("room")).filter("room > 0"), "room")
         left = marked.filter("NOT take").select("a", "b", "h")
+        if target is not None and have >= target:
+            taken = materialise(first_by_hash(taken, target), "taken")
+            have = target
+            left = left.filter(F.col("h") < taken.agg(F.max("h")).first()[0]) if target else left.limit(0)
     if target is not None and have < target:
         raise ValueError(f"{have} candidates fit the caps; {target} are wanted")
     if taken is None:

@@ -152,6 +152,20 @@ def n3(spark: SparkSession, d: str) -> DataFrame:
     return N.degree_capped(N.negative_candidates(positives, 4.0), positives, 6, target=positives.count())
 
 
+@query("n3_first_capped_blocs", "WITH RECURSIVE " + X.ctes("blocs").removeprefix("WITH ") + f""", o AS (SELECT a, b, row_number() OVER (ORDER BY {_H.format("'cap:' || a || ':' || b")}) AS k FROM blocs WHERE y = 0),
+room AS (SELECT entity, count(*) AS room FROM (SELECT a AS entity FROM blocs WHERE y = 1 UNION ALL SELECT b FROM blocs WHERE y = 1) GROUP BY entity),
+c AS (SELECT o.*, coalesce(x.room, 0) AS ra, coalesce(z.room, 0) AS rb FROM o LEFT JOIN room x ON x.entity = a LEFT JOIN room z ON z.entity = b),
+r(k, a, b, take, used) AS (SELECT 0::BIGINT, '', '', FALSE, []::VARCHAR[] UNION ALL
+  SELECT k, a, b, fits, CASE WHEN fits THEN used || [a, b] ELSE used END FROM (SELECT c.k, c.a, c.b, r.used, len(list_filter(r.used, lambda u: u = c.a)) < c.ra AND len(list_filter(r.used, lambda u: u = c.b)) < c.rb AS fits FROM r JOIN c ON c.k = r.k + 1)),
+n AS (SELECT count(*) FILTER (take) // 2 AS most FROM r) SELECT a, b FROM r, n WHERE take ORDER BY k LIMIT (SELECT most FROM n)""")
+def n3_first(spark: SparkSession, d: str) -> DataFrame:
+    """Of all blocs without the label those that one pass in hash order takes while both ends keep to their positive degrees, up to half of the pass."""
+    rows = X.blocs(spark, d)
+    negative, positive = rows.filter("y = 0").select("a", "b"), rows.filter("y = 1").select("a", "b")
+    most = N.degree_capped(negative, positive, 1).count() // 2
+    return N.degree_capped(negative, positive, 1, target=most)
+
+
 @query("w15_length_pool_batches", X.ctes("entity") + f""", n AS (SELECT CAST(greatest(1, ceil(count(*) / (50 * 16.0))) AS BIGINT) AS pools FROM entity), o AS (SELECT entity, len, {_H.format("'pool:' || entity")} AS h FROM entity), p AS (SELECT *, CAST(h % pools AS INTEGER) AS pool FROM o, n),
 r AS (SELECT *, (row_number() OVER (PARTITION BY pool ORDER BY len, entity) - 1) // 16 AS batch FROM p) SELECT entity, pool, CAST(batch AS BIGINT) AS batch, {_H.format("'pool-turn:' || pool || ':' || batch")} AS turn FROM r""")
 def w15(spark: SparkSession, d: str) -> DataFrame:

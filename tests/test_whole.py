@@ -1,5 +1,6 @@
 """Queries and operators that must not leave part of the job out."""
 
+import hashlib
 import os
 from collections import Counter
 
@@ -103,6 +104,44 @@ def test_quartets_keep_edge_caps(spark):
     assert max(load.values()) == 2 and not [q for q in quartets if q not in taken and load[q[:2]] < 2 and load[q[2:]] < 2]
 
 
+def one_pass(rows, salt, keys, caps):
+    """Rows in hash order, each taken while all its keys have room."""
+    used, taken = Counter(), []
+    for r in sorted(rows, key=lambda r: int(hashlib.sha256(":".join([salt, *r]).encode()).hexdigest()[:15], 16)):
+        if all(used[k] < caps(k) for k in keys(r)):
+            taken.append(r)
+            used.update(keys(r))
+    return taken
+
+
+@pytest.fixture(scope="module")
+def crowded():
+    """Candidates between few ends, one of them in a third of all rows; some ends have no room."""
+    pool = {(f"x{i % 13}", f"z{i % 11}") for i in range(110)} | {("hub", f"z{i}") for i in range(45)}
+    room = {**{f"x{i}": i % 5 for i in range(13)}, **{f"z{i}": 1 + i % 4 for i in range(40)}, "hub": 9}
+    return sorted(pool), room
+
+
+@pytest.mark.parametrize("target", [1, 7, 14, None])
+def test_capped_pairs_are_the_first_of_one_pass(spark, crowded, target):
+    pool, room = crowded
+    taken = one_pass(pool, "cap", lambda r: r, lambda e: room.get(e, 0))
+    assert len(taken) > 20
+    positives = [(e, f"{e}+{i}") for e, n in room.items() for i in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    found = sampling.degree_capped(frame(pool), frame(positives), 1, target=target or len(taken))
+    assert {tuple(r) for r in found.collect()} == set(taken[:target])
+
+
+@pytest.mark.parametrize("most", [5, 1000])
+def test_capped_quartets_are_the_first_of_one_pass(spark, most):
+    rows = sorted({(f"a{i % 5}", f"b{i % 7}", f"c{i % 6}", f"d{i % 11}") for i in range(150)})
+    keys = lambda q: {*q, q[:2], q[2:]}
+    wanted = one_pass(rows, "quartet", keys, lambda k: 2 if isinstance(k, tuple) else 6)
+    found = decide.capped_quartets(spark.createDataFrame(rows, "a string, b string, c string, d string"), 6, most, edge_cap=2)
+    assert len(wanted) > 8 and {tuple(r) for r in found.collect()} == set(wanted[:most])
+
+
 def test_rounds_beyond_a_bound_raise(spark):
     quartets = spark.createDataFrame(chain(12), "a string, b string, c string, d string")
     with pytest.raises(RuntimeError, match="settle"):
