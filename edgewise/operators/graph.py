@@ -34,3 +34,60 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             discard(spark, once)
             return labels.select("node", F.col("label").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+#: Rows from which a node can be a hub; a hub has over one row in ``HUB_SHARE``.
+HUB_ROWS, HUB_SHARE = 10_000, 1000
+
+
+def _beside_least(edges: DataFrame, rows: int) -> DataFrame:
+    """``edges`` (u, v), ``rows`` of them at most, with ``m``, the least of u and its neighbours v.
+
+    Hubs, fewer than ``HUB_SHARE`` by their definition, get theirs from a
+    broadcast table, so no task joins a whole hub.
+    """
+    least = edges.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+    found = least.filter(F.col("n") > max(HUB_ROWS, rows // HUB_SHARE)).select("u", "m").collect() if rows > HUB_ROWS else []
+    if not found:
+        return edges.join(least.select("u", "m"), "u")
+    hubs = edges.sparkSession.createDataFrame(found, least.select("u", "m").schema)
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti")
+    return edges.join(F.broadcast(hubs), "u").unionByName(rest.join(rest.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "u"))
+
+
+def star_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> tuple[DataFrame, list[int]]:
+    """``node`` and ``component`` (its smallest node) by alternating large and small stars, and the edges left after each round.
+
+    A large star ties a node's larger neighbours to the least of its
+    neighbourhood, a small star a node and its smaller neighbours; repeated
+    edges merge, until each component is one star. A long path takes rounds by
+    the logarithm of its length. Each round is written to the shared folder, so
+    a lost executor costs one round; the tables before it are deleted. Self
+    edges give components of one; edges with a null end are left out.
+    """
+    spark = edges.sparkSession
+    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
+    every = materialise(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    facts = (F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("digest"))
+    now = every.filter("u <> v")
+    before, counts, spent = now.agg(*facts).first(), [], []
+    while True:
+        if len(counts) == max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        large = _beside_least(now.union(now.select("v", "u")), 2 * before["n"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # Edges go from a node to a smaller one, which is what small stars start from.
+        spent.append(fresh_path(spark, "large"))
+        small = _beside_least(materialise(large, path=spent[-1]), before["n"])
+        both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        place = fresh_path(spark, "stars")
+        now = materialise(small.select(F.explode(both).alias("e")).select("e.*").filter("u <> v").distinct(), path=place)
+        for path in spent:
+            discard(spark, path)
+        after, spent = now.agg(*facts).first(), [place]
+        counts.append(after["n"])
+        if after == before:
+            break
+        before = after
+    stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    ends = every.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    return ends.join(stars, "node", "left").select("node", F.coalesce("component", "node").alias("component")), counts

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from edgewise.operators import splits as S
-from edgewise.operators.graph import connected_components
+from edgewise.operators.graph import connected_components, star_components
 
 from . import fixtures as X
 from .registry import _SQL, query
@@ -52,6 +52,31 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return family_members(spark, d).withColumnRenamed("entity", "node")
 
 
+@query("c1_qualified_components", """WITH RECURSIVE part_family AS (SELECT CAST(100000000 + p_partkey AS BIGINT) AS node, p_brand || p_type || p_size AS family FROM part),
+ent AS (SELECT node FROM part_family UNION ALL SELECT CAST(s_suppkey AS BIGINT) FROM supplier),
+one AS (SELECT min(node) OVER (PARTITION BY family) AS u, node AS v FROM part_family UNION ALL SELECT l_suppkey, 100000000 + l_partkey FROM lineitem WHERE l_quantity >= 49 AND l_discount >= 0.095),
+e AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM one UNION ALL SELECT v, u FROM one) WHERE u <> v),
+cc(node, component) USING KEY (node) AS (SELECT node, node FROM ent UNION
+  SELECT e.v, min(cc.component) FROM cc JOIN e ON e.u = cc.node JOIN recurring.cc AS r ON r.node = e.v WHERE cc.component < r.component GROUP BY e.v)
+SELECT node, component FROM cc""")
+def c1_qualified(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of one brand, type and size as families, and as hits the order lines that qualify by quantity and discount: components of many links across."""
+    part = X.table(spark, d, "part").select((F.lit(100000000) + F.col("p_partkey")).alias("entity"), F.concat("p_brand", "p_type", F.col("p_size").cast("string")).alias("family"))
+    every = part.unionByName(X.table(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("entity"), F.lit(None).cast("string").alias("family")))
+    line = X.table(spark, d, "lineitem").filter("l_quantity >= 49 AND l_discount >= 0.095")
+    hits = line.select(F.col("l_suppkey").cast("long").alias("q"), (F.lit(100000000) + F.col("l_partkey")).alias("t"))
+    return S.with_components(every, star_components(S.must_link_edges(every, hits))[0]).select(F.col("entity").alias("node"), "component")
+
+
+@query("c1_order_chains", "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders")
+def c1_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Every order linked to its customer's next one by date: a long path a customer."""
+    orders = X.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    chained = orders.select(F.col("o_orderkey").alias("src"), F.coalesce(following, "o_orderkey").alias("dst"))
+    return star_components(chained)[0]
+
+
 @query("c2_contracted_graph", _FAMILIES + """, h AS (SELECT s AS q, 100000000 + p AS t, w FROM lines)
 SELECT least(x.component, z.component) AS lo, greatest(x.component, z.component) AS hi,
   CAST(max(greatest(1, floor(100 * l_quantity / least(l_linenumber, 5) + 0.5))) AS BIGINT) AS weight

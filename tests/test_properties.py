@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import POISSON_CUTS
-from edgewise.operators import align, decide, metrics, pairs, resample, sampling, similar, splits
+from edgewise.operators import align, decide, graph, metrics, pairs, resample, sampling, similar, splits
 from edgewise.operators.graph import connected_components
 from edgewise.sources import files
 
@@ -188,6 +188,42 @@ def test_replicates_match_a_loop(spark, monkeypatch, rows_of_range):
         assert (r["ap"], r["auroc"]) == pytest.approx(plain_curve([(s, y, w[r["rep"]]) for m, s, y, w in rows if m == r["model"]]))
 
 
+@pytest.mark.parametrize("hub_rows", [2, 10_000])
+def test_star_components_match_union_find(spark, monkeypatch, hub_rows):
+    """A hub in a third of all rows, paths, repeated and self edges, null ends."""
+    monkeypatch.setattr(graph, "HUB_ROWS", hub_rows)
+    monkeypatch.setattr(graph, "HUB_SHARE", 10)
+    rng = np.random.default_rng(9)
+    edges = [(f"h{i % 60}", "h9") for i in range(120)] + [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(50)] + [(f"r{a}", f"r{b}") for a, b in rng.integers(0, 150, (90, 2))] + [("alone", "alone")]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        parent[high] = low
+    frame = spark.createDataFrame([*edges, ("h1", None), (None, "q"), (None, None)], "src string, dst string")
+    found, left = graph.star_components(frame)
+    rows = found.collect()
+    assert len(rows) == len(parent) and {r["node"]: r["component"] for r in rows} == {x: find(x) for x in parent}
+    assert left[-1] == sum(find(x) != x for x in parent)
+
+
+def test_star_components_of_a_long_path_take_few_rounds(spark):
+    path = spark.range(2999).select((F.col("id") * 1237 % 3001).alias("src"), ((F.col("id") + 1) * 1237 % 3001).alias("dst"))
+    found, left = graph.star_components(path)
+    assert found.count() == 3000 and found.filter("component <> 0").isEmpty() and len(left) <= 14
+    with pytest.raises(RuntimeError, match="settle"):
+        graph.star_components(path, max_rounds=2)
+
+
+def test_star_components_of_no_edges(spark):
+    assert graph.star_components(spark.createDataFrame([], "src long, dst long"))[0].collect() == []
+
+
 def hashed(key):
     return int(hashlib.sha256(key.encode()).hexdigest()[:15], 16)
 
