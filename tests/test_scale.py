@@ -126,3 +126,41 @@ def test_sides_of_components_in_hash_order(spark, kind):
     draw = {r["component"]: r["h"] for r in rows.select("component", splits.hash_draw(F.concat_ws(":", F.lit("side"), F.col("component").cast("string"))).alias("h")).collect()}
     wanted = sides_in_turn(sorted(enumerate(sizes), key=lambda x: (draw[x[0]], x[0])))
     assert {k: s for k, (s, _) in found.items()} == wanted and Counter({k: n for k, (_, n) in found.items()}) == Counter(dict(enumerate(sizes)))
+
+
+def repeated_rows(spark):
+    """Random rows, rows that repeat one seed value, rows of several lengths, one too short."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.integers(0, 4, 12 + k % 9).tolist()) for k in range(40)] + [(100 + k, [1] * 15) for k in range(8)] + [(200, [1, 2])]
+    return spark.createDataFrame(rows, "row long, tokens array<int>")
+
+
+def shuffled_matches(df):
+    """Whether a plan shuffles or sorts pairs of sequences."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return any("Exchange hashpartitioning(p" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("piece", [50, 1_000_000])
+def test_segments_are_merged_where_blocks_meet(spark, monkeypatch, piece):
+    """No list of matches is shuffled; the segments are those of all matches, in pieces too."""
+    monkeypatch.setattr(align, "PIECE", piece)
+    df, patterns = repeated_rows(spark), ["11011", "101101"]
+    matches = align.seed_matches(df, patterns, block=7)
+    listed = lambda f: sorted(tuple(r) for r in f.select("p", "q", "diagonal", "p_start", "p_end", "seeds").collect())
+    found = align.diagonal_segments(df, patterns, 6, block=7)
+    assert listed(found) == listed(align.extend_diagonals(matches, 6)) and found.count() > 100
+    assert not shuffled_matches(matches) and not shuffled_matches(found)
+
+
+@pytest.mark.parametrize("most", [1, 3, 40])
+def test_trimmed_segments_need_few_matches(spark, most):
+    df, patterns = repeated_rows(spark), ["1101", "1011"]
+    listed = lambda f: sorted(tuple(r) for r in f.select("p", "q", "diagonal", "start", "end").collect())
+    wanted = listed(align.trim_positions(align.extend_diagonals(align.seed_matches(df, patterns), 4), most))
+    assert listed(align.trimmed_segments(df, patterns, 4, most)) == wanted and len(wanted) >= 10
+
+
+def test_scores_of_many_letters(spark, monkeypatch):
+    monkeypatch.setattr(align, "LETTERS", 2)
+    test_segments_need_no_matches(spark)
