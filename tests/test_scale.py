@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgewise.operators import align, pairs, similar, splits
+from edgewise.plans import registry
 
 GAP = align.GAP
 
@@ -164,3 +165,13 @@ def test_trimmed_segments_need_few_matches(spark, most):
 def test_scores_of_many_letters(spark, monkeypatch):
     monkeypatch.setattr(align, "LETTERS", 2)
     test_segments_need_no_matches(spark)
+
+
+@pytest.mark.parametrize(("loads", "size"), [([0, 0, 0], 1), ([5, 0, 3, 3], 2), ([100, 1, 7], 3), ([4, 4], 9), ([6], 2), ([9, 2, 0, 40, 2], 4)])
+def test_turns_of_folds_match_a_loop(loads, size):
+    turns, now = splits._turns(loads, size), list(loads)
+    for rank in range(200):
+        start, folds = [t for t in turns if t[0] <= rank][-1]
+        k = now.index(min(now))
+        now[k] += size
+        assert folds[(rank - start) % len(folds)] == k
