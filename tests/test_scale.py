@@ -167,6 +167,16 @@ def test_scores_of_many_letters(spark, monkeypatch):
     test_segments_need_no_matches(spark)
 
 
+def test_verdicts_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    """Suppliers with the same discounts, of a mean at a limit, in several orders."""
+    rng = np.random.default_rng(1)
+    cents = [1, 9, 3, 7, 2, 8, 4, 6, 0, 10] * 9 + [6] * 10  # 510 over 100 rows: a mean of 0.051
+    rows = [(s, c / 100) for s in range(200) for c in rng.permutation(cents).tolist()]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.queries()["e3_interval_verdict"](spark, str(tmp_path))
+    assert found.count() == 200 and found.select("verdict").distinct().count() == 1
+
+
 @pytest.mark.parametrize(("loads", "size"), [([0, 0, 0], 1), ([5, 0, 3, 3], 2), ([100, 1, 7], 3), ([4, 4], 9), ([6], 2), ([9, 2, 0, 40, 2], 4)])
 def test_turns_of_folds_match_a_loop(loads, size):
     turns, now = splits._turns(loads, size), list(loads)
