@@ -213,3 +213,16 @@ def test_negative_pool_reaches_its_target(spark):
     assert sampling.degree_capped(pool, positives, 6, target=n).count() == n
     with pytest.raises(ValueError, match="fit the caps"):
         sampling.degree_capped(pool.limit(5), positives, 6, target=n)
+
+
+def test_negatives_broadcast_no_pairs(spark):
+    """A table of pairs that a driver can't hold is never collected there."""
+    positives = spark.range(60_000).selectExpr("concat('a', id % 300) AS a", "concat('b', id div 300) AS b")
+    before = spark.conf.get("spark.sql.maxBroadcastTableSize")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2m")
+    try:
+        pool = sampling.negative_candidates(positives, 0.5)
+        assert pool.count() == 30_000
+        assert sampling.degree_capped(pool, positives, 2).count() > 0
+    finally:
+        spark.conf.set("spark.sql.maxBroadcastTableSize", before)
