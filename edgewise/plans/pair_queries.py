@@ -175,7 +175,7 @@ def t2(spark: SparkSession, d: str) -> DataFrame:
 @query("t1_hash_order", X.ctes("pairs") + "SELECT row_id, row_number() OVER (PARTITION BY line ORDER BY sha256('seed:' || row_id)) AS place FROM pairs")
 def t1(spark: SparkSession, d: str) -> DataFrame:
     key = F.sha2(F.concat(F.lit("seed:"), F.col("row_id").cast("string")).cast("binary"), 256)
-    return P.rank_within(X.pairs(spark, d), ["line"], [key], 2**31 - 1).select("row_id", F.col("rank").cast("long").alias("place"))
+    return P.places_within(X.pairs(spark, d).select("row_id", "line"), ["line"], [F.unhex(key)]).select("row_id", "place")
 
 
 @query("j2_enrich_ends", """SELECT s_nationkey AS nation, p_brand AS brand, count(*) AS rows FROM lineitem LEFT JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY ALL""")

@@ -1,8 +1,22 @@
 """No task holds what grows with the input: how rows are dealt, and the same results on odd rows."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
+
+from edgewise.operators import metrics, pairs
+from edgewise.plans import registry
+
+DATA = "/root/testdata/sf0.001"
+
 
-from edgewise.operators import metrics
+@pytest.fixture
+def uncoalesced(spark):
+    """Small tables keep their partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def plan(df):
@@ -16,3 +30,23 @@ def test_balanced_ap_joins_no_rows_by_model(spark, monkeypatch):
     found = {r["model"]: r["balanced_ap"] for r in metrics.balanced_ap(spark.createDataFrame(rows, "model string, score double, y int"), ["model"]).collect()}
     assert seen and not any("Join" in p for p in seen)
     assert found == {"x": pytest.approx(0.5 + 0.5 * 1 / (1 + 1 / 3)), "one": None, "none": None}
+
+
+def test_places_are_dealt_by_ranges(spark, monkeypatch, uncoalesced):
+    tables, write = [], pairs.materialise
+    monkeypatch.setattr(pairs, "materialise", lambda df, *more: tables.append(write(df, *more)) or tables[-1])
+    n = registry.queries()["t1_hash_order"](spark, DATA).count()
+    sizes = [r["count"] for t in tables for r in t.groupBy("__part").count().collect()]
+    assert sum(sizes) == n and max(sizes) < 0.5 * n and len(sizes) == 4
+
+
+def test_places_of_ties_and_nulls(spark, uncoalesced):
+    rows = [("a" if i % 3 else None, None if i % 7 == 0 else i % 50) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    found = pairs.places_within(df, ["g"], [-F.col("v")], "k").collect()
+    assert Counter((r["g"], r["v"]) for r in found) == Counter(rows)
+    for g, n in Counter(g for g, _ in rows).items():
+        own = sorted((r["k"], r["v"]) for r in found if r["g"] == g)
+        values = [99 if v is None else v for _, v in own]
+        assert [k for k, _ in own] == list(range(1, n + 1)) and values == sorted(values, reverse=True)
+    assert pairs.places_within(df.limit(0), ["g"], [F.col("v")]).isEmpty()
