@@ -6,23 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from edgewise.functions.shared import fresh_path, materialise, shared_dir
+from edgewise.functions.shared import bounded_batches, fresh_path, materialise, shared_dir
 
 __all__ = ["bounded_batches", "fresh_path", "groups_in_order", "held_out", "materialise", "sample_by_hash", "shared_dir", "spread_join", "whole_row"]
 
-#: Rows in one Arrow batch. Texts can be long, so a batch is kept small.
-ARROW_ROWS = 1000
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch so that long texts fit a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of documents whose labels are never learned from.
 

@@ -106,8 +106,8 @@ v AS (SELECT entity, x, n / sqrt(sum(n * n) OVER (PARTITION BY entity)) AS w FRO
 SELECT a, b, round(sum(x.w * z.w), 6) AS cosine FROM p JOIN v x ON x.entity = a JOIN v z ON z.entity = b AND z.x = x.x GROUP BY ALL""")
 def f2(spark: SparkSession, d: str) -> DataFrame:
     talks = X.table(spark, d, "conversations").select(F.col("conv_id").alias("a"), (F.col("conv_id") + F.col("turn") + 1).alias("b")).distinct()
-    shares = E.letter_shares(X.entity(spark, d), _LETTERS).select("entity", F.col("letter").alias("mer"), "n")
-    return rounded(E.mer_cosine(talks, shares), "cosine")
+    found = E.mer_cosines(talks, X.entity(spark, d), _LETTERS, [1]).select("a", "b", F.col("cosines")[0].alias("cosine"))
+    return rounded(found.filter("cosine > 0"), "cosine")
 
 
 @query("f1_composition_vector", X.ctes("entity") + """, t AS (SELECT entity, len, string_split(seq, '') AS s FROM entity WHERE len > 0), a AS (SELECT entity, len, list_transform(s, lambda x: CASE WHEN contains('acdefghiklmnpqrstvwy', x) THEN x END) AS s FROM t),

@@ -1,11 +1,12 @@
 """No task holds what grows with the input: how rows are dealt, and the same results on odd rows."""
 
+import math
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from edgewise.operators import metrics, pairs
+from edgewise.operators import features, metrics, pairs
 from edgewise.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -50,3 +51,38 @@ def test_places_of_ties_and_nulls(spark, uncoalesced):
         values = [99 if v is None else v for _, v in own]
         assert [k for k, _ in own] == list(range(1, n + 1)) and values == sorted(values, reverse=True)
     assert pairs.places_within(df.limit(0), ["g"], [F.col("v")]).isEmpty()
+
+
+TEXTS = [(i, t) for i, t in enumerate(["abcabc", "ABCXabc", "", None, "zz zz", "a", "İab", "abcabc" * 40, "no one asks"])]
+
+
+def runs(text, k):
+    text = (text or "").lower()
+    return Counter(m for m in (text[i : i + k] for i in range(len(text) - k + 1)) if all("a" <= c <= "z" for c in m))
+
+
+def test_text_counts_take_small_batches_and_no_shuffle(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    df, letters = spark.createDataFrame(TEXTS, "entity long, seq string"), "abcdefghijklmnopqrstuvwxyz"
+    found = features.mer_shares(df, letters, 2)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+    assert not any(x in plan(found) for x in ("Join", "Aggregate"))
+    for at in (2, 100):  # texts counted at a time
+        monkeypatch.setattr(features, "_TEXTS", at)
+        wanted = {(e, m, n, n / runs(t, 2).total()) for e, t in TEXTS for m, n in runs(t, 2).items()}
+        assert {tuple(r) for r in features.mer_shares(df, letters, 2).collect()} == wanted
+
+
+def test_cosines_count_each_end_once(spark, monkeypatch):
+    tables, write = [], features.materialise
+    monkeypatch.setattr(features, "materialise", lambda df, *more: tables.append(write(df, *more)) or tables[-1])
+    df = spark.createDataFrame(TEXTS, "entity long, seq string")
+    wanted = [(0, 1), (1, 0), (0, 7), (0, 0), (2, 0), (3, 0), (3, 2), (4, 5), (6, 0), (0, 99)]
+    found = {(r["a"], r["b"]): r for r in features.sequence_controls(spark.createDataFrame(wanted, "a long, b long"), df, "abcdefghijklmnopqrstuvwxyz").collect()}
+    assert set(found) == set(wanted[:-1]) and sorted(r["entity"] for r in tables[0].select("entity").collect()) == [0, 1, 2, 3, 4, 5, 6, 7]
+    texts = dict(TEXTS)
+    for (a, b), r in found.items():
+        for k, name in ((1, "letter_cosine"), (3, "mer_cosine")):
+            u, v = runs(texts[a], k), runs(texts[b], k)
+            norm = math.sqrt(sum(n * n for n in u.values()) * sum(n * n for n in v.values()))
+            assert r[name] == pytest.approx(sum(u[m] * v[m] for m in u) / norm if norm else 0.0)
