@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from edgewise.functions.expressions import jaccard
+from edgewise.functions.shared import materialise
 from edgewise.operators import features as E
 from edgewise.operators import metrics as M
 from edgewise.operators import pairs as P
@@ -142,7 +143,7 @@ def f2_controls(spark: SparkSession, d: str) -> DataFrame:
 def f3_baselines(spark: SparkSession, d: str) -> DataFrame:
     """Each text with the next one, positive if they have one language; a quarter of the pairs is held out. No SQL, as heads are fitted; the tests hold them against what their features can tell."""
     vectors = E.composition_vector(X.entity(spark, d), "acdefghiklmnpqrstvwy").select("entity", F.slice("v", 1, 21).alias("v"))
-    named = vectors.join(X.entity(spark, d).select("entity", "grp"), "entity")
+    named = materialise(vectors.join(X.entity(spark, d).select("entity", "grp"), "entity"), "vectors")
     left, right = named.select(F.col("entity").alias("a"), F.col("v").alias("u"), F.col("grp").alias("one")), named.select((F.col("entity") - 1).alias("a"), "v", F.col("grp").alias("two"))
     rows = left.join(right, "a").withColumn("y", F.col("one").eqNullSafe(F.col("two")).cast("int"))
     scored = E.pair_baselines(rows, F.pmod(F.xxhash64("a"), F.lit(4)) == 0)

@@ -86,3 +86,15 @@ def test_cosines_count_each_end_once(spark, monkeypatch):
             u, v = runs(texts[a], k), runs(texts[b], k)
             norm = math.sqrt(sum(n * n for n in u.values()) * sum(n * n for n in v.values()))
             assert r[name] == pytest.approx(sum(u[m] * v[m] for m in u) / norm if norm else 0.0)
+
+
+def test_baselines_read_their_rows_once(spark):
+    count = spark.sparkContext.accumulator(0)
+
+    def label(a):
+        count.add(1)
+        return a % 2
+
+    df = spark.range(200).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("u"), F.array(F.lit(2.0), F.rand(1)).alias("v"), F.udf(label, "int")("id").alias("y"), (F.col("id") % 4 == 0).alias("h"))
+    assert features.pair_baselines(df, F.col("h")).count() == 4 * 50
+    assert count.value == 200
