@@ -98,3 +98,18 @@ def test_baselines_read_their_rows_once(spark):
     df = spark.range(200).select(F.array(F.col("id").cast("double"), F.lit(1.0)).alias("u"), F.array(F.lit(2.0), F.rand(1)).alias("v"), F.udf(label, "int")("id").alias("y"), (F.col("id") % 4 == 0).alias("h"))
     assert features.pair_baselines(df, F.col("h")).count() == 4 * 50
     assert count.value == 200
+
+
+def test_exposure_by_sequence_keeps_no_hashes(spark, monkeypatch):
+    tables, write = [], pairs.materialise
+    monkeypatch.setattr(pairs, "materialise", lambda df, *more: tables.append(write(df, *more)) or tables[-1])
+    tests = spark.createDataFrame([("p", "q", 1), ("q", "r", 2), ("p", None, 3), ("p", "unknown", 4), ("r", "p", 5), ("s", "s", 6)], "a string, b string, lo int")
+    entities = spark.createDataFrame([("p", "AA"), ("q", "BB"), ("r", "BB"), ("s", None)], "entity string, seq string")
+    sources = spark.createDataFrame([("one", 1, "x", "y", 1), ("one", 2, "y", "w", 0), ("one", 4, "y", "gone", 1), ("one", 4, "z", None, 1), ("one", 8, "y", "y", 0)], "split string, bit int, a string, b string, y int")
+    sequences = spark.createDataFrame([("one", "x", "AA"), ("one", "y", "BB"), ("one", "w", "CC"), ("one", "z", None)], "split string, id string, seq string")
+    flags, audit = pairs.sequence_exposure(tests, entities, sources, sequences, (1, 9))
+    assert {r["lo"]: (r["pair_bits"], r["a_bits"], r["b_bits"]) for r in flags.collect()} == {1: (1, 1, 11), 2: (8, 11, 11), 3: (0, 1, 0), 4: (0, 1, 0), 5: (1, 11, 1), 6: (0, 0, 0)}
+    # The first source meets p-q and p-r; the last meets q-r from both sides.
+    assert [tuple(r) for r in audit.collect()] == [("one", 5, 3, 2, 2, 4)]
+    strings = [c for t in tables for r in t.collect() for c in r if isinstance(c, str)]
+    assert strings and max(map(len, strings)) < 32
