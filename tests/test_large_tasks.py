@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from edgewise.operators import features, metrics, pairs
+from edgewise.operators import features, graph, metrics, pairs
 from edgewise.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -113,3 +113,12 @@ def test_exposure_by_sequence_keeps_no_hashes(spark, monkeypatch):
     assert [tuple(r) for r in audit.collect()] == [("one", 5, 3, 2, 2, 4)]
     strings = [c for t in tables for r in t.collect() for c in r if isinstance(c, str)]
     assert strings and max(map(len, strings)) < 32
+
+
+def test_stars_without_hubs_look_for_them_once_a_round(spark, monkeypatch):
+    searches, search = [], graph._hubs
+    monkeypatch.setattr(graph, "_hubs", lambda edges, rows: searches.append(rows) or search(edges, rows))
+    path = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    found, left = graph.star_components(path)
+    assert len(searches) == len(left) and found.filter("component <> 0").isEmpty() and found.count() == 201
+    assert "Join" not in plan(graph._beside_least(path.toDF("u", "v"), None))
