@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,10 +61,11 @@ class Merkle:
 
 
 def merkle_root(leaves: list[bytes]) -> bytes:
-    tree = Merkle()
-    for leaf in leaves:
-        tree.add(leaf)
-    return tree.root()
+    """The root of a list, level by level."""
+    level = leaves or [digest(b"")]
+    while len(level) > 1:
+        level = [*map(digest, map(bytes.__add__, level[::2], level[1::2])), *level[len(level) & ~1 :]]
+    return level[0]
 
 
 def _marks(ids: np.ndarray) -> np.ndarray:
@@ -183,7 +185,7 @@ def write_store(df: DataFrame, base: str | None = None, path: str | None = None,
         tree, before, at, part, names = Merkle(), 0, 0, TaskContext.get().partitionId(), "id n_tokens digests root at before part total"
         for batch in batches:
             out = []
-            for doc, n, digests, root in zip(*(batch.column(c).to_pylist() for c in ("id", "n_tokens", "digests", "root")), strict=True):
+            for doc, n, digests, root in zip(batch.column("id").to_pylist(), batch.column("n_tokens").to_pylist(), _lists(batch.column("digests")), _binaries(batch.column("root")), strict=True):
                 tree.add(_leaf(doc, n, at, before, root))
                 out.append((doc, n, digests, root, at, before, part, False))
                 before, at = before + n, at + 1
@@ -206,40 +208,47 @@ def write_store(df: DataFrame, base: str | None = None, path: str | None = None,
 @lru_cache(maxsize=1)
 def _shift_tables() -> np.ndarray:
     """For each k, four byte tables that advance a checksum over 2**k zero bytes."""
-    def matrix_of(step):
-        return np.array([step(1 << i) for i in range(32)], dtype=np.uint32)
-
     def one_byte(v: int) -> int:
         for _ in range(8):
             v = (v >> 1) ^ (0xEDB88320 if v & 1 else 0)
         return v
 
-    def apply(m: np.ndarray, v: int) -> int:
-        out = 0
+    values, tables = np.arange(256, dtype=np.uint32), np.zeros((40, 4, 256), dtype=np.uint32)
+    m = np.array([one_byte(1 << i) for i in range(32)], dtype=np.uint32)
+    for table in tables:
         for i in range(32):
-            if v >> i & 1:
-                out ^= int(m[i])
-        return out
-
-    tables = np.zeros((24, 4, 256), dtype=np.uint32)
-    m = matrix_of(one_byte)
-    for k in range(24):
-        for b in range(4):
-            for v in range(256):
-                tables[k, b, v] = apply(m, v << (8 * b))
-        m = matrix_of(lambda v, m=m: apply(m, apply(m, v)))
+            table[i // 8] ^= (values >> (i % 8) & 1) * m[i]
+        m = _advance(table, m)
     return tables
 
 
+def _advance(table: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return table[0, v & 255] ^ table[1, v >> 8 & 255] ^ table[2, v >> 16 & 255] ^ table[3, v >> 24]
+
+
+def crc_shift(crc: np.ndarray, zeros: np.ndarray) -> np.ndarray:
+    """Checksums advanced over so many zero bytes (element by element)."""
+    out = crc.astype(np.uint32)
+    for k in range(int(zeros.max(initial=0)).bit_length()):
+        hit = (zeros >> k & 1).astype(bool)
+        if hit.any():
+            out[hit] = _advance(_shift_tables()[k], out[hit])
+    return out
+
+
 def crc_concat(first: np.ndarray, second: np.ndarray, second_bytes: np.ndarray) -> np.ndarray:
     """Checksums of concatenations from the parts' checksums (element by element)."""
-    tables, out = _shift_tables(), first.astype(np.uint32)
-    for k in range(24):
-        hit = (second_bytes >> k & 1).astype(bool)
-        if hit.any():
-            v = out[hit]
-            out[hit] = tables[k, 0, v & 255] ^ tables[k, 1, v >> 8 & 255] ^ tables[k, 2, v >> 16 & 255] ^ tables[k, 3, v >> 24]
-    return out ^ second.astype(np.uint32)
+    return crc_shift(first, second_bytes) ^ second.astype(np.uint32)
+
+
+def _binaries(column: pa.Array) -> list[bytes]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(column: pa.Array) -> list[list[bytes]]:
+    """Lists of binaries; a null counts as empty."""
+    flat, ends = _binaries(column.flatten()), np.cumsum(pa.compute.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def _ids(payload: bytes) -> np.ndarray:
@@ -251,7 +260,7 @@ def read_chunks(spark, base: str) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for key, payload in zip(batch.column("key").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for key, payload in zip(_binaries(batch.column("key")), _binaries(batch.column("payload")), strict=True):
                 ids = _ids(payload)
                 out.append((key, len(ids), zlib.crc32(ids.tobytes()), digest(payload) == key))
             yield _batch(out, "key n crc sound", pa.binary(), pa.int64(), pa.int64(), pa.bool_())
@@ -274,7 +283,7 @@ def check_manifest(spark, base: str, id_kind: str = "bigint") -> None:
         part, tree, documents, ids, done = None, Merkle(), 0, 0, []
         types = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            for own, at, before, doc, n, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "before", "id", "n_tokens", "digests")), strict=True):
+            for own, at, before, doc, n, digests in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "before", "id", "n_tokens")), _lists(batch.column("digests")), strict=True):
                 if own != part:
                     if part is not None:
                         done.append((part, documents, ids, tree.root()))
@@ -324,13 +333,13 @@ def read_store(spark, base: str, id_kind: str = "bigint") -> DataFrame:
             tokens = batch.column("n_tokens").to_numpy(zero_copy_only=False)
             good = np.bincount(doc, weights=n, minlength=len(size)).astype(np.int64) == tokens
             good[doc[~column["sound"].to_numpy(zero_copy_only=False).astype(bool)]] = False
-            keys, roots = column["key"].to_pylist(), batch.column("root").to_pylist()
+            keys, roots = _binaries(column["key"]), _binaries(batch.column("root"))
             good &= np.array([merkle_root(keys[a : a + m]) == root for a, m, root in zip(first.tolist(), size.tolist(), roots, strict=True)], dtype=bool)
-            crc = np.zeros(len(size), dtype=np.uint32)
-            for k in range(int(size.max(initial=0))):
-                rows = np.flatnonzero(size > k)
-                at = first[rows] + k
-                crc[rows] = crc_concat(crc[rows], parts[at], 4 * n[at])
+            # A document's checksum is the sum of its chunks', each advanced over the bytes after it.
+            crc, to, full = np.zeros(len(size), dtype=np.uint32), np.cumsum(4 * n), size > 0
+            if full.any():
+                last = (first + size - 1)[doc]
+                crc[full] = np.bitwise_xor.reduceat(crc_shift(parts, to[last] - to), first[full])
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"), batch.column("n_tokens"), pa.array(crc.astype(np.int64)), pa.array(good)], ["id", "start", "n_tokens", "ids_crc32", "verified"])
 
     return whole.mapInArrow(fold, f"id {id_kind}, start long, n_tokens long, ids_crc32 long, verified boolean")

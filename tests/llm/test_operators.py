@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from edgewise.llm import common, exact_dedup, language, media, mixing, near_dedup, packing, quality, queries, secrets, store, toxicity
+from edgewise.llm import common, exact_dedup, language, media, mixing, near_dedup, packing, quality, queries, secrets, store, tokens, toxicity
 from edgewise.llm.common import held_out
 from edgewise.llm.tokens import END_ID, encoder, tokenizer_path
 from tests.compare import connect, rows_of
@@ -297,6 +298,29 @@ def test_encoder_equals_the_library():
     assert found[-1] == [64, 50256, 65]
 
 
+def test_encoder_in_small_groups_equals_the_library(monkeypatch):
+    """Latin letters, signs and line ends whole; texts split together, a few characters at a time, with a table that is soon full."""
+    monkeypatch.setattr(tokens, "TOGETHER", 40)
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 50)
+    rng, tool, plain = random.Random(11), tokens.Encoder(tokenizer_path()), Tokenizer.from_file(tokenizer_path())
+    parts = ["a", "é", " ", "  ", "\n", "\t", "'", "'s", "'ll", "'r", "'ve", "'re", "'m", "'d", "'t", "e", "l", "1", "_", "!", "\xad", "\xa1", "‐", "‧", "ª", "ɏ", "ß", "\r\n", "house"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 20))) for _ in range(4000)] + ["word " * 40]
+    assert all(tokens.SIMPLE.fullmatch(t) for t in texts)
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in tool.batch(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, END_ID] for t in texts]
+
+
+def test_encoder_holds_words_of_few_texts_at_once(monkeypatch):
+    """Besides ids and known words, a batch of many words takes memory for the texts that are split together alone."""
+    monkeypatch.setattr(tokens, "TOGETHER", 20_000, raising=False)
+    tool, texts = tokens.Encoder(tokenizer_path()), [words(k % 7, 400) for k in range(400)]
+    tool.batch(texts)
+    tracemalloc.start()
+    out = tool.batch(texts)
+    peak = tracemalloc.get_traced_memory()[1] - sum(map(len, out))
+    tracemalloc.stop()
+    assert peak < 3_000_000
+
+
 # 4 exact dedup
 
 
@@ -435,6 +459,10 @@ def test_checksums_concatenate():
     for p in parts:
         crc, whole = store.crc_concat(crc, np.array([zlib.crc32(p)], dtype=np.uint32), np.array([len(p)])), whole + p
     assert int(crc[0]) == zlib.crc32(whole)
+    after = np.cumsum([len(p) for p in parts[::-1]])[::-1] - [len(p) for p in parts]
+    shifted = store.crc_shift(np.array([zlib.crc32(p) for p in parts], dtype=np.uint32), after)
+    assert int(np.bitwise_xor.reduce(shifted)) == zlib.crc32(whole)
+    assert int(store.crc_shift(np.array([7], dtype=np.uint32), np.array([(1 << 25) + 3]))[0]) == zlib.crc32(bytes((1 << 25) + 3), 7) ^ zlib.crc32(bytes((1 << 25) + 3))
 
 
 def test_cuts_resynchronise():
