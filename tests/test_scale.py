@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -167,6 +168,34 @@ def test_scores_of_many_letters(spark, monkeypatch):
     test_segments_need_no_matches(spark)
 
 
+def test_rows_of_many_lengths_and_letters(spark, monkeypatch):
+    """Rows shorter than a pattern beside long ones, seeds beyond 64 bits, repeated rows; matches and segments by loops."""
+    rng = np.random.default_rng(9)
+    base = rng.integers(-40_000, 40_000, 60).tolist()
+    tokens = [base[a : a + int(n)] for a, n in zip(rng.integers(0, 20, 40), rng.integers(3, 40, 40))] + [base[5:40], base[5:40], base[:9]]
+    df = spark.createDataFrame(list(enumerate(tokens)), "row long, tokens array<int>")
+    patterns, wanted = ["1111111", "110011", "1001"], set()
+    for pattern in patterns:
+        on = [i for i, x in enumerate(pattern) if x == "1"]
+        for (p, s), (q, t) in combinations(list(enumerate(tokens)), 2):
+            wanted |= {(p, q, a, b) for a in range(len(s) - len(pattern) + 1) for b in range(len(t) - len(pattern) + 1) if all(s[a + i] == t[b + i] for i in on)}
+    for piece in (7, 1_000_000):
+        monkeypatch.setattr(align, "PIECE", piece)
+        found = [tuple(r) for r in align.seed_matches(df, patterns, block=9).collect()]
+        assert len(found) == len(set(found)) and set(found) == wanted and len(found) > 1000
+    score = lambda x, y: F.when(x == y, 2).otherwise(-1)
+    listed = lambda f: sorted(tuple(r) for r in f.select("p", "q", "diagonal", "p_start", "p_end", "best").collect())
+    assert listed(align.seeded_segments(df, patterns, score, 5, 7, block=9)) == listed(align.scored_segments(align.seed_matches(df, patterns), df, score, 5, 7))
+    assert align.seed_matches(df.limit(0), patterns).isEmpty()
+
+
+def test_large_blocks_of_narrow_tokens_are_dealt(spark):
+    """A row crosses the network once a block: 70,000 rows make 16 blocks, so 136 pairs of blocks, and letters are single bytes."""
+    rows = spark.range(70_000).select(F.col("id").alias("row"), F.array(F.lit(1), (F.col("id") % 20).cast("int"), F.lit(-3)).alias("tokens"))
+    plan = align.seed_matches(rows, ["111"])._jdf.queryExecution().toString()
+    assert "array<tinyint>" in plan and "], 136" in plan
+
+
 def test_verdicts_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     """Suppliers with the same discounts, of a mean at a limit, in several orders."""
     rng = np.random.default_rng(1)
