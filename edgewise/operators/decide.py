@@ -26,7 +26,7 @@ def practical_gain(rows: DataFrame, delta: float, margin: float) -> DataFrame:
     return out.withColumn("accept", F.col("large_enough") & F.col("above_zero") & F.col("beyond_control") & F.col("auroc_held"))
 
 
-def interval_verdict(low: Column, high: Column, margin: float) -> Column:
+def interval_verdict(low: Column, high: Column, margin: float | Column) -> Column:
     """Superior, inferior, equivalent, not inferior or open, from an interval and a margin."""
     return F.when(low.isNull() | high.isNull(), "no support").when(low > 0, "superior").when(high < -margin, "inferior").when((low > -margin) & (high < margin), "equivalent").when(low > -margin, "not inferior").otherwise("open")
 

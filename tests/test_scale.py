@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -206,6 +207,24 @@ def test_verdicts_do_not_hang_on_the_order_of_rows(spark, tmp_path):
     assert found.count() == 200 and found.select("verdict").distinct().count() == 1
 
 
+def test_verdicts_of_means_at_the_limits(spark, tmp_path):
+    """Means of exactly 0.047, 0.051 and 0.052 over 10 to 900 rows; groups of nulls, NaN and infinities as in SQL."""
+    rows, wanted = [], {}
+    for limit, verdict in ((47, "open"), (51, "open"), (52, "not inferior")):
+        for n in range(10, 901, 10):
+            s = limit * 1000 + n
+            wanted[s] = verdict
+            low, more = divmod(limit * n // 10, n)
+            rows += [(s, (low + (i < more)) / 100) for i in range(n)]
+    rows += [(1, None), (1, None), (2, float("nan")), (2, 0.05), (3, float("-inf")), (3, 0.1), (4, 1e300), (5, 0.06), (5, None), (6, 0.0), (6, 0.01)]
+    spark.createDataFrame(rows, "l_suppkey long, l_discount double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = {r["s"]: r["verdict"] for r in registry.queries()["e3_interval_verdict"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    sql = dict(con.execute(registry.oracle_sql()["e3_interval_verdict"]).fetchall())
+    assert found == wanted | {s: sql[s] for s in range(1, 7)}
+
+
 @pytest.mark.parametrize(("loads", "size"), [([0, 0, 0], 1), ([5, 0, 3, 3], 2), ([100, 1, 7], 3), ([4, 4], 9), ([6], 2), ([9, 2, 0, 40, 2], 4)])
 def test_turns_of_folds_match_a_loop(loads, size):
     turns, now = splits._turns(loads, size), list(loads)
