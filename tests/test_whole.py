@@ -3,11 +3,13 @@
 import hashlib
 import os
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from edgewise.functions.shared import shared_dir
 from edgewise.operators import align, decide, sampling, similar, splits
 from edgewise.operators.graph import connected_components
 from edgewise.plans import fixtures, registry
@@ -226,3 +228,30 @@ def test_negatives_broadcast_no_pairs(spark):
         assert sampling.degree_capped(pool, positives, 2).count() > 0
     finally:
         spark.conf.set("spark.sql.maxBroadcastTableSize", before)
+
+
+def tables(spark, name):
+    """Tables of that name in the shared folder."""
+    return set(Path(shared_dir(spark).removeprefix("file:")).glob(f"edgewise-*/{name}"))
+
+
+def test_negatives_leave_one_table(spark):
+    """Positives and forbidden pairs are deleted when the pool is full, the pool when annotations have ordered it."""
+    positives = spark.range(900).selectExpr("concat('a', id % 30) AS a", "concat('b', id % 37) AS b").distinct()
+    notes = spark.range(30).selectExpr("concat('a', id) AS entity", "array('x') AS annots")
+    names = ("positives", "forbidden", "pool", "told")
+    before = {n: tables(spark, n) for n in names}
+    assert sampling.negative_candidates(positives, 0.5, annotations=notes).count() == round(0.5 * positives.count())
+    assert {n: len(tables(spark, n) - before[n]) for n in names} == {"positives": 0, "forbidden": 0, "pool": 0, "told": 1}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+@pytest.mark.parametrize("spread", [1 << 58, 1 << 20, 3])
+def test_hash_cuts(spark, spread):
+    """Hashes all over, within one slice, and tied."""
+    rng = np.random.default_rng(5)
+    hashes = sorted(rng.integers(0, spread, 300).tolist())
+    df = spark.createDataFrame([(h,) for h in hashes], "h long")
+    for k in (0, 1, 120, 299, 300, 400):
+        wanted = max((n for n in range(min(k, 300) + 1) if n in (0, 300) or hashes[n] != hashes[n - 1]), default=0)
+        assert sampling.first_by_hash(df, k).count() == wanted
