@@ -246,6 +246,23 @@ def test_negatives_leave_one_table(spark):
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 
 
+def test_capped_negatives_rank_a_stretch_of_the_order(spark):
+    """With a target, far candidates aren't ranked; where caps bind early, later stretches are."""
+    pool = [(f"x{a}", f"y{b}") for a in range(60) for b in range(60)]
+    frame = lambda rows: spark.createDataFrame(rows, "a string, b string")
+    positives = [(f"x{a}", f"y{a}") for a in range(60)]
+    for cap, target, most in ((20, 300, 800), (2, 110, 10_000)):
+        room, taken = {e: cap for p in positives for e in p}, []
+        for a, b in sorted(pool, key=lambda r: (int(hashlib.sha256(f"cap:{r[0]}:{r[1]}".encode()).hexdigest()[:15], 16), r)):
+            if room[a] and room[b]:
+                room[a], room[b] = room[a] - 1, room[b] - 1
+                taken.append((a, b))
+        before = tables(spark, "round")
+        found = sampling.degree_capped(frame(pool), frame(positives), cap, target=target)
+        assert {tuple(r) for r in found.collect()} == set(taken[:target]) and len(taken) > target
+        assert sum(spark.read.parquet(str(x)).count() for x in tables(spark, "round") - before) < most
+
+
 @pytest.mark.parametrize("spread", [1 << 58, 1 << 20, 3])
 def test_hash_cuts(spark, spread):
     """Hashes all over, within one slice, and tied."""
